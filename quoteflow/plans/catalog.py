@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quoteflow.operators import history
+from quoteflow.operators import history, listings, selection
 from quoteflow.sources import adapters
 
 # Parameters of the registered queries.
@@ -42,3 +42,26 @@ def q_hist_opportunities(spark, sf_dir):
 def q_hist_report(spark, sf_dir):
     counts = history.opportunities_per_pair(adapters.quotes(spark, sf_dir), HIST_BUCKET_MS)
     return history.report(counts)
+
+
+# ---------------------------------------------------------- C2 cross-traded
+PAIRS_TO_TRACK = 5
+
+
+@register("listing_pairs")
+def q_listing_pairs(spark, sf_dir):
+    return listings.all_listings(adapters.listing_payloads(spark, sf_dir))
+
+
+@register("cross_traded_pairs")
+def q_cross_traded_pairs(spark, sf_dir):
+    return listings.cross_traded(listings.all_listings(adapters.listing_payloads(spark, sf_dir)))
+
+
+# ----------------------------------------------------------- C3 selection
+@register("pairs_to_track")
+def q_pairs_to_track(spark, sf_dir):
+    counts = history.opportunities_per_pair(adapters.quotes(spark, sf_dir), HIST_BUCKET_MS)
+    cross = listings.cross_traded(listings.all_listings(adapters.listing_payloads(spark, sf_dir)))
+    out = selection.pairs_to_track(counts, cross, PAIRS_TO_TRACK)
+    return out.withColumn("rank", out["rank"].cast("bigint"))

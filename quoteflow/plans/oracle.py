@@ -59,3 +59,36 @@ SELECT pair, opportunities, order_bucket_seq, order_pair_seq FROM hist_counts"""
 
 ORACLE["hist_report"] = "WITH " + HIST + """
 SELECT pair, opportunities, printf('%s, %d opportunities', pair, opportunities) AS line FROM hist_counts"""
+
+LISTINGS = """
+sym AS (
+  SELECT event_id,
+         CASE event_id % 3 WHEN 0 THEN 'bitfinex' WHEN 1 THEN 'bitstamp' ELSE 'kraken' END AS source,
+         event_id // 64 AS fetch_id,
+         CASE WHEN event_id % 5 = 0 THEN 'P' || lpad(CAST(user_id % 20 AS VARCHAR), 3, '0')
+              ELSE 'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') END AS base,
+         CASE WHEN user_id % 4 = 0 THEN 'EUR' ELSE 'USD' END AS quote
+  FROM events
+),
+listings AS (
+  SELECT source, fetch_id, base AS currency1, quote AS currency2 FROM sym
+  WHERE length(base) = 3 AND length(quote) = 3
+    AND NOT (source = 'bitfinex' AND (event_id % 11 = 0 OR fetch_id % 9 = 0))
+    AND NOT (source = 'kraken' AND fetch_id % 7 = 0)
+),
+cross_pairs AS (
+  SELECT currency1, currency2, currency1 || '-' || currency2 AS pair,
+         count(*) AS n_listings, count(DISTINCT source) AS n_exchanges
+  FROM listings GROUP BY currency1, currency2 HAVING count(*) > 1
+)"""
+
+ORACLE["listing_pairs"] = "WITH " + LISTINGS + """
+SELECT source, fetch_id, currency1, currency2 FROM listings"""
+
+ORACLE["cross_traded_pairs"] = "WITH " + LISTINGS + """
+SELECT currency1, currency2, pair, n_listings, n_exchanges FROM cross_pairs"""
+
+ORACLE["pairs_to_track"] = "WITH " + HIST + "," + LISTINGS + """
+SELECT row_number() OVER (ORDER BY order_bucket_seq, order_pair_seq) AS rank, pair, opportunities
+FROM hist_counts WHERE pair IN (SELECT pair FROM cross_pairs)
+ORDER BY order_bucket_seq, order_pair_seq LIMIT 5"""
