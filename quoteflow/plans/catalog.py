@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quoteflow.operators import history, listings, selection
+from quoteflow.operators import history, listings, opportunities, selection
 from quoteflow.sources import adapters
 
 # Parameters of the registered queries.
@@ -65,3 +65,33 @@ def q_pairs_to_track(spark, sf_dir):
     cross = listings.cross_traded(listings.all_listings(adapters.listing_payloads(spark, sf_dir)))
     out = selection.pairs_to_track(counts, cross, PAIRS_TO_TRACK)
     return out.withColumn("rank", out["rank"].cast("bigint"))
+
+
+# ------------------------------------------------------ C4 live detection
+LIVE_PARAMS = opportunities.TradingParams(
+    min_spread=5.0, min_profit=10.0, max_transaction_value=900.0, max_trading_value=4000.0)
+
+
+def _grid(spark, sf_dir):
+    return opportunities.latest_quote_grid(adapters.live_quotes(spark, sf_dir))
+
+
+@register("latest_quote_grid")
+def q_latest_quote_grid(spark, sf_dir):
+    return _grid(spark, sf_dir).drop("block")
+
+
+@register("opportunities")
+def q_opportunities(spark, sf_dir):
+    return opportunities.opportunities(_grid(spark, sf_dir), LIVE_PARAMS).drop("block")
+
+
+@register("best_opportunity")
+def q_best_opportunity(spark, sf_dir):
+    return opportunities.best_opportunity(_grid(spark, sf_dir), LIVE_PARAMS).drop("block")
+
+
+@register("executed_opportunities")
+def q_executed_opportunities(spark, sf_dir):
+    best = opportunities.best_opportunity(_grid(spark, sf_dir), LIVE_PARAMS)
+    return opportunities.executed_opportunities(best, LIVE_PARAMS)

@@ -92,3 +92,68 @@ ORACLE["pairs_to_track"] = "WITH " + HIST + "," + LISTINGS + """
 SELECT row_number() OVER (ORDER BY order_bucket_seq, order_pair_seq) AS rank, pair, opportunities
 FROM hist_counts WHERE pair IN (SELECT pair FROM cross_pairs)
 ORDER BY order_bucket_seq, order_pair_seq LIMIT 5"""
+
+LIVE = """
+ticks AS (
+  SELECT event_id AS seq,
+         'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') || '-USD' AS pair,
+         value AS bp,
+         CAST(1 + event_id % 10 AS DOUBLE) AS bs,
+         value + CAST(event_id % 7 AS DOUBLE) * CAST(0.05 AS DOUBLE) AS ap,
+         CAST(1 + event_id % 13 AS DOUBLE) AS "as",
+         CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 23 END AS x
+  FROM events
+),
+px AS (SELECT DISTINCT pair, x FROM ticks),
+grid AS (SELECT t.pair, t.seq, px.x FROM ticks t JOIN px ON t.pair = px.pair),
+latest AS (
+  SELECT g.pair, g.seq, g.x, q.seq AS q_seq, q.bp, q.bs, q.ap, q."as"
+  FROM grid g ASOF JOIN ticks q ON g.pair = q.pair AND g.x = q.x AND g.seq >= q.seq
+),
+opps AS (
+  SELECT b.pair, b.seq, b.x AS buy_x, s.x AS sell_x, b.ap AS buy_price, s.bp AS sell_price,
+         least(b."as", s.bs) AS quantity, (s.bp - b.ap) * least(b."as", s.bs) AS profit
+  FROM latest b JOIN latest s ON b.pair = s.pair AND b.seq = s.seq AND b.x <> s.x
+  WHERE s.bp - b.ap >= CAST(5 AS DOUBLE)
+    AND (s.bp - b.ap) * least(b."as", s.bs) >= CAST(10 AS DOUBLE)
+    AND b.ap * least(b."as", s.bs) <= CAST(900 AS DOUBLE)
+),
+best AS (
+  SELECT pair, seq, buy_x, sell_x, buy_price, sell_price, quantity, profit FROM (
+    SELECT *, row_number() OVER (PARTITION BY pair, seq
+                                 ORDER BY profit DESC, CAST(buy_x AS VARCHAR), CAST(sell_x AS VARCHAR)) AS rn
+    FROM opps) WHERE rn = 1
+),
+firsts AS (
+  SELECT *, buy_price * quantity AS value FROM (
+    SELECT *, row_number() OVER (PARTITION BY pair, buy_x, sell_x ORDER BY seq) AS rk
+    FROM best WHERE quantity > 0) WHERE rk = 1
+),
+budget AS (
+  SELECT *, coalesce(sum(value) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior_value
+  FROM firsts
+),
+executed AS (
+  SELECT *, CASE WHEN prior_value + value > CAST(4000 AS DOUBLE)
+                 THEN (CAST(4000 AS DOUBLE) - prior_value) / buy_price ELSE quantity END AS final_qty
+  FROM budget
+)"""
+
+EXCHANGE_NAME_SQL = ("CASE {c} WHEN 6 THEN 'Bitstamp' WHEN 23 THEN 'Kraken' WHEN 2 THEN 'Bitfinex' "
+                     "ELSE 'Exchange' || CAST({c} AS VARCHAR) END")
+
+ORACLE["latest_quote_grid"] = "WITH " + LIVE + """
+SELECT pair, seq, x, q_seq, bp, bs, ap, "as" FROM latest"""
+
+ORACLE["opportunities"] = "WITH " + LIVE + """
+SELECT * FROM opps"""
+
+ORACLE["best_opportunity"] = "WITH " + LIVE + """
+SELECT * FROM best"""
+
+ORACLE["executed_opportunities"] = "WITH " + LIVE + f"""
+SELECT pair, seq, buy_x, sell_x,
+       {EXCHANGE_NAME_SQL.format(c='buy_x')} AS buy_exchange,
+       {EXCHANGE_NAME_SQL.format(c='sell_x')} AS sell_exchange,
+       buy_price, sell_price, final_qty AS quantity, buy_price * final_qty AS value, prior_value
+FROM executed WHERE final_qty > 0"""
