@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteflow.plans.joins import join_small
+from quoteflow.session import checkpoint_dir
+
 
 DEFAULT_BLOCK = 1 << 20
 
@@ -37,7 +38,11 @@ def prefix_sum(df: DataFrame, value: str, order: list[str], out: str,
     totals = d.groupBy(*part, blk).agg(F.sum(value).alias("_blk_total"))
     wb = Window.partitionBy(*part).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*part, blk, F.coalesce(F.sum("_blk_total").over(wb), F.lit(0)).alias("_carry"))
-    d = join_small(d, totals, part + [blk], "inner")
+    # One row per block: AQE broadcasts it from its measured shuffle size.
+    # No eager size-check job here: both uses of ``d`` must stay in one plan
+    # so they share one exchange (a range-partitioned ``d`` is re-sampled by
+    # every separate job).
+    d = d.join(totals, part + [blk], "inner")
     frame = (Window.partitionBy(*part, blk).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     d = d.withColumn(out, F.col("_carry") + F.coalesce(F.sum(value).over(frame), F.lit(0)))
@@ -49,3 +54,32 @@ def block_max(df: DataFrame, value: str, keys: list[str], block_col: str) -> Dat
     """Per (keys, block) maximum of ``value``: the summary used to find the
     first block where a running value passes a threshold."""
     return df.groupBy(*keys, block_col).agg(F.max(value).alias("block_max"))
+
+
+def ordered_blocks(df: DataFrame, order: list[str], n_blocks: int | None = None,
+                   block_col: str = "_blk") -> DataFrame:
+    """Cut a global order into ``n_blocks`` contiguous, balanced blocks.
+
+    ``repartitionByRange`` samples the order key, so even a day or key that
+    holds a third of all rows is split over several blocks (the full order
+    key, including its tiebreak, is the range key). The block id is the
+    partition id, monotone in the order.
+
+    Range bounds are sampled per job (the sampler is seeded by RDD id), so
+    two jobs over the same input can cut different blocks. The blocked rows
+    are therefore checkpointed once to the cluster's shared checkpoint
+    folder: every consumer, and any recomputation after an executor loss,
+    reads the same assignment.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    b = df.repartitionByRange(n, *order).withColumn(block_col, F.spark_partition_id().cast("bigint"))
+    return b.checkpoint(eager=True)
+
+
+def global_prefix_sum(df: DataFrame, value: str, order: list[str], out: str,
+                      n_blocks: int | None = None, inclusive: bool = True) -> DataFrame:
+    """Running sum over a global order with no single-task window."""
+    b = ordered_blocks(df, order, n_blocks, "_gblk")
+    return prefix_sum(b, value, order, out, block_col="_gblk", inclusive=inclusive).drop("_gblk")

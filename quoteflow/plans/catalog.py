@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quoteflow.operators import history, listings, opportunities, selection
+from quoteflow.operators import history, listings, opportunities, pnl, selection
 from quoteflow.sources import adapters
 
 # Parameters of the registered queries.
@@ -95,3 +95,44 @@ def q_best_opportunity(spark, sf_dir):
 def q_executed_opportunities(spark, sf_dir):
     best = opportunities.best_opportunity(_grid(spark, sf_dir), LIVE_PARAMS)
     return opportunities.executed_opportunities(best, LIVE_PARAMS)
+
+
+# ------------------------------------------------------------------ C6 P&L
+HIST_PNL_START = "1996-01-01 00:00:00"
+HIST_PNL_END = "1999-12-31 00:00:00"
+
+
+def _live_fold(spark, sf_dir):
+    return pnl.fold_trades(pnl.order_to_trade(pnl.completed_orders(adapters.orders(spark, sf_dir))))
+
+
+@register("pnl_by_pair")
+def q_pnl_by_pair(spark, sf_dir):
+    return pnl.pnl_by_pair(_live_fold(spark, sf_dir))
+
+
+@register("inventory")
+def q_inventory(spark, sf_dir):
+    return pnl.inventory(_live_fold(spark, sf_dir))
+
+
+@register("historical_pnl")
+def q_historical_pnl(spark, sf_dir):
+    o = pnl.orders_in_period(adapters.orders(spark, sf_dir), HIST_PNL_START, HIST_PNL_END)
+    return pnl.total_pnl(pnl.fold_trades(pnl.order_to_trade(o)))
+
+
+@register("cumulative_pnl")
+def q_cumulative_pnl(spark, sf_dir):
+    return pnl.cumulative_pnl(_live_fold(spark, sf_dir))
+
+
+@register("threshold_alert")
+def q_threshold_alert(spark, sf_dir):
+    cum = pnl.cumulative_pnl(_live_fold(spark, sf_dir))
+    return pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir))
+
+
+@register("annualized_return")
+def q_annualized_return(spark, sf_dir):
+    return pnl.annualized_return(adapters.portfolios(spark, sf_dir))

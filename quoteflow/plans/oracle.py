@@ -157,3 +157,146 @@ SELECT pair, seq, buy_x, sell_x,
        {EXCHANGE_NAME_SQL.format(c='sell_x')} AS sell_exchange,
        buy_price, sell_price, final_qty AS quantity, buy_price * final_qty AS value, prior_value
 FROM executed WHERE final_qty > 0"""
+
+ORDERS = """
+orders_fx AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_id,
+         'P' || CAST(l_partkey % 200 AS VARCHAR) AS currency_pair,
+         CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type,
+         CAST(l_quantity AS DECIMAL(18,8)) AS order_quantity,
+         CAST(fq AS DECIMAL(18,8)) AS filled_quantity,
+         CAST(l_extendedprice AS DECIMAL(18,8)) AS order_price,
+         CASE l_orderkey % 3 WHEN 0 THEN 'Bitfinex' WHEN 1 THEN 'Kraken' ELSE 'Bitstamp' END AS exchange,
+         CASE WHEN fq >= l_quantity THEN 'FullyFilled' WHEN fq = 0 THEN 'NotFilled'
+              ELSE 'PartiallyFulfilled' END AS status,
+         CAST(l_orderkey AS VARCHAR) AS transaction_id,
+         l_linenumber AS attempt,
+         l_shipdate AS ts
+  FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN l_quantity WHEN l_returnflag = 'N' THEN 0
+                       ELSE floor(l_quantity / 2) END AS fq FROM lineitem)
+)"""
+
+
+def fold_sql(prefix: str, where: str) -> str:
+    """Recursive-CTE restatement of the weighted-average-cost fold, one step
+    per trade per pair."""
+    return f"""
+{prefix}_trades AS (
+  SELECT currency_pair AS pair, order_id, type AS side, CAST(filled_quantity AS DOUBLE) AS amount,
+         CAST(order_price AS DOUBLE) AS price, ts,
+         row_number() OVER (PARTITION BY currency_pair ORDER BY ts, order_id) AS rn
+  FROM orders_fx WHERE {where}
+),
+{prefix}_fold(pair, rn, q, c, has, delta) AS (
+  SELECT pair, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false, CAST(0 AS DOUBLE)
+  FROM (SELECT DISTINCT pair FROM {prefix}_trades)
+  UNION ALL
+  SELECT n.pair, n.rn,
+    CASE WHEN n.side = 'buy' THEN f.q + n.amount
+         WHEN f.has AND f.q >= n.amount THEN CASE WHEN f.q - n.amount > 0 THEN f.q - n.amount ELSE 0 END
+         ELSE f.q END,
+    CASE WHEN n.side = 'buy' THEN
+              CASE WHEN f.q + n.amount > 0 THEN (f.q * f.c + n.amount * n.price) / (f.q + n.amount) ELSE 0 END
+         WHEN f.has AND f.q >= n.amount THEN CASE WHEN f.q - n.amount > 0 THEN f.c ELSE 0 END
+         ELSE f.c END,
+    CASE WHEN n.side = 'buy' THEN true
+         WHEN f.has AND f.q >= n.amount THEN f.q - n.amount > 0
+         ELSE f.has END,
+    CASE WHEN n.side = 'buy' THEN 0
+         WHEN f.has AND f.q >= n.amount THEN (n.price - f.c) * n.amount
+         WHEN f.has THEN 0
+         ELSE n.price * n.amount END
+  FROM {prefix}_fold f JOIN {prefix}_trades n ON n.pair = f.pair AND n.rn = f.rn + 1
+),
+{prefix}_folded AS (
+  SELECT n.pair, n.order_id, n.ts, n.side, n.rn, f.delta, f.q AS quantity, f.c AS avg_cost,
+         f.has AS has_position, CAST(f.delta AS DECIMAL(38,6)) AS pnl
+  FROM {prefix}_fold f JOIN {prefix}_trades n ON n.pair = f.pair AND n.rn = f.rn
+  WHERE f.rn > 0
+)"""
+
+
+LIVE_FOLD = ORDERS + "," + fold_sql("live", "status IN ('FullyFilled', 'PartiallyFulfilled')")
+
+PAIR_PNL = """
+pair_pnl AS (
+  SELECT pair, sum(pnl) AS realized_pnl, count(*) AS n_trades,
+         arg_max(quantity, rn) AS quantity, arg_max(avg_cost, rn) AS avg_cost,
+         arg_max(has_position, rn) AS has_position
+  FROM live_folded GROUP BY pair
+)"""
+
+ORACLE["pnl_by_pair"] = "WITH RECURSIVE " + LIVE_FOLD + "," + PAIR_PNL + """
+SELECT * FROM pair_pnl"""
+
+ORACLE["inventory"] = "WITH RECURSIVE " + LIVE_FOLD + "," + PAIR_PNL + """
+SELECT pair, quantity, avg_cost FROM pair_pnl WHERE has_position"""
+
+ORACLE["historical_pnl"] = "WITH RECURSIVE " + ORDERS + "," + fold_sql(
+    "hist", "status = 'FullyFilled' AND ts >= TIMESTAMP '1996-01-01 00:00:00' "
+            "AND ts <= TIMESTAMP '1999-12-31 00:00:00'") + """
+SELECT coalesce(sum(pnl), CAST(0 AS DECIMAL(38,6))) AS total_pnl, count(*) AS n_trades FROM hist_folded"""
+
+CUM = """
+cum AS (
+  SELECT ts, order_id, pair, pnl,
+         sum(pnl) OVER (ORDER BY ts, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pnl
+  FROM live_folded
+)"""
+
+ORACLE["cumulative_pnl"] = "WITH RECURSIVE " + LIVE_FOLD + "," + CUM + """
+SELECT * FROM cum"""
+
+ORACLE["threshold_alert"] = "WITH RECURSIVE " + LIVE_FOLD + "," + CUM + """,
+cmds AS (
+  SELECT o_orderkey AS command_id, o_orderdate AS ts,
+         CAST(CASE o_orderstatus WHEN 'P' THEN -o_totalprice WHEN 'O' THEN 0
+                   ELSE o_totalprice * 1000 END AS DECIMAL(18,2)) AS threshold
+  FROM orders
+),
+st AS (
+  SELECT *, CASE WHEN threshold < 0 THEN 'error: Threshold must be non-negative'
+                 WHEN threshold = 0 THEN 'cleared' ELSE 'set' END AS status
+  FROM cmds
+),
+eff AS (
+  SELECT ts, max(command_id) AS command_id, arg_max(threshold, command_id) AS threshold
+  FROM st WHERE threshold >= 0 GROUP BY ts
+),
+effn AS (SELECT *, lead(ts) OVER (ORDER BY ts) AS next_ts FROM eff),
+hits AS (
+  SELECT command_id, alert_ts, alert_order_id, alert_cum_pnl FROM (
+    SELECT e.command_id, c.ts AS alert_ts, c.order_id AS alert_order_id, c.cum_pnl AS alert_cum_pnl,
+           row_number() OVER (PARTITION BY e.command_id ORDER BY c.ts, c.order_id) AS rn
+    FROM effn e JOIN cum c
+      ON c.ts >= e.ts AND (e.next_ts IS NULL OR c.ts < e.next_ts) AND c.cum_pnl >= e.threshold
+    WHERE e.threshold > 0) WHERE rn = 1
+)
+SELECT st.command_id, st.ts, st.threshold, st.status, h.alert_ts, h.alert_order_id, h.alert_cum_pnl
+FROM st LEFT JOIN hits h USING (command_id)"""
+
+ORACLE["annualized_return"] = """
+WITH per AS (
+  SELECT o_custkey,
+         sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2))
+                  ELSE -CAST(o_totalprice AS DECIMAL(18,2)) END) AS pnl_cents,
+         min(CAST(o_orderdate AS DATE)) AS start_date, max(CAST(o_orderdate AS DATE)) AS end_date
+  FROM orders GROUP BY o_custkey
+),
+p AS (
+  SELECT c_custkey AS portfolio_id, c_acctbal AS init_invest,
+         CAST(pnl_cents AS DOUBLE) / CAST(100 AS DOUBLE) AS cum_pnl,
+         CAST(date_diff('day', start_date, end_date) AS DOUBLE) / CAST(365 AS DOUBLE) AS years
+  FROM customer JOIN per ON c_custkey = o_custkey
+),
+v AS (
+  SELECT *, CASE WHEN cum_pnl < 0 THEN 'PNL should be non-negative'
+                 WHEN init_invest <= 0 THEN 'Initial investment should be larger than 0'
+                 WHEN years <= 0 THEN 'Duration of Year should be larger than 0' END AS error
+  FROM p
+)
+SELECT portfolio_id, init_invest, cum_pnl, years, error,
+       CASE WHEN error IS NULL
+            THEN round(pow(cum_pnl / init_invest, CAST(1 AS DOUBLE) / years) - CAST(1 AS DOUBLE), 10) END
+         AS annualized_return
+FROM v"""
