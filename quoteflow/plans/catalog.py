@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quoteflow.operators import history, listings, opportunities, pnl, selection
+from pyspark.sql import functions as F
+
+from quoteflow.operators import history, ledger, listings, opportunities, orders, pnl, selection, strategy
 from quoteflow.sources import adapters
 
 # Parameters of the registered queries.
@@ -136,3 +138,59 @@ def q_threshold_alert(spark, sf_dir):
 @register("annualized_return")
 def q_annualized_return(spark, sf_dir):
     return pnl.annualized_return(adapters.portfolios(spark, sf_dir))
+
+
+# ------------------------------------------------------------ C5 orders
+CREATED_MAX_ATTEMPT = 5  # orders of later attempts were never stored: their updates are unmatched
+
+
+@register("order_legs")
+def q_order_legs(spark, sf_dir):
+    best = opportunities.best_opportunity(_grid(spark, sf_dir), LIVE_PARAMS)
+    return orders.order_legs(opportunities.executed_opportunities(best, LIVE_PARAMS))
+
+
+def _fills(spark, sf_dir):
+    return orders.fill_amounts(adapters.orders(spark, sf_dir), adapters.fill_reports(spark, sf_dir))
+
+
+@register("fill_amounts")
+def q_fill_amounts(spark, sf_dir):
+    return _fills(spark, sf_dir)
+
+
+@register("fill_status")
+def q_fill_status(spark, sf_dir):
+    return orders.fill_status(_fills(spark, sf_dir))
+
+
+@register("order_chain")
+def q_order_chain(spark, sf_dir):
+    o = adapters.orders(spark, sf_dir)
+    return orders.order_chain(o.select("transaction_id", "type", "attempt", "order_id", "order_quantity", "filled_quantity"))
+
+
+@register("latest_orders")
+def q_latest_orders(spark, sf_dir):
+    o = adapters.orders(spark, sf_dir)
+    created = o.where(F.col("attempt") <= CREATED_MAX_ATTEMPT).select(
+        "order_id", F.lit("Pending").alias("status"), F.lit(0).cast("decimal(18,8)").alias("filled_quantity"))
+    upd = orders.fill_status(_fills(spark, sf_dir)).select(
+        "order_id", F.lit(1).alias("version"), "status", F.col("filled").alias("filled_quantity"))
+    return orders.latest_orders(created, upd)
+
+
+# --------------------------------------------------- F9 / ledger operators
+@register("strategy_validation")
+def q_strategy_validation(spark, sf_dir):
+    return strategy.validate(adapters.strategies(spark, sf_dir)).select("strategy_id", "error", "valid")
+
+
+@register("current_strategy")
+def q_current_strategy(spark, sf_dir):
+    return strategy.current_strategy(strategy.validate(adapters.strategies(spark, sf_dir)))
+
+
+@register("transaction_history")
+def q_transaction_history(spark, sf_dir):
+    return ledger.transaction_history(ledger.transaction_events(adapters.orders(spark, sf_dir)))

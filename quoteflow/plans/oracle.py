@@ -300,3 +300,107 @@ SELECT portfolio_id, init_invest, cum_pnl, years, error,
             THEN round(pow(cum_pnl / init_invest, CAST(1 AS DOUBLE) / years) - CAST(1 AS DOUBLE), 10) END
          AS annualized_return
 FROM v"""
+
+SYMBOL_SQL = ("CASE {e} WHEN 'Bitfinex' THEN 't' || replace({p}, '-', '') "
+              "WHEN 'Kraken' THEN 'XX' || replace({p}, '-', '') "
+              "WHEN 'Bitstamp' THEN lower(replace({p}, '-', '')) END")
+
+
+def _leg(side: str, ex_col: str, price: str) -> str:
+    ex = EXCHANGE_NAME_SQL.format(c=ex_col)
+    signed = "-final_qty" if side == "sell" else "final_qty"
+    return f"""
+SELECT sha256(pair || ':' || CAST(buy_x AS VARCHAR) || '->' || CAST(sell_x AS VARCHAR) || '@' || CAST(seq AS VARCHAR))
+         AS transaction_id,
+       pair, seq, '{side}' AS type, {ex} AS exchange, {price} AS order_price, final_qty AS order_quantity,
+       'Pending' AS status, {SYMBOL_SQL.format(e=ex, p='pair')} AS symbol, {signed} AS signed_amount
+FROM executed WHERE final_qty > 0"""
+
+
+ORACLE["order_legs"] = "WITH " + LIVE + _leg("buy", "buy_x", "buy_price") + " UNION ALL " + _leg(
+    "sell", "sell_x", "sell_price")
+
+ORACLE["fill_amounts"] = "WITH " + ORDERS + """
+SELECT order_id, exchange, order_quantity, filled_quantity AS filled, true AS has_report FROM orders_fx"""
+
+ORACLE["fill_status"] = "WITH " + ORDERS + """
+SELECT order_id, exchange, order_quantity, filled_quantity AS filled, status FROM orders_fx"""
+
+ORACLE["order_chain"] = "WITH " + ORDERS + """,
+a1 AS (
+  SELECT transaction_id, type, attempt, order_id, filled_quantity,
+         first_value(order_quantity) OVER (PARTITION BY transaction_id, type ORDER BY attempt, order_id) AS initial,
+         coalesce(sum(filled_quantity) OVER (PARTITION BY transaction_id, type ORDER BY attempt, order_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior_fill
+  FROM orders_fx
+),
+a2 AS (
+  SELECT *, initial - prior_fill AS requested,
+         CASE WHEN filled_quantity >= initial - prior_fill THEN 'FullyFilled'
+              WHEN filled_quantity = 0 THEN 'NotFilled' ELSE 'PartiallyFulfilled' END AS status
+  FROM a1
+),
+a3 AS (
+  SELECT *, coalesce(sum(CASE WHEN status <> 'PartiallyFulfilled' THEN 1 ELSE 0 END)
+              OVER (PARTITION BY transaction_id, type ORDER BY attempt, order_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops_before
+  FROM a2
+)
+SELECT transaction_id, type, count(*) AS attempts, max(initial) AS initial_quantity,
+       CAST(sum(filled_quantity) AS DECIMAL(18,8)) AS total_filled,
+       arg_max(status, (attempt, order_id)) AS final_status,
+       CAST(arg_max(requested - filled_quantity, (attempt, order_id)) AS DECIMAL(18,8)) AS remaining
+FROM a3 WHERE stops_before = 0 GROUP BY transaction_id, type"""
+
+ORACLE["latest_orders"] = "WITH " + ORDERS + """
+SELECT u.order_id, CAST(1 AS BIGINT) AS version, u.status, u.filled_quantity,
+       CASE WHEN c.order_id IS NULL THEN 'No order updated' ELSE 'Success' END AS result
+FROM orders_fx u LEFT JOIN (SELECT order_id FROM orders_fx WHERE attempt <= 5) c USING (order_id)"""
+
+STRATEGIES = """
+strat AS (
+  SELECT p_partkey AS strategy_id,
+         CAST(p_size % 7 - 1 AS INTEGER) AS number_of_currencies,
+         CAST(p_size - 3 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS minimal_price_spread,
+         p_retailprice / CAST(100 AS DOUBLE) AS min_transaction_profit,
+         p_retailprice - CAST(920 AS DOUBLE) AS maximal_transaction_value,
+         p_retailprice * CAST(p_size % 5 - 1 AS DOUBLE) AS maximal_trading_value,
+         p_retailprice * CAST(10 AS DOUBLE) - CAST(9300 AS DOUBLE) AS init_investment
+  FROM part
+),
+checked AS (
+  SELECT *, CASE
+      WHEN number_of_currencies <= 0 THEN 'NumberOfCurrencies must be greater than zero'
+      WHEN minimal_price_spread <= 0 THEN 'MinimalPriceSpread must be greater than zero'
+      WHEN maximal_transaction_value <= 0 THEN 'MaximalTransactionValue must be greater than zero'
+      WHEN maximal_trading_value <= 0 THEN 'MaximalTradingValue must be greater than zero'
+      WHEN init_investment <= 0 THEN 'InitialInvestmentAmount must be greater than zero'
+      WHEN maximal_transaction_value < minimal_price_spread
+        THEN 'MaximalTransactionValue must be greater than or equal to MinimalPriceSpread'
+    END AS error
+  FROM strat
+)"""
+
+ORACLE["strategy_validation"] = "WITH " + STRATEGIES + """
+SELECT strategy_id, error, error IS NULL AS valid FROM checked"""
+
+ORACLE["current_strategy"] = "WITH " + STRATEGIES + """
+SELECT strategy_id, number_of_currencies, minimal_price_spread, min_transaction_profit,
+       maximal_transaction_value, maximal_trading_value, init_investment
+FROM checked WHERE error IS NULL ORDER BY strategy_id DESC LIMIT 1"""
+
+ORACLE["transaction_history"] = "WITH " + ORDERS + """,
+tx AS (
+  SELECT transaction_id, min(ts) AS first_ts, max(ts) AS last_ts,
+         string_agg(order_id, ',' ORDER BY attempt DESC, order_id DESC) AS order_ids,
+         count(*) AS n, count(*) FILTER (WHERE status = 'FullyFilled') AS n_full,
+         count(*) FILTER (WHERE status = 'NotFilled') AS n_none
+  FROM orders_fx GROUP BY transaction_id
+)
+SELECT transaction_id, 1 AS version, 'Submitted' AS status, order_ids, first_ts AS valid_from, last_ts AS valid_to
+FROM tx
+UNION ALL
+SELECT transaction_id, 2, CASE WHEN n_full = n THEN 'Fulfilled' WHEN n_none = n THEN 'Cancelled'
+                              ELSE 'PartiallyFulfilled' END,
+       order_ids, last_ts, NULL
+FROM tx"""

@@ -194,7 +194,7 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(p_size % 7 - 1 AS INT) AS number_of_currencies",
         "CAST(p_size - 3 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS minimal_price_spread",
         "p_retailprice / CAST(100 AS DOUBLE) AS min_transaction_profit",
-        "p_retailprice - CAST(1000 AS DOUBLE) AS maximal_transaction_value",
+        "p_retailprice - CAST(920 AS DOUBLE) AS maximal_transaction_value",
         "p_retailprice * CAST(p_size % 5 - 1 AS DOUBLE) AS maximal_trading_value",
-        "p_retailprice * CAST(10 AS DOUBLE) - CAST(9500 AS DOUBLE) AS init_investment",
+        "p_retailprice * CAST(10 AS DOUBLE) - CAST(9300 AS DOUBLE) AS init_investment",
     )
