@@ -33,6 +33,7 @@ from quoteflow.operators.running import DEFAULT_BLOCK, block_of, prefix_sum
 from quoteflow.plans.joins import join_small
 
 QUOTE_FIELDS = ["bp", "bs", "ap", "as"]
+BUDGET = "decimal(38,10)"
 
 
 @dataclass(frozen=True)
@@ -127,11 +128,14 @@ def executed_opportunities(best: DataFrame, params: TradingParams,
     firsts = cand.groupBy("pair", "buy_x", "sell_x").agg(
         F.min(F.struct("seq", "buy_price", "sell_price", "quantity")).alias("f"))
     firsts = firsts.select("pair", "buy_x", "sell_x", "f.*")
-    firsts = firsts.withColumn("value", F.col("buy_price") * F.col("quantity"))
-    run = prefix_sum(firsts, "value", ["seq"], "prior_value", block_size=block_size)
-    max_tv = F.lit(float(params.max_trading_value))
-    final_qty = F.when(F.col("prior_value") + F.col("value") > max_tv,
-                       (max_tv - F.col("prior_value")) / F.col("buy_price")).otherwise(F.col("quantity"))
+    # Budget arithmetic in exact decimals: the running total then does not
+    # depend on summation order (blocks, engines, retries).
+    firsts = firsts.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast(BUDGET))
+    run = prefix_sum(firsts, "value_dec", ["seq"], "prior_dec", block_size=block_size)
+    run = run.withColumn("prior_value", F.col("prior_dec").cast("double"))
+    max_tv = float(params.max_trading_value)
+    final_qty = F.when(F.col("prior_dec") + F.col("value_dec") > F.lit(max_tv).cast(BUDGET),
+                       (F.lit(max_tv) - F.col("prior_value")) / F.col("buy_price")).otherwise(F.col("quantity"))
     run = run.withColumn("final_qty", final_qty).where(F.col("final_qty") > 0)
     return run.select(
         "pair", "seq", "buy_x", "sell_x",

@@ -125,16 +125,18 @@ best AS (
     FROM opps) WHERE rn = 1
 ),
 firsts AS (
-  SELECT *, buy_price * quantity AS value FROM (
+  SELECT *, CAST(buy_price * quantity AS DECIMAL(38,10)) AS value_dec FROM (
     SELECT *, row_number() OVER (PARTITION BY pair, buy_x, sell_x ORDER BY seq) AS rk
     FROM best WHERE quantity > 0) WHERE rk = 1
 ),
 budget AS (
-  SELECT *, coalesce(sum(value) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior_value
-  FROM firsts
+  SELECT *, CAST(prior_dec AS DOUBLE) AS prior_value FROM (
+    SELECT *, coalesce(sum(value_dec) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                       0) AS prior_dec
+    FROM firsts)
 ),
 executed AS (
-  SELECT *, CASE WHEN prior_value + value > CAST(4000 AS DOUBLE)
+  SELECT *, CASE WHEN prior_dec + value_dec > 4000
                  THEN (CAST(4000 AS DOUBLE) - prior_value) / buy_price ELSE quantity END AS final_qty
   FROM budget
 )"""
@@ -160,7 +162,7 @@ FROM executed WHERE final_qty > 0"""
 
 ORDERS = """
 orders_fx AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS order_id,
          'P' || CAST(l_partkey % 200 AS VARCHAR) AS currency_pair,
          CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type,
          CAST(l_quantity AS DECIMAL(18,8)) AS order_quantity,

@@ -113,14 +113,16 @@ def listing_payloads(spark: SparkSession, sf_dir: str, n_pairs: int = DEFAULT_PA
 
 
 def orders(spark: SparkSession, sf_dir: str, n_pairs: int = 200) -> DataFrame:
-    """Order book rows from ``lineitem``: one order per line item."""
+    """Order book rows from ``lineitem``: one order per line item. The order
+    id needs the ship date: (orderkey, linenumber, partkey, suppkey) repeats."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                      "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"])
     filled = ("CASE WHEN l_linestatus = 'F' THEN l_quantity WHEN l_returnflag = 'N' THEN 0 "
               "ELSE floor(l_quantity / 2) END")
     return li.selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd')) "
+        "AS order_id",
         f"concat('P', cast(l_partkey % {n_pairs} as string)) AS currency_pair",
         "CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type",
         "CAST(l_quantity AS DECIMAL(18,8)) AS order_quantity",
