@@ -82,39 +82,55 @@ FOLD_SCHEMA = T.StructType([
 ])
 
 
+def fold_run(sides, amounts, prices, q: float = 0.0, c: float = 0.0, has: bool = False):
+    """Fold one pair's trades (in order) from state (q, c, has). Returns the
+    per-trade (delta, quantity, avg_cost, has_position) lists and the final
+    state. Shared by the batch fold and the streaming state (ST4)."""
+    n = len(sides)
+    d_out, q_out, c_out, h_out = [0.0] * n, [0.0] * n, [0.0] * n, [False] * n
+    for i in range(n):
+        a, p = float(amounts[i]), float(prices[i])
+        delta = 0.0
+        if sides[i] == "buy":
+            new_q = q + a
+            total = q * c + a * p
+            c = total / new_q if new_q > 0.0 else 0.0
+            q, has = new_q, True
+        elif has and q >= a:
+            delta = (p - c) * a
+            new_q = q - a
+            if new_q > 0.0:
+                q = new_q
+            else:
+                q, c, has = 0.0, 0.0, False
+        elif not has:
+            delta = p * a
+        d_out[i], q_out[i], c_out[i], h_out[i] = delta, q, c, has
+    return (d_out, q_out, c_out, h_out), (q, c, has)
+
+
 def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streaming fold over rows sorted by (pair, ts, order_id)."""
-    cur, q, c, has = None, 0.0, 0.0, False
+    """Streaming fold over rows sorted by (pair, ts, order_id): one pair's
+    state at a time, carried across Arrow batches."""
+    cur, state = None, (0.0, 0.0, False)
     for b in batches:
         pairs = b["pair"].tolist()
-        sides = b["side"].tolist()
-        amts = b["amount"].tolist()
-        prices = b["price"].tolist()
-        n = len(pairs)
-        d_out, q_out, c_out, h_out = [0.0] * n, [0.0] * n, [0.0] * n, [False] * n
-        for i in range(n):
+        sides, amts, prices = b["side"].tolist(), b["amount"].tolist(), b["price"].tolist()
+        cols = ([], [], [], [])
+        i, n = 0, len(pairs)
+        while i < n:
+            j = i
+            while j < n and pairs[j] == pairs[i]:
+                j += 1
             if pairs[i] != cur:
-                cur, q, c, has = pairs[i], 0.0, 0.0, False
-            a, p = float(amts[i]), float(prices[i])
-            delta = 0.0
-            if sides[i] == "buy":
-                new_q = q + a
-                total = q * c + a * p
-                c = total / new_q if new_q > 0.0 else 0.0
-                q, has = new_q, True
-            elif has and q >= a:
-                delta = (p - c) * a
-                new_q = q - a
-                if new_q > 0.0:
-                    q = new_q
-                else:
-                    q, c, has = 0.0, 0.0, False
-            elif not has:
-                delta = p * a
-            d_out[i], q_out[i], c_out[i], h_out[i] = delta, q, c, has
+                cur, state = pairs[i], (0.0, 0.0, False)
+            out, state = fold_run(sides[i:j], amts[i:j], prices[i:j], *state)
+            for acc, part in zip(cols, out):
+                acc.extend(part)
+            i = j
         yield pd.DataFrame({
             "pair": b["pair"], "order_id": b["order_id"], "ts": b["ts"], "side": b["side"],
-            "delta": d_out, "quantity": q_out, "avg_cost": c_out, "has_position": h_out})
+            "delta": cols[0], "quantity": cols[1], "avg_cost": cols[2], "has_position": cols[3]})
 
 
 def fold_trades(trades: DataFrame) -> DataFrame:

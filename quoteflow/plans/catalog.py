@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteflow.operators import history, ledger, listings, opportunities, orders, pnl, selection, strategy
+from quoteflow.session import scratch_path
 from quoteflow.sources import adapters
+from quoteflow.streaming import live
 
 # Parameters of the registered queries.
 HIST_BUCKET_MS = 21_600_000
@@ -194,3 +196,47 @@ def q_current_strategy(spark, sf_dir):
 @register("transaction_history")
 def q_transaction_history(spark, sf_dir):
     return ledger.transaction_history(ledger.transaction_events(adapters.orders(spark, sf_dir)))
+
+
+# ------------------------------------------------ ST1-ST4 streaming forms
+# Each runs a Structured Streaming query to completion (availableNow) over the
+# driver table and returns its sink; results must equal the batch queries.
+def _stream_name(spark, tag):
+    import time
+    return f"{tag}-{time.time_ns()}"
+
+
+@register("stream_latest_quote_grid")
+def q_stream_latest_quote_grid(spark, sf_dir):
+    ticks = adapters.live_quotes_frame(live.stream_table(spark, sf_dir, "events"))
+    out = scratch_path(spark, _stream_name(spark, "grid"))
+    q = (live.stream_latest_quote_grid(ticks).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_executed_opportunities")
+def q_stream_executed_opportunities(spark, sf_dir):
+    params = scratch_path(spark, _stream_name(spark, "params"))
+    live.write_params(spark, params, 0, LIVE_PARAMS)
+    ticks = adapters.live_quotes_frame(live.stream_table(spark, sf_dir, "events"))
+    q, executed = live.start_live_trading(spark, ticks, params, name=_stream_name(spark, "live"))
+    q.awaitTermination()
+    cols = [c for c in live.EXECUTED_SCHEMA.fieldNames() if c not in ("batch_id", "value_dec")]
+    try:
+        return spark.read.schema(live.EXECUTED_SCHEMA).parquet(executed).select(*cols)
+    except Exception:  # nothing executed
+        return spark.createDataFrame([], live.EXECUTED_SCHEMA).select(*cols)
+
+
+@register("stream_pnl_by_pair")
+def q_stream_pnl_by_pair(spark, sf_dir):
+    li = live.stream_table(spark, sf_dir, "lineitem")
+    trades = pnl.order_to_trade(pnl.completed_orders(adapters.orders_frame(li)))
+    out = scratch_path(spark, _stream_name(spark, "pnl"))
+    q = (live.stream_pnl(trades).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    folded = spark.read.parquet(out).withColumn("pnl", F.col("delta").cast(pnl.PNL))
+    return pnl.pnl_by_pair(folded)

@@ -406,3 +406,8 @@ SELECT transaction_id, 2, CASE WHEN n_full = n THEN 'Fulfilled' WHEN n_none = n
                               ELSE 'PartiallyFulfilled' END,
        order_ids, last_ts, NULL
 FROM tx"""
+
+# Streaming forms: same results as their batch queries.
+ORACLE["stream_latest_quote_grid"] = ORACLE["latest_quote_grid"]
+ORACLE["stream_executed_opportunities"] = ORACLE["executed_opportunities"]
+ORACLE["stream_pnl_by_pair"] = ORACLE["pnl_by_pair"]

@@ -31,7 +31,11 @@ def _exchange_expr() -> str:
 
 def quotes(spark: SparkSession, sf_dir: str, n_pairs: int = DEFAULT_PAIRS) -> DataFrame:
     """Historical quotes (decimal prices) from ``events``; ``seq`` = arrival order."""
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
+    return quotes_frame(read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"]), n_pairs)
+
+
+def quotes_frame(ev: DataFrame, n_pairs: int = DEFAULT_PAIRS) -> DataFrame:
+    """``quotes`` over any events frame (batch or streaming)."""
     ev = ev.withColumn("t", epoch_ms(ev, "ts"))
     return ev.selectExpr(
         "event_id AS seq",
@@ -51,7 +55,11 @@ def quotes(spark: SparkSession, sf_dir: str, n_pairs: int = DEFAULT_PAIRS) -> Da
 
 def live_quotes(spark: SparkSession, sf_dir: str, n_pairs: int = DEFAULT_PAIRS) -> DataFrame:
     """Live ticks (double prices) from ``events``; ``seq`` = arrival order."""
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
+    return live_quotes_frame(read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"]), n_pairs)
+
+
+def live_quotes_frame(ev: DataFrame, n_pairs: int = DEFAULT_PAIRS) -> DataFrame:
+    """``live_quotes`` over any events frame (batch or streaming)."""
     ev = ev.withColumn("t", epoch_ms(ev, "ts"))
     return ev.selectExpr(
         "event_id AS seq",
@@ -115,9 +123,16 @@ def listing_payloads(spark: SparkSession, sf_dir: str, n_pairs: int = DEFAULT_PA
 def orders(spark: SparkSession, sf_dir: str, n_pairs: int = 200) -> DataFrame:
     """Order book rows from ``lineitem``: one order per line item. The order
     id needs the ship date: (orderkey, linenumber, partkey, suppkey) repeats."""
-    li = read_table(spark, sf_dir, "lineitem",
-                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                     "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"])
+    li = read_table(spark, sf_dir, "lineitem", LINEITEM_ORDER_COLUMNS)
+    return orders_frame(li, n_pairs)
+
+
+LINEITEM_ORDER_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                          "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def orders_frame(li: DataFrame, n_pairs: int = 200) -> DataFrame:
+    """``orders`` over any lineitem frame (batch or streaming)."""
     filled = ("CASE WHEN l_linestatus = 'F' THEN l_quantity WHEN l_returnflag = 'N' THEN 0 "
               "ELSE floor(l_quantity / 2) END")
     return li.selectExpr(
