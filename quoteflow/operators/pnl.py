@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoteflow.operators.running import global_prefix_sum
+from quoteflow.operators.running import global_prefix_sum, next_in_order
 from quoteflow.plans.joins import join_small
 
 PNL = T.DecimalType(38, 6)
@@ -197,10 +197,8 @@ def threshold_alerts(cum: DataFrame, commands: DataFrame) -> DataFrame:
     cmds = threshold_status(commands)
     valid = cmds.where(F.col("threshold") >= 0)
     eff = valid.groupBy("ts").agg(F.max(F.struct("command_id", "threshold")).alias("e"))
-    # one row per distinct command timestamp
-    w = Window.orderBy("ts")
-    eff = eff.select("ts", F.col("e.command_id").alias("command_id"), F.col("e.threshold").alias("threshold"),
-                     F.lead("ts").over(w).alias("next_ts"))
+    eff = eff.select("ts", F.col("e.command_id").alias("command_id"), F.col("e.threshold").alias("threshold"))
+    eff = next_in_order(eff, "ts", "next_ts")
     active = eff.where(F.col("threshold") > 0).select(
         "command_id", F.col("ts").alias("cmd_ts"), "next_ts", "threshold",
         F.to_date("ts").alias("d0"), F.to_date("next_ts").alias("d1"))

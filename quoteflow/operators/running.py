@@ -83,3 +83,15 @@ def global_prefix_sum(df: DataFrame, value: str, order: list[str], out: str,
     """Running sum over a global order with no single-task window."""
     b = ordered_blocks(df, order, n_blocks, "_gblk")
     return prefix_sum(b, value, order, out, block_col="_gblk", inclusive=inclusive).drop("_gblk")
+
+
+def next_in_order(df: DataFrame, order_col: str, out: str, n_blocks: int | None = None) -> DataFrame:
+    """``lead(order_col)`` over a global order without a one-task window:
+    lead within range blocks, and for each block's last row the first value
+    of the next non-empty block (a window over the few block rows)."""
+    b = ordered_blocks(df, [order_col], n_blocks, "_nblk")
+    inner = b.withColumn("_lead", F.lead(order_col).over(Window.partitionBy("_nblk").orderBy(order_col)))
+    firsts = b.groupBy("_nblk").agg(F.min(order_col).alias("_first"))
+    firsts = firsts.select("_nblk", F.lead("_first").over(Window.orderBy("_nblk")).alias("_next_block_first"))
+    j = inner.join(firsts, "_nblk", "left")
+    return j.withColumn(out, F.coalesce("_lead", "_next_block_first")).drop("_nblk", "_lead", "_next_block_first")
