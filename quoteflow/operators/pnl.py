@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.operators.running import global_prefix_sum, next_in_order
-from quoteflow.plans.joins import join_small
+from quoteflow.plans.joins import bounded, join_small
 
 PNL = T.DecimalType(38, 6)
 
@@ -133,16 +133,42 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "delta": cols[0], "quantity": cols[1], "avg_cost": cols[2], "has_position": cols[3]})
 
 
-def fold_trades(trades: DataFrame) -> DataFrame:
+# A pair with more trades than this is folded block-parallel (fold_blocks);
+# blocks hold about BLOCK_ROWS trades.
+HOT_PAIR_ROWS = 2_000_000
+BLOCK_ROWS = 1_000_000
+
+
+def _sequential_fold(t: DataFrame) -> DataFrame:
+    """Hash-partition by pair, sort within partitions, stream the fold: one
+    pair's state at a time, constant memory, all pairs in parallel."""
+    t = t.repartition("pair").sortWithinPartitions("pair", *TRADE_ORDER)
+    return t.mapInPandas(_fold_batches, FOLD_SCHEMA)
+
+
+def fold_trades(trades: DataFrame, hot_rows: int = HOT_PAIR_ROWS, block_rows: int = BLOCK_ROWS,
+                max_rounds: int = 16) -> DataFrame:
     """A9 per trade: realized P&L of the trade and the position after it.
 
-    Hash-partition by pair, sort within partitions, stream the fold. Rows of
-    one pair stay in order; memory per task is one pair's state.
+    Pairs with at most ``hot_rows`` trades take the sequential streaming fold;
+    hotter pairs are split into ordered blocks folded in parallel
+    (``fold_blocks``), so no task holds a whole hot pair. The per-pair trade
+    counts are one partial/final aggregate; the hot-pair list is at most
+    total / hot_rows rows, so broadcasting it is bounded by construction.
     """
+    from quoteflow.operators.fold_blocks import block_fold
+
     t = trades.select("pair", "order_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
                       "side", "amount", "price")
-    t = t.repartition("pair").sortWithinPartitions("pair", *TRADE_ORDER)
-    out = t.mapInPandas(_fold_batches, FOLD_SCHEMA)
+    hot, _ = bounded(t.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows), 1 << 20)
+    hot_total = hot.agg(F.sum("n")).first()[0]
+    if not hot_total:
+        out = _sequential_fold(t)
+    else:
+        keys = F.broadcast(hot.select("pair"))
+        n_blocks = max(1, -(-int(hot_total) // int(block_rows)))
+        folded, rest = block_fold(t.join(keys, "pair", "left_semi"), FOLD_SCHEMA, n_blocks, max_rounds)
+        out = folded.unionByName(_sequential_fold(t.join(keys, "pair", "left_anti").unionByName(rest)))
     return out.withColumn("pnl", F.col("delta").cast(PNL))
 
 
