@@ -13,7 +13,7 @@ def split_symbol(symbol: Column) -> tuple[Column, Column, Column]:
     """split on '/' (empty parts kept); valid when exactly two parts of
     exactly three characters each. Returns (currency1, currency2, is_valid)."""
     parts = F.split(symbol, "/", -1)
-    c1, c2 = F.element_at(parts, 1), F.element_at(parts, 2)
+    c1, c2 = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     valid = (F.size(parts) == 2) & (F.length(c1) == 3) & (F.length(c2) == 3)
     return c1, c2, F.coalesce(valid, F.lit(False))
 

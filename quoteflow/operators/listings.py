@@ -37,7 +37,7 @@ def parse_bitfinex(payloads: DataFrame) -> DataFrame:
         "source", "fetch_id", F.from_json("payload", schemas.BITFINEX_LISTING).alias("outer"))
     p = p.where(F.coalesce(F.size("outer"), F.lit(-1)) == 1)
     e = p.select("source", "fetch_id",
-                 F.explode(F.element_at("outer", 1)).alias("symbol"))
+                 F.explode(F.try_element_at("outer", F.lit(1))).alias("symbol"))
     e = e.withColumn("symbol", F.replace(F.col("symbol"), F.lit(":"), F.lit("/")))
     return _split(e, "symbol")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quoteflow.operators import history, ledger, listings, opportunities, orders, pnl, selection, strategy
 from quoteflow.session import scratch_path
-from quoteflow.sources import adapters
+from quoteflow.sources import adapters, quotes_json
 from quoteflow.streaming import live
 
 # Parameters of the registered queries.
@@ -240,3 +240,17 @@ def q_stream_pnl_by_pair(spark, sf_dir):
     q.awaitTermination()
     folded = spark.read.parquet(out).withColumn("pnl", F.col("delta").cast(pnl.PNL))
     return pnl.pnl_by_pair(folded)
+
+
+# ------------------------------------------------------------ S1-S3 frames
+@register("quote_frames")
+def q_quote_frames(spark, sf_dir):
+    """Live ticks landed as JSON frames of 16 quotes plus one status frame per
+    64 ticks, then decoded by the frame reader (S2/S3)."""
+    ticks = adapters.live_quotes(spark, sf_dir)
+    frames = quotes_json.frames_from_ticks(ticks, 16)
+    status = ticks.where(F.col("seq") % 64 == 0).select(
+        (-F.col("seq") - 1).alias("frame_seq"),
+        F.lit('[{"ev":"status","status":"auth_success","message":"authenticated"}]').alias("value"))
+    out = quotes_json.live_frames(frames.unionByName(status))
+    return out.select("seq", "ev", "pair", "bp", "bs", "ap", "as", "t", "x")

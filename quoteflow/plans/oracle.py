@@ -14,7 +14,7 @@ quotes AS (
          'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') || '-USD' AS pair,
          CAST(value AS DECIMAL(18,8)) AS bp,
          CAST(CAST(value AS DECIMAL(18,8)) + (event_id % 7) * CAST(0.05 AS DECIMAL(18,8)) AS DECIMAL(18,8)) AS ap,
-         epoch_ms(ts) AS t,
+         epoch_us(ts) // 1000 AS t,
          CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 23 END AS x
   FROM events
 )"""
@@ -411,3 +411,16 @@ FROM tx"""
 ORACLE["stream_latest_quote_grid"] = ORACLE["latest_quote_grid"]
 ORACLE["stream_executed_opportunities"] = ORACLE["executed_opportunities"]
 ORACLE["stream_pnl_by_pair"] = ORACLE["pnl_by_pair"]
+
+ORACLE["quote_frames"] = """
+SELECT (event_id // 16) * 65536
+         + row_number() OVER (PARTITION BY event_id // 16 ORDER BY event_id) - 1 AS seq,
+       'XQ' AS ev,
+       'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') || '-USD' AS pair,
+       value AS bp,
+       CAST(1 + event_id % 10 AS DOUBLE) AS bs,
+       value + CAST(event_id % 7 AS DOUBLE) * CAST(0.05 AS DOUBLE) AS ap,
+       CAST(1 + event_id % 13 AS DOUBLE) AS "as",
+       epoch_us(ts) // 1000 AS t,
+       CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 23 END AS x
+FROM events"""

@@ -117,3 +117,20 @@ def test_registered_stream_queries_equal_batch(spark, name):
     assert sorted(s.columns) == sorted(b.columns)
     cols = sorted(b.columns)
     assert rows(s, cols) == rows(b, cols)
+
+
+def test_st3_parameter_change_mid_stream(spark, scratch_dir):
+    """Trading is switched off from the third file on: executions stop there."""
+    import pyarrow.parquet as pq2
+    params = os.path.join(scratch_dir, f"params-{time.time_ns()}")
+    d = split_table("events", ["event_id"])
+    third = sorted(os.listdir(d))[2]
+    cutoff = min(pq2.read_table(os.path.join(d, third), columns=["event_id"]).column(0).to_pylist())
+    live.write_params(spark, params, 0, catalog.LIVE_PARAMS)
+    live.write_params(spark, params, cutoff, catalog.LIVE_PARAMS, trading_active=False)
+    schema = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).schema
+    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+    q, executed = live.start_live_trading(spark, adapters.live_quotes_frame(ev), params, name=f"p{time.time_ns()}")
+    q.awaitTermination()
+    ex = spark.read.parquet(executed)
+    assert ex.count() > 0 and ex.where(F.col("seq") >= cutoff).count() == 0
