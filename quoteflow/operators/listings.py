@@ -59,11 +59,28 @@ def parse_kraken(payloads: DataFrame) -> DataFrame:
     return _split(e.select("source", "fetch_id", F.col("v.wsname").alias("symbol")), "symbol")
 
 
+def venue_symbols(source, payload):
+    """X1-X3 as one expression: the raw symbols a payload lists, by venue rule
+    (empty when the payload is rejected). Bitfinex ':' is already '/'."""
+    outer = F.from_json(payload, schemas.BITFINEX_LISTING)
+    bitfinex = F.when(F.coalesce(F.size(outer), F.lit(-1)) == 1,
+                      F.transform(F.try_element_at(outer, F.lit(1)),
+                                  lambda s: F.replace(s, F.lit(":"), F.lit("/"))))
+    bitstamp = F.transform(F.from_json(payload, schemas.BITSTAMP_LISTING), lambda i: i["name"])
+    doc = F.from_json(payload, schemas.KRAKEN_LISTING)
+    kraken = F.when(F.coalesce(F.size(doc["error"]), F.lit(-1)) == 0,
+                    F.transform(F.map_values(doc["result"]), lambda v: v["wsname"]))
+    return (F.when(source == "bitfinex", bitfinex).when(source == "bitstamp", bitstamp)
+            .when(source == "kraken", kraken))
+
+
 def all_listings(payloads: DataFrame) -> DataFrame:
-    """Concatenation of every venue's parsed pairs, duplicates kept."""
-    return (parse_bitfinex(payloads)
-            .unionByName(parse_bitstamp(payloads))
-            .unionByName(parse_kraken(payloads)))
+    """Concatenation of every venue's parsed pairs, duplicates kept. One
+    pass over the payloads (a CASE picks the venue's parser per row), one
+    explode, one split; the per-venue parsers above are the same rules."""
+    e = payloads.select("source", "fetch_id",
+                        F.explode(venue_symbols(F.col("source"), F.col("payload"))).alias("symbol"))
+    return _split(e, "symbol")
 
 
 def cross_traded(listings: DataFrame, strict: bool = False) -> DataFrame:
