@@ -52,3 +52,19 @@ def latest_transactions(events: DataFrame) -> DataFrame:
 def lookup(state: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """point or bulk lookup = left-semi join to a key table."""
     return state.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Insert order or transaction rows = append to a change-log table."""
+    rows.write.mode("append").parquet(path)
+
+
+def first_match(state: DataFrame, key_col: str, key, order_cols: list[str]) -> DataFrame:
+    """L3 / F6 point lookup: the first matching row, made deterministic by an
+    explicit order (the reference's FirstOrDefault has none)."""
+    return state.where(F.col(key_col) == F.lit(key)).orderBy(*order_cols).limit(1)
+
+
+def snapshot(state: DataFrame, path: str) -> None:
+    """Store the current state with a history timestamp (append)."""
+    state.withColumn("history_ts", F.current_timestamp()).write.mode("append").parquet(path)

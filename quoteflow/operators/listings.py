@@ -102,3 +102,14 @@ def complete_sources(payloads: DataFrame, required=("bitfinex", "bitstamp", "kra
         F.collect_set("source").alias("sources"))
     need = F.array(*[F.lit(s) for s in required])
     return g.select("fetch_id", (F.size(F.array_except(need, F.col("sources"))) == 0).alias("complete"))
+
+
+def store_cross_traded(cross: DataFrame, path: str) -> None:
+    """Append the identified pairs (a re-run appends duplicates, as the
+    reference's inserts do)."""
+    cross.select("currency1", "currency2", "pair").write.mode("append").parquet(path)
+
+
+def stored_pairs(spark, path: str) -> DataFrame:
+    """Every stored pair label (duplicates included)."""
+    return spark.read.parquet(path).select("pair")

@@ -37,3 +37,13 @@ def current_strategy(validated: DataFrame, version_col: str = "strategy_id") ->
 def set_maximal_trading_value(strategies: DataFrame, value: float) -> DataFrame:
     """Set MaximalTradingValue on every stored strategy (a column rewrite)."""
     return strategies.withColumn("maximal_trading_value", F.lit(float(value)))
+
+
+def save(strategies: DataFrame, path: str) -> None:
+    """Append strategy submissions (with their validation) to the store."""
+    validate(strategies).write.mode("append").parquet(path)
+
+
+def load_current(spark, path: str, version_col: str = "strategy_id") -> DataFrame:
+    """The current strategy from the store (latest valid row wins)."""
+    return current_strategy(spark.read.parquet(path), version_col)
