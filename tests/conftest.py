@@ -20,6 +20,7 @@ def spark():
         "spark.local.dir": scratch,
         "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
         "spark.sql.streaming.checkpointLocation": os.path.join(scratch, "stream-ckpt"),
+        "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s
