@@ -54,12 +54,17 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> Data
     t = ticks.withColumn("block", block_of("seq", block_size))
     pair_ex = t.select("pair", "x").distinct()
 
-    # Carry-in: last quote of (pair, x) in blocks before each block.
+    # Carry-in: last quote of (pair, x) in blocks before each block, as one
+    # row per (pair, block) holding a venue -> quote map (at most X entries).
+    # Keyed like the grid's partitioning, so even a carry too big to broadcast
+    # joins without moving the grid.
     last_in_block = t.groupBy("pair", "x", "block").agg(F.max(_quote_struct()).alias("last_q"))
     blocks = t.select("pair", "block").distinct()
     carry = join_small(blocks, pair_ex, "pair").join(last_in_block, ["pair", "x", "block"], "left")
     wb = Window.partitionBy("pair", "x").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select("pair", "x", "block", F.last("last_q", ignorenulls=True).over(wb).alias("carry_q"))
+    carry = carry.where(F.col("carry_q").isNotNull()).groupBy("pair", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("x", "carry_q"))).alias("carry"))
 
     grid = (t.select("pair", "block", "seq", F.col("x").alias("tick_x"), _quote_struct().alias("own"))
             .repartition("pair", "block"))
@@ -67,8 +72,9 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> Data
     w = Window.partitionBy("pair", "x", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn(
         "in_block", F.last(F.when(F.col("tick_x") == F.col("x"), F.col("own")), ignorenulls=True).over(w))
-    grid = join_small(grid, carry, ["pair", "x", "block"], "left")
-    grid = grid.withColumn("q", F.coalesce("in_block", "carry_q")).where(F.col("q").isNotNull())
+    grid = join_small(grid, carry, ["pair", "block"], "left")
+    grid = grid.withColumn("q", F.coalesce("in_block", F.try_element_at("carry", F.col("x"))))
+    grid = grid.where(F.col("q").isNotNull())
     return grid.select("pair", "block", "seq", "x", "q.q_seq", *[F.col(f"q.{c}").alias(c) for c in QUOTE_FIELDS])
 
 
