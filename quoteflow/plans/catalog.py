@@ -254,3 +254,15 @@ def q_quote_frames(spark, sf_dir):
         F.lit('[{"ev":"status","status":"auth_success","message":"authenticated"}]').alias("value"))
     out = quotes_json.live_frames(frames.unionByName(status))
     return out.select("seq", "ev", "pair", "bp", "bs", "ap", "as", "t", "x")
+
+
+# ------------------------------------------------- E1 + E2 end to end
+@register("tracked_executions")
+def q_tracked_executions(spark, sf_dir):
+    """Start-trading flow: historical scan -> cross-traded pairs -> first N
+    pairs to track; live detection and execution over those pairs' ticks
+    only (the reference subscribes to just these pairs)."""
+    tracked = q_pairs_to_track(spark, sf_dir).select("pair")          # at most N rows
+    ticks = adapters.live_quotes(spark, sf_dir).join(F.broadcast(tracked), "pair", "left_semi")
+    best = opportunities.best_opportunity(opportunities.latest_quote_grid(ticks), LIVE_PARAMS)
+    return opportunities.executed_opportunities(best, LIVE_PARAMS)

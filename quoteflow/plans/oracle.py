@@ -93,7 +93,7 @@ SELECT row_number() OVER (ORDER BY order_bucket_seq, order_pair_seq) AS rank, pa
 FROM hist_counts WHERE pair IN (SELECT pair FROM cross_pairs)
 ORDER BY order_bucket_seq, order_pair_seq LIMIT 5"""
 
-LIVE = """
+LIVE_TEMPLATE = """
 ticks AS (
   SELECT event_id AS seq,
          'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') || '-USD' AS pair,
@@ -102,7 +102,7 @@ ticks AS (
          value + CAST(event_id % 7 AS DOUBLE) * CAST(0.05 AS DOUBLE) AS ap,
          CAST(1 + event_id % 13 AS DOUBLE) AS "as",
          CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 23 END AS x
-  FROM events
+  FROM events{tick_where}
 ),
 px AS (SELECT DISTINCT pair, x FROM ticks),
 grid AS (SELECT t.pair, t.seq, px.x FROM ticks t JOIN px ON t.pair = px.pair),
@@ -141,6 +141,8 @@ executed AS (
   FROM budget
 )"""
 
+LIVE = LIVE_TEMPLATE.replace("{tick_where}", "")
+
 EXCHANGE_NAME_SQL = ("CASE {c} WHEN 6 THEN 'Bitstamp' WHEN 23 THEN 'Kraken' WHEN 2 THEN 'Bitfinex' "
                      "ELSE 'Exchange' || CAST({c} AS VARCHAR) END")
 
@@ -424,3 +426,17 @@ SELECT (event_id // 16) * 65536
        epoch_us(ts) // 1000 AS t,
        CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 23 END AS x
 FROM events"""
+
+TRACKED_WHERE = (" WHERE 'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') || '-USD'"
+                 " IN (SELECT pair FROM tracked)")
+
+ORACLE["tracked_executions"] = "WITH " + HIST + "," + LISTINGS + """,
+tracked AS (
+  SELECT pair FROM hist_counts WHERE pair IN (SELECT pair FROM cross_pairs)
+  ORDER BY order_bucket_seq, order_pair_seq LIMIT 5
+),""" + LIVE_TEMPLATE.replace("{tick_where}", TRACKED_WHERE) + f"""
+SELECT pair, seq, buy_x, sell_x,
+       {EXCHANGE_NAME_SQL.format(c='buy_x')} AS buy_exchange,
+       {EXCHANGE_NAME_SQL.format(c='sell_x')} AS sell_exchange,
+       buy_price, sell_price, final_qty AS quantity, buy_price * final_qty AS value, prior_value
+FROM executed WHERE final_qty > 0"""
