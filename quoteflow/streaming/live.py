@@ -10,7 +10,8 @@ ST2  once-only and budget across pairs: ``foreachBatch`` runs the batch
      operator state, so they do not grow it), written idempotently by batch id.
 ST3  parameters: an effective-dated parameter table is read in every batch.
 ST4  P&L: keyed inventory state per pair emitting per-trade realized deltas
-     (the batch fold's rows); the portfolio running total is in the sink.
+     (the batch fold's rows); ``PortfolioSink`` carries the portfolio running
+     total across batches and alerts each threshold command once (W5/W6).
 ST5  5 ms buckets of the historical scan with a watermark (added capability).
 ST6  stop: ``query.stop()``; trading gate = a TradingActive filter in ST2.
 
@@ -32,6 +33,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quoteflow.operators import opportunities as OPS
 from quoteflow.operators import pnl as PNL
+from quoteflow.operators.running import global_prefix_sum
 from quoteflow.session import scratch_path
 
 # ----------------------------------------------------------------- sources
@@ -263,3 +265,53 @@ def bucket_report(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.parquet(path).where(F.col("n_quotes") > 1)
     return f.groupBy("pair").agg(F.sum("flag").cast("bigint").alias("opportunities")) \
         .where(F.col("opportunities") != 0)
+
+
+# ------------------------------------------------ ST4 portfolio sink
+CUM_SCHEMA = T.StructType([
+    T.StructField("batch_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("order_id", T.StringType()), T.StructField("pair", T.StringType()),
+    T.StructField("pnl", PNL.PNL), T.StructField("cum_pnl", PNL.PNL),
+])
+ALERT_SCHEMA = T.StructType([
+    T.StructField("batch_id", T.LongType()), T.StructField("command_id", T.LongType()),
+    T.StructField("alert_ts", T.TimestampNTZType()), T.StructField("alert_order_id", T.StringType()),
+    T.StructField("alert_cum_pnl", PNL.PNL),
+])
+
+
+class PortfolioSink:
+    """ST4 finishing step (``foreachBatch``): running portfolio P&L across
+    micro-batches (W5) and the first crossing of each threshold command (W6).
+
+    The carried total is the last cumulative value in the sink table; a
+    command already alerted is not alerted again; a batch id already written
+    is skipped. Trades must arrive in (ts, order_id) order across batches."""
+
+    def __init__(self, cum_path: str, alerts_path: str, commands: DataFrame):
+        self.cum_path, self.alerts_path, self.commands = cum_path, alerts_path, commands
+
+    def _read(self, spark, path, schema):
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except Exception:
+            return spark.createDataFrame([], schema)
+
+    def __call__(self, folded: DataFrame, batch_id: int) -> None:
+        spark = folded.sparkSession
+        done = self._read(spark, self.cum_path, CUM_SCHEMA)
+        if done.where(F.col("batch_id") == batch_id).limit(1).count():
+            return
+        last = done.agg(F.max(F.struct("ts", "order_id", "cum_pnl")).alias("m")).first()["m"]
+        carry = last["cum_pnl"] if last is not None else 0
+        rows = folded.select("ts", "order_id", "pair", F.col("delta").cast(PNL.PNL).alias("pnl"))
+        cum = global_prefix_sum(rows, "pnl", PNL.TRADE_ORDER, "cum_pnl", inclusive=True)
+        cum = cum.withColumn("cum_pnl", (F.col("cum_pnl") + F.lit(carry).cast(PNL.PNL)).cast(PNL.PNL))
+        cum.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "ts", "order_id", "pair", "pnl", "cum_pnl") \
+            .write.mode("append").parquet(self.cum_path)
+        alerted = self._read(spark, self.alerts_path, ALERT_SCHEMA).select("command_id")
+        hits = PNL.threshold_alerts(spark.read.schema(CUM_SCHEMA).parquet(self.cum_path)
+                                    .where(F.col("batch_id") == batch_id), self.commands)
+        hits = hits.where(F.col("alert_ts").isNotNull()).join(alerted, "command_id", "left_anti")
+        hits.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "command_id", "alert_ts",
+                    "alert_order_id", "alert_cum_pnl").write.mode("append").parquet(self.alerts_path)

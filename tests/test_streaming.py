@@ -20,14 +20,23 @@ N_FILES = 4
 
 
 def split_table(name, sort_cols, n=N_FILES):
-    """Write ``name`` as n files in order (ascending mtime = arrival order)."""
+    """Write ``name`` as n files in order (ascending mtime = arrival order).
+    Cuts never split equal values of the first sort column, so arrival order
+    agrees with any order that starts with it."""
     t = pq.read_table(os.path.join(SF_SMALL, f"{name}.parquet"))
     t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in sort_cols]))
+    first = t.column(sort_cols[0]).to_pylist()
     d = tempfile.mkdtemp(prefix=f"qf-stream-{name}-")
-    step = (t.num_rows + n - 1) // n
+    cuts, step = [0], (t.num_rows + n - 1) // n
+    for i in range(1, n):
+        c = max(i * step, cuts[-1])
+        while 0 < c < t.num_rows and first[c] == first[c - 1]:
+            c += 1
+        cuts.append(c)
+    cuts.append(t.num_rows)
     for i in range(n):
         p = os.path.join(d, f"part-{i:03d}.parquet")
-        pq.write_table(t.slice(i * step, step), p)
+        pq.write_table(t.slice(cuts[i], cuts[i + 1] - cuts[i]), p)
         os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
     return d
 
@@ -134,3 +143,23 @@ def test_st3_parameter_change_mid_stream(spark, scratch_dir):
     q.awaitTermination()
     ex = spark.read.parquet(executed)
     assert ex.count() > 0 and ex.where(F.col("seq") >= cutoff).count() == 0
+
+
+def test_st4_portfolio_sink_equals_batch(spark, scratch_dir):
+    li = stream_of(spark, "lineitem", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    trades = pnl.order_to_trade(pnl.completed_orders(adapters.orders_frame(li)))
+    cmds = adapters.threshold_commands(spark, SF_SMALL)
+    tag = time.time_ns()
+    sink = live.PortfolioSink(os.path.join(scratch_dir, f"cum-{tag}"), os.path.join(scratch_dir, f"alerts-{tag}"), cmds)
+    ck = tempfile.mkdtemp(prefix="qf-ck-")
+    q = (live.stream_pnl(trades).writeStream.foreachBatch(sink).option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    cols = ["ts", "order_id", "cum_pnl"]
+    got = rows(spark.read.parquet(sink.cum_path), cols)
+    want = rows(catalog.QUERIES["cumulative_pnl"](spark, SF_SMALL), cols)
+    assert got == want
+    acols = ["command_id", "alert_ts", "alert_order_id", "alert_cum_pnl"]
+    got_a = rows(spark.read.parquet(sink.alerts_path), acols)
+    want_a = rows(catalog.QUERIES["threshold_alert"](spark, SF_SMALL).where("alert_ts IS NOT NULL"), acols)
+    assert got_a == want_a
