@@ -267,3 +267,27 @@ def annualized_return(portfolios: DataFrame) -> DataFrame:
     ret = F.pow(F.col("cum_pnl") / F.col("init_invest"), F.lit(1.0) / F.col("years")) - F.lit(1.0)
     return p.select("portfolio_id", "init_invest", "cum_pnl", "years", err.alias("error"),
                     F.when(err.isNull(), F.round(ret, 10)).alias("annualized_return"))
+
+
+def pnl_status(cum: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The P&L agent's status after all trades and commands (one row):
+    current P&L, the threshold still in force (cleared by 0 or by being
+    reached), whether any threshold was ever reached, and the trading gate
+    (never re-opened once a threshold is reached).
+
+    One aggregate over a union of both inputs, so the single-row answer is
+    built by partial/final aggregation without a join."""
+    last = F.struct("ts", "order_id", "cum_pnl")
+    alerted = F.col("alert_ts").isNotNull()
+    u = cum.select(last.alias("last"), F.lit(None).cast("struct<ts:timestamp_ntz,command_id:bigint,"
+                                                          "threshold:decimal(18,2),alerted:boolean>").alias("cmd"),
+                   F.lit(None).cast("boolean").alias("alerted"))
+    cmd = F.when(F.col("threshold") >= 0, F.struct(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("command_id").cast("bigint").alias("command_id"),
+        F.col("threshold").cast("decimal(18,2)").alias("threshold"), alerted.alias("alerted")))
+    u = u.unionByName(alerts.select(F.lit(None).cast(u.schema["last"].dataType).alias("last"),
+                                    cmd.alias("cmd"), alerted.alias("alerted")))
+    r = u.agg(F.max("last").alias("last"), F.max("cmd").alias("cmd"), F.max("alerted").alias("reached"))
+    threshold = F.when((F.col("cmd.threshold") > 0) & ~F.col("cmd.alerted"), F.col("cmd.threshold"))
+    return r.select(F.col("last.cum_pnl").alias("current_pnl"), threshold.alias("threshold"),
+                    F.col("reached").alias("threshold_reached"), (~F.col("reached")).alias("trading_active"))

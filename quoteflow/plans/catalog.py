@@ -266,3 +266,9 @@ def q_tracked_executions(spark, sf_dir):
     ticks = adapters.live_quotes(spark, sf_dir).join(F.broadcast(tracked), "pair", "left_semi")
     best = opportunities.best_opportunity(opportunities.latest_quote_grid(ticks), LIVE_PARAMS)
     return opportunities.executed_opportunities(best, LIVE_PARAMS)
+
+
+@register("pnl_status")
+def q_pnl_status(spark, sf_dir):
+    cum = pnl.cumulative_pnl(_live_fold(spark, sf_dir))
+    return pnl.pnl_status(cum, pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir)))

@@ -251,7 +251,7 @@ cum AS (
 ORACLE["cumulative_pnl"] = "WITH RECURSIVE " + LIVE_FOLD + "," + CUM + """
 SELECT * FROM cum"""
 
-ORACLE["threshold_alert"] = "WITH RECURSIVE " + LIVE_FOLD + "," + CUM + """,
+THRESHOLD_CTES = "WITH RECURSIVE " + LIVE_FOLD + "," + CUM + """,
 cmds AS (
   SELECT o_orderkey AS command_id, o_orderdate AS ts,
          CAST(CASE o_orderstatus WHEN 'P' THEN -o_totalprice WHEN 'O' THEN 0
@@ -275,7 +275,9 @@ hits AS (
     FROM effn e JOIN cum c
       ON c.ts >= e.ts AND (e.next_ts IS NULL OR c.ts < e.next_ts) AND c.cum_pnl >= e.threshold
     WHERE e.threshold > 0) WHERE rn = 1
-)
+)"""
+
+ORACLE["threshold_alert"] = THRESHOLD_CTES + """
 SELECT st.command_id, st.ts, st.threshold, st.status, h.alert_ts, h.alert_order_id, h.alert_cum_pnl
 FROM st LEFT JOIN hits h USING (command_id)"""
 
@@ -440,3 +442,11 @@ SELECT pair, seq, buy_x, sell_x,
        {EXCHANGE_NAME_SQL.format(c='sell_x')} AS sell_exchange,
        buy_price, sell_price, final_qty AS quantity, buy_price * final_qty AS value, prior_value
 FROM executed WHERE final_qty > 0"""
+
+ORACLE["pnl_status"] = THRESHOLD_CTES + """,
+final AS (SELECT st.*, h.alert_ts FROM st LEFT JOIN hits h USING (command_id))
+SELECT (SELECT cum_pnl FROM cum ORDER BY ts DESC, order_id DESC LIMIT 1) AS current_pnl,
+       (SELECT CASE WHEN threshold > 0 AND alert_ts IS NULL THEN threshold END
+          FROM final WHERE threshold >= 0 ORDER BY ts DESC, command_id DESC LIMIT 1) AS threshold,
+       (SELECT bool_or(alert_ts IS NOT NULL) FROM final) AS threshold_reached,
+       NOT (SELECT bool_or(alert_ts IS NOT NULL) FROM final) AS trading_active"""
