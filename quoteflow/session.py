@@ -71,3 +71,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+                   expansion: float = 3.0) -> int:
+    """Size shuffles and scan splits for an input of ``input_bytes`` (on-disk,
+    compressed): shuffle partitions so that an expanded partition is about
+    ``target_partition_bytes`` (AQE coalesces small ones and splits skewed
+    ones from that advisory size), and 256 MB scan splits. Returns the
+    partition count. Only runtime-settable confs are touched."""
+    n = max(int(spark.sparkContext.defaultParallelism),
+            int(input_bytes * expansion // target_partition_bytes) + 1)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
+    return n
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of input files via the Hadoop file system (no data read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return int(total)

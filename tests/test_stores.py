@@ -69,3 +69,16 @@ def test_unknown_order_type_raises_in_strict_mode(spark):
     assert lenient == {"o1": "buy", "o2": None}
     with pytest.raises(Exception, match="Unknown order type"):
         pnl.order_to_trade(o).collect()
+
+
+def test_size_for_input(spark):
+    from conftest import SF_SMALL
+    from quoteflow.session import input_bytes, size_for_input
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.files.maxPartitionBytes"]
+    before = {k: spark.conf.get(k) for k in keys}
+    assert input_bytes(spark, [os.path.join(SF_SMALL, "lineitem.parquet")]) > 0
+    n = size_for_input(spark, 100 << 40)          # 100 TB on disk
+    assert n > 1_000_000 and spark.conf.get("spark.sql.shuffle.partitions") == str(n)
+    for k, v in before.items():
+        spark.conf.set(k, v)
