@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +53,20 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> Data
     """For every tick, the latest quote (seq <= tick seq) of each
     exchange of the tick's pair that has quoted so far."""
     t = ticks.withColumn("block", block_of("seq", block_size))
-    pair_ex = t.select("pair", "x").distinct()
+
+    # One aggregate pass over the ticks gives the last quote of each (pair,
+    # venue, block); the venue list and the block list derive from it, so the
+    # tick scan is read twice in total (this pass and the grid). Persisted:
+    # it is X*(pairs x blocks) rows, and recomputation is deterministic.
+    last_in_block = t.groupBy("pair", "x", "block").agg(F.max(_quote_struct()).alias("last_q")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    pair_ex = last_in_block.select("pair", "x").distinct()
 
     # Carry-in: last quote of (pair, x) in blocks before each block, as one
     # row per (pair, block) holding a venue -> quote map (at most X entries).
     # Keyed like the grid's partitioning, so even a carry too big to broadcast
     # joins without moving the grid.
-    last_in_block = t.groupBy("pair", "x", "block").agg(F.max(_quote_struct()).alias("last_q"))
-    blocks = t.select("pair", "block").distinct()
+    blocks = last_in_block.select("pair", "block").distinct()
     carry = join_small(blocks, pair_ex, "pair").join(last_in_block, ["pair", "x", "block"], "left")
     wb = Window.partitionBy("pair", "x").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select("pair", "x", "block", F.last("last_q", ignorenulls=True).over(wb).alias("carry_q"))
@@ -134,7 +141,9 @@ def executed_opportunities(best: DataFrame, params: TradingParams,
     cand = best.where(F.col("quantity") > 0)
     firsts = cand.groupBy("pair", "buy_x", "sell_x").agg(
         F.min(F.struct("seq", "buy_price", "sell_price", "quantity")).alias("f"))
-    firsts = firsts.select("pair", "buy_x", "sell_x", "f.*")
+    # one row per (pair, buy, sell): small, and read by both branches of the
+    # blocked running sum, so it is computed once
+    firsts = firsts.select("pair", "buy_x", "sell_x", "f.*").persist(StorageLevel.MEMORY_AND_DISK)
     # Budget arithmetic in exact decimals: the running total then does not
     # depend on summation order (blocks, engines, retries).
     firsts = firsts.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast(BUDGET))
