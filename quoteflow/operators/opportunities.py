@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from quoteflow.functions.pairs import exchange_name
 from quoteflow.operators.running import DEFAULT_BLOCK, block_of, prefix_sum
 from quoteflow.plans.joins import join_small
+from quoteflow.session import checkpoint_dir
 
 QUOTE_FIELDS = ["bp", "bs", "ap", "as"]
 BUDGET = "decimal(38,10)"
@@ -56,10 +57,12 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> Data
 
     # One aggregate pass over the ticks gives the last quote of each (pair,
     # venue, block); the venue list and the block list derive from it, so the
-    # tick scan is read twice in total (this pass and the grid). Persisted:
-    # it is X*(pairs x blocks) rows, and recomputation is deterministic.
+    # tick scan is read twice in total (this pass and the grid). The result
+    # (X * pairs * blocks rows) is checkpointed to the shared folder: read by
+    # three branches, held in no executor's memory, safe on executor loss.
+    checkpoint_dir(t.sparkSession)
     last_in_block = t.groupBy("pair", "x", "block").agg(F.max(_quote_struct()).alias("last_q")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .checkpoint(eager=True)
     pair_ex = last_in_block.select("pair", "x").distinct()
 
     # Carry-in: last quote of (pair, x) in blocks before each block, as one
