@@ -151,9 +151,10 @@ class ExecutionSink:
     does not execute twice.
     """
 
-    def __init__(self, executed_path: str, params_path: str):
+    def __init__(self, executed_path: str, params_path: str, alerts_path: str | None = None):
         self.executed_path = executed_path
         self.params_path = params_path
+        self.alerts_path = alerts_path
 
     def _table(self, spark, path, schema):
         try:
@@ -180,6 +181,10 @@ class ExecutionSink:
                   .where(F.col("effective_seq") <= first_seq).orderBy(F.desc("effective_seq")).limit(1).collect())
         if not params or not params[0].trading_active:
             return
+        # Q14: once a P&L threshold has been reached (an alert row written by
+        # the portfolio sink), trading stays stopped.
+        if self.alerts_path and self._table(spark, self.alerts_path, ALERT_SCHEMA).limit(1).count():
+            return
         p = params[0]
         tp = OPS.TradingParams(p.min_spread, p.min_profit, p.max_transaction_value, p.max_trading_value)
         spent = done.agg(F.coalesce(F.sum("value_dec"), F.lit(0).cast("decimal(38,10)"))).first()[0]
@@ -192,11 +197,12 @@ class ExecutionSink:
 
 
 def start_live_trading(spark: SparkSession, ticks: DataFrame, params_path: str, name: str = "live",
-                       trigger: dict | None = None):
+                       trigger: dict | None = None, alerts_path: str | None = None):
     """ST1 -> ST2 as one streaming query; returns (query, executed_path).
-    ``query.stop()`` is the stop-trading operation (ST6)."""
+    ``query.stop()`` is the stop-trading operation (ST6); ``alerts_path`` (the
+    portfolio sink's alert table) closes the gate once a threshold is hit."""
     executed = scratch_path(spark, f"{name}-executed")
-    sink = ExecutionSink(executed, params_path)
+    sink = ExecutionSink(executed, params_path, alerts_path)
     w = (stream_latest_quote_grid(ticks).writeStream.foreachBatch(sink)
          .option("checkpointLocation", scratch_path(spark, f"{name}-checkpoint")))
     w = w.trigger(**(trigger or {"availableNow": True}))

@@ -163,3 +163,17 @@ def test_st4_portfolio_sink_equals_batch(spark, scratch_dir):
     got_a = rows(spark.read.parquet(sink.alerts_path), acols)
     want_a = rows(catalog.QUERIES["threshold_alert"](spark, SF_SMALL).where("alert_ts IS NOT NULL"), acols)
     assert got_a == want_a
+
+
+def test_reached_threshold_stops_trading(spark, scratch_dir):
+    params = os.path.join(scratch_dir, f"params-{time.time_ns()}")
+    alerts = os.path.join(scratch_dir, f"alerts-gate-{time.time_ns()}")
+    live.write_params(spark, params, 0, catalog.LIVE_PARAMS)
+    import datetime as dt
+    from decimal import Decimal
+    spark.createDataFrame([(0, 1, dt.datetime(2024, 1, 1), "o1", Decimal("1.0"))], live.ALERT_SCHEMA) \
+        .write.parquet(alerts)
+    ticks = adapters.live_quotes_frame(stream_of(spark, "events", ["event_id"]))
+    q, executed = live.start_live_trading(spark, ticks, params, name=f"a{time.time_ns()}", alerts_path=alerts)
+    q.awaitTermination()
+    assert not os.path.exists(executed) or spark.read.parquet(executed).count() == 0
