@@ -28,8 +28,9 @@ def exchange_name(x: Column) -> Column:
 
     The dimension is three fixed rows, so it is a literal CASE inside the
     generated code rather than a join."""
-    expr = F.when(F.lit(False), F.lit(None))
-    for ex_id, name in EXCHANGE_NAMES:
+    (first_id, first_name), *rest = EXCHANGE_NAMES
+    expr = F.when(x == first_id, F.lit(first_name))
+    for ex_id, name in rest:
         expr = expr.when(x == ex_id, F.lit(name))
     return expr.otherwise(F.concat(F.lit("Exchange"), x.cast("string")))
 
