@@ -43,13 +43,41 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Set the runtime-modifiable settings on an existing session."""
+    """Set the runtime-modifiable settings on an existing session and make
+    sure executors can import this package."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled"):
         try:
             spark.conf.set(k, SESSION_CONF[k])
         except Exception:  # pragma: no cover - some deployments lock confs
             pass
+    ship_package(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the executors' Python path once per
+    SparkContext (what ``--py-files`` does): the Arrow-batch functions (P&L
+    fold, streaming state) are pickled by module reference."""
+    sc = spark.sparkContext
+    key = (sc.applicationId, sc.startTime)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="quoteflow-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
