@@ -50,7 +50,10 @@ def order_legs(executed: DataFrame) -> DataFrame:
 def fill_amounts(orders: DataFrame, reports: DataFrame) -> DataFrame:
     """J6 + X9: each order's filled quantity from its venue's status report."""
     o = orders.select("order_id", "exchange", "order_quantity")
-    j = o.join(reports.select("exchange", "order_id", "payload"), ["exchange", "order_id"], "left")
+    # Both sides grow with the data (one report per order): never a
+    # broadcast, whatever a small file's size estimate says.
+    r = reports.select("exchange", "order_id", "payload").hint("merge")
+    j = o.join(r, ["exchange", "order_id"], "left")
     filled = OF.filled_quantity(F.col("exchange"), F.col("payload"), F.col("order_id"), F.col("order_quantity"))
     return j.select("order_id", "exchange", "order_quantity", filled.alias("filled"),
                     F.col("payload").isNotNull().alias("has_report"))
