@@ -10,13 +10,15 @@ maps (buy: T + a*p; accepted sell: T * (q - a) / q; removal: 0). So:
    entered with more is *regular*: its exit quantity is entry + delta;
 3. per pair, over its few block rows: entry quantities by scanning blocks;
    a block entered below ``need`` is re-folded exactly (quantity only, from
-   its known entry) in parallel with the other pairs' such blocks, then the
+   its known entry) together with the next blocks of its pair (a chunk of
+   ``CHUNK_BLOCKS``), in parallel with the other pairs' chunks, then the
    scan continues; pairs not resolved after ``max_rounds`` rounds are
    folded sequentially instead (exact either way);
 4. per block, in parallel: the affine cost map; per pair: compose maps to get
    each block's entry cost; per block, in parallel: the final re-fold.
 
-Every task sees one block (bounded by the block size), never a whole pair.
+Every task sees one block, or one chunk of blocks of one pair, never a
+whole pair.
 The cost enters blocks as T / q, so low-order bits can differ from a single
 sequential pass; quantities, positions and accept/ignore decisions are exact.
 """
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 from quoteflow.operators.running import ordered_blocks
 
 KEY = ["pair", "blk"]
+CHUNK_BLOCKS = 8   # consecutive blocks re-folded per pending pair and round
 ORDER = ["pair", "ts", "order_id"]
 
 SUMMARY = T.StructType([
@@ -114,15 +117,25 @@ def _q_fold(side, amount, q: float, has: bool):
 
 
 def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    b = _concat(batches)
-    if not len(b):
-        return
-    b = b.sort_values(ORDER, kind="stable", ignore_index=True)
-    rows = []
-    for (pair, blk), i, j in _runs(b):
-        q_in, has_in = float(b["q_in"].values[i]), bool(b["has_in"].values[i])
-        q, has = _q_fold(b["side"].values[i:j], b["amount"].values[i:j], q_in, has_in)
-        rows.append((pair, int(blk), q_in, has_in, q, has))
+    """Exact quantity re-fold of a chunk of consecutive blocks per pending
+    pair, from the chunk's known entry state. Input is hash-partitioned by
+    pair and sorted by (pair, ts, order_id), which is also block order; the
+    fold streams, keeping one pair's state."""
+    cur, q, has, blk, q_in, has_in, rows = None, 0.0, False, None, 0.0, False, []
+    for b in batches:
+        for pair, bk, side, a, e_q, e_has in zip(b["pair"], b["blk"], b["side"], b["amount"],
+                                                  b["start_q"], b["start_has"]):
+            if pair != cur:
+                if cur is not None:
+                    rows.append((cur, blk, q_in, has_in, q, has))
+                cur, blk, q, has = pair, int(bk), float(e_q), bool(e_has)
+                q_in, has_in = q, has
+            elif int(bk) != blk:
+                rows.append((cur, blk, q_in, has_in, q, has))
+                blk, q_in, has_in = int(bk), q, has
+            q, has = _q_fold((side,), (a,), q, has)
+    if cur is not None:
+        rows.append((cur, blk, q_in, has_in, q, has))
     yield pd.DataFrame(rows, columns=RESOLVED.fieldNames())
 
 
@@ -214,8 +227,14 @@ def block_fold(trades: DataFrame, fold_schema: T.StructType, n_blocks: int | Non
         pending = entries.where(F.col("status") == "pending").select(*KEY, "q_in", "has_in")
         if pending.limit(1).count() == 0:
             break
-        rows = blocks.join(F.broadcast(pending), KEY, "inner")     # one block per unresolved pair
-        resolved = resolved.unionByName(rows.mapInPandas(_resolve, RESOLVED)).checkpoint()
+        # the pending block and the next CHUNK_BLOCKS - 1 blocks of each
+        # pending pair, co-located by pair and streamed in order
+        p = F.broadcast(pending.select("pair", F.col("blk").alias("start_blk"),
+                                       F.col("q_in").alias("start_q"), F.col("has_in").alias("start_has")))
+        chunk = blocks.join(p, (blocks.pair == p.pair) & (blocks.blk >= p.start_blk)
+                            & (blocks.blk < p.start_blk + CHUNK_BLOCKS), "inner").drop(p.pair)
+        chunk = chunk.repartition("pair").sortWithinPartitions(*ORDER)
+        resolved = resolved.unionByName(chunk.mapInPandas(_resolve, RESOLVED)).checkpoint()
 
     total = summ.groupBy("pair").agg(F.count(F.lit(1)).alias("nb"))
     known = entries.where(F.col("status") == "ok").groupBy("pair").agg(F.count(F.lit(1)).alias("nk"))

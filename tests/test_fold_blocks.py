@@ -33,3 +33,18 @@ def test_block_fold_equals_sequential(spark, sell_share, max_rounds):
         assert (a.quantity, a.has_position) == (b.quantity, b.has_position)
         assert a.delta == pytest.approx(b.delta, rel=1e-9, abs=1e-6)
         assert a.avg_cost == pytest.approx(b.avg_cost, rel=1e-9, abs=1e-9)
+
+
+def test_chunked_rounds_avoid_the_sequential_fallback(spark):
+    from pyspark.sql import functions as F
+
+    from quoteflow.operators.fold_blocks import block_fold
+
+    t = trades(spark, 4000, 2, seed=5, sell_share=0.5).select(
+        "pair", "order_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "side", "amount", "price")
+    folded, rest = block_fold(t, pnl.FOLD_SCHEMA, n_blocks=16, max_rounds=2)
+    assert rest.count() == 0                                  # every pair took the block path
+    seq = by_order(pnl.fold_trades(t))
+    par = by_order(folded)
+    assert set(seq) == set(par)
+    assert all((seq[k].quantity, seq[k].has_position) == (par[k].quantity, par[k].has_position) for k in seq)
