@@ -116,3 +116,18 @@ def test_annualized_return_validation_and_value(spark):
     assert got[2].error == "Initial investment should be larger than 0"
     assert got[3].error == "PNL should be non-negative"
     assert got[4].error == "Duration of Year should be larger than 0"
+
+
+def test_empty_inputs(spark):
+    empty = trades(spark, [])
+    f = pnl.fold_trades(empty)
+    assert f.count() == 0
+    assert pnl.total_pnl(f).first().total_pnl == Decimal("0.000000")
+    cum = pnl.cumulative_pnl(f)
+    assert cum.count() == 0
+    cmds = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), Decimal("5"))],
+                                 "command_id long, ts timestamp_ntz, threshold decimal(18,2)")
+    a = pnl.threshold_alerts(cum, cmds).collect()
+    assert len(a) == 1 and a[0].alert_ts is None
+    s = pnl.pnl_status(cum, pnl.threshold_alerts(cum, cmds)).first()
+    assert s.current_pnl is None and s.threshold == Decimal("5.00") and s.threshold_reached is False
