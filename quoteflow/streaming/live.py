@@ -286,16 +286,27 @@ ALERT_SCHEMA = T.StructType([
 ])
 
 
+CARRY_SCHEMA = T.StructType([T.StructField("cum_pnl", PNL.PNL)])
+
+
 class PortfolioSink:
     """ST4 finishing step (``foreachBatch``): running portfolio P&L across
     micro-batches (W5) and the first crossing of each threshold command (W6).
 
-    The carried total is the last cumulative value in the sink table; a
-    command already alerted is not alerted again; a batch id already written
-    is skipped. Trades must arrive in (ts, order_id) order across batches."""
+    Each batch writes its rows and alerts into its own ``batch_id=<id>``
+    folders (overwrite, so a replayed batch rewrites instead of duplicating)
+    and then a one-row carry (the last cumulative value) that marks the batch
+    done. The next batch reads only the previous carry, so per-batch cost
+    does not grow with the stream's history. A command already alerted is
+    not alerted again. Trades must arrive in (ts, order_id) order."""
 
-    def __init__(self, cum_path: str, alerts_path: str, commands: DataFrame):
+    def __init__(self, cum_path: str, alerts_path: str, commands: DataFrame, carry_path: str | None = None):
         self.cum_path, self.alerts_path, self.commands = cum_path, alerts_path, commands
+        self.carry_path = carry_path or cum_path + "-carry"
+
+    @staticmethod
+    def _part(path: str, batch_id: int) -> str:
+        return os.path.join(path, f"batch_id={batch_id}")
 
     def _read(self, spark, path, schema):
         try:
@@ -305,19 +316,22 @@ class PortfolioSink:
 
     def __call__(self, folded: DataFrame, batch_id: int) -> None:
         spark = folded.sparkSession
-        done = self._read(spark, self.cum_path, CUM_SCHEMA)
-        if done.where(F.col("batch_id") == batch_id).limit(1).count():
-            return
-        last = done.agg(F.max(F.struct("ts", "order_id", "cum_pnl")).alias("m")).first()["m"]
-        carry = last["cum_pnl"] if last is not None else 0
+        if self._read(spark, self._part(self.carry_path, batch_id), CARRY_SCHEMA).limit(1).count():
+            return                                     # batch already committed
+        prev = self._read(spark, self._part(self.carry_path, batch_id - 1), CARRY_SCHEMA).first()
+        carry = prev["cum_pnl"] if prev is not None else 0
         rows = folded.select("ts", "order_id", "pair", F.col("delta").cast(PNL.PNL).alias("pnl"))
         cum = global_prefix_sum(rows, "pnl", PNL.TRADE_ORDER, "cum_pnl", inclusive=True)
         cum = cum.withColumn("cum_pnl", (F.col("cum_pnl") + F.lit(carry).cast(PNL.PNL)).cast(PNL.PNL))
-        cum.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "ts", "order_id", "pair", "pnl", "cum_pnl") \
-            .write.mode("append").parquet(self.cum_path)
-        alerted = self._read(spark, self.alerts_path, ALERT_SCHEMA).select("command_id")
-        hits = PNL.threshold_alerts(spark.read.schema(CUM_SCHEMA).parquet(self.cum_path)
-                                    .where(F.col("batch_id") == batch_id), self.commands)
+        cum.select("ts", "order_id", "pair", "pnl", "cum_pnl").write.mode("overwrite") \
+            .parquet(self._part(self.cum_path, batch_id))
+        written = spark.read.parquet(self._part(self.cum_path, batch_id))
+        alerted = self._read(spark, self.alerts_path, ALERT_SCHEMA).where(F.col("batch_id") != batch_id) \
+            .select("command_id")
+        hits = PNL.threshold_alerts(written, self.commands)
         hits = hits.where(F.col("alert_ts").isNotNull()).join(alerted, "command_id", "left_anti")
-        hits.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "command_id", "alert_ts",
-                    "alert_order_id", "alert_cum_pnl").write.mode("append").parquet(self.alerts_path)
+        hits.select("command_id", "alert_ts", "alert_order_id", "alert_cum_pnl").write.mode("overwrite") \
+            .parquet(self._part(self.alerts_path, batch_id))
+        last = written.agg(F.max(F.struct("ts", "order_id", "cum_pnl")).alias("m")).first()["m"]
+        spark.createDataFrame([(last["cum_pnl"] if last is not None else carry,)], CARRY_SCHEMA) \
+            .write.mode("overwrite").parquet(self._part(self.carry_path, batch_id))

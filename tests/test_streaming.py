@@ -177,3 +177,23 @@ def test_reached_threshold_stops_trading(spark, scratch_dir):
     q, executed = live.start_live_trading(spark, ticks, params, name=f"a{time.time_ns()}", alerts_path=alerts)
     q.awaitTermination()
     assert not os.path.exists(executed) or spark.read.parquet(executed).count() == 0
+
+
+def test_portfolio_sink_replay_is_idempotent(spark, scratch_dir):
+    import datetime as dt
+    from decimal import Decimal
+    base = dt.datetime(2024, 1, 1)
+    folded = spark.createDataFrame(
+        [("A", "o1", base, "sell", 10.0, 0.0, 0.0, False), ("A", "o2", base + dt.timedelta(1), "sell", 5.0, 0.0, 0.0, False)],
+        pnl.FOLD_SCHEMA)
+    cmds = spark.createDataFrame([(1, base, Decimal("12"))], "command_id long, ts timestamp_ntz, threshold decimal(18,2)")
+    tag = time.time_ns()
+    sink = live.PortfolioSink(os.path.join(scratch_dir, f"c-{tag}"), os.path.join(scratch_dir, f"a-{tag}"), cmds)
+    sink(folded, 0)
+    sink(folded, 0)                       # replay of the same batch: skipped
+    later = spark.createDataFrame([("A", "o3", base + dt.timedelta(2), "sell", 1.0, 0.0, 0.0, False)], pnl.FOLD_SCHEMA)
+    sink(later, 1)
+    cum = sorted((r.order_id, r.cum_pnl) for r in spark.read.parquet(sink.cum_path).collect())
+    assert cum == [("o1", Decimal("10.000000")), ("o2", Decimal("15.000000")), ("o3", Decimal("16.000000"))]
+    alerts = spark.read.parquet(sink.alerts_path).collect()
+    assert [(a.command_id, a.alert_order_id) for a in alerts] == [(1, "o2")]
