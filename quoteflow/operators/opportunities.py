@@ -133,13 +133,15 @@ def best_opportunity(grid: DataFrame, params: TradingParams) -> DataFrame:
 
 
 def executed_opportunities(best: DataFrame, params: TradingParams,
-                           block_size: int = DEFAULT_BLOCK, spent=None) -> DataFrame:
+                           block_size: int = DEFAULT_BLOCK, spent=None, order=("seq",)) -> DataFrame:
     """W3 + W4 + J4: once-only per (pair, buy, sell) and the global budget.
 
     First occurrence per key is a partial/final ``min(struct(seq, ...))``
     aggregate (no per-key sort); the budget is a blocked running sum of the
     candidates' buy value, so no window runs in one task. ``spent`` is budget
-    already used before these candidates (the streaming sink's carry).
+    already used before these candidates (the streaming sink's carry);
+    ``order`` must start with seq (several pairs evaluated at one tick are
+    taken in pair order, as the reference folds over pairs).
     """
     cand = best.where(F.col("quantity") > 0)
     firsts = cand.groupBy("pair", "buy_x", "sell_x").agg(
@@ -150,7 +152,7 @@ def executed_opportunities(best: DataFrame, params: TradingParams,
     # Budget arithmetic in exact decimals: the running total then does not
     # depend on summation order (blocks, engines, retries).
     firsts = firsts.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast(BUDGET))
-    run = prefix_sum(firsts, "value_dec", ["seq"], "prior_dec", block_size=block_size)
+    run = prefix_sum(firsts, "value_dec", list(order), "prior_dec", block_size=block_size)
     if spent is not None:
         run = run.withColumn("prior_dec", (F.col("prior_dec") + F.lit(spent).cast(BUDGET)).cast(BUDGET))
     run = run.withColumn("prior_value", F.col("prior_dec").cast("double"))

@@ -223,7 +223,7 @@ def q_stream_executed_opportunities(spark, sf_dir):
     ticks = adapters.live_quotes_frame(live.stream_table(spark, sf_dir, "events"))
     q, executed = live.start_live_trading(spark, ticks, params, name=_stream_name(spark, "live"))
     q.awaitTermination()
-    cols = [c for c in live.EXECUTED_SCHEMA.fieldNames() if c not in ("batch_id", "value_dec")]
+    cols = [c for c in live.EXECUTED_SCHEMA.fieldNames() if c not in ("batch_id", "value_dec", "orders_submitted")]
     try:
         return spark.read.schema(live.EXECUTED_SCHEMA).parquet(executed).select(*cols)
     except Exception:  # nothing executed

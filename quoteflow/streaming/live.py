@@ -121,6 +121,7 @@ EXECUTED_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()),
     T.StructField("prior_value", T.DoubleType()),
     T.StructField("value_dec", T.DecimalType(38, 10)),
+    T.StructField("orders_submitted", T.BooleanType()),
 ])
 
 PARAMS_SCHEMA = T.StructType([
@@ -132,29 +133,52 @@ PARAMS_SCHEMA = T.StructType([
     T.StructField("trading_active", T.BooleanType()),
 ])
 
+# latest quote per (pair, venue) after a batch: the cache, at most X rows a pair
+BOOK_SCHEMA = T.StructType([T.StructField("pair", T.StringType()), T.StructField("x", T.IntegerType())]
+                           + [f for f in GRID_SCHEMA.fields if f.name in ("q_seq", "bp", "bs", "ap", "as")])
+META_SCHEMA = T.StructType([
+    T.StructField("first_seq", T.LongType()),
+    T.StructField("params_seq", T.LongType()),
+    T.StructField("stopped", T.BooleanType()),
+])
+
 
 def write_params(spark: SparkSession, path: str, effective_seq: int, p: OPS.TradingParams,
                  trading_active: bool = True) -> None:
-    """ST3 / ST6: append an effective-dated parameter row (the gate included)."""
+    """ST3 / ST6: append an effective-dated parameter row. ``trading_active``
+    false means trading is stopped: ticks are not processed at all."""
     spark.createDataFrame([(int(effective_seq), p.min_spread, p.min_profit, p.max_transaction_value,
                             p.max_trading_value, bool(trading_active))], PARAMS_SCHEMA) \
         .write.mode("append").parquet(path)
 
 
 class ExecutionSink:
-    """ST2: ``foreachBatch`` sink executing each pair's best opportunity once,
-    within the global budget, across micro-batches.
-
-    Parameters are the latest row of the parameter table with
-    ``effective_seq`` <= the batch's first tick. A batch whose id is already
-    in the executed table is skipped, so a replayed batch after a failure
-    does not execute twice.
+    """ST2 / ST3: ``foreachBatch`` sink executing each pair's best opportunity
+    once, within the global budget, across micro-batches.
+
+    * Parameters: the latest row of the parameter table with ``effective_seq``
+      <= the batch's first tick. When they differ from the previous batch's,
+      every cached pair is evaluated at that first tick (the reference
+      re-evaluates all pairs after an update), not only the ticked pairs; the
+      cache is kept as a small book table (latest quote per pair and venue).
+    * Stopped (``trading_active`` false): the batch is not processed.
+    * P&L gate (an alert row from the portfolio sink): executions are still
+      recorded and still spend the budget and the once-only mark (Q9), but
+      with ``orders_submitted`` false.
+    * Each batch writes into ``batch_id=<id>`` folders with overwrite and
+      finishes with a meta row, so a replayed batch recomputes and rewrites.
     """
 
     def __init__(self, executed_path: str, params_path: str, alerts_path: str | None = None):
         self.executed_path = executed_path
         self.params_path = params_path
         self.alerts_path = alerts_path
+        self.books_path = executed_path + "-books"
+        self.meta_path = executed_path + "-meta"
+
+    @staticmethod
+    def _part(path: str, batch_id: int) -> str:
+        return os.path.join(path, f"batch_id={batch_id}")
 
     def _table(self, spark, path, schema):
         try:
@@ -164,36 +188,58 @@ class ExecutionSink:
 
     def __call__(self, grid: DataFrame, batch_id: int) -> None:
         spark = grid.sparkSession
-        done = self._table(spark, self.executed_path, EXECUTED_SCHEMA)
-        if done.where(F.col("batch_id") == batch_id).limit(1).count():
-            return
+        if self._table(spark, self._part(self.meta_path, batch_id), META_SCHEMA).limit(1).count():
+            return                                          # batch already committed
         grid = grid.persist()  # used by several actions below
         try:
-            self._execute(spark, grid, done, batch_id)
+            self._process(spark, grid, batch_id)
         finally:
             grid.unpersist()
 
-    def _execute(self, spark, grid: DataFrame, done: DataFrame, batch_id: int) -> None:
+    def _process(self, spark, grid: DataFrame, batch_id: int) -> None:
+        prev_books = self._table(spark, self._part(self.books_path, batch_id - 1), BOOK_SCHEMA)
+        prev_meta = self._table(spark, self._part(self.meta_path, batch_id - 1), META_SCHEMA).first()
         first_seq = grid.agg(F.min("seq")).first()[0]
-        if first_seq is None:
-            return
-        params = (self._table(spark, self.params_path, PARAMS_SCHEMA)
-                  .where(F.col("effective_seq") <= first_seq).orderBy(F.desc("effective_seq")).limit(1).collect())
-        if not params or not params[0].trading_active:
+        params = None
+        if first_seq is not None:
+            rows = (self._table(spark, self.params_path, PARAMS_SCHEMA)
+                    .where(F.col("effective_seq") <= first_seq).orderBy(F.desc("effective_seq")).limit(1).collect())
+            params = rows[0] if rows and rows[0].trading_active else None
+        if params is None:                                  # empty or stopped batch: cache unchanged
+            prev_books.write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
+            keep = prev_meta.params_seq if (prev_meta is not None and first_seq is None) else None
+            self._meta(spark, batch_id, first_seq, keep, first_seq is not None)
             return
-        # Q14: once a P&L threshold has been reached (an alert row written by
-        # the portfolio sink), trading stays stopped.
-        if self.alerts_path and self._table(spark, self.alerts_path, ALERT_SCHEMA).limit(1).count():
-            return
-        p = params[0]
-        tp = OPS.TradingParams(p.min_spread, p.min_profit, p.max_transaction_value, p.max_trading_value)
+
+        tp = OPS.TradingParams(params.min_spread, params.min_profit, params.max_transaction_value,
+                               params.max_trading_value)
+        done = self._table(spark, self.executed_path, EXECUTED_SCHEMA).where(F.col("batch_id") != batch_id)
         spent = done.agg(F.coalesce(F.sum("value_dec"), F.lit(0).cast("decimal(38,10)"))).first()[0]
-        best = OPS.best_opportunity(grid.withColumn("block", F.lit(0).cast("bigint")), tp)
-        best = best.join(done.select("pair", "buy_x", "sell_x"), ["pair", "buy_x", "sell_x"], "left_anti")
-        ex = OPS.executed_opportunities(best, tp, spent=spent)
-        ex = ex.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast("decimal(38,10)"))
-        ex.select(F.lit(batch_id).cast("bigint").alias("batch_id"), *[c.name for c in EXECUTED_SCHEMA.fields[1:]]) \
-            .write.mode("append").parquet(self.executed_path)
+        cand = OPS.best_opportunity(grid.withColumn("block", F.lit(0).cast("bigint")), tp)
+        if prev_meta is None or prev_meta.params_seq != params.effective_seq:
+            ticked = grid.where(F.col("seq") == first_seq).select("pair").distinct()
+            others = prev_books.join(ticked, "pair", "left_anti").select(
+                "pair", F.lit(first_seq).cast("bigint").alias("seq"), "x", "q_seq", "bp", "bs", "ap", "as",
+                F.lit(0).cast("bigint").alias("block"))
+            cand = cand.unionByName(OPS.best_opportunity(others, tp))
+        cand = cand.join(done.select("pair", "buy_x", "sell_x"), ["pair", "buy_x", "sell_x"], "left_anti")
+        ex = OPS.executed_opportunities(cand, tp, spent=spent, order=["seq", "pair"])
+        gate_open = not (self.alerts_path and
+                         self._table(spark, self.alerts_path, ALERT_SCHEMA).limit(1).count())
+        ex = ex.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast("decimal(38,10)")) \
+            .withColumn("orders_submitted", F.lit(bool(gate_open)))
+        ex.select(*[c.name for c in EXECUTED_SCHEMA.fields[1:]]).write.mode("overwrite") \
+            .parquet(self._part(self.executed_path, batch_id))
+
+        quote = F.struct("q_seq", "bp", "bs", "ap", "as")
+        books = prev_books.unionByName(grid.select(*[f.name for f in BOOK_SCHEMA.fields])) \
+            .groupBy("pair", "x").agg(F.max(quote).alias("q")).select("pair", "x", "q.*")
+        books.write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
+        self._meta(spark, batch_id, first_seq, params.effective_seq, False)
+
+    def _meta(self, spark, batch_id, first_seq, params_seq, stopped):
+        spark.createDataFrame([(first_seq, params_seq, bool(stopped))], META_SCHEMA) \
+            .write.mode("overwrite").parquet(self._part(self.meta_path, batch_id))
 
 
 def start_live_trading(spark: SparkSession, ticks: DataFrame, params_path: str, name: str = "live",

@@ -28,9 +28,13 @@ def load_ticks(sf_dir):
         FROM read_parquet('{sf_dir}/events.parquet') ORDER BY event_id""").fetchall()
 
 
-def live_loop(ticks, p):
+def live_loop(ticks, params):
+    """``params``: TradingParams, or a function seq -> TradingParams (an
+    update applied before that tick)."""
+    schedule = params if callable(params) else (lambda _seq: params)
     cache, executed, cum, out = {}, set(), 0.0, []
     for seq, pair, bp, bs, ap, as_, x in ticks:
+        p = schedule(seq)
         cache[f"{pair}.{x}"] = (x, bp, bs, ap, as_)
         groups = {}
         for key in sorted(cache):

@@ -176,7 +176,12 @@ def test_reached_threshold_stops_trading(spark, scratch_dir):
     ticks = adapters.live_quotes_frame(stream_of(spark, "events", ["event_id"]))
     q, executed = live.start_live_trading(spark, ticks, params, name=f"a{time.time_ns()}", alerts_path=alerts)
     q.awaitTermination()
-    assert not os.path.exists(executed) or spark.read.parquet(executed).count() == 0
+    # Q9: opportunities are still marked and the budget spent; only the
+    # orders are not submitted
+    ex = spark.read.parquet(executed)
+    assert ex.count() > 0 and ex.where("orders_submitted").count() == 0
+    want = rows(catalog.QUERIES["executed_opportunities"](spark, SF_SMALL), ["pair", "seq", "buy_x", "sell_x"])
+    assert rows(ex, ["pair", "seq", "buy_x", "sell_x"]) == want
 
 
 def test_portfolio_sink_replay_is_idempotent(spark, scratch_dir):
@@ -197,3 +202,29 @@ def test_portfolio_sink_replay_is_idempotent(spark, scratch_dir):
     assert cum == [("o1", Decimal("10.000000")), ("o2", Decimal("15.000000")), ("o3", Decimal("16.000000"))]
     alerts = spark.read.parquet(sink.alerts_path).collect()
     assert [(a.command_id, a.alert_order_id) for a in alerts] == [(1, "o2")]
+
+
+def test_st3_parameter_update_reevaluates_every_pair(spark, scratch_dir):
+    """A parameter update taking effect at a micro-batch boundary: the sink
+    must match the literal loop, which re-evaluates all pairs after it."""
+    from test_restatement import live_loop, load_ticks
+    import pyarrow.parquet as pq2
+
+    d = split_table("events", ["event_id"])
+    third = sorted(os.listdir(d))[2]
+    cutoff = min(pq2.read_table(os.path.join(d, third), columns=["event_id"]).column(0).to_pylist())
+    p0 = catalog.LIVE_PARAMS
+    p1 = O.TradingParams(min_spread=2.0, min_profit=4.0, max_transaction_value=900.0, max_trading_value=9000.0)
+    params = os.path.join(scratch_dir, f"params-{time.time_ns()}")
+    live.write_params(spark, params, 0, p0)
+    live.write_params(spark, params, cutoff, p1)
+    schema = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).schema
+    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+    q, executed = live.start_live_trading(spark, adapters.live_quotes_frame(ev), params, name=f"u{time.time_ns()}")
+    q.awaitTermination()
+    got = sorted((r.pair, r.seq, r.buy_x, r.sell_x, r.quantity) for r in spark.read.parquet(executed).collect())
+    want = sorted(live_loop(load_ticks(SF_SMALL), lambda s: p1 if s >= cutoff else p0))
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert any(w[1] >= cutoff for w in want)
+    for g, w in zip(got, want):
+        assert g[4] == pytest.approx(w[4], rel=1e-9, abs=1e-9)
