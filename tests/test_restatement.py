@@ -81,3 +81,57 @@ def test_batch_replay_equals_literal_loop(spark, sf_dir):
     assert [g[:4] for g in got] == [w[:4] for w in want] and len(got) > 0
     for g, w in zip(got, want):
         assert g[4] == pytest.approx(w[4], rel=1e-9, abs=1e-9)
+
+
+def load_quotes(sf_dir):
+    """Historical quotes with exact decimals, in arrival order."""
+    return duckdb.sql(f"""
+        SELECT event_id, 'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') || '-USD' AS pair,
+               CAST(value AS DECIMAL(18,8)) AS bp,
+               CAST(CAST(value AS DECIMAL(18,8)) + (event_id % 7) * CAST(0.05 AS DECIMAL(18,8)) AS DECIMAL(18,8)) AS ap,
+               epoch_us(ts) // 1000 AS t,
+               CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 23 END AS x
+        FROM read_parquet('{sf_dir}/events.parquet') ORDER BY event_id""").fetchall()
+
+
+def history_loop(quotes, bucket_ms):
+    """The reference's historical scan step by step: group by bucket (first
+    appearance order), per bucket group by pair, keep groups with more than
+    one quote, per exchange the first max-bid quote, OR over all ordered
+    representative pairs (self pairs included), sum per pair in first
+    appearance order, drop zeros."""
+    from decimal import Decimal
+
+    def group_by(items, key):
+        out = {}
+        for it in items:
+            out.setdefault(key(it), []).append(it)
+        return out
+
+    mapped = []
+    for _, rows in group_by(quotes, lambda q: q[4] // bucket_ms).items():
+        for pair, items in group_by(rows, lambda q: q[1]).items():
+            if len(items) <= 1:
+                continue
+            reps = []
+            for _, ex_items in group_by(items, lambda q: q[5]).items():
+                best = ex_items[0]
+                for q in ex_items[1:]:
+                    if q[2] > best[2]:
+                        best = q
+                reps.append(best)
+            hit = any((a[2] - b[3]) > Decimal("0.01") or (b[2] - a[3]) > Decimal("0.01")
+                      for a in reps for b in reps)
+            mapped.append((pair, 1 if hit else 0))
+    totals = {}
+    for pair, v in mapped:
+        totals[pair] = totals.get(pair, 0) + v
+    return [(p, n) for p, n in totals.items() if n != 0]
+
+
+@pytest.mark.parametrize("sf_dir", [SF_SMALL, SF_CHECK])
+def test_history_equals_literal_scan_and_order(spark, sf_dir):
+    want = history_loop(load_quotes(sf_dir), catalog.HIST_BUCKET_MS)
+    got = catalog.QUERIES["hist_opportunities"](spark, sf_dir) \
+        .orderBy("order_bucket_seq", "order_pair_seq").collect()
+    assert [(r.pair, r.opportunities) for r in got] == want and len(want) > 0
