@@ -24,6 +24,7 @@ the grid, window and per-tick collapse share one shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -168,3 +169,64 @@ def executed_opportunities(best: DataFrame, params: TradingParams,
         F.col("final_qty").alias("quantity"),
         (F.col("buy_price") * F.col("final_qty")).alias("value"),
         "prior_value")
+
+
+def executed_with_updates(ticks: DataFrame, params: DataFrame, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """ST3 / H4 in batch: execution under effective-dated parameter updates.
+
+    ``params``: (effective_seq, min_spread, min_profit, max_transaction_value,
+    max_trading_value, trading_active); an update applies before the first
+    tick with seq >= effective_seq. Semantics of the reference loop:
+    * before any parameters exist ticks update the cache but nothing is
+      evaluated; while trading is stopped (``trading_active`` false) ticks
+      are not processed at all and the cache keeps its older quotes;
+    * at the first tick after an update every cached pair is evaluated (in
+      pair order); later ticks only change the ticked pair;
+    * the spent budget and the once-only keys carry across updates.
+    The update table is control data (one row per update), so its segments
+    are walked in order; each segment is a closed-form batch over its own
+    ticks with the carried budget and keys.
+    """
+    ups = params.orderBy("effective_seq").collect()
+    starts = [int(u.effective_seq) for u in ups]
+    seg = F.lit(-1)
+    for i, e in enumerate(starts):
+        seg = F.when(F.col("seq") >= e, F.lit(i)).otherwise(seg)
+    active = [i for i, u in enumerate(ups) if u.trading_active]
+    t = ticks.withColumn("seg", seg).where(F.col("seg").isin([-1] + active))   # stopped ticks are never seen
+    grid = latest_quote_grid(t.drop("seg"), block_size).withColumn("seg", seg)
+    quote = F.struct(F.col("seq").alias("q_seq"), *[F.col(c) for c in QUOTE_FIELDS])
+    last_seg = t.groupBy("pair", "x", "seg").agg(F.max(quote).alias("q"))       # pairs x X x segments
+    first_tick = {r.seg: (r.f.seq, r.f.pair)
+                  for r in t.groupBy("seg").agg(F.min(F.struct("seq", "pair")).alias("f")).collect()}
+
+    out, done_keys, spent = None, None, Decimal(0)
+    for i in active:
+        if i not in first_tick:
+            continue
+        u = ups[i]
+        tp = TradingParams(u.min_spread, u.min_profit, u.max_transaction_value, u.max_trading_value)
+        f_seq, f_pair = first_tick[i]
+        # the segment's ticks, plus every other cached pair evaluated at its
+        # first tick with the quotes cached before it
+        books = (last_seg.where(F.col("seg") < i).groupBy("pair", "x").agg(F.max("q").alias("q"))
+                 .where(F.col("pair") != f_pair)
+                 .select("pair", "x", F.lit(f_seq).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("block"),
+                         *[F.col(f"q.{c}").alias(c) for c in QUOTE_FIELDS]))
+        cand = best_opportunity(grid.where(F.col("seg") == i).drop("seg"), tp).unionByName(best_opportunity(books, tp))
+        if done_keys is not None:
+            cand = cand.join(done_keys, ["pair", "buy_x", "sell_x"], "left_anti")
+        ex = executed_opportunities(cand, tp, block_size, spent=str(spent), order=("seq", "pair"))
+        ex = ex.checkpoint(eager=True)                   # small; cuts the lineage that grows per segment
+        keys = ex.select("pair", "buy_x", "sell_x")
+        done_keys = keys if done_keys is None else done_keys.unionByName(keys)
+        add = ex.agg(F.sum((F.col("buy_price") * F.col("quantity")).cast(BUDGET))).first()[0]
+        spent += add if add is not None else 0
+        out = ex if out is None else out.unionByName(ex)
+    if out is None:
+        return ticks.sparkSession.createDataFrame([], EXECUTED_COLUMNS)
+    return out
+
+
+EXECUTED_COLUMNS = ("pair string, seq bigint, buy_x int, sell_x int, buy_exchange string, sell_exchange string, "
+                    "buy_price double, sell_price double, quantity double, value double, prior_value double")

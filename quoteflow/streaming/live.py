@@ -200,15 +200,20 @@ class ExecutionSink:
         prev_books = self._table(spark, self._part(self.books_path, batch_id - 1), BOOK_SCHEMA)
         prev_meta = self._table(spark, self._part(self.meta_path, batch_id - 1), META_SCHEMA).first()
         first_seq = grid.agg(F.min("seq")).first()[0]
-        params = None
-        if first_seq is not None:
-            rows = (self._table(spark, self.params_path, PARAMS_SCHEMA)
-                    .where(F.col("effective_seq") <= first_seq).orderBy(F.desc("effective_seq")).limit(1).collect())
-            params = rows[0] if rows and rows[0].trading_active else None
-        if params is None:                                  # empty or stopped batch: cache unchanged
-            prev_books.write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
+        rows = [] if first_seq is None else (
+            self._table(spark, self.params_path, PARAMS_SCHEMA)
+            .where(F.col("effective_seq") <= first_seq).orderBy(F.desc("effective_seq")).limit(1).collect())
+        params = rows[0] if rows else None
+        quote = F.struct("q_seq", "bp", "bs", "ap", "as")
+        books = prev_books.unionByName(grid.select(*[f.name for f in BOOK_SCHEMA.fields])) \
+            .groupBy("pair", "x").agg(F.max(quote).alias("q")).select("pair", "x", "q.*")
+        if params is None or not params.trading_active:
+            # no parameters yet: the cache takes the quotes, nothing is
+            # evaluated; stopped or empty batch: the cache is unchanged
+            (books if (first_seq is not None and params is None) else prev_books) \
+                .write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
             keep = prev_meta.params_seq if (prev_meta is not None and first_seq is None) else None
-            self._meta(spark, batch_id, first_seq, keep, first_seq is not None)
+            self._meta(spark, batch_id, first_seq, keep, params is not None)
             return
 
         tp = OPS.TradingParams(params.min_spread, params.min_profit, params.max_transaction_value,
@@ -231,9 +236,6 @@ class ExecutionSink:
         ex.select(*[c.name for c in EXECUTED_SCHEMA.fields[1:]]).write.mode("overwrite") \
             .parquet(self._part(self.executed_path, batch_id))
 
-        quote = F.struct("q_seq", "bp", "bs", "ap", "as")
-        books = prev_books.unionByName(grid.select(*[f.name for f in BOOK_SCHEMA.fields])) \
-            .groupBy("pair", "x").agg(F.max(quote).alias("q")).select("pair", "x", "q.*")
         books.write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
         self._meta(spark, batch_id, first_seq, params.effective_seq, False)
 

@@ -28,14 +28,22 @@ def load_ticks(sf_dir):
         FROM read_parquet('{sf_dir}/events.parquet') ORDER BY event_id""").fetchall()
 
 
+STOPPED = "stopped"
+
+
 def live_loop(ticks, params):
-    """``params``: TradingParams, or a function seq -> TradingParams (an
-    update applied before that tick)."""
+    """``params``: TradingParams, or a function seq -> TradingParams | None
+    (no parameters yet: the cache updates, nothing is evaluated) | STOPPED
+    (the tick is not received at all)."""
     schedule = params if callable(params) else (lambda _seq: params)
     cache, executed, cum, out = {}, set(), 0.0, []
     for seq, pair, bp, bs, ap, as_, x in ticks:
         p = schedule(seq)
+        if p == STOPPED:
+            continue
         cache[f"{pair}.{x}"] = (x, bp, bs, ap, as_)
+        if p is None:
+            continue
         groups = {}
         for key in sorted(cache):
             groups.setdefault(key.split(".")[0], []).append(cache[key])
@@ -135,3 +143,34 @@ def test_history_equals_literal_scan_and_order(spark, sf_dir):
     got = catalog.QUERIES["hist_opportunities"](spark, sf_dir) \
         .orderBy("order_bucket_seq", "order_pair_seq").collect()
     assert [(r.pair, r.opportunities) for r in got] == want and len(want) > 0
+
+
+@pytest.mark.parametrize("sf_dir,scale", [(SF_SMALL, 1), (SF_CHECK, 10)])
+def test_batch_parameter_updates_equal_literal_loop(spark, sf_dir, scale):
+    """Updates at arbitrary ticks: none before 100, p0, stopped 400-549,
+    p1 (looser thresholds, larger budget) from 550, p0 again from 800."""
+    from quoteflow.operators import opportunities as O
+    from quoteflow.sources import adapters
+    from quoteflow.streaming import live
+
+    p0 = catalog.LIVE_PARAMS
+    p1 = O.TradingParams(min_spread=2.0, min_profit=4.0, max_transaction_value=900.0, max_trading_value=9000.0)
+    plan = [(100, p0, True), (400, p0, False), (550, p1, True), (800, p0, True)]
+    rows = [(e * scale, p.min_spread, p.min_profit, p.max_transaction_value, p.max_trading_value, a)
+            for e, p, a in plan]
+    params = spark.createDataFrame(rows, live.PARAMS_SCHEMA)
+
+    def schedule(seq):
+        cur = None
+        for e, p, a in plan:
+            if seq >= e * scale:
+                cur = p if a else STOPPED
+        return cur
+
+    want = sorted(live_loop(load_ticks(sf_dir), schedule))
+    got = O.executed_with_updates(adapters.live_quotes(spark, sf_dir), params).collect()
+    got = sorted((r.pair, r.seq, r.buy_x, r.sell_x, r.quantity) for r in got)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert any(w[1] >= 550 * scale for w in want)
+    for g, w in zip(got, want):
+        assert g[4] == pytest.approx(w[4], rel=1e-9, abs=1e-9)
