@@ -6,10 +6,10 @@ days, so the historical bucket is 6 hours instead of the live feed's 5 ms).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from quoteflow.operators import history, ledger, listings, opportunities, orders, pnl, selection, strategy
@@ -202,7 +202,7 @@ def q_transaction_history(spark, sf_dir):
 # Each runs a Structured Streaming query to completion (availableNow) over the
 # driver table and returns its sink; results must equal the batch queries.
 def _stream_name(spark, tag):
-    import time
+    """A fresh sink/checkpoint name under the shared checkpoint folder."""
     return f"{tag}-{time.time_ns()}"
 
 
