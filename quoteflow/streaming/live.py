@@ -233,8 +233,12 @@ class ExecutionSink:
                          self._table(spark, self.alerts_path, ALERT_SCHEMA).limit(1).count())
         ex = ex.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast("decimal(38,10)")) \
             .withColumn("orders_submitted", F.lit(bool(gate_open)))
-        ex.select(*[c.name for c in EXECUTED_SCHEMA.fields[1:]]).write.mode("overwrite") \
-            .parquet(self._part(self.executed_path, batch_id))
+        # only batches with executions get a folder: the table read by every
+        # batch stays bounded by the opportunity keys, not by the batch count
+        ex = ex.select(*[c.name for c in EXECUTED_SCHEMA.fields[1:]]).persist()
+        if ex.limit(1).count():
+            ex.write.mode("overwrite").parquet(self._part(self.executed_path, batch_id))
+        ex.unpersist()
 
         books.write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
         self._meta(spark, batch_id, first_seq, params.effective_seq, False)
@@ -378,8 +382,10 @@ class PortfolioSink:
             .select("command_id")
         hits = PNL.threshold_alerts(written, self.commands)
         hits = hits.where(F.col("alert_ts").isNotNull()).join(alerted, "command_id", "left_anti")
-        hits.select("command_id", "alert_ts", "alert_order_id", "alert_cum_pnl").write.mode("overwrite") \
-            .parquet(self._part(self.alerts_path, batch_id))
+        hits = hits.select("command_id", "alert_ts", "alert_order_id", "alert_cum_pnl").persist()
+        if hits.limit(1).count():          # folders only for batches with alerts (bounded by commands)
+            hits.write.mode("overwrite").parquet(self._part(self.alerts_path, batch_id))
+        hits.unpersist()
         last = written.agg(F.max(F.struct("ts", "order_id", "cum_pnl")).alias("m")).first()["m"]
         spark.createDataFrame([(last["cum_pnl"] if last is not None else carry,)], CARRY_SCHEMA) \
             .write.mode("overwrite").parquet(self._part(self.carry_path, batch_id))
