@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from quoteflow.operators.running import global_prefix_sum, next_in_order
 from quoteflow.plans.joins import bounded, join_small
+from quoteflow.session import checkpoint_dir
 
 PNL = T.DecimalType(38, 6)
 
@@ -229,7 +230,10 @@ def threshold_alerts(cum: DataFrame, commands: DataFrame) -> DataFrame:
         "command_id", F.col("ts").alias("cmd_ts"), "next_ts", "threshold",
         F.to_date("ts").alias("d0"), F.to_date("next_ts").alias("d1"))
 
-    trades = cum.select("ts", "order_id", "cum_pnl", F.to_date("ts").alias("d"))
+    # read by four branches below: materialize the narrow projection once in
+    # the shared checkpoint folder instead of recomputing the running sum
+    checkpoint_dir(cum.sparkSession)
+    trades = cum.select("ts", "order_id", "cum_pnl", F.to_date("ts").alias("d")).checkpoint(eager=True)
     day_max = trades.groupBy("d").agg(F.max("cum_pnl").alias("day_max"))
 
     in_window = ((F.col("ts") >= F.col("cmd_ts"))

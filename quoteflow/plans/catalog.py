@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteflow.operators import history, ledger, listings, opportunities, orders, pnl, selection, strategy
-from quoteflow.session import scratch_path
+from quoteflow.session import checkpoint_dir, scratch_path
 from quoteflow.sources import adapters, quotes_json
 from quoteflow.streaming import live
 
@@ -270,5 +270,6 @@ def q_tracked_executions(spark, sf_dir):
 
 @register("pnl_status")
 def q_pnl_status(spark, sf_dir):
-    cum = pnl.cumulative_pnl(_live_fold(spark, sf_dir))
+    checkpoint_dir(spark)
+    cum = pnl.cumulative_pnl(_live_fold(spark, sf_dir)).checkpoint(eager=True)   # read twice
     return pnl.pnl_status(cum, pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir)))
