@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.operators.running import global_prefix_sum, next_in_order
-from quoteflow.plans.joins import bounded, join_small
+from quoteflow.plans.joins import join_small
 from quoteflow.session import checkpoint_dir
 
 PNL = T.DecimalType(38, 6)
@@ -161,12 +161,14 @@ def fold_trades(trades: DataFrame, hot_rows: int = HOT_PAIR_ROWS, block_rows: in
 
     t = trades.select("pair", "order_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
                       "side", "amount", "price")
-    hot, _ = bounded(t.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows), 1 << 20)
-    hot_total = hot.agg(F.sum("n")).first()[0]
+    hot = t.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    stats = hot.agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("rows")).first()   # one job
+    hot_total = stats["rows"]
     if not hot_total:
         out = _sequential_fold(t)
     else:
-        keys = F.broadcast(hot.select("pair"))
+        # at most total / hot_rows pairs, and counted above: a proven bound
+        keys = F.broadcast(hot.select("pair").persist())
         n_blocks = max(1, -(-int(hot_total) // int(block_rows)))
         folded, rest = block_fold(t.join(keys, "pair", "left_semi"), FOLD_SCHEMA, n_blocks, max_rounds)
         out = folded.unionByName(_sequential_fold(t.join(keys, "pair", "left_anti").unionByName(rest)))
