@@ -113,3 +113,11 @@ def store_cross_traded(cross: DataFrame, path: str) -> None:
 def stored_pairs(spark, path: str) -> DataFrame:
     """Every stored pair label (duplicates included)."""
     return spark.read.parquet(path).select("pair")
+
+
+def identify_cross_traded(payloads: DataFrame, strict: bool = False) -> DataFrame:
+    """C2 end to end: only fetches where every venue's payload landed are
+    used (the reference fails the whole identification when one fetch
+    fails), then parse, concatenate and count."""
+    ok = complete_sources(payloads).where("complete").select("fetch_id")
+    return cross_traded(all_listings(payloads.join(ok, "fetch_id", "left_semi")), strict)

@@ -59,14 +59,14 @@ def q_listing_pairs(spark, sf_dir):
 
 @register("cross_traded_pairs")
 def q_cross_traded_pairs(spark, sf_dir):
-    return listings.cross_traded(listings.all_listings(adapters.listing_payloads(spark, sf_dir)))
+    return listings.identify_cross_traded(adapters.listing_payloads(spark, sf_dir))
 
 
 # ----------------------------------------------------------- C3 selection
 @register("pairs_to_track")
 def q_pairs_to_track(spark, sf_dir):
     counts = history.opportunities_per_pair(adapters.quotes(spark, sf_dir), HIST_BUCKET_MS)
-    cross = listings.cross_traded(listings.all_listings(adapters.listing_payloads(spark, sf_dir)))
+    cross = listings.identify_cross_traded(adapters.listing_payloads(spark, sf_dir))
     out = selection.pairs_to_track(counts, cross, PAIRS_TO_TRACK)
     return out.withColumn("rank", out["rank"].cast("bigint"))
 

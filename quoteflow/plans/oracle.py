@@ -76,10 +76,14 @@ listings AS (
     AND NOT (source = 'bitfinex' AND (event_id % 11 = 0 OR fetch_id % 9 = 0))
     AND NOT (source = 'kraken' AND fetch_id % 7 = 0)
 ),
+complete_fetches AS (
+  SELECT fetch_id FROM sym GROUP BY fetch_id HAVING count(DISTINCT source) = 3
+),
 cross_pairs AS (
   SELECT currency1, currency2, currency1 || '-' || currency2 AS pair,
          count(*) AS n_listings, count(DISTINCT source) AS n_exchanges
-  FROM listings GROUP BY currency1, currency2 HAVING count(*) > 1
+  FROM listings WHERE fetch_id IN (SELECT fetch_id FROM complete_fetches)
+  GROUP BY currency1, currency2 HAVING count(*) > 1
 )"""
 
 ORACLE["listing_pairs"] = "WITH " + LISTINGS + """

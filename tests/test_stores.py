@@ -82,3 +82,12 @@ def test_size_for_input(spark):
     assert n > 1_000_000 and spark.conf.get("spark.sql.shuffle.partitions") == str(n)
     for k, v in before.items():
         spark.conf.set(k, v)
+
+
+def test_incomplete_fetch_is_not_used(spark):
+    p = spark.createDataFrame([
+        ("bitfinex", 1, '[["BTC:USD"]]'), ("bitstamp", 1, '[{"name":"BTC/USD"}]'),
+        ("kraken", 1, '{"error":[],"result":{"a":{"wsname":"ETH/USD"}}}'),
+        ("bitfinex", 2, '[["ETH:USD"]]'), ("bitstamp", 2, '[{"name":"ETH/USD"}]')],   # kraken missing
+        "source string, fetch_id long, payload string")
+    assert [r.pair for r in listings.identify_cross_traded(p).collect()] == ["BTC-USD"]
