@@ -68,3 +68,24 @@ def first_match(state: DataFrame, key_col: str, key, order_cols: list[str]) -> D
 def snapshot(state: DataFrame, path: str) -> None:
     """Store the current state with a history timestamp (append)."""
     state.withColumn("history_ts", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+# Results of a transaction status update.
+MSG_TX_UPDATED = "Transaction status updated successfully."
+MSG_TX_NOT_FOUND = "No transaction found with the given TransactionId."
+
+
+def update_transaction_status(state: DataFrame, updates: DataFrame) -> DataFrame:
+    """G2 in bulk: apply (transaction_id, new_status) to the current state.
+
+    As in the reference, success means a row was *modified*: an unknown id,
+    or a status equal to the current one, reports the not-found message.
+    Returns (transaction_id, new_status, status, result) where ``status`` is
+    the state after the update. One left join on the id (both sides keyed,
+    so a shuffle join, never a broadcast of the state)."""
+    j = updates.select("transaction_id", "new_status").join(
+        state.select("transaction_id", F.col("status").alias("old_status")), "transaction_id", "left")
+    changed = F.col("old_status").isNotNull() & (F.col("old_status") != F.col("new_status"))
+    return j.select("transaction_id", "new_status",
+                    F.when(changed, F.col("new_status")).otherwise(F.col("old_status")).alias("status"),
+                    F.when(changed, F.lit(MSG_TX_UPDATED)).otherwise(F.lit(MSG_TX_NOT_FOUND)).alias("result"))

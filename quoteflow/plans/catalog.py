@@ -273,3 +273,12 @@ def q_pnl_status(spark, sf_dir):
     checkpoint_dir(spark)
     cum = pnl.cumulative_pnl(_live_fold(spark, sf_dir)).checkpoint(eager=True)   # read twice
     return pnl.pnl_status(cum, pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir)))
+
+
+@register("transaction_status_updates")
+def q_transaction_status_updates(spark, sf_dir):
+    """The transaction ledger (from the order lines) receives one status
+    update per ``orders`` row, status from o_orderstatus."""
+    state = ledger.latest_transactions(ledger.transaction_events(adapters.orders(spark, sf_dir)))
+    upd = adapters.transaction_status_updates(spark, sf_dir)
+    return ledger.update_transaction_status(state, upd)

@@ -454,3 +454,28 @@ SELECT (SELECT cum_pnl FROM cum ORDER BY ts DESC, order_id DESC LIMIT 1) AS curr
           FROM final WHERE threshold >= 0 ORDER BY ts DESC, command_id DESC LIMIT 1) AS threshold,
        (SELECT bool_or(alert_ts IS NOT NULL) FROM final) AS threshold_reached,
        NOT (SELECT bool_or(alert_ts IS NOT NULL) FROM final) AS trading_active"""
+
+ORACLE["transaction_status_updates"] = "WITH " + ORDERS + """,
+tx AS (
+  SELECT transaction_id, count(*) AS n, count(*) FILTER (WHERE status = 'FullyFilled') AS n_full,
+         count(*) FILTER (WHERE status = 'NotFilled') AS n_none
+  FROM orders_fx GROUP BY transaction_id
+),
+cur AS (
+  SELECT transaction_id, CASE WHEN n_full = n THEN 'Fulfilled' WHEN n_none = n THEN 'Cancelled'
+                              ELSE 'PartiallyFulfilled' END AS old_status
+  FROM tx
+),
+upd AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS transaction_id,
+         CASE o_orderstatus WHEN 'F' THEN 'Fulfilled' WHEN 'O' THEN 'Submitted'
+              ELSE 'PartiallyFulfilled' END AS new_status
+  FROM orders
+)
+SELECT u.transaction_id, u.new_status,
+       CASE WHEN c.old_status IS NOT NULL AND c.old_status <> u.new_status THEN u.new_status ELSE c.old_status END
+         AS status,
+       CASE WHEN c.old_status IS NOT NULL AND c.old_status <> u.new_status
+            THEN 'Transaction status updated successfully.'
+            ELSE 'No transaction found with the given TransactionId.' END AS result
+FROM upd u LEFT JOIN cur c USING (transaction_id)"""

@@ -215,3 +215,12 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_retailprice * CAST(p_size % 5 - 1 AS DOUBLE) AS maximal_trading_value",
         "p_retailprice * CAST(10 AS DOUBLE) - CAST(9300 AS DOUBLE) AS init_investment",
     )
+
+
+def transaction_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status updates for transactions (keyed like the order lines' orderkey)."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"])
+    return o.selectExpr(
+        "cast(o_orderkey as string) AS transaction_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'Fulfilled' WHEN 'O' THEN 'Submitted' "
+        "ELSE 'PartiallyFulfilled' END AS new_status")

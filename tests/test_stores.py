@@ -91,3 +91,13 @@ def test_incomplete_fetch_is_not_used(spark):
         ("bitfinex", 2, '[["ETH:USD"]]'), ("bitstamp", 2, '[{"name":"ETH/USD"}]')],   # kraken missing
         "source string, fetch_id long, payload string")
     assert [r.pair for r in listings.identify_cross_traded(p).collect()] == ["BTC-USD"]
+
+
+def test_transaction_status_update_results(spark):
+    state = spark.createDataFrame([("t1", "Submitted"), ("t2", "Fulfilled")], "transaction_id string, status string")
+    upd = spark.createDataFrame([("t1", "Fulfilled"), ("t2", "Fulfilled"), ("t9", "Cancelled")],
+                                "transaction_id string, new_status string")
+    got = {r.transaction_id: (r.status, r.result) for r in ledger.update_transaction_status(state, upd).collect()}
+    assert got == {"t1": ("Fulfilled", ledger.MSG_TX_UPDATED),
+                   "t2": ("Fulfilled", ledger.MSG_TX_NOT_FOUND),      # unchanged: nothing modified
+                   "t9": (None, ledger.MSG_TX_NOT_FOUND)}
