@@ -213,7 +213,7 @@ def threshold_status(commands: DataFrame) -> DataFrame:
         .when(F.col("threshold") == 0, F.lit("cleared")).otherwise(F.lit("set")))
 
 
-def threshold_alerts(cum: DataFrame, commands: DataFrame) -> DataFrame:
+def threshold_alerts(cum: DataFrame, commands: DataFrame, materialize: bool = True) -> DataFrame:
     """For each threshold that takes effect, the first trade at or after
     it (and before the next valid command) whose cumulative P&L reaches it.
 
@@ -234,8 +234,11 @@ def threshold_alerts(cum: DataFrame, commands: DataFrame) -> DataFrame:
 
     # read by four branches below: materialize the narrow projection once in
     # the shared checkpoint folder instead of recomputing the running sum
-    checkpoint_dir(cum.sparkSession)
-    trades = cum.select("ts", "order_id", "cum_pnl", F.to_date("ts").alias("d")).checkpoint(eager=True)
+    # (``materialize=False`` when the caller passes an already written input)
+    trades = cum.select("ts", "order_id", "cum_pnl", F.to_date("ts").alias("d"))
+    if materialize:
+        checkpoint_dir(cum.sparkSession)
+        trades = trades.checkpoint(eager=True)
     day_max = trades.groupBy("d").agg(F.max("cum_pnl").alias("day_max"))
 
     in_window = ((F.col("ts") >= F.col("cmd_ts"))

@@ -272,7 +272,8 @@ def q_tracked_executions(spark, sf_dir):
 def q_pnl_status(spark, sf_dir):
     checkpoint_dir(spark)
     cum = pnl.cumulative_pnl(_live_fold(spark, sf_dir)).checkpoint(eager=True)   # read twice
-    return pnl.pnl_status(cum, pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir)))
+    alerts = pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir), materialize=False)
+    return pnl.pnl_status(cum, alerts)
 
 
 @register("transaction_status_updates")
