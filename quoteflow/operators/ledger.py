@@ -89,3 +89,20 @@ def update_transaction_status(state: DataFrame, updates: DataFrame) -> DataFrame
     return j.select("transaction_id", "new_status",
                     F.when(changed, F.col("new_status")).otherwise(F.col("old_status")).alias("status"),
                     F.when(changed, F.lit(MSG_TX_UPDATED)).otherwise(F.lit(MSG_TX_NOT_FOUND)).alias("result"))
+
+
+# Results of storing transaction history.
+MSG_HISTORY_STORED = "Transaction history stored successfully."
+MSG_HISTORY_NOT_FOUND = "Transaction not found."
+
+
+def store_history(state: DataFrame, ids: DataFrame, path: str) -> DataFrame:
+    """G3 for a set of ids: append each found transaction's current state with
+    a history timestamp; return one result row per requested id."""
+    req = ids.select("transaction_id").distinct()
+    found = state.join(req, "transaction_id", "left_semi")
+    snapshot(found, path)
+    hit = found.select("transaction_id", F.lit(True).alias("found"))
+    return req.join(hit, "transaction_id", "left").select(
+        "transaction_id",
+        F.when(F.col("found"), F.lit(MSG_HISTORY_STORED)).otherwise(F.lit(MSG_HISTORY_NOT_FOUND)).alias("result"))

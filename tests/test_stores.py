@@ -101,3 +101,12 @@ def test_transaction_status_update_results(spark):
     assert got == {"t1": ("Fulfilled", ledger.MSG_TX_UPDATED),
                    "t2": ("Fulfilled", ledger.MSG_TX_NOT_FOUND),      # unchanged: nothing modified
                    "t9": (None, ledger.MSG_TX_NOT_FOUND)}
+
+
+def test_store_history_reports_missing_ids(spark):
+    d = tempfile.mkdtemp(prefix="qf-hist-")
+    state = spark.createDataFrame([("t1", "Submitted")], "transaction_id string, status string")
+    ids = spark.createDataFrame([("t1",), ("t2",)], "transaction_id string")
+    got = {r.transaction_id: r.result for r in ledger.store_history(state, ids, os.path.join(d, "h")).collect()}
+    assert got == {"t1": ledger.MSG_HISTORY_STORED, "t2": ledger.MSG_HISTORY_NOT_FOUND}
+    assert [r.transaction_id for r in spark.read.parquet(os.path.join(d, "h")).collect()] == ["t1"]
