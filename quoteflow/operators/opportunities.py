@@ -26,13 +26,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.functions.pairs import exchange_name
 from quoteflow.operators.running import DEFAULT_BLOCK, block_of, prefix_sum
-from quoteflow.plans.joins import join_small
+from quoteflow.plans.joins import cache_small, join_small
 from quoteflow.session import checkpoint_dir
 
 QUOTE_FIELDS = ["bp", "bs", "ap", "as"]
@@ -149,7 +148,7 @@ def executed_opportunities(best: DataFrame, params: TradingParams,
         F.min(F.struct("seq", "buy_price", "sell_price", "quantity")).alias("f"))
     # one row per (pair, buy, sell): small, and read by both branches of the
     # blocked running sum, so it is computed once
-    firsts = firsts.select("pair", "buy_x", "sell_x", "f.*").persist(StorageLevel.MEMORY_AND_DISK)
+    firsts = cache_small(firsts.select("pair", "buy_x", "sell_x", "f.*"))
     # Budget arithmetic in exact decimals: the running total then does not
     # depend on summation order (blocks, engines, retries).
     firsts = firsts.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast(BUDGET))

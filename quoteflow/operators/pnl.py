@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.operators.running import global_prefix_sum, next_in_order
-from quoteflow.plans.joins import join_small
+from quoteflow.plans.joins import cache_small, join_small
 from quoteflow.session import checkpoint_dir
 
 PNL = T.DecimalType(38, 6)
@@ -168,7 +168,7 @@ def fold_trades(trades: DataFrame, hot_rows: int = HOT_PAIR_ROWS, block_rows: in
         out = _sequential_fold(t)
     else:
         # at most total / hot_rows pairs, and counted above: a proven bound
-        keys = F.broadcast(hot.select("pair").persist())
+        keys = F.broadcast(cache_small(hot.select("pair")))
         n_blocks = max(1, -(-int(hot_total) // int(block_rows)))
         folded, rest = block_fold(t.join(keys, "pair", "left_semi"), FOLD_SCHEMA, n_blocks, max_rounds)
         out = folded.unionByName(_sequential_fold(t.join(keys, "pair", "left_anti").unionByName(rest)))

@@ -17,11 +17,30 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
+_PERSISTED: list[DataFrame] = []
+
+
+def release_cached() -> None:
+    """Unpersist the small sides cached by size checks (call after a query's
+    results are consumed; a later use recomputes them)."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+
+
+def cache_small(df: DataFrame) -> DataFrame:
+    """Persist a small, bounded DataFrame read by several branches and
+    register it for ``release_cached``."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df)
+    return df
+
+
 def bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Persist ``df`` and report whether it has at most ``max_rows`` rows.
 
-    ``limit(max_rows + 1).count()`` stops reading once the bound is passed."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ``limit(max_rows + 1).count()`` stops reading once the bound is passed.
+    The cached side is registered for ``release_cached``."""
+    df = cache_small(df)
     n = df.limit(max_rows + 1).count()
     return df, n <= max_rows
 
