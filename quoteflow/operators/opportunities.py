@@ -88,10 +88,14 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> Data
     return grid.select("pair", "block", "seq", "x", "q.q_seq", *[F.col(f"q.{c}").alias(c) for c in QUOTE_FIELDS])
 
 
-def _order_books(grid: DataFrame) -> DataFrame:
+def _order_books(grid: DataFrame, keys=("pair", "block", "seq")) -> DataFrame:
     """One row per tick with its pair's cached quotes (at most one per exchange)."""
-    return grid.groupBy("pair", "block", "seq").agg(
-        F.collect_list(F.struct("x", *QUOTE_FIELDS)).alias("book"))
+    return grid.groupBy(*keys).agg(F.collect_list(F.struct("x", *QUOTE_FIELDS)).alias("book"))
+
+
+def _thr(v) -> F.Column:
+    """A threshold: a fixed number, or a per-row column (parameter updates)."""
+    return v if isinstance(v, F.Column) else F.lit(float(v))
 
 
 def _candidates(book: F.Column, p: TradingParams) -> F.Column:
@@ -103,9 +107,9 @@ def _candidates(book: F.Column, p: TradingParams) -> F.Column:
     combos = F.transform(combos, lambda o: o.withField(
         "profit", (o["sell_price"] - o["buy_price"]) * o["quantity"]))
     return F.filter(combos, lambda o: (o["buy_x"] != o["sell_x"])
-                    & (o["sell_price"] - o["buy_price"] >= F.lit(float(p.min_spread)))
-                    & (o["profit"] >= F.lit(float(p.min_profit)))
-                    & (o["buy_price"] * o["quantity"] <= F.lit(float(p.max_transaction_value))))
+                    & (o["sell_price"] - o["buy_price"] >= _thr(p.min_spread))
+                    & (o["profit"] >= _thr(p.min_profit))
+                    & (o["buy_price"] * o["quantity"] <= _thr(p.max_transaction_value)))
 
 
 OPP_COLUMNS = ["pair", "seq", "buy_x", "sell_x", "buy_price", "sell_price", "quantity", "profit"]
@@ -117,19 +121,23 @@ def opportunities(grid: DataFrame, params: TradingParams) -> DataFrame:
     return b.select("pair", "block", "seq", "o.*").select("block", *OPP_COLUMNS)
 
 
-def best_opportunity(grid: DataFrame, params: TradingParams) -> DataFrame:
-    """The best opportunity of each tick, ties to the first in
-    cache-key order (buy id, then sell id, compared as strings)."""
+def _best_of_books(books: DataFrame, params: TradingParams, keys) -> DataFrame:
     def cmp(l, r):
         ls, rs = l["buy_x"].cast("string"), r["buy_x"].cast("string")
         lt, rt = l["sell_x"].cast("string"), r["sell_x"].cast("string")
         return (F.when(l["profit"] > r["profit"], -1).when(l["profit"] < r["profit"], 1)
                 .when(ls < rs, -1).when(ls > rs, 1)
                 .when(lt < rt, -1).when(lt > rt, 1).otherwise(0))
-    b = _order_books(grid).select(
-        "pair", "block", "seq", F.array_sort(_candidates(F.col("book"), params), cmp).alias("opps"))
-    b = b.where(F.size("opps") > 0).select("pair", "block", "seq", F.element_at("opps", 1).alias("o"))
-    return b.select("pair", "block", "seq", "o.*").select("block", *OPP_COLUMNS)
+    b = books.select(*keys, F.array_sort(_candidates(F.col("book"), params), cmp).alias("opps"))
+    b = b.where(F.size("opps") > 0).select(*keys, F.element_at("opps", 1).alias("o"))
+    return b.select(*keys, "o.*")
+
+
+def best_opportunity(grid: DataFrame, params: TradingParams) -> DataFrame:
+    """The best opportunity of each tick, ties to the first in
+    cache-key order (buy id, then sell id, compared as strings)."""
+    keys = ("pair", "block", "seq")
+    return _best_of_books(_order_books(grid, keys), params, keys).select("block", *OPP_COLUMNS)
 
 
 def executed_opportunities(best: DataFrame, params: TradingParams,
@@ -182,48 +190,63 @@ def executed_with_updates(ticks: DataFrame, params: DataFrame, block_size: int =
     * at the first tick after an update every cached pair is evaluated (in
       pair order); later ticks only change the ticked pair;
     * the spent budget and the once-only keys carry across updates.
-    The update table is control data (one row per update), so its segments
-    are walked in order; each segment is a closed-form batch over its own
-    ticks with the carried budget and keys.
+    Plan: one pass computes every tick's best under its segment's thresholds
+    (joined as columns from the broadcast update table) and the all-pair
+    evaluation at each update; these reduce to the first occurrence of each
+    (segment, pair, buy, sell), a table bounded by segments x keys. Only that
+    small table is walked segment by segment for budget and once-only.
     """
-    ups = params.orderBy("effective_seq").collect()
+    ups = params.orderBy("effective_seq").collect()          # control data: one row per update
     starts = [int(u.effective_seq) for u in ups]
     seg = F.lit(-1)
     for i, e in enumerate(starts):
         seg = F.when(F.col("seq") >= e, F.lit(i)).otherwise(seg)
     active = [i for i, u in enumerate(ups) if u.trading_active]
+    spark = ticks.sparkSession
+    if not active:
+        return spark.createDataFrame([], EXECUTED_COLUMNS)
+    seg_params = spark.createDataFrame(
+        [(i, float(ups[i].min_spread), float(ups[i].min_profit), float(ups[i].max_transaction_value))
+         for i in active], "seg int, p_spread double, p_profit double, p_tx double")
+    col_params = TradingParams(F.col("p_spread"), F.col("p_profit"), F.col("p_tx"), 0.0)
+
     t = ticks.withColumn("seg", seg).where(F.col("seg").isin([-1] + active))   # stopped ticks are never seen
     grid = latest_quote_grid(t.drop("seg"), block_size).withColumn("seg", seg)
+    keys = ("pair", "block", "seq", "seg")
+    books = _order_books(grid.where(F.col("seg") >= 0), keys).join(F.broadcast(seg_params), "seg")
+    real = _best_of_books(books, col_params, keys)
+
+    # the all-pair evaluation at each segment's first tick, from the quotes
+    # cached before it (pairs x venues x segments rows)
     quote = F.struct(F.col("seq").alias("q_seq"), *[F.col(c) for c in QUOTE_FIELDS])
-    last_seg = t.groupBy("pair", "x", "seg").agg(F.max(quote).alias("q"))       # pairs x X x segments
-    first_tick = {r.seg: (r.f.seq, r.f.pair)
-                  for r in t.groupBy("seg").agg(F.min(F.struct("seq", "pair")).alias("f")).collect()}
+    last_seg = t.groupBy("pair", "x", F.col("seg").alias("s")).agg(F.max(quote).alias("q"))
+    first = t.where(F.col("seg") >= 0).groupBy("seg").agg(F.min(F.struct("seq", "pair")).alias("f"))
+    before = (last_seg.join(F.broadcast(first), last_seg.s < first.seg)
+              .groupBy("seg", "pair", "x").agg(F.max("q").alias("q"), F.first("f").alias("f"))
+              .where(F.col("pair") != F.col("f.pair"))
+              .select("seg", "pair", "x", F.col("f.seq").alias("seq"), F.lit(0).cast("bigint").alias("block"),
+                      *[F.col(f"q.{c}").alias(c) for c in QUOTE_FIELDS]))
+    vbooks = _order_books(before, keys).join(F.broadcast(seg_params), "seg")
+    cand = real.unionByName(_best_of_books(vbooks, col_params, keys)).where(F.col("quantity") > 0)
+
+    firsts = cache_small(cand.groupBy("seg", "pair", "buy_x", "sell_x").agg(
+        F.min(F.struct("seq", "buy_price", "sell_price", "quantity", "profit")).alias("f"))
+        .select("seg", "pair", "buy_x", "sell_x", "f.*"))
 
     out, done_keys, spent = None, None, Decimal(0)
     for i in active:
-        if i not in first_tick:
-            continue
         u = ups[i]
         tp = TradingParams(u.min_spread, u.min_profit, u.max_transaction_value, u.max_trading_value)
-        f_seq, f_pair = first_tick[i]
-        # the segment's ticks, plus every other cached pair evaluated at its
-        # first tick with the quotes cached before it
-        books = (last_seg.where(F.col("seg") < i).groupBy("pair", "x").agg(F.max("q").alias("q"))
-                 .where(F.col("pair") != f_pair)
-                 .select("pair", "x", F.lit(f_seq).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("block"),
-                         *[F.col(f"q.{c}").alias(c) for c in QUOTE_FIELDS]))
-        cand = best_opportunity(grid.where(F.col("seg") == i).drop("seg"), tp).unionByName(best_opportunity(books, tp))
+        c = firsts.where(F.col("seg") == i).drop("seg")
         if done_keys is not None:
-            cand = cand.join(done_keys, ["pair", "buy_x", "sell_x"], "left_anti")
-        ex = executed_opportunities(cand, tp, block_size, spent=str(spent), order=("seq", "pair"))
+            c = c.join(done_keys, ["pair", "buy_x", "sell_x"], "left_anti")
+        ex = executed_opportunities(c, tp, block_size, spent=str(spent), order=("seq", "pair"))
         ex = ex.checkpoint(eager=True)                   # small; cuts the lineage that grows per segment
-        keys = ex.select("pair", "buy_x", "sell_x")
-        done_keys = keys if done_keys is None else done_keys.unionByName(keys)
+        keys_i = ex.select("pair", "buy_x", "sell_x")
+        done_keys = keys_i if done_keys is None else done_keys.unionByName(keys_i)
         add = ex.agg(F.sum((F.col("buy_price") * F.col("quantity")).cast(BUDGET))).first()[0]
         spent += add if add is not None else 0
         out = ex if out is None else out.unionByName(ex)
-    if out is None:
-        return ticks.sparkSession.createDataFrame([], EXECUTED_COLUMNS)
     return out
 
 
