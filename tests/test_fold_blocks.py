@@ -48,3 +48,18 @@ def test_chunked_rounds_avoid_the_sequential_fallback(spark):
     par = by_order(folded)
     assert set(seq) == set(par)
     assert all((seq[k].quantity, seq[k].has_position) == (par[k].quantity, par[k].has_position) for k in seq)
+
+
+def test_block_path_on_driver_trades(spark):
+    """Every pair of the sf0.01 trades forced onto the block path."""
+    from conftest import SF_CHECK
+    from quoteflow.sources import adapters
+
+    t = pnl.order_to_trade(pnl.completed_orders(adapters.orders(spark, SF_CHECK)))
+    seq = by_order(pnl.fold_trades(t))
+    par = by_order(pnl.fold_trades(t, hot_rows=10, block_rows=2000))
+    assert set(seq) == set(par) and len(seq) > 40000
+    for k, a in seq.items():
+        b = par[k]
+        assert (a.quantity, a.has_position) == (b.quantity, b.has_position)
+        assert a.delta == pytest.approx(b.delta, rel=1e-9, abs=1e-6)
