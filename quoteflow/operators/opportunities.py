@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions.pairs import exchange_name
 from quoteflow.operators.running import DEFAULT_BLOCK, block_of, prefix_sum
-from quoteflow.plans.joins import cache_small, join_small
+from quoteflow.plans.joins import bounded, cache_small, join_small
 from quoteflow.session import checkpoint_dir
 
 QUOTE_FIELDS = ["bp", "bs", "ap", "as"]
@@ -63,14 +63,15 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> Data
     checkpoint_dir(t.sparkSession)
     last_in_block = t.groupBy("pair", "x", "block").agg(F.max(_quote_struct()).alias("last_q")) \
         .checkpoint(eager=True)
-    pair_ex = last_in_block.select("pair", "x").distinct()
+    pair_ex, small = bounded(last_in_block.select("pair", "x").distinct())   # checked once, used twice
+    pair_ex = F.broadcast(pair_ex) if small else pair_ex
 
     # Carry-in: last quote of (pair, x) in blocks before each block, as one
     # row per (pair, block) holding a venue -> quote map (at most X entries).
     # Keyed like the grid's partitioning, so even a carry too big to broadcast
     # joins without moving the grid.
     blocks = last_in_block.select("pair", "block").distinct()
-    carry = join_small(blocks, pair_ex, "pair").join(last_in_block, ["pair", "x", "block"], "left")
+    carry = blocks.join(pair_ex, "pair").join(last_in_block, ["pair", "x", "block"], "left")
     wb = Window.partitionBy("pair", "x").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select("pair", "x", "block", F.last("last_q", ignorenulls=True).over(wb).alias("carry_q"))
     carry = carry.where(F.col("carry_q").isNotNull()).groupBy("pair", "block").agg(
@@ -78,7 +79,7 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> Data
 
     grid = (t.select("pair", "block", "seq", F.col("x").alias("tick_x"), _quote_struct().alias("own"))
             .repartition("pair", "block"))
-    grid = join_small(grid, pair_ex, "pair")
+    grid = grid.join(pair_ex, "pair")
     w = Window.partitionBy("pair", "x", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn(
         "in_block", F.last(F.when(F.col("tick_x") == F.col("x"), F.col("own")), ignorenulls=True).over(w))
