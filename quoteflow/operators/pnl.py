@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,6 +213,63 @@ def threshold_status(commands: DataFrame) -> DataFrame:
         .when(F.col("threshold") == 0, F.lit("cleared")).otherwise(F.lit("set")))
 
 
+def _first_day_reaching(active: DataFrame, day_max: DataFrame) -> DataFrame:
+    """Per command: the first trading day strictly between d0 and d1 (d1 may
+    be null: open-ended) whose maximum running P&L reaches the threshold.
+
+    Binary lifting: a sparse table of day maxima (level k holds the maximum
+    of 2^k consecutive trading days) and, per command, greedy skips from the
+    largest level down. Every step is an equi-join with a broadcast table of
+    one row per trading day, so the search runs map-side with
+    O(commands x log days) work and no shuffle. The day and calendar tables
+    have one row per day, so their windows and broadcasts are bounded by the
+    calendar, not by the data.
+    """
+    spark = active.sparkSession
+    checkpoint_dir(spark)
+    # each level is checkpointed: level k joins level k-1 with itself, so
+    # without cutting lineage the plan would double per level
+    days = day_max.select(
+        "d", F.col("day_max").alias("v"),
+        (F.row_number().over(Window.orderBy("d")) - 1).cast("bigint").alias("i")).checkpoint(eager=True)
+    n = days.count()
+    if n == 0:
+        return spark.createDataFrame([], "command_id bigint, d_hit date")
+    top = n.bit_length() - 1                     # 2^(top+1) - 1 >= n - 1: any skip length fits
+    levels = [days.select("i", F.col("v").alias("m"))]
+    for k in range(1, top + 1):
+        a, b = levels[-1].alias("a"), levels[-1].alias("b")
+        nxt = a.join(b, F.col("b.i") == F.col("a.i") + F.lit(1 << (k - 1)), "left").select(
+            F.col("a.i").alias("i"), F.greatest(F.col("a.m"), F.col("b.m")).alias("m"))
+        levels.append(nxt.checkpoint(eager=True))
+
+    b = days.select(F.min("d").alias("lo"), F.max("d").alias("hi")).unionByName(
+        active.select(F.min("d0").alias("lo"), F.max(F.coalesce("d1", "d0")).alias("hi"))) \
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    span = (b["hi"] - b["lo"]).days
+    cal = spark.range(0, span + 1).select(F.date_add(F.lit(b["lo"]), F.col("id").cast("int")).alias("c"))
+    cal = cal.join(days.select(F.col("d").alias("c"), "i"), "c", "left")
+    after = Window.orderBy("c").rowsBetween(1, Window.unboundedFollowing)
+    from_here = Window.orderBy("c").rowsBetween(0, Window.unboundedFollowing)
+    cal = cal.select("c", F.min("i").over(after).alias("gt"), F.min("i").over(from_here).alias("ge")) \
+        .checkpoint(eager=True)
+
+    cmd = (active.select("command_id", "threshold", "d0", "d1")
+           .join(F.broadcast(cal.select(F.col("c").alias("d0"), F.col("gt").alias("pos"))), "d0", "left")
+           .join(F.broadcast(cal.select(F.col("c").alias("d1"), F.col("ge").alias("g1"))), "d1", "left")
+           .withColumn("last", F.when(F.col("g1").isNull(), F.lit(n - 1)).otherwise(F.col("g1") - 1)))
+    for k in range(top, -1, -1):
+        lv = F.broadcast(levels[k].select(F.col("i").alias("_li"), F.col("m").alias("_lm")))
+        cmd = cmd.join(lv, F.col("pos") == F.col("_li"), "left")
+        skip = ((F.col("pos") + F.lit((1 << k) - 1) <= F.col("last")) & F.col("_lm").isNotNull()
+                & (F.col("_lm") < F.col("threshold")))
+        cmd = cmd.withColumn("pos", F.when(skip, F.col("pos") + F.lit(1 << k)).otherwise(F.col("pos"))) \
+            .drop("_li", "_lm")
+    hit = cmd.join(F.broadcast(days.select(F.col("i").alias("pos"), "d", "v")), "pos", "inner") \
+        .where((F.col("pos") <= F.col("last")) & (F.col("v") >= F.col("threshold")))
+    return hit.select("command_id", F.col("d").alias("d_hit"))
+
+
 def threshold_alerts(cum: DataFrame, commands: DataFrame, materialize: bool = True) -> DataFrame:
     """For each threshold that takes effect, the first trade at or after
     it (and before the next valid command) whose cumulative P&L reaches it.
@@ -220,8 +277,9 @@ def threshold_alerts(cum: DataFrame, commands: DataFrame, materialize: bool = Tr
     Commands at one timestamp apply before that timestamp's trades; an error
     command changes nothing; of several valid commands at one timestamp the
     last (by id) is the effective one. Search: per-day maxima of the running
-    P&L locate the first qualifying full day; the partial first and last days
-    are checked row by row through equi-joins on the day.
+    P&L locate the first qualifying full day (binary lifting, see
+    ``_first_day_reaching``); the partial first and last days are checked
+    row by row through equi-joins on the day.
     """
     cmds = threshold_status(commands)
     valid = cmds.where(F.col("threshold") >= 0)
@@ -247,10 +305,7 @@ def threshold_alerts(cum: DataFrame, commands: DataFrame, materialize: bool = Tr
     hit = F.struct("ts", "order_id", "cum_pnl")
     edge0 = active.join(trades, active.d0 == trades.d).where(in_window)
     edge1 = active.where(F.col("d1") != F.col("d0")).join(trades, F.col("d1") == trades.d).where(in_window)
-    mid_day = join_small(active, day_max,
-                         (F.col("d") > F.col("d0")) & (F.col("d1").isNull() | (F.col("d") < F.col("d1")))
-                         & (F.col("day_max") >= F.col("threshold")), "inner")
-    first_day = mid_day.groupBy("command_id").agg(F.min("d").alias("d_hit"))
+    first_day = _first_day_reaching(active, day_max)
     mid = (active.join(first_day, "command_id")
            .join(trades, F.col("d_hit") == trades.d).where(in_window))
     cols = ["command_id", hit.alias("h")]

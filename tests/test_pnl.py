@@ -131,3 +131,22 @@ def test_empty_inputs(spark):
     assert len(a) == 1 and a[0].alert_ts is None
     s = pnl.pnl_status(cum, pnl.threshold_alerts(cum, cmds)).first()
     assert s.current_pnl is None and s.threshold == Decimal("5.00") and s.threshold_reached is False
+
+
+def test_first_day_search_equals_brute_force(spark):
+    from quoteflow.operators.pnl import _first_day_reaching
+    rnd = random.Random(3)
+    base = dt.date(2024, 1, 1)
+    days = sorted({base + dt.timedelta(rnd.randrange(0, 400)) for _ in range(150)})     # gaps included
+    vals = {d: Decimal(rnd.randrange(0, 1000)) for d in days}
+    dm = spark.createDataFrame([(d, v) for d, v in vals.items()], "d date, day_max decimal(38,6)")
+    cmds = []
+    for c in range(300):
+        d0 = base + dt.timedelta(rnd.randrange(-20, 420))
+        d1 = None if rnd.random() < 0.3 else d0 + dt.timedelta(rnd.randrange(0, 200))
+        cmds.append((c, Decimal(rnd.randrange(1, 1000)), d0, d1))
+    act = spark.createDataFrame(cmds, "command_id bigint, threshold decimal(18,2), d0 date, d1 date")
+    got = {r.command_id: r.d_hit for r in _first_day_reaching(act, dm).collect()}
+    for c, thr, d0, d1 in cmds:
+        want = next((d for d in days if d > d0 and (d1 is None or d < d1) and vals[d] >= thr), None)
+        assert got.get(c) == want, (c, thr, d0, d1)
