@@ -227,21 +227,19 @@ def _first_day_reaching(active: DataFrame, day_max: DataFrame) -> DataFrame:
     """
     spark = active.sparkSession
     checkpoint_dir(spark)
-    # each level is checkpointed: level k joins level k-1 with itself, so
-    # without cutting lineage the plan would double per level
-    days = day_max.select(
-        "d", F.col("day_max").alias("v"),
-        (F.row_number().over(Window.orderBy("d")) - 1).cast("bigint").alias("i")).checkpoint(eager=True)
+    order = Window.orderBy("d")
+    days = day_max.select("d", F.col("day_max").alias("v"),
+                          (F.row_number().over(order) - 1).cast("bigint").alias("i")).checkpoint(eager=True)
     n = days.count()
     if n == 0:
         return spark.createDataFrame([], "command_id bigint, d_hit date")
     top = n.bit_length() - 1                     # 2^(top+1) - 1 >= n - 1: any skip length fits
-    levels = [days.select("i", F.col("v").alias("m"))]
-    for k in range(1, top + 1):
-        a, b = levels[-1].alias("a"), levels[-1].alias("b")
-        nxt = a.join(b, F.col("b.i") == F.col("a.i") + F.lit(1 << (k - 1)), "left").select(
-            F.col("a.i").alias("i"), F.greatest(F.col("a.m"), F.col("b.m")).alias("m"))
-        levels.append(nxt.checkpoint(eager=True))
+    # all levels in one pass: level k = max over the next 2^k trading days
+    # (windows over the one-row-per-day table, so no self-join lineage)
+    by_i = Window.orderBy("i")
+    sparse = days.select("i", *[F.max("v").over(by_i.rowsBetween(0, (1 << k) - 1)).alias(f"m{k}")
+                                for k in range(top + 1)]).checkpoint(eager=True)
+    levels = [sparse.select("i", F.col(f"m{k}").alias("m")) for k in range(top + 1)]
 
     b = days.select(F.min("d").alias("lo"), F.max("d").alias("hi")).unionByName(
         active.select(F.min("d0").alias("lo"), F.max(F.coalesce("d1", "d0")).alias("hi"))) \
