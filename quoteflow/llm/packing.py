@@ -8,8 +8,9 @@ windows holding h tokens; for a piece of s tokens the change of the sum is
 2(levels[h+s] - levels[h]) + 2 when a window of level h takes it and stays
 open, 1 - 2 levels[h] when that window becomes full, and 2 levels[s] + 1 for a
 new window. Ties take the fullest window. When the partition ends, open windows
-are closed with little padding: the emptiest are cut up to fill the fullest,
-so at most one window a partition is left short.
+are closed with little padding: the emptiest are cut up to fill the gaps of 16
+tokens or more in the fullest, so at most one window a partition is left short
+by more.
 
 Memory is one batch and the open windows' members. The packed pieces are
 written once; windows then get global ids from a prefix sum over the
@@ -41,9 +42,10 @@ class SumOfSquares:
     def __init__(self, size: int):
         self.size, self.n = size, 0
         self.levels = np.zeros(size + 1, np.int64)
-        self.open: dict[int, list[list]] = defaultdict(list)     # level -> windows, each [id, members]
+        self.open: dict[int, list[list]] = defaultdict(list)     # level -> windows, lists of members
 
-    def new(self) -> int:
+    def number(self) -> int:
+        """Windows are numbered as they are closed, without gaps."""
         self.n += 1
         return self.n - 1
 
@@ -63,40 +65,37 @@ class SumOfSquares:
     def place(self, s: int, member) -> list | None:
         """Put a piece of s < size tokens; returns the window if it is now full."""
         h = self.level_for(s)
+        w = self.open[h].pop() if h else []
         if h:
-            w = self.open[h].pop()
             self.levels[h] -= 1
-        else:
-            w = [self.new(), []]
-        w[1].append((h, s, member))
+        w.append((h, s, member, 0))
         if h + s == self.size:
             return w
         self.open[h + s].append(w)
         self.levels[h + s] += 1
         return None
 
-    def close(self) -> list[list]:
-        """Windows still open, the emptiest cut up to fill the fullest. A
-        member becomes (offset, length, member, from): from counts ids that
-        earlier cuts of the piece took."""
-        ws = [[w[0], h, [(o, s, m, 0) for o, s, m in w[1]]] for h in sorted(self.open, reverse=True)
-              for w in self.open[h]]
-        done, spare = [], []
-        while ws or spare:
-            if not ws:
-                w = [self.new(), 0, []]
-            else:
-                w = ws.pop(0)
-            while w[1] < self.size and (spare or ws):
+    def close(self, least: int = 16) -> list[list]:
+        """Windows still open; gaps of ``least`` tokens or more are filled by
+        cutting up the emptiest windows. Members are (offset, length, member,
+        from): from counts the ids that earlier cuts of the piece took."""
+        ws = [[h, w] for h in sorted(self.open, reverse=True) for w in self.open[h]]
+        done, spare, i = [], [], 0
+        while i < len(ws) or spare:
+            h, w = ws[i] if i < len(ws) else [0, []]
+            i += 1
+            while self.size - h >= least or not w:
                 if not spare:
-                    spare = ws.pop()[2]
-                o, s, m, f = spare.pop()
-                take = min(s, self.size - w[1])
-                w[2].append((w[1], take, m, f))
-                w[1] += take
+                    if i >= len(ws):
+                        break
+                    spare = sorted(ws.pop()[1], key=lambda m: m[1])
+                _, s, m, f = spare.pop()
+                take = min(s, self.size - h)
+                w.append((h, take, m, f))
+                h += take
                 if take < s:
-                    spare.append((o, s - take, m, f + take))
-            done.append([w[0], w[2]])
+                    spare.append((0, s - take, m, f + take))
+            done.append(w)
         self.open.clear()
         self.levels[:] = 0
         return done
@@ -135,15 +134,17 @@ def pack(docs: DataFrame, tokenizer_file: str = TOKENIZER, end_id: int = END_ID,
                 total = len(ids)
                 whole = total - total % window
                 for a in range(0, whole, window):
-                    emit(ss.new(), 0, ids[a:a + window], doc_id, a, total)
+                    emit(ss.number(), 0, ids[a:a + window], doc_id, a, total)
                 if whole < total:
                     full = ss.place(total - whole, (doc_id, whole, total, ids[whole:].copy()))
                     if full:
-                        for o, s, (d, st, n, x) in full[1]:
-                            emit(full[0], o, x, d, st, n)
+                        seq = ss.number()
+                        for o, s, (d, st, n, x), _ in full:
+                            emit(seq, o, x, d, st, n)
                 if len(out["seq"]) >= 4096:
                     yield flush()
-        for seq, members in ss.close():
+        for members in ss.close():
+            seq = ss.number()
             for o, s, (d, st, n, x), f in members:
                 emit(seq, o, x[f:f + s], d, st + f, n)
         if out["seq"]:
