@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from quoteflow.llm import exact_dedup
+from quoteflow.llm.exact_dedup import op4_exact_dedup
+from quoteflow.llm.minhash import op8_minhash
 from quoteflow.llm.packing import op2_packing
 from quoteflow.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op8_minhash": op8_minhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_exact_dedup": exact_dedup.ORACLE,
+}
