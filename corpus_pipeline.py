@@ -6,8 +6,33 @@ next one's documents. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quoteflow.llm.common import read, stage
+from quoteflow.llm.exact_dedup import owners
+from quoteflow.llm.minhash import near_groups
 from quoteflow.llm.packing import pack
+from quoteflow.llm.toxicity import clean
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that the toxicity model does not reject."""
+    return clean(docs, read(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark, docs, sf_dir):
+    """One document of each set of equal texts: the one with the largest doc_id."""
+    kept = owners(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    sha = docs.withColumn("sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return (sha.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")),
+                     "left_semi")
+            .dropDuplicates(["doc_id", "sha"]).select(*docs.columns))
+
+
+def minhash(spark, docs, sf_dir):
+    """One document of each group of near copies (five words, 0.8): the smallest doc_id."""
+    dropped = near_groups(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark, docs, sf_dir):
@@ -15,7 +40,7 @@ def packing(spark, docs, sf_dir):
     return pack(docs, keep_ids=False)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("minhash", minhash), ("packing", packing)]
 
 #: The toxicity model and the tokenizer can't be written in SQL.
 ORACLE_SQL = None

@@ -82,7 +82,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     for j in range(m):
         if not len(e):
             break
-        x = mix(e + U(j + 1) * U(0x9E3779B97F4A7C15))
+        x = mix(e + U((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         k = j + ((x >> U(44)) * U(m - j) >> U(20)).astype(np.int64)
         value = (U(j) << U(44)) | (x & U((1 << 44) - 1))
         at = np.arange(len(e))
