@@ -6,15 +6,19 @@ from quoteflow.llm import exact_dedup
 from quoteflow.llm.exact_dedup import op4_exact_dedup
 from quoteflow.llm.minhash import op8_minhash
 from quoteflow.llm.packing import op2_packing
+from quoteflow.llm.sharding import op9_sharding
 from quoteflow.llm.token_files import op1_token_files
 from quoteflow.llm.toxicity import op6_toxicity
+from quoteflow.llm.vectors import op5_vectors
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_vectors": op5_vectors,
     "op6_toxicity": op6_toxicity,
     "op8_minhash": op8_minhash,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE = {
