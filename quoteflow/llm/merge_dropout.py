@@ -33,7 +33,7 @@ from quoteflow.llm.common import crc32_u32, read, texts_of
 from quoteflow.llm.pieces import MODEL, SPACE, Vocabulary, units, vocabulary
 
 SEED, RATE, VARIANTS, HELD = 17, 0.1, 4, 300_000
-OWN = ""                  # a U+2581 of the text, and U+E000 itself: never merged
+OWN = "\ue000"                  # a U+2581 of the text, and U+E000 itself: never merged
 
 
 class Encoder:

@@ -57,7 +57,7 @@ class Counter:
     def count(self, unit: str) -> int:
         found = self.terminal.get(unit)
         if found is None:
-            w = unit.replace(SPACE, "").replace(" ", SPACE)
+            w = unit.replace(SPACE, "\ue000").replace(" ", SPACE)
             states = [(0.0, 0)]
             if len(w) > LONG:
                 return self._long(w)

@@ -12,12 +12,12 @@ from quoteflow.llm.pieces import MODEL, SPACE, units, vocabulary
 from quoteflow.llm.token_counts import Counter, op7_token_counts, token_counts
 
 SF = "/root/testdata/sf0.001"
-TEXT = st.text("ab é漢▁\n<0x41>the", max_size=40)
+TEXT = st.text("ab é漢▁\ue000\n<0x41>the", max_size=40)
 
 
 def plain_count(c, text):
     """The whole text in one recurrence, without trie or units."""
-    w = (" " + text).replace(SPACE, "").replace(" ", SPACE) if text else ""
+    w = (" " + text).replace(SPACE, "\ue000").replace(" ", SPACE) if text else ""
     states = [(0.0, 0)]
     for end in range(1, len(w) + 1):
         options = []
