@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from quoteflow.llm.common import components, read, slices, stage, texts_of
 
 BANDS, ROWS = 24, 5
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 WORDS_HELD = 500_000
 #: Elements whose permutations are held at a time.
 ELEMENTS = 1 << 17
@@ -116,8 +118,14 @@ def _bounded(sets: list[np.ndarray], m: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as SKETCH longs."""
+    bits = np.bincount((mix(s) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (digest of the set) and bands (array<long>)."""
+    """doc_id, n_shingles, h1, h2 (digest of the set), bands and sketch (array<long>)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -136,12 +144,14 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 one = lambda v: pa.array(np.array(v, U).view(np.int64))
                 flat = pa.array(h.reshape(-1).view(np.int64))
                 offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
+                sketch = pa.array([parity(x) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [c.column(0), pa.array([len(s) for s in sets], pa.int64()), one([x >> 64 for x in d]),
-                     one([x & (1 << 64) - 1 for x in d]), pa.ListArray.from_arrays(offsets, flat)],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+                     one([x & (1 << 64) - 1 for x in d]), pa.ListArray.from_arrays(offsets, flat), sketch],
+                    names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
 
-    return texts_of(docs).mapInArrow(part, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return texts_of(docs).mapInArrow(part, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, "
+                                     "sketch array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -176,17 +186,18 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     sig = stage(signed(docs, k, bands, rows), "minhash-signed")
     key = ["n_shingles", "h1", "h2"]
     usable = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = stage(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")),
-                    "minhash-classes")
+    classes = stage(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"),
+                                                F.min("sketch").alias("sketch")), "minhash-classes")
     bucket = classes.select(F.col("rep").alias("id"), F.col("h1"), F.col("n_shingles").alias("n"),
                             F.posexplode("bands").alias("band", "h"))
     shared = bucket.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
-    left = stage(bucket.join(shared, ["band", "h"]), "minhash-buckets")
+    sketches = classes.select(F.col("rep").alias("id"), "h1", "sketch")
+    left = stage(bucket.join(shared, ["band", "h"]).join(sketches, ["id", "h1"]), "minhash-buckets")
     sets = stage(full_sets(texts_of(docs).join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id",
                                                "left_semi"), k).dropDuplicates(["id", "h1"]), "minhash-sets")
     # Rows of one doc_id with several texts tie their classes together.
     twice = usable.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x < y").select("doc_id")
-    links = stage(usable.join(twice, "doc_id", "left_semi").join(classes.drop("bands"), key)
+    links = stage(usable.join(twice, "doc_id", "left_semi").join(classes.drop("bands", "sketch"), key)
                   .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minhash-links")
     comp, centres, upto = components(links, "minhash"), 1, None
     while True:
@@ -198,13 +209,15 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
         now = stage(now.where("upto is null or id > upto").drop("upto"), "minhash-open")
         order = Window.partitionBy("band", "h").orderBy("id", "h1")
         heads = (now.select("band", "h", F.col("id").alias("a"), F.col("h1").alias("ah"), F.col("n").alias("an"),
-                            F.col("c").alias("ac"), "id", "h1")
+                            F.col("c").alias("ac"), F.col("sketch").alias("asketch"), "id", "h1")
                  .withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres).drop("id", "h1", "k"))
         heads = stage(heads, "minhash-heads")
         if heads.isEmpty():
             break
+        differ = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("asketch")[i])) for i in range(SKETCH))
         pairs = (now.join(heads, ["band", "h"]).where("(id > a or id = a and h1 > ah) and c <> ac")
                  .where(100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
+                 .where(differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("an")))
                  .select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct())
         found = stage(_verified(pairs, sets, percent), "minhash-links")
         if not found.isEmpty():
@@ -214,9 +227,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
         upto = tried if upto is None else upto.union(tried).groupBy("band", "h").agg(F.max("upto").alias("upto"))
         upto = stage(upto, "minhash-upto")
         # A bucket's tried members are out of the next rounds.
-        left = now.select("id", "h1", "n", "band", "h")
+        left = now.select("id", "h1", "n", "band", "h", "sketch")
         centres *= 4
-    rep = sig.join(classes.drop("bands"), key, "left")
+    rep = sig.drop("bands", "sketch").join(classes.drop("bands", "sketch"), key, "left")
     out = (rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
            .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                        .when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep"))))
