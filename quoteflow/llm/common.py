@@ -39,12 +39,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage,
-    fixes what a retried task could decide otherwise, and computes it once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fixes what a retried task could decide otherwise, and computes it once. The
+    shuffle files of the write go with it, as nothing reads them again."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables whose successors are written: nothing reads them again."""
+    for t in tables:
+        path = getattr(t, "__dict__", {}).get("staged")
+        if path:
+            sc = t.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -113,7 +135,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
                  .select("x.u", "x.v").where("u <> v").distinct())
-        e = stage(small, f"{name}-round")
+        last, e = e, stage(small, f"{name}-round")
+        discard(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
             break
@@ -121,5 +144,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = e.groupBy("u").agg(F.min("v").alias("component_id"))
-    return (roots.select(F.col("u").alias("id"), "component_id")
-            .union(roots.select(F.col("component_id").alias("id"), "component_id").distinct()))
+    out = (roots.select(F.col("u").alias("id"), "component_id")
+           .union(roots.select(F.col("component_id").alias("id"), "component_id").distinct()))
+    out.staged = e.staged
+    return out

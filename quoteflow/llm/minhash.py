@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import components, read, slices, stage, texts_of
+from quoteflow.llm.common import components, discard, read, slices, stage, texts_of
 
 BANDS, ROWS = 24, 5
 #: 64-bit words of a parity sketch.
@@ -192,14 +192,14 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
                             F.posexplode("bands").alias("band", "h"))
     shared = bucket.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h")
     sketches = classes.select(F.col("rep").alias("id"), "h1", "sketch")
-    left = stage(bucket.join(shared, ["band", "h"]).join(sketches, ["id", "h1"]), "minhash-buckets")
+    left = stage(bucket.join(shared, ["band", "h"]), "minhash-buckets")
     sets = stage(full_sets(texts_of(docs).join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id",
                                                "left_semi"), k).dropDuplicates(["id", "h1"]), "minhash-sets")
     # Rows of one doc_id with several texts tie their classes together.
     twice = usable.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x < y").select("doc_id")
     links = stage(usable.join(twice, "doc_id", "left_semi").join(classes.drop("bands", "sketch"), key)
                   .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minhash-links")
-    comp, centres, upto = components(links, "minhash"), 1, None
+    comp, centres, upto, found = components(links, "minhash"), 1, None, []
     while True:
         now = left.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
         open_ = now.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
@@ -207,28 +207,37 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
         now = now.withColumn("upto", F.lit(None).cast("long")) if upto is None else now.join(upto, ["band", "h"], "left")
         # Ids up to ``upto`` have been centres: they were compared with all members after them.
         now = stage(now.where("upto is null or id > upto").drop("upto"), "minhash-open")
+        discard(left)
         order = Window.partitionBy("band", "h").orderBy("id", "h1")
         heads = (now.select("band", "h", F.col("id").alias("a"), F.col("h1").alias("ah"), F.col("n").alias("an"),
-                            F.col("c").alias("ac"), F.col("sketch").alias("asketch"), "id", "h1")
+                            F.col("c").alias("ac"), "id", "h1")
                  .withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres).drop("id", "h1", "k"))
         heads = stage(heads, "minhash-heads")
         if heads.isEmpty():
             break
+        # Sketches are wide: rows of open buckets get theirs for this join alone.
+        asketches = sketches.select(F.col("id").alias("a"), F.col("h1").alias("ah"), F.col("sketch").alias("asketch"))
         differ = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("asketch")[i])) for i in range(SKETCH))
-        pairs = (now.join(heads, ["band", "h"]).where("(id > a or id = a and h1 > ah) and c <> ac")
+        pairs = (now.join(sketches, ["id", "h1"]).join(heads.join(asketches, ["a", "ah"]), ["band", "h"])
+                 .where("(id > a or id = a and h1 > ah) and c <> ac")
                  .where(100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
                  .where(differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("an")))
                  .select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct())
-        found = stage(_verified(pairs, sets, percent), "minhash-links")
-        if not found.isEmpty():
-            links = links.union(found)
-            comp = components(links, "minhash")
+        found.append(stage(_verified(pairs, sets, percent), "minhash-links"))
+        if not found[-1].isEmpty():
+            links = links.union(found[-1])
+            last, comp = comp, components(links, "minhash")
+            discard(last)
         tried = heads.groupBy("band", "h").agg(F.max("a").alias("upto"))
+        last = upto
         upto = tried if upto is None else upto.union(tried).groupBy("band", "h").agg(F.max("upto").alias("upto"))
         upto = stage(upto, "minhash-upto")
+        discard(last, heads)
         # A bucket's tried members are out of the next rounds.
-        left = now.select("id", "h1", "n", "band", "h", "sketch")
+        left = now.drop("c")
+        left.staged = now.staged
         centres *= 4
+    discard(sets, upto, now, heads, *found)
     rep = sig.drop("bands", "sketch").join(classes.drop("bands", "sketch"), key, "left")
     out = (rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
            .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
