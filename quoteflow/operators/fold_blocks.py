@@ -20,7 +20,8 @@ maps (buy: T + a*p; accepted sell: T * (q - a) / q; removal: 0). So:
 Every task sees one block, or one chunk of blocks of one pair, never a
 whole pair.
 The cost enters blocks as T / q, so low-order bits can differ from a single
-sequential pass; quantities, positions and accept/ignore decisions are exact.
+sequential pass; quantities (whole numbers of 1e-8), positions and
+accept/ignore decisions are exact.
 """
 
 from __future__ import annotations
@@ -35,25 +36,27 @@ from pyspark.sql import types as T
 
 from quoteflow.operators.running import ordered_blocks
 
+UNITS = 100_000_000   # as in pnl
 KEY = ["pair", "blk"]
+NO_NEED = -(1 << 62)   # need of a block without sells
 CHUNK_BLOCKS = 8   # consecutive blocks re-folded per pending pair and round
 ORDER = ["pair", "ts", "order_id"]
 
 SUMMARY = T.StructType([
     T.StructField("pair", T.StringType()), T.StructField("blk", T.LongType()),
-    T.StructField("n", T.LongType()), T.StructField("delta_q", T.DoubleType()),
-    T.StructField("need", T.DoubleType()), T.StructField("sell_first", T.BooleanType()),
+    T.StructField("n", T.LongType()), T.StructField("delta_q", T.LongType()),
+    T.StructField("need", T.LongType()), T.StructField("sell_first", T.BooleanType()),
     T.StructField("has_buy", T.BooleanType()),
 ])
 ENTRY = T.StructType([
     T.StructField("pair", T.StringType()), T.StructField("blk", T.LongType()),
-    T.StructField("q_in", T.DoubleType()), T.StructField("has_in", T.BooleanType()),
+    T.StructField("q_in", T.LongType()), T.StructField("has_in", T.BooleanType()),
     T.StructField("status", T.StringType()),
 ])
 RESOLVED = T.StructType([
     T.StructField("pair", T.StringType()), T.StructField("blk", T.LongType()),
-    T.StructField("q_in", T.DoubleType()), T.StructField("has_in", T.BooleanType()),
-    T.StructField("q_out", T.DoubleType()), T.StructField("has_out", T.BooleanType()),
+    T.StructField("q_in", T.LongType()), T.StructField("has_in", T.BooleanType()),
+    T.StructField("q_out", T.LongType()), T.StructField("has_out", T.BooleanType()),
 ])
 AFFINE = T.StructType([
     T.StructField("pair", T.StringType()), T.StructField("blk", T.LongType()),
@@ -91,28 +94,28 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = []
     for (pair, blk), i, j in _runs(b):
         buy = (b["side"].values[i:j] == "buy")
-        a = b["amount"].values[i:j].astype("float64")
+        a = b["amount"].values[i:j].astype("int64")
         signed = np.where(buy, a, -a)
-        before = np.concatenate(([0.0], np.cumsum(signed)[:-1]))
+        before = np.concatenate(([0], np.cumsum(signed)[:-1]))
         sells = ~buy
-        need = float(np.max(a[sells] - before[sells])) if sells.any() else None
+        need = int(np.max(a[sells] - before[sells])) if sells.any() else NO_NEED
         first_buy = int(np.argmax(buy)) if buy.any() else j - i
         first_sell = int(np.argmax(sells)) if sells.any() else j - i
-        rows.append((pair, int(blk), j - i, float(signed.sum()), need,
+        rows.append((pair, int(blk), j - i, int(signed.sum()), need,
                      bool(sells.any() and first_sell < first_buy), bool(buy.any())))
     yield pd.DataFrame(rows, columns=SUMMARY.fieldNames())
 
 
-def _q_fold(side, amount, q: float, has: bool):
+def _q_fold(side, amount, q: int, has: bool):
     """The quantity/position path of the reference's fold (no cost)."""
     for s, a in zip(side, amount):
-        a = float(a)
+        a = int(a)
         if s == "buy":
             q, has = q + a, True
         elif has and q >= a:
             q = q - a
-            if not q > 0.0:
-                q, has = 0.0, False
+            if not q > 0:
+                q, has = 0, False
     return q, has
 
 
@@ -121,14 +124,14 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pair, from the chunk's known entry state. Input is hash-partitioned by
     pair and sorted by (pair, ts, order_id), which is also block order; the
     fold streams, keeping one pair's state."""
-    cur, q, has, blk, q_in, has_in, rows = None, 0.0, False, None, 0.0, False, []
+    cur, q, has, blk, q_in, has_in, rows = None, 0, False, None, 0, False, []
     for b in batches:
         for pair, bk, side, a, e_q, e_has in zip(b["pair"], b["blk"], b["side"], b["amount"],
                                                   b["start_q"], b["start_has"]):
             if pair != cur:
                 if cur is not None:
                     rows.append((cur, blk, q_in, has_in, q, has))
-                cur, blk, q, has = pair, int(bk), float(e_q), bool(e_has)
+                cur, blk, q, has = pair, int(bk), int(e_q), bool(e_has)
                 q_in, has_in = q, has
             elif int(bk) != blk:
                 rows.append((cur, blk, q_in, has_in, q, has))
@@ -141,20 +144,21 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per pair: entry state of each block while it is known. Columns: the
-    summary plus resolved exits (r_q_in, r_has_in, r_q_out, r_has_out)."""
+    summary plus r_known and the resolved exits (r_q_in, r_has_in, r_q_out,
+    r_has_out; 0 and false where not known, so quantities stay whole numbers)."""
     pdf = pdf.sort_values("blk", ignore_index=True)
-    q, has, out = 0.0, False, []
+    q, has, out = 0, False, []
     for r in pdf.itertuples(index=False):
-        if pd.notna(r.r_q_out) and r.r_q_in == q and bool(r.r_has_in) == has:
+        if r.r_known and r.r_q_in == q and bool(r.r_has_in) == has:
             out.append((r.pair, r.blk, q, has, "ok"))
-            q, has = float(r.r_q_out), bool(r.r_has_out)
+            q, has = int(r.r_q_out), bool(r.r_has_out)
             continue
-        regular = (has or not r.sell_first) and (pd.isna(r.need) or q > r.need)
+        regular = (has or not r.sell_first) and q > r.need
         if not regular:
             out.append((r.pair, r.blk, q, has, "pending"))
             break
         out.append((r.pair, r.blk, q, has, "ok"))
-        q, has = q + float(r.delta_q), has or bool(r.has_buy)
+        q, has = q + int(r.delta_q), has or bool(r.has_buy)
     return pd.DataFrame(out, columns=ENTRY.fieldNames())
 
 
@@ -165,19 +169,19 @@ def _affine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     b = b.sort_values(ORDER, kind="stable", ignore_index=True)
     rows = []
     for (pair, blk), i, j in _runs(b):
-        q, has = float(b["q_in"].values[i]), bool(b["has_in"].values[i])
+        q, has = int(b["q_in"].values[i]), bool(b["has_in"].values[i])
         al, be = 1.0, 0.0
         for s, a, p in zip(b["side"].values[i:j], b["amount"].values[i:j], b["price"].values[i:j]):
-            a, p = float(a), float(p)
+            a, p = int(a), float(p)
             if s == "buy":
-                be += a * p
+                be += (a / UNITS) * p
                 q, has = q + a, True
             elif has and q >= a:
-                m = (q - a) / q if q - a > 0.0 else 0.0
+                m = (q - a) / q if q - a > 0 else 0.0
                 al, be = al * m, be * m
                 q = q - a
-                if not q > 0.0:
-                    q, has = 0.0, False
+                if not q > 0:
+                    q, has = 0, False
         rows.append((pair, int(blk), al, be))
     yield pd.DataFrame(rows, columns=AFFINE.fieldNames())
 
@@ -186,7 +190,7 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("blk", ignore_index=True)
     t, out = 0.0, []
     for r in pdf.itertuples(index=False):
-        out.append((r.pair, r.blk, t / r.q_in if r.q_in > 0.0 else 0.0))
+        out.append((r.pair, r.blk, t / (r.q_in / UNITS) if r.q_in > 0 else 0.0))
         t = r.alpha * t + r.beta
     return pd.DataFrame(out, columns=START.fieldNames())
 
@@ -201,7 +205,7 @@ def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = ([], [], [], [])
     for _, i, j in _runs(b):
         out, _ = fold_run(b["side"].values[i:j], b["amount"].values[i:j], b["price"].values[i:j],
-                          float(b["q_in"].values[i]), float(b["c_in"].values[i]), bool(b["has_in"].values[i]))
+                          int(b["q_in"].values[i]), float(b["c_in"].values[i]), bool(b["has_in"].values[i]))
         for acc, part in zip(cols, out):
             acc.extend(part)
     yield pd.DataFrame({"pair": b["pair"], "order_id": b["order_id"], "ts": b["ts"], "side": b["side"],
@@ -210,7 +214,7 @@ def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def block_fold(trades: DataFrame, fold_schema: T.StructType, n_blocks: int | None = None,
                max_rounds: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Fold ``trades`` (pair, order_id, ts, side, amount, price) block-parallel.
+    """Fold ``trades`` (as ``pnl.in_units`` gives them) block-parallel.
 
     Returns (folded rows of resolved pairs, trades of pairs left for the
     sequential fold)."""
@@ -221,8 +225,9 @@ def block_fold(trades: DataFrame, fold_schema: T.StructType, n_blocks: int | Non
     resolved = spark.createDataFrame([], RESOLVED)
     entries = None
     for _ in range(max_rounds):
-        joined = summ.join(resolved.select(*KEY, *[F.col(c).alias(f"r_{c}") for c in RESOLVED.fieldNames()[2:]]),
-                           KEY, "left")
+        known = resolved.select(*KEY, F.lit(True).alias("r_known"),
+                                *[F.col(c).alias(f"r_{c}") for c in RESOLVED.fieldNames()[2:]])
+        joined = summ.join(known, KEY, "left").fillna(False).fillna(0, ["r_q_in", "r_q_out"])
         entries = joined.groupBy("pair").applyInPandas(_scan, ENTRY).checkpoint()
         pending = entries.where(F.col("status") == "pending").select(*KEY, "q_in", "has_in")
         if pending.limit(1).count() == 0:

@@ -8,9 +8,11 @@ Fold rules kept from the reference (per pair, in trade order):
   the position is removed when q' = 0;
 * sell with a position but q < a: ignored (no short selling);
 * sell without a position: the whole revenue p * a is profit.
-State is kept in double (the stored prices are decimals); realized amounts are
-cast to DECIMAL(38,6) per trade, so every later sum is exact and independent
-of summation order.
+Quantities are whole numbers of 1e-8 (``UNITS`` to the unit), so every
+accept, ignore and remove decision is exact; a net position is held up to
+9.2e10, beyond which the fold raises. Only the average cost is double. Realized
+amounts are cast to DECIMAL(38,6) per trade, so every later sum is exact and
+independent of summation order.
 
 The fold is a per-pair sequential recurrence (the ignore rule makes it
 non-associative), so it runs as a streaming fold over hash-partitioned,
@@ -32,6 +34,8 @@ from quoteflow.plans.joins import cache_small, join_small
 from quoteflow.session import checkpoint_dir
 
 PNL = T.DecimalType(38, 6)
+#: Quantity steps in one unit (quantities are DECIMAL(18,8)).
+UNITS = 100_000_000
 
 # Messages of the reference's validations.
 MSG_THRESHOLD_NEGATIVE = "Threshold must be non-negative"
@@ -65,7 +69,7 @@ def order_to_trade(orders: DataFrame, strict: bool = True) -> DataFrame:
     side = F.when(bad, F.raise_error(F.lit("Unknown order type")) if strict else F.lit(None)).otherwise(side)
     return orders.select(
         F.col("currency_pair").alias("pair"), "order_id", side.alias("side"),
-        F.col("filled_quantity").cast("double").alias("amount"),
+        F.col("filled_quantity").alias("amount"),
         F.col("order_price").cast("double").alias("price"),
         "ts")
 
@@ -83,37 +87,46 @@ FOLD_SCHEMA = T.StructType([
 ])
 
 
-def fold_run(sides, amounts, prices, q: float = 0.0, c: float = 0.0, has: bool = False):
-    """Fold one pair's trades (in order) from state (q, c, has). Returns the
-    per-trade (delta, quantity, avg_cost, has_position) lists and the final
-    state. Shared by the batch fold and the streaming state (ST4)."""
+def in_units(trades: DataFrame) -> DataFrame:
+    """The fold's input columns, ``amount`` as a whole number of 1e-8."""
+    return trades.select(
+        "pair", "order_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "side",
+        (F.col("amount").cast("decimal(26,8)") * F.lit(UNITS)).cast("bigint").alias("amount"),
+        F.col("price").cast("double").alias("price"))
+
+
+def fold_run(sides, amounts, prices, q: int = 0, c: float = 0.0, has: bool = False):
+    """Fold one pair's trades (in order) from state (q, c, has). ``amounts`` and
+    q are whole numbers of 1e-8. Returns the per-trade (delta, quantity,
+    avg_cost, has_position) lists and the final state. Shared by the batch fold
+    and the streaming state (ST4)."""
     n = len(sides)
     d_out, q_out, c_out, h_out = [0.0] * n, [0.0] * n, [0.0] * n, [False] * n
     for i in range(n):
-        a, p = float(amounts[i]), float(prices[i])
+        a, p = int(amounts[i]), float(prices[i])
         delta = 0.0
         if sides[i] == "buy":
             new_q = q + a
-            total = q * c + a * p
-            c = total / new_q if new_q > 0.0 else 0.0
+            total = (q / UNITS) * c + (a / UNITS) * p
+            c = total / (new_q / UNITS) if new_q > 0 else 0.0
             q, has = new_q, True
         elif has and q >= a:
-            delta = (p - c) * a
+            delta = (p - c) * (a / UNITS)
             new_q = q - a
-            if new_q > 0.0:
+            if new_q > 0:
                 q = new_q
             else:
-                q, c, has = 0.0, 0.0, False
+                q, c, has = 0, 0.0, False
         elif not has:
-            delta = p * a
-        d_out[i], q_out[i], c_out[i], h_out[i] = delta, q, c, has
+            delta = p * (a / UNITS)
+        d_out[i], q_out[i], c_out[i], h_out[i] = delta, q / UNITS, c, has
     return (d_out, q_out, c_out, h_out), (q, c, has)
 
 
 def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Streaming fold over rows sorted by (pair, ts, order_id): one pair's
     state at a time, carried across Arrow batches."""
-    cur, state = None, (0.0, 0.0, False)
+    cur, state = None, (0, 0.0, False)
     for b in batches:
         pairs = b["pair"].tolist()
         sides, amts, prices = b["side"].tolist(), b["amount"].tolist(), b["price"].tolist()
@@ -124,7 +137,7 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while j < n and pairs[j] == pairs[i]:
                 j += 1
             if pairs[i] != cur:
-                cur, state = pairs[i], (0.0, 0.0, False)
+                cur, state = pairs[i], (0, 0.0, False)
             out, state = fold_run(sides[i:j], amts[i:j], prices[i:j], *state)
             for acc, part in zip(cols, out):
                 acc.extend(part)
@@ -159,8 +172,7 @@ def fold_trades(trades: DataFrame, hot_rows: int = HOT_PAIR_ROWS, block_rows: in
     """
     from quoteflow.operators.fold_blocks import block_fold
 
-    t = trades.select("pair", "order_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                      "side", "amount", "price")
+    t = in_units(trades)
     hot = t.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
     stats = hot.agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("rows")).first()   # one job
     hot_total = stats["rows"]
@@ -335,7 +347,8 @@ def pnl_status(cum: DataFrame, alerts: DataFrame) -> DataFrame:
     """The P&L agent's status after all trades and commands (one row):
     current P&L, the threshold still in force (cleared by 0 or by being
     reached), whether any threshold was ever reached, and the trading gate
-    (never re-opened once a threshold is reached).
+    (never re-opened once a threshold is reached). Without trades the P&L is 0;
+    without commands no threshold is reached and trading is active.
 
     One aggregate over a union of both inputs, so the single-row answer is
     built by partial/final aggregation without a join."""
@@ -351,5 +364,6 @@ def pnl_status(cum: DataFrame, alerts: DataFrame) -> DataFrame:
                                     cmd.alias("cmd"), alerted.alias("alerted")))
     r = u.agg(F.max("last").alias("last"), F.max("cmd").alias("cmd"), F.max("alerted").alias("reached"))
     threshold = F.when((F.col("cmd.threshold") > 0) & ~F.col("cmd.alerted"), F.col("cmd.threshold"))
-    return r.select(F.col("last.cum_pnl").alias("current_pnl"), threshold.alias("threshold"),
-                    F.col("reached").alias("threshold_reached"), (~F.col("reached")).alias("trading_active"))
+    reached = F.coalesce("reached", F.lit(False))
+    return r.select(F.coalesce("last.cum_pnl", F.lit(0).cast(PNL)).alias("current_pnl"), threshold.alias("threshold"),
+                    reached.alias("threshold_reached"), (~reached).alias("trading_active"))

@@ -171,17 +171,17 @@ orders_fx AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS order_id,
          'P' || CAST(l_partkey % 200 AS VARCHAR) AS currency_pair,
          CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type,
-         CAST(l_quantity AS DECIMAL(18,8)) AS order_quantity,
-         CAST(fq AS DECIMAL(18,8)) AS filled_quantity,
+         CAST(CAST(tq AS DECIMAL(18,0)) * CAST('0.1' AS DECIMAL(2,1)) AS DECIMAL(18,8)) AS order_quantity,
+         CAST(CAST(fq AS DECIMAL(18,0)) * CAST('0.1' AS DECIMAL(2,1)) AS DECIMAL(18,8)) AS filled_quantity,
          CAST(l_extendedprice AS DECIMAL(18,8)) AS order_price,
          CASE l_orderkey % 3 WHEN 0 THEN 'Bitfinex' WHEN 1 THEN 'Kraken' ELSE 'Bitstamp' END AS exchange,
-         CASE WHEN fq >= l_quantity THEN 'FullyFilled' WHEN fq = 0 THEN 'NotFilled'
+         CASE WHEN fq >= tq THEN 'FullyFilled' WHEN fq = 0 THEN 'NotFilled'
               ELSE 'PartiallyFulfilled' END AS status,
          CAST(l_orderkey AS VARCHAR) AS transaction_id,
          l_linenumber AS attempt,
          l_shipdate AS ts
-  FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN l_quantity WHEN l_returnflag = 'N' THEN 0
-                       ELSE floor(l_quantity / 2) END AS fq FROM lineitem)
+  FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN tq WHEN l_returnflag = 'N' THEN 0 ELSE tq // 2 END AS fq
+        FROM (SELECT *, CAST(floor(l_quantity) AS BIGINT) * 10 + l_orderkey % 10 AS tq FROM lineitem))
 )"""
 
 
@@ -190,13 +190,13 @@ def fold_sql(prefix: str, where: str) -> str:
     per trade per pair."""
     return f"""
 {prefix}_trades AS (
-  SELECT currency_pair AS pair, order_id, type AS side, CAST(filled_quantity AS DOUBLE) AS amount,
+  SELECT currency_pair AS pair, order_id, type AS side, CAST(filled_quantity AS DECIMAL(38,8)) AS amount,
          CAST(order_price AS DOUBLE) AS price, ts,
          row_number() OVER (PARTITION BY currency_pair ORDER BY ts, order_id) AS rn
   FROM orders_fx WHERE {where}
 ),
 {prefix}_fold(pair, rn, q, c, has, delta) AS (
-  SELECT pair, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false, CAST(0 AS DOUBLE)
+  SELECT pair, CAST(0 AS BIGINT), CAST(0 AS DECIMAL(38,8)), CAST(0 AS DOUBLE), false, CAST(0 AS DOUBLE)
   FROM (SELECT DISTINCT pair FROM {prefix}_trades)
   UNION ALL
   SELECT n.pair, n.rn,
@@ -204,20 +204,22 @@ def fold_sql(prefix: str, where: str) -> str:
          WHEN f.has AND f.q >= n.amount THEN CASE WHEN f.q - n.amount > 0 THEN f.q - n.amount ELSE 0 END
          ELSE f.q END,
     CASE WHEN n.side = 'buy' THEN
-              CASE WHEN f.q + n.amount > 0 THEN (f.q * f.c + n.amount * n.price) / (f.q + n.amount) ELSE 0 END
+              CASE WHEN f.q + n.amount > 0
+                   THEN (CAST(f.q AS DOUBLE) * f.c + CAST(n.amount AS DOUBLE) * n.price)
+                        / CAST(f.q + n.amount AS DOUBLE) ELSE 0 END
          WHEN f.has AND f.q >= n.amount THEN CASE WHEN f.q - n.amount > 0 THEN f.c ELSE 0 END
          ELSE f.c END,
     CASE WHEN n.side = 'buy' THEN true
          WHEN f.has AND f.q >= n.amount THEN f.q - n.amount > 0
          ELSE f.has END,
     CASE WHEN n.side = 'buy' THEN 0
-         WHEN f.has AND f.q >= n.amount THEN (n.price - f.c) * n.amount
+         WHEN f.has AND f.q >= n.amount THEN (n.price - f.c) * CAST(n.amount AS DOUBLE)
          WHEN f.has THEN 0
-         ELSE n.price * n.amount END
+         ELSE n.price * CAST(n.amount AS DOUBLE) END
   FROM {prefix}_fold f JOIN {prefix}_trades n ON n.pair = f.pair AND n.rn = f.rn + 1
 ),
 {prefix}_folded AS (
-  SELECT n.pair, n.order_id, n.ts, n.side, n.rn, f.delta, f.q AS quantity, f.c AS avg_cost,
+  SELECT n.pair, n.order_id, n.ts, n.side, n.rn, f.delta, CAST(f.q AS DOUBLE) AS quantity, f.c AS avg_cost,
          f.has AS has_position, CAST(f.delta AS DECIMAL(38,6)) AS pnl
   FROM {prefix}_fold f JOIN {prefix}_trades n ON n.pair = f.pair AND n.rn = f.rn
   WHERE f.rn > 0

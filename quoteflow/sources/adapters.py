@@ -132,19 +132,21 @@ LINEITEM_ORDER_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
 
 
 def orders_frame(li: DataFrame, n_pairs: int = 200) -> DataFrame:
-    """``orders`` over any lineitem frame (batch or streaming)."""
-    filled = ("CASE WHEN l_linestatus = 'F' THEN l_quantity WHEN l_returnflag = 'N' THEN 0 "
-              "ELSE floor(l_quantity / 2) END")
+    """``orders`` over any lineitem frame (batch or streaming). Quantities are
+    fractional, in exact tenths: l_quantity plus l_orderkey % 10 tenths."""
+    tenths = "(CAST(floor(l_quantity) AS BIGINT) * 10 + l_orderkey % 10)"
+    filled = f"(CASE WHEN l_linestatus = 'F' THEN {tenths} WHEN l_returnflag = 'N' THEN 0L ELSE {tenths} div 2 END)"
+    exact = "CAST(CAST({} AS DECIMAL(18,0)) * CAST('0.1' AS DECIMAL(2,1)) AS DECIMAL(18,8))".format
     return li.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd')) "
         "AS order_id",
         f"concat('P', cast(l_partkey % {n_pairs} as string)) AS currency_pair",
         "CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type",
-        "CAST(l_quantity AS DECIMAL(18,8)) AS order_quantity",
-        f"CAST({filled} AS DECIMAL(18,8)) AS filled_quantity",
+        f"{exact(tenths)} AS order_quantity",
+        f"{exact(filled)} AS filled_quantity",
         "CAST(l_extendedprice AS DECIMAL(18,8)) AS order_price",
         "CASE l_orderkey % 3 WHEN 0 THEN 'Bitfinex' WHEN 1 THEN 'Kraken' ELSE 'Bitstamp' END AS exchange",
-        f"CASE WHEN {filled} >= l_quantity THEN 'FullyFilled' WHEN {filled} = 0 THEN 'NotFilled' "
+        f"CASE WHEN {filled} >= {tenths} THEN 'FullyFilled' WHEN {filled} = 0 THEN 'NotFilled' "
         "ELSE 'PartiallyFulfilled' END AS status",
         "cast(l_orderkey as string) AS transaction_id",
         "l_linenumber AS attempt",

@@ -263,7 +263,7 @@ def start_live_trading(spark: SparkSession, ticks: DataFrame, params_path: str,
 
 # --------------------------------------------------------------------- ST4
 PNL_STATE = T.StructType([
-    T.StructField("q", T.DoubleType()),
+    T.StructField("q", T.LongType()),
     T.StructField("c", T.DoubleType()),
     T.StructField("has", T.BooleanType()),
 ])
@@ -275,18 +275,17 @@ def _pnl_update(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFra
     """Per pair: continue the weighted-average-cost fold from the stored
     inventory with this batch's trades in (ts, order_id) order."""
     (pair,) = key
-    init = tuple(state.get) if state.exists else (0.0, 0.0, False)
+    init = tuple(state.get) if state.exists else (0, 0.0, False)
     b = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "order_id"], kind="stable")
     (d, q, c, h), final = PNL.fold_run(b["side"].tolist(), b["amount"].tolist(), b["price"].tolist(), *init)
-    state.update((float(final[0]), float(final[1]), bool(final[2])))
+    state.update((int(final[0]), float(final[1]), bool(final[2])))
     yield pd.DataFrame({"pair": pair, "order_id": b["order_id"].values, "ts": b["ts"].values,
                         "side": b["side"].values, "delta": d, "quantity": q, "avg_cost": c, "has_position": h})
 
 
 def stream_pnl(trades: DataFrame) -> DataFrame:
     """ST4: per-pair inventory state; emits the batch fold's per-trade rows."""
-    t = trades.select("pair", "order_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "side", "amount", "price")
-    return t.groupBy("pair").applyInPandasWithState(
+    return PNL.in_units(trades).groupBy("pair").applyInPandasWithState(
         _pnl_update, PNL_OUT, PNL_STATE, "append", GroupStateTimeout.NoTimeout)
 
 

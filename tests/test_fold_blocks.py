@@ -12,7 +12,7 @@ def trades(spark, n, pairs, seed, sell_share=0.4):
     rnd = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
     data = [(f"P{rnd.randrange(pairs)}", f"o{i:06d}", "sell" if rnd.random() < sell_share else "buy",
-             float(rnd.randrange(0, 12)), rnd.randrange(1, 400) / 4, base + dt.timedelta(seconds=i // 3))
+             rnd.randrange(0, 120) / 10, rnd.randrange(1, 400) / 4, base + dt.timedelta(seconds=i // 3))
             for i in range(n)]
     return spark.createDataFrame(data, "pair string, order_id string, side string, amount double, "
                                        "price double, ts timestamp_ntz")
@@ -36,13 +36,10 @@ def test_block_fold_equals_sequential(spark, sell_share, max_rounds):
 
 
 def test_chunked_rounds_avoid_the_sequential_fallback(spark):
-    from pyspark.sql import functions as F
-
     from quoteflow.operators.fold_blocks import block_fold
 
-    t = trades(spark, 4000, 2, seed=5, sell_share=0.5).select(
-        "pair", "order_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "side", "amount", "price")
-    folded, rest = block_fold(t, pnl.FOLD_SCHEMA, n_blocks=16, max_rounds=2)
+    t = trades(spark, 4000, 2, seed=5, sell_share=0.5)
+    folded, rest = block_fold(pnl.in_units(t), pnl.FOLD_SCHEMA, n_blocks=16, max_rounds=2)
     assert rest.count() == 0                                  # every pair took the block path
     seq = by_order(pnl.fold_trades(t))
     par = by_order(folded)

@@ -37,6 +37,40 @@ def test_zero_buy_keeps_a_position_so_sell_is_ignored(spark):
     assert r["A"].realized_pnl == Decimal("0.000000") and r["A"].has_position
 
 
+def test_fractional_quantities_are_exact(spark):
+    # 0.1 + 0.2 - 0.3 leaves no position, so the next sell is all profit.
+    r = by_pair(trades(spark, [("A", "buy", 0.1, 2), ("A", "buy", 0.2, 2), ("A", "sell", 0.3, 2), ("A", "sell", 1, 7),
+                               ("B", "buy", 0.7, 1), ("B", "buy", 0.1, 1), ("B", "sell", 0.8, 2)]))
+    assert r["A"].realized_pnl == Decimal("7.000000") and not r["A"].has_position
+    assert r["B"].realized_pnl == Decimal("0.800000") and not r["B"].has_position
+
+
+def test_fold_in_tenths_matches_exact_fractions(spark):
+    from fractions import Fraction
+
+    rnd = random.Random(9)
+    rows = [(f"P{rnd.randrange(6)}", rnd.choice(["buy", "sell"]), rnd.randrange(0, 40) / 10, rnd.randrange(1, 500))
+            for _ in range(3000)]
+    inv, total = {}, {}
+    for p, s, a, pr in rows:
+        a, d = Fraction(str(a)), Fraction(0)
+        if s == "buy":
+            q, c = inv.get(p, (Fraction(0), Fraction(0)))
+            inv[p] = (q + a, (q * c + a * pr) / (q + a) if q + a else Fraction(0))
+        elif p not in inv:
+            d = a * pr
+        elif inv[p][0] >= a:
+            q, c = inv.pop(p)
+            d = (pr - c) * a
+            if q > a:
+                inv[p] = (q - a, c)
+        total[p] = total.get(p, 0) + d
+    got = by_pair(trades(spark, rows))
+    for p, want in total.items():
+        assert float(got[p].realized_pnl) == pytest.approx(float(want), abs=1e-3)
+        assert got[p].has_position == (p in inv) and got[p].quantity == float(inv.get(p, (0, 0))[0])
+
+
 def _restate(rows):
     inv, total = {}, {}
     for p, s, a, pr in rows:
@@ -130,7 +164,9 @@ def test_empty_inputs(spark):
     a = pnl.threshold_alerts(cum, cmds).collect()
     assert len(a) == 1 and a[0].alert_ts is None
     s = pnl.pnl_status(cum, pnl.threshold_alerts(cum, cmds)).first()
-    assert s.current_pnl is None and s.threshold == Decimal("5.00") and s.threshold_reached is False
+    assert s.current_pnl == 0 and s.threshold == Decimal("5.00") and s.threshold_reached is False
+    s = pnl.pnl_status(cum, pnl.threshold_alerts(cum, cmds.where("false"))).first()
+    assert (s.current_pnl, s.threshold, s.threshold_reached, s.trading_active) == (0, None, False, True)
 
 
 def test_first_day_search_equals_brute_force(spark):
