@@ -15,6 +15,9 @@ PARTIALLY = "PartiallyFulfilled"
 NOT_FILLED = "NotFilled"
 PENDING = "Pending"
 
+#: A report that gives no filled quantity: unreadable, an error reply, or a venue not supported.
+UNREADABLE = "Unreadable"
+
 _KRAKEN_STATUS = T.StructType([
     T.StructField("result", T.MapType(T.StringType(), T.StructType([T.StructField("vol_exec", T.StringType())]))),
 ])
@@ -29,9 +32,9 @@ def venue_symbol(exchange: Column, pair: Column) -> Column:
             .when(exchange == "Bitstamp", F.lower(bare)))
 
 
-def signed_amount(order_type: Column, quantity: Column) -> Column:
-    """Sell quantities are negative (Bitfinex convention)."""
-    return F.when(order_type == "sell", -quantity).otherwise(quantity)
+def signed_amount(exchange: Column, order_type: Column, quantity: Column) -> Column:
+    """Bitfinex takes sell quantities as negative; the others take them plain."""
+    return F.when((exchange == "Bitfinex") & (order_type == "sell"), -quantity).otherwise(quantity)
 
 
 def submitted_order_id(exchange: Column, payload: Column) -> Column:
@@ -55,7 +58,9 @@ def filled_quantity(exchange: Column, payload: Column, order_id: Column, quantit
 
 
 def fill_status(filled: Column, quantity: Column) -> Column:
-    """Filled >= quantity -> FullyFilled; 0 -> NotFilled; else partial."""
-    return (F.when(filled >= quantity, F.lit(FULLY_FILLED))
+    """Filled >= quantity -> FullyFilled; 0 -> NotFilled; no quantity
+    known -> Unreadable; else partial."""
+    return (F.when(filled.isNull(), F.lit(UNREADABLE))
+            .when(filled >= quantity, F.lit(FULLY_FILLED))
             .when(filled == 0, F.lit(NOT_FILLED))
             .otherwise(F.lit(PARTIALLY)))

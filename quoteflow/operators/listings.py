@@ -84,15 +84,15 @@ def all_listings(payloads: DataFrame) -> DataFrame:
 
 
 def cross_traded(listings: DataFrame, strict: bool = False) -> DataFrame:
-    """A5 + X4: pairs occurring more than once (or on two venues if strict)."""
-    g = listings.groupBy("currency1", "currency2").agg(
+    """A5 + X4: pairs occurring more than once (or on two venues if strict)
+    within one fetch; each pair once, with its largest counts in a fetch."""
+    g = listings.groupBy("fetch_id", "currency1", "currency2").agg(
         F.count(F.lit(1)).alias("n_listings"),
         F.countDistinct("source").alias("n_exchanges"))
     cond = (F.col("n_exchanges") > 1) if strict else (F.col("n_listings") > 1)
-    return g.where(cond).select(
-        "currency1", "currency2",
+    return g.where(cond).groupBy("currency1", "currency2").agg(
         pair_label(F.col("currency1"), F.col("currency2")).alias("pair"),
-        "n_listings", "n_exchanges")
+        F.max("n_listings").alias("n_listings"), F.max("n_exchanges").alias("n_exchanges"))
 
 
 def complete_sources(payloads: DataFrame, required=("bitfinex", "bitstamp", "kraken")) -> DataFrame:

@@ -44,7 +44,7 @@ def order_legs(executed: DataFrame) -> DataFrame:
         F.col("quantity").alias("order_quantity"),
         F.lit(OF.PENDING).alias("status"),
         OF.venue_symbol(F.col("leg.exchange"), F.col("pair")).alias("symbol"),
-        OF.signed_amount(F.col("leg.type"), F.col("quantity")).alias("signed_amount"))
+        OF.signed_amount(F.col("leg.exchange"), F.col("leg.type"), F.col("quantity")).alias("signed_amount"))
 
 
 def fill_amounts(orders: DataFrame, reports: DataFrame) -> DataFrame:
@@ -61,12 +61,18 @@ def fill_amounts(orders: DataFrame, reports: DataFrame) -> DataFrame:
 
 def fill_status(fills: DataFrame) -> DataFrame:
     """Classification of each reported fill; NotFilled rows are the
-    reference's notification cases."""
+    reference's notification cases. Unreadable reports update no order
+    (``readable``)."""
     return fills.where("has_report").select(
         "order_id", "exchange", "order_quantity", "filled",
         OF.fill_status(F.col("filled"), F.col("order_quantity")).alias("status"))
 
 
+def readable(statuses: DataFrame) -> DataFrame:
+    """The classified fills that may update an order (G1)."""
+    return statuses.where(F.col("status") != OF.UNREADABLE)
+
+
 def order_chain(attempts: DataFrame) -> DataFrame:
     """Remainder chain. Attempt k asks for the original quantity minus
     earlier fills; the chain continues while attempts are partial and stops

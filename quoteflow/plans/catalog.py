@@ -177,7 +177,7 @@ def q_latest_orders(spark, sf_dir):
     o = adapters.orders(spark, sf_dir)
     created = o.where(F.col("attempt") <= CREATED_MAX_ATTEMPT).select(
         "order_id", F.lit("Pending").alias("status"), F.lit(0).cast("decimal(18,8)").alias("filled_quantity"))
-    upd = orders.fill_status(_fills(spark, sf_dir)).select(
+    upd = orders.readable(orders.fill_status(_fills(spark, sf_dir))).select(
         "order_id", F.lit(1).alias("version"), "status", F.col("filled").alias("filled_quantity"))
     return orders.latest_orders(created, upd)
 

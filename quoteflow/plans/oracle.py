@@ -81,9 +81,11 @@ complete_fetches AS (
 ),
 cross_pairs AS (
   SELECT currency1, currency2, currency1 || '-' || currency2 AS pair,
-         count(*) AS n_listings, count(DISTINCT source) AS n_exchanges
-  FROM listings WHERE fetch_id IN (SELECT fetch_id FROM complete_fetches)
-  GROUP BY currency1, currency2 HAVING count(*) > 1
+         max(n) AS n_listings, max(nx) AS n_exchanges
+  FROM (SELECT fetch_id, currency1, currency2, count(*) AS n, count(DISTINCT source) AS nx
+        FROM listings WHERE fetch_id IN (SELECT fetch_id FROM complete_fetches)
+        GROUP BY fetch_id, currency1, currency2 HAVING count(*) > 1)
+  GROUP BY currency1, currency2
 )"""
 
 ORACLE["listing_pairs"] = "WITH " + LISTINGS + """
@@ -320,7 +322,7 @@ SYMBOL_SQL = ("CASE {e} WHEN 'Bitfinex' THEN 't' || replace({p}, '-', '') "
 
 def _leg(side: str, ex_col: str, price: str) -> str:
     ex = EXCHANGE_NAME_SQL.format(c=ex_col)
-    signed = "-final_qty" if side == "sell" else "final_qty"
+    signed = f"CASE WHEN {ex_col} = 2 THEN -final_qty ELSE final_qty END" if side == "sell" else "final_qty"
     return f"""
 SELECT sha256(pair || ':' || CAST(buy_x AS VARCHAR) || '->' || CAST(sell_x AS VARCHAR) || '@' || CAST(seq AS VARCHAR))
          AS transaction_id,
@@ -333,10 +335,15 @@ ORACLE["order_legs"] = "WITH " + LIVE + _leg("buy", "buy_x", "buy_price") + " UN
     "sell", "sell_x", "sell_price")
 
 ORACLE["fill_amounts"] = "WITH " + ORDERS + """
-SELECT order_id, exchange, order_quantity, filled_quantity AS filled, true AS has_report FROM orders_fx"""
+SELECT order_id, exchange, order_quantity,
+       CASE WHEN CAST(transaction_id AS BIGINT) % 89 > 2 THEN filled_quantity END AS filled,
+       CAST(transaction_id AS BIGINT) % 89 <> 0 AS has_report FROM orders_fx"""
 
 ORACLE["fill_status"] = "WITH " + ORDERS + """
-SELECT order_id, exchange, order_quantity, filled_quantity AS filled, status FROM orders_fx"""
+SELECT order_id, exchange, order_quantity,
+       CASE WHEN CAST(transaction_id AS BIGINT) % 89 > 2 THEN filled_quantity END AS filled,
+       CASE WHEN CAST(transaction_id AS BIGINT) % 89 > 2 THEN status ELSE 'Unreadable' END AS status
+FROM orders_fx WHERE CAST(transaction_id AS BIGINT) % 89 <> 0"""
 
 ORACLE["order_chain"] = "WITH " + ORDERS + """,
 a1 AS (
@@ -365,9 +372,12 @@ SELECT transaction_id, type, count(*) AS attempts, max(initial) AS initial_quant
 FROM a3 WHERE stops_before = 0 GROUP BY transaction_id, type"""
 
 ORACLE["latest_orders"] = "WITH " + ORDERS + """
-SELECT u.order_id, CAST(1 AS BIGINT) AS version, u.status, u.filled_quantity,
-       CASE WHEN c.order_id IS NULL THEN 'No order updated' ELSE 'Success' END AS result
-FROM orders_fx u LEFT JOIN (SELECT order_id FROM orders_fx WHERE attempt <= 5) c USING (order_id)"""
+SELECT order_id, CAST(CASE WHEN told THEN 1 ELSE 0 END AS BIGINT) AS version,
+       CASE WHEN told THEN status ELSE 'Pending' END AS status,
+       CASE WHEN told THEN filled_quantity ELSE CAST(0 AS DECIMAL(18,8)) END AS filled_quantity,
+       CASE WHEN NOT told THEN NULL WHEN attempt > 5 THEN 'No order updated' ELSE 'Success' END AS result
+FROM (SELECT *, CAST(transaction_id AS BIGINT) % 89 > 2 AS told FROM orders_fx)
+WHERE told OR attempt <= 5"""
 
 STRATEGIES = """
 strat AS (

@@ -7,12 +7,16 @@
   arrival order inside the string;
 * S3: live frames: each frame is a JSON array whose *first* element's ``ev``
   selects the frame type; ``XQ`` (and ``XT`` when enabled) frames decode every
-  element as a quote, ``status`` and unknown types are dropped, malformed
-  frames are dropped (PERMISSIVE parsing).
+  element as a quote, ``status`` and unknown types are dropped. A malformed
+  frame, or one with an element whose field has a value of another type, is
+  dropped whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +51,20 @@ def frame_type(col: Column) -> Column:
     return F.when(is_array, F.try_element_at(F.from_json(col, _FRAME_HEAD), F.lit(1))["ev"])
 
 
+def well_typed(col: Column) -> Column:
+    """Whether every field present in a frame's elements has its type."""
+    fields = [f.name for f in schemas.LIVE_QUOTE.fields]
+    as_text = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+    broken = F.zip_with(F.from_json(col, as_text), F.from_json(col, T.ArrayType(schemas.LIVE_QUOTE)),
+                        lambda r, t: reduce(or_, [r[f].isNotNull() & t[f].isNull() for f in fields]))
+    return ~F.exists(broken, lambda b: b)
+
+
 def live_frames(frames: DataFrame, col: str = "value", order_col: str = "frame_seq",
                 events=QUOTE_EVENTS) -> DataFrame:
     """S3: keep quote frames by their first element's ``ev`` and explode them;
     ``seq`` = (frame order, position) packed into one arrival ordinal."""
-    f = frames.where(frame_type(F.col(col)).isin(*events))
+    f = frames.where(frame_type(F.col(col)).isin(*events) & well_typed(F.col(col)))
     q = parse_quotes(f, col, live=True, keep=[order_col])
     return q.withColumn("seq", F.col(order_col) * F.lit(1 << 16) + F.col("pos")).drop("pos")
 

@@ -34,6 +34,13 @@ def test_cross_traded_counts_duplicates_on_one_venue(spark):
     assert listings.cross_traded(l, strict=True).count() == 0
 
 
+def test_cross_traded_counts_within_one_fetch(spark):
+    p = payloads(spark, [("bitfinex", 1, '[["LTC:USD"]]'), ("bitfinex", 2, '[["LTC:USD"]]'),
+                         ("bitstamp", 2, '[{"name":"DOT/EUR"}]'), ("kraken", 2, '{"error":[],"result":{"A":{"wsname":"DOT/EUR"}}}')])
+    got = [(r.pair, r.n_listings, r.n_exchanges) for r in listings.cross_traded(listings.all_listings(p)).collect()]
+    assert got == [("DOT-EUR", 2, 2)]
+
+
 def test_fill_parsing_per_venue(spark):
     o = spark.createDataFrame([
         ("1", "Bitfinex", Decimal("5")), ("2", "Kraken", Decimal("5")), ("3", "Bitstamp", Decimal("5")),
@@ -49,6 +56,16 @@ def test_fill_parsing_per_venue(spark):
     assert not missing.has_report
 
 
+def test_reports_without_a_quantity_are_unreadable(spark):
+    o = spark.createDataFrame([("1", "Bitfinex", Decimal("5")), ("2", "Kraken", Decimal("5")), ("3", "Elsewhere", Decimal("5"))],
+                              "order_id string, exchange string, order_quantity decimal(18,8)")
+    r = spark.createDataFrame([("Bitfinex", "1", "[[1,0,"), ("Kraken", "2", '{"error":["EOrder:Unknown"]}'),
+                               ("Elsewhere", "3", '{"filled":5}')], "exchange string, order_id string, payload string")
+    s = orders.fill_status(orders.fill_amounts(o, r))
+    assert [(x.filled, x.status) for x in s.collect()] == [(None, "Unreadable")] * 3
+    assert orders.readable(s).count() == 0
+
+
 def test_remainder_chain(spark):
     a = spark.createDataFrame([
         ("t", "buy", 1, "a", Decimal("10"), Decimal("4")),
@@ -80,8 +97,10 @@ def test_order_legs_are_stable_and_signed(spark):
     legs = {r.type: r for r in orders.order_legs(ex).collect()}
     assert legs["buy"].transaction_id == legs["sell"].transaction_id
     assert legs["buy"].symbol == "btcusd" and legs["sell"].symbol == "XXBTCUSD"
-    assert legs["sell"].signed_amount == -2.0 and legs["buy"].status == "Pending"
+    assert legs["sell"].signed_amount == 2.0 and legs["buy"].status == "Pending"
     assert orders.order_legs(ex).first().transaction_id == legs["buy"].transaction_id
+    on_bitfinex = orders.order_legs(ex.replace("Kraken", "Bitfinex", ["sell_exchange"])).where("type = 'sell'").first()
+    assert on_bitfinex.signed_amount == -2.0
 
 
 def test_strategy_validation_order(spark):
