@@ -35,9 +35,17 @@ def minhash(spark, docs, sf_dir):
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+#: Documents a partition that is packed as one, about; and the most partitions.
+PACKED_TOGETHER, MOST_PARTS = 4096, 200_000
+
+
 def packing(spark, docs, sf_dir):
-    """Pieces of at most 2048 tokens of every document that is left."""
-    return pack(docs, keep_ids=False)
+    """Pieces of at most 2048 tokens of every document that is left. Documents
+    are dealt by doc_id into parts whose count follows from the rows, so that the
+    windows do not depend on how the stages before were partitioned."""
+    parts = min(max(-(-docs.count() // PACKED_TOGETHER), 1), MOST_PARTS)
+    dealt = docs.select("doc_id", "text").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    return pack(dealt, keep_ids=False)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("minhash", minhash), ("packing", packing)]
