@@ -12,9 +12,12 @@
    beam BEAM from the shard's medoid, which then expands its range, every node within
    SLACK of the threshold, until nothing new is found. Queries come in blocks.
 5. Candidates are verified by cosine in double precision.
-6. Audit: for at most AUDIT classes, links by brute force over all classes, in
-   blocks; while the recall of found links is below RECALL, probes double and the
-   search is done again.
+6. Audit: one class in STRIDE, by the hash of its id, is compared with all classes,
+   in blocks. With fewer than PROOF audited classes that have a link the audit takes
+   more classes, all in the end. While the recall of found links is below RECALL (1
+   where all classes were audited), probes double and the search is done again. When
+   all clusters were probed and the audit still fails, all classes are compared in
+   blocks, so the answer is exact.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, as do those with a null vec_id, which are kept with a
@@ -33,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import components, read, stage
+from quoteflow.llm.common import components, discard, read, stage
 
 SAMPLE, SHARD, PER_CLUSTER, BUILD, PROBE = 20_000, 1500, 800, 2, 3
 DEGREE, ALPHA, BEAM, SLACK, BLOCK = 24, 1.2, 24, 0.05, 256
-AUDIT, RECALL = 256, 0.99
+STRIDE, PROOF, RECALL = 50, 100, 0.99
+COMPARED = 1 << 19           # vector components held at a time as queries of an exact comparison
 
 
 def normal(x: np.ndarray) -> np.ndarray:
@@ -198,6 +202,7 @@ def _one_length(classes: DataFrame, threshold: float) -> DataFrame:
             out.append(pd.DataFrame({"a": np.minimum(u, v)[sure], "b": np.maximum(u, v)[sure]}))
         return pd.concat([none, *out])
 
+    true, whole = evidence(classes, n, x.shape[1], threshold)
     probes = PROBE
     while True:
         asked = assigned(classes, centres, probes).join(F.broadcast(split), "cluster")
@@ -213,8 +218,13 @@ def _one_length(classes: DataFrame, threshold: float) -> DataFrame:
         pairs = (shards.select(*key, "id", "body", "near").groupBy(*key)
                  .cogroup(asked.select(*key, "id", "body").groupBy(*key)).applyInPandas(find, "a long, b long"))
         pairs = stage(pairs.distinct(), "vec-links")
-        if probes >= len(centres) or audit(classes, pairs, threshold) >= RECALL:
+        if audit(true, pairs) >= (1.0 if whole else RECALL):
             return pairs
+        discard(pairs)
+        if probes >= len(centres):
+            if not whole:
+                true = compared(classes, classes, n, x.shape[1], threshold)
+            return true.select("a", "b").distinct()
         probes *= 2
 
 
@@ -227,23 +237,52 @@ def linked(u, v, threshold: float) -> np.ndarray:
     return dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))) >= threshold
 
 
-def audit(classes: DataFrame, pairs: DataFrame, threshold: float) -> float:
-    """Share of the true links of at most AUDIT classes that were found."""
-    some = classes.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(AUDIT).collect()
-    ids, x = np.array([r["id"] for r in some]), normal(_matrix([r["body"] for r in some]))
+def compared(classes: DataFrame, some: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
+    """Links a < b of ``some`` (n rows) with all classes, pair by pair; q is the row of
+    ``some``. Its vectors go out in blocks, one pass over the classes for each."""
+    blocks = -(-n * dim // COMPARED) or 1
+    out = None
+    for k in range(blocks):
+        block = some.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks)) == k).select("id", "body").collect()
+        if not block:
+            continue
+        ids, bodies = np.array([r["id"] for r in block]), np.array([r["body"] for r in block], object)
+        x = normal(_matrix(bodies))
+
+        def part(batches: Iterator[pa.RecordBatch], ids=ids, bodies=bodies, x=x) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for a in range(0, b.num_rows, 256):
+                    s = b.slice(a, 256)
+                    v, w = s.column(0).to_numpy(), np.array(s.column(1).to_pylist(), object)
+                    i, j = np.nonzero(normal(_matrix(w)) @ x.T >= threshold - 1e-9)
+                    i, j = i[v[i] != ids[j]], j[v[i] != ids[j]]
+                    for c in range(0, len(i), 4096):
+                        f, t = i[c:c + 4096], j[c:c + 4096]
+                        sure = linked(w[f], bodies[t], threshold)
+                        f, t = v[f[sure]], ids[t[sure]]
+                        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.minimum(f, t)), pa.array(np.maximum(f, t))],
+                                                         names=["q", "a", "b"])
+
+        links = stage(classes.select("id", "body").mapInArrow(part, "q long, a long, b long"), "vec-true")
+        out = links if out is None else out.union(links)
+    return out if out is not None else classes.selectExpr("id as q", "id as a", "id as b").where("false")
+
+
+def evidence(classes: DataFrame, n: int, dim: int, threshold: float) -> tuple[DataFrame, bool]:
+    """True links of the audited classes, of which PROOF have one, or of all classes
+    (then True)."""
+    stride = STRIDE
+    while True:
+        some = classes.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(stride)) == 0)
+        true = compared(classes, some, some.count(), dim, threshold)
+        if stride == 1 or true.select("q").distinct().count() >= PROOF:
+            return true, stride == 1
+        stride = max(1, stride // 8)
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                s = b.slice(a, 1024)
-                v = s.column(0).to_numpy()
-                i, j = np.nonzero(normal(_matrix(s.column(1).to_pylist())) @ x.T >= threshold)
-                i, j = i[v[i] != ids[j]], j[v[i] != ids[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], ids[j])), pa.array(np.maximum(v[i], ids[j]))],
-                                                 names=["a", "b"])
-
-    true = classes.mapInArrow(part, "a long, b long").distinct()
-    got = true.join(pairs.withColumn("found", F.lit(1)), ["a", "b"], "left")
+
+def audit(true: DataFrame, pairs: DataFrame) -> float:
+    """Share of the true links that were found."""
+    got = true.select("a", "b").distinct().join(pairs.withColumn("found", F.lit(1)), ["a", "b"], "left")
     r = got.agg(F.count("*").alias("n"), F.count("found").alias("found")).first()
     return r["found"] / r["n"] if r["n"] else 1.0
 

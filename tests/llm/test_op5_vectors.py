@@ -49,3 +49,27 @@ def test_split_clusters_and_odd_rows(spark, monkeypatch):
     odd = spark.createDataFrame([(None, [1.0]), (4, [1.0]), (4, [1.0])], df.schema[:2])
     assert sorted(map(str, near_vectors(odd).collect())) == sorted(
         ["Row(vec_id=None, n_links=0, component_id=None, kept=True)"] + ["Row(vec_id=4, n_links=1, component_id=4, kept=True)"] * 2)
+
+
+def test_links_the_search_misses(spark, monkeypatch):
+    """One cluster only, and a search that finds nothing: the audit must notice."""
+    monkeypatch.setattr(V, "search", lambda *a: (np.empty(0, int), np.empty(0, int)))
+    r = np.random.default_rng(4)
+    base = r.normal(size=(60, 12))
+    rows = [(i, (base[i % 60] + r.normal(size=12) * 0.05).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for stride, proof in ((50, 100), (2, 10)):       # all classes audited; a part of them
+        monkeypatch.setattr(V, "STRIDE", stride, raising=False)
+        monkeypatch.setattr(V, "PROOF", proof, raising=False)
+        assert sorted(map(tuple, near_vectors(df).collect())) == brute(rows)
+
+
+def test_too_few_links_are_no_proof(spark, monkeypatch):
+    """Two links among 300 vectors, missed by the search and by any small sample."""
+    monkeypatch.setattr(V, "search", lambda *a: (np.empty(0, int), np.empty(0, int)))
+    monkeypatch.setattr(V, "PER_CLUSTER", 10)        # over three clusters, so that the old audit ran
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=24).tolist()) for i in range(300)]
+    rows += [(1000 + i, (np.array(rows[i][1]) * 1.001 + 1e-3).tolist()) for i in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_vectors(df).collect())) == brute(rows)
