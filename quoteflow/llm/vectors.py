@@ -7,9 +7,12 @@
    overlap; a cluster of more than SHARD members is split by hash, so no task
    holds an unbounded group.
 3. Each shard builds a flat graph: a node's nearest members are robustly pruned to
-   DEGREE neighbours. The adjacency lists of a class in all its shards are united.
+   DEGREE neighbours. The adjacency lists of a class in all its shards are united;
+   a search walks those of their edges that stay in its shard, both ways, none cut.
+   Parts without an edge between them are joined to the medoid's.
 4. Each class searches every shard of its PROBE nearest clusters: a greedy search of
-   beam BEAM from the shard's medoid, which then expands its range, every node within
+   beam BEAM from the shard's medoid and from the class's own node, if it is a member,
+   which then expands its range, every node within
    SLACK of the threshold, until nothing new is found. Queries come in blocks.
 5. Candidates are verified by cosine in double precision.
 6. Audit: one class in STRIDE, by the hash of its id, is compared with all classes,
@@ -121,31 +124,60 @@ def pruned(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def walkable(rows: list[list[int]], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The graph of neighbour lists, walked both ways, as (first, to): node i's
+    neighbours are to[first[i]:first[i + 1]]; and the medoid. Every node can be
+    reached from it: a part without an edge to the medoid's gets one, from its
+    node nearest to the medoid."""
+    both: list[dict[int, None]] = [dict.fromkeys(r) for r in rows]
+    for i, r in enumerate(rows):
+        for j in r:
+            both[j][i] = None
+    start = int((x @ x.mean(0)).argmax())
+    near = np.argsort(-(x @ x[start]), kind="stable").tolist()
+    seen = np.zeros(len(x), bool)
+    for i in [start, *near]:
+        if not seen[i]:
+            if i != start:
+                both[start][i] = both[i][start] = None
+            seen[i], todo = True, [i]
+            while todo:
+                for j in both[todo.pop()]:
+                    if not seen[j]:
+                        seen[j] = True
+                        todo.append(j)
+    first = np.cumsum([0, *map(len, both)])
+    return first, np.fromiter((j for r in both for j in r), int, first[-1]), start
+
+
+def search(x: np.ndarray, first: np.ndarray, to: np.ndarray, start: int, own: np.ndarray, q: np.ndarray,
+           least: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs with similarity of ``least`` or more that a greedy
-    search from ``start`` finds, all queries in step. graph: n x degree, -1: none."""
+    search finds, all queries in step. first, to: the graph; a query starts from
+    ``start`` and from its own node, -1: none."""
     n, m = len(x), len(q)
-    sim = np.full((m, n + 1), -9, "f4")                # the last column takes the missing neighbours
+    sim = np.full((m, n), -9, "f4")
     sim[:, start] = q @ x[start]
-    done = np.zeros((m, n + 1), bool)
-    done[:, n] = True
+    has = np.nonzero(own >= 0)[0]
+    sim[has, own[has]] = np.einsum("ij,ij->i", q[has], x[own[has]])
+    done = np.zeros((m, n), bool)
     active, wide = np.arange(m), least - SLACK
     beam = min(BEAM, n)
     while len(active):
         s = sim[active]
-        floor = np.partition(s[:, :n], n - beam, axis=1)[:, n - beam]
+        floor = np.partition(s, n - beam, axis=1)[:, n - beam]
         floor = np.minimum(np.where(floor > -9, floor, -8), wide)
         s[done[active]] = -9
         top = s.argmax(1)
         go = s[np.arange(len(active)), top] >= floor
         active, top = active[go], top[go]
         done[active, top] = True
-        to = graph[top]
-        fresh = (to >= 0) & (sim[active[:, None], to] == -9)
-        r, c = np.nonzero(fresh)
-        at = to[r, c]
-        sim[active[r], at] = np.einsum("ij,ij->i", q[active[r]], x[at])
-    sim[:, n] = -9
+        count = first[top + 1] - first[top]
+        r = np.repeat(active, count)
+        at = to[np.arange(len(r)) + np.repeat(first[top] - (np.cumsum(count) - count), count)]
+        fresh = sim[r, at] == -9
+        r, at = r[fresh], at[fresh]
+        sim[r, at] = np.einsum("ij,ij->i", q[r], x[at])
     return np.nonzero(sim >= least)
 
 
@@ -181,21 +213,13 @@ def _one_length(classes: DataFrame, threshold: float) -> DataFrame:
         pdf = pdf.sort_values("id")
         ids, exact = pdf["id"].to_numpy(), normal(_matrix(pdf["body"]))
         x, place = exact.astype("f4"), {k: i for i, k in enumerate(ids.tolist())}
-        rows = [[place[k] for k in near if k in place] for near in pdf["near"]]
-        back: list[list[int]] = [[] for _ in rows]
-        for i, r in enumerate(rows):                   # links are walked both ways
-            for j in r:
-                back[j].append(i)
-        rows = [list(dict.fromkeys(r + s[:DEGREE])) for r, s in zip(rows, back)]
-        graph = np.full((len(ids), max(1, max(map(len, rows)))), -1)
-        for i, r in enumerate(rows):
-            graph[i, :len(r)] = r
-        start = int((x @ x.mean(0)).argmax())
+        first, to, start = walkable([[place[k] for k in near if k in place] for near in pdf["near"]], x)
         asked_ids, asked_x = asked["id"].to_numpy(), normal(_matrix(asked["body"]))
         out = []
         for a in range(0, len(asked_ids), BLOCK):
             q = asked_x[a:a + BLOCK]
-            i, j = search(x, graph, start, q.astype("f4"), threshold - 1e-4)
+            own = np.array([place.get(k, -1) for k in asked_ids[a:a + BLOCK].tolist()])
+            i, j = search(x, first, to, start, own, q.astype("f4"), threshold - 1e-4)
             ok = np.einsum("ij,ij->i", q[i], exact[j]) >= threshold - 1e-9
             u, v, ui, vj = asked_ids[a + i[ok]], ids[j[ok]], asked["body"].to_numpy()[a + i[ok]], pdf["body"].to_numpy()[j[ok]]
             sure = linked(ui, vj, threshold) & (u != v)

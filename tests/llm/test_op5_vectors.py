@@ -73,3 +73,30 @@ def test_too_few_links_are_no_proof(spark, monkeypatch):
     rows += [(1000 + i, (np.array(rows[i][1]) * 1.001 + 1e-3).tolist()) for i in range(2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, near_vectors(df).collect())) == brute(rows)
+
+
+def test_clump_away_from_the_medoid(spark, monkeypatch):
+    """150 near copies whose lists hold nothing else, in a shard whose medoid is far
+    away: the graph search by itself, the audit taken out, finds their links."""
+    monkeypatch.setattr(V, "audit", lambda *a: 1.0)
+    r = np.random.default_rng(6)
+    far, clump = np.eye(16)[0] * 4, np.eye(16)[1] * 4
+    rows = [(i, (far + r.normal(size=16) * 0.8).tolist()) for i in range(400)]
+    rows += [(1000 + i, (clump + r.normal(size=16) * 0.05).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_vectors(df).collect())) == brute(rows)
+
+
+def test_every_node_is_reached():
+    r = np.random.default_rng(7)
+    x = V.normal(r.normal(size=(60, 8))).astype("f4")
+    first, to, start = V.walkable([[0] if i % 2 else [(i + 2) % 60] for i in range(50)] + [[] for _ in range(10)], x)
+    seen, todo = {start}, [start]
+    while todo:
+        i = todo.pop()
+        new = set(to[first[i]:first[i + 1]].tolist()) - seen
+        seen |= new
+        todo += new
+    assert len(seen) == 60
+    i, j = V.search(x, first, to, start, np.arange(60), x, 0.9999)     # from their own nodes
+    assert set(range(60)) <= set(i[i == j].tolist())
