@@ -6,8 +6,10 @@ score; it becomes a capacity from the source (content) or to the sink (boilerpla
 Smoothness edges join blocks next to each other and, through a node per enclosing
 element, blocks close in the DOM. The source side of a minimum cut (Dinic's maximum
 flow) is the main text. The classifier's weights are parameters below, not fitted:
-no page is labelled. Tags and class words that name a part that never is main text
-weigh more than all edges of a block.
+no page is labelled. Tags of parts that never are main text weigh more than all edges
+of a block. Class words of such parts, and forms, are a limited cost to the blocks
+below, which the cut weighs against the rest; an element that holds over half of the
+long unlinked text (of the articles and main elements, else of the page) costs nothing.
 
 Each page is worked on alone, in time near linear in its blocks, in the scan's
 partitions; nothing is shuffled.
@@ -33,7 +35,7 @@ from quoteflow.llm.common import read
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
                    "strong sub sup time tt u var br wbr img".split())
-NEVER = frozenset("head script style noscript template nav footer aside form iframe svg button select option textarea "
+NEVER = frozenset("head script style noscript template nav footer aside iframe svg button select option textarea "
                   "menu dialog object canvas audio video".split())
 MAIN = frozenset("article main".split())
 WORD = re.compile(r"[a-z]+")
@@ -43,7 +45,7 @@ BOILER = frozenset("ad ads advert adverts advertisement advertising banner spons
                    "breadcrumb breadcrumbs newsletter subscribe signup login search pagination pager widget copyright".split())
 BODY = frozenset("article content post entry story body main text".split())
 #: Classifier weights, and capacities of edges.
-W_NEVER, W_BOILER, W_MAIN, W_BODY, W_HEADING, W_LINKS, W_BIAS, W_LONG, LONG = -40.0, -20.0, 8.0, 2.0, 0.5, -4.0, -1.0, 2.5, 25
+W_NEVER, W_BOILER, W_MAIN, W_BODY, W_HEADING, W_LINKS, W_BIAS, W_LONG, LONG = -40.0, -13.0, 8.0, 2.0, 0.5, -4.0, -1.0, 2.5, 25
 NEXT, SAME_PARENT, UP = 0.4, 0.6, 0.3
 
 
@@ -55,7 +57,10 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, float, int]] = []
         self.parents = [-1]
-        # tag, element number, never, boiler, main, body, links
+        self.marked = [False]                   # elements whose name is one of boilerplate
+        self.inner = [False]                    # elements in an article or main
+        self.weights: list[tuple[float, bool]] = []     # of each block: long unlinked text, in article or main
+        # tag, element number, never, inline element marked, main, body, links
         self.stack = [("", 0, False, False, False, False, False)]
         self.held: list[str] = []
         self.linked = 0
@@ -63,14 +68,32 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            tag, number, never, boiler, main, body, _ = next(x for x in reversed(self.stack) if x[0] not in INLINE)
+            tag, number, never, _, main, body, _ = next(x for x in reversed(self.stack) if x[0] not in INLINE)
             words = len(text.split())
-            score = W_BIAS + W_LONG * min(words / LONG, 1.0) + W_LINKS * min(1.0, self.linked / len(text))
-            score += W_MAIN * main + W_BODY * body + W_HEADING * (tag in ("h1", "h2", "h3")) + W_NEVER * never + W_BOILER * boiler
+            long, links = min(words / LONG, 1.0), min(1.0, self.linked / len(text))
+            score = W_BIAS + W_LONG * long + W_LINKS * links
+            score += W_MAIN * main + W_BODY * body + W_HEADING * (tag in ("h1", "h2", "h3")) + W_NEVER * never
             self.blocks.append((text, score, number))
+            self.weights.append((0.0 if never else words * long * (1.0 - links), main))
         self.held.clear()
         self.linked = 0
 
+    def scored(self) -> list[tuple[str, float, int]]:
+        """The blocks, less the cost of marked elements around them. Parents have
+        smaller numbers than their children."""
+        inside = any(w and main for w, main in self.weights)
+        total = [0.0] * len(self.parents)
+        for (_, _, p), (w, main) in zip(self.blocks, self.weights):
+            total[p] += w if main or not inside else 0.0
+        for k in range(len(total) - 1, 0, -1):
+            total[self.parents[k]] += total[k]
+        cost = [False] * len(total)
+        for k in range(1, len(total)):
+            least = 0 if inside and not self.inner[k] else LONG         # around an article, or else one long block
+            most = total[k] > total[0] / 2 and total[k] >= least
+            cost[k] = cost[self.parents[k]] or self.marked[k] and not most
+        return [(text, score + W_BOILER * cost[p], p) for text, score, p in self.blocks]
+
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.held.append(" ")
@@ -79,16 +102,19 @@ class Blocks(HTMLParser):
             self._close_implied(tag)
         if tag in VOID:
             return
-        _, parent, never, boiler, main, body, link = self.stack[-1]
+        _, parent, never, pending, main, body, link = self.stack[-1]
         names = frozenset(WORD.findall(" ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()))
+        whole = tag in ("html", "body") or tag in MAIN          # a class of the whole page names no part of it
+        marked = pending or tag == "form" or not whole and not BOILER.isdisjoint(names - {"header"} if main else names)
+        marked = marked or tag == "header" and not main         # an article's own header holds its title
         if tag in INLINE:
             number = parent
         else:
             number = len(self.parents)
             self.parents.append(parent)
-        whole = tag in ("html", "body") or tag in MAIN          # a class of the whole page names no part of it
-        boiler = boiler or not whole and not BOILER.isdisjoint(names) or tag == "header" and not main
-        self.stack.append((tag, number, never or tag in NEVER, boiler, main or tag in MAIN,
+            self.marked.append(marked)
+            self.inner.append(main)
+        self.stack.append((tag, number, never or tag in NEVER, marked and tag in INLINE, main or tag in MAIN,
                            body or not BODY.isdisjoint(names), link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
@@ -199,7 +225,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    keep = labels(parser.blocks, parser.parents)
+    keep = labels(parser.scored(), parser.parents)
     return "\n\n".join(b[0] for b, k in zip(parser.blocks, keep) if k)
 
 

@@ -24,6 +24,23 @@ def test_page():
     assert main_text(f"<body><p>{long}</p><p>short one.</p><p>{long}</p><div id=footer>x</div>").count("\n\n") == 2
 
 
+def test_wrappers_named_like_boilerplate():
+    """A word of an enclosing element does not empty the page; parts so named still go."""
+    one, two = "first " * 30, "second " * 30
+    text = f"Title\n\n{one.strip()}\n\n{two.strip()}"
+    inner = f'<h1>Title</h1><p>{one}</p><p>{two}</p><div class="comments"><p>{"nice " * 30}</p></div>'
+    ad = f'<div class="ad">{"buy " * 30}</div>'
+    for a, z in [('<div class="layout has-sidebar">', "</div>"), ('<section id="no-comments">', "</section>"), ("<form>", "</form>"),
+                 ('<form id="login-form"><div role="banner">', "</div></form>"), ('<span class="promo"><div>', "</div></span>")]:
+        assert main_text(f"<body>{a}{ad}<article>{inner}</article>{ad}{z}{ad}") == text
+        assert main_text(f"<body>{a}<article class=post><div class='entry-header'><h1>Title</h1></div><p>{one}</p><p>{two}</p></article>{z}") == text
+        assert main_text(f"<body>{a}<p>{one}</p><p>{two}</p>{z}{ad}") == text[7:]
+        assert main_text(f"<article>{a}<p>{one}</p><p>{two}</p>{z}</article>{ad}") == text[7:]
+    replies = "".join(f'<li class="comment"><article class="comment-body"><p>{"reply " * 40}</p></article></li>' for _ in range(9))
+    assert main_text(f"<body><article>{inner}</article><div id=comments><ol>{replies}</ol></div>") == text
+    assert main_text(f"<main><article>{inner}<form><p>{'sign up ' * 9}</p></form></article><div id=comments><ol>{replies}</ol></div></main>") == text
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 5)), max_size=14))
 def test_cut_is_minimal(raw):
