@@ -2,11 +2,12 @@
 
 A unit (a run of spaces and what follows it) starts as characters. An agenda holds
 candidate merges of neighbours by piece score, then place. A candidate taken from the
-agenda is skipped when the hash of (seed, variant, its place, its piece) falls below
-the dropout rate; it is then gone for good. The variant is the hash of the seed, the
-document id and the unit's number modulo VARIANTS, so the same word is cut in different
-ways, results do not depend on the partitioning, and cuts can be kept per unit and
-variant. Rate 0 is the model's own encoding.
+agenda is skipped when the hash of (seed, document id, the unit's number, its place,
+its piece) falls below the dropout rate; it is then gone for good. So every occurrence
+of a word is cut by its own draws, and results do not depend on the partitioning. Which
+candidate comes next follows from the unit and the decisions before it; that tree, which
+no draw is part of, is kept as far as it was walked, up to HELD nodes. Rate 0 is the
+model's own encoding.
 
 Characters outside the vocabulary become byte tokens; so does a U+2581 of the text
 itself, which else would come back as a space. Decoding is then exact for any text.
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,31 +32,52 @@ from pyspark.sql import functions as F
 from quoteflow.llm.common import crc32_u32, read, texts_of
 from quoteflow.llm.pieces import MODEL, SPACE, Vocabulary, units, vocabulary
 
-SEED, RATE, VARIANTS, HELD = 17, 0.1, 4, 300_000
+SEED, RATE, HELD = 17, 0.1, 600_000
 OWN = "\ue000"                  # a U+2581 of the text, and U+E000 itself: never merged
 
 
 class Encoder:
     def __init__(self, v: Vocabulary, seed: int = SEED, rate: float = RATE):
         self.v, self.seed, self.limit = v, seed, int(rate * (1 << 32))
-        self.held: dict[tuple[str, int], list[int]] = {}
-
-    def unit(self, u: str, variant: int) -> list[int]:
-        found = self.held.get((u, variant))
-        if found is None:
-            if len(self.held) >= HELD:
-                self.held.clear()
-            found = self._merged(u, variant)
-            if len(u) <= 128:
-                self.held[u, variant] = found
-        return found
-
-    def _merged(self, u: str, variant: int) -> list[int]:
+        self.held: dict = {}        # of a unit: [candidate, node if taken, node if skipped], or its ids (a tuple)
+        self.nodes = 0
+
+    def skipped(self, x: bytes, draw: int) -> bool:
+        return self.limit and xxhash.xxh3_64_intdigest(x, draw) >> 32 < self.limit
+
+    def unit(self, u: str, draw: int) -> tuple[int, ...]:
+        """Ids of a unit; ``draw`` seeds the hashes of its candidates."""
+        node = self.held.get(u)
+        while node is not None:
+            if type(node) is tuple:
+                return node
+            node = node[2 if self.skipped(node[0], draw) else 1]
+        ids, path = self._merged(u, draw)
+        if len(u) <= 128:
+            self._keep(u, path, ids)
+        return ids
+
+    def _keep(self, u: str, path: list[tuple[bytes, bool]], ids: tuple[int, ...]) -> None:
+        if self.nodes >= HELD:
+            self.held.clear()
+            self.nodes = 0
+        at, side = self.held, u
+        for x, skip in path:
+            if (at.get(u) if at is self.held else at[side]) is None:
+                at[side] = [x, None, None]
+                self.nodes += 1
+            at, side = at[side], 2 if skip else 1
+        at[side] = ids
+        self.nodes += 1
+
+    def _merged(self, u: str, draw: int) -> tuple[tuple[int, ...], list[tuple[bytes, bool]]]:
+        """Ids, and the candidates in turn: the bytes that are hashed, whether skipped."""
         scores = self.v.scores
         text = [SPACE if c == " " else OWN if c == SPACE else c for c in u]
         n = len(text)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[float, int, str, int]] = []
+        path: list[tuple[bytes, bool]] = []
 
         def propose(a: int) -> None:
             z = after[a]
@@ -71,7 +92,9 @@ class Encoder:
             _, a, p, z = heapq.heappop(agenda)
             if after[a] != z or text[a] is None or text[z] is None or text[a] + text[z] != p:
                 continue
-            if self.limit and xxhash.xxh32_intdigest(f"{variant}:{a}:{p}".encode(), self.seed) < self.limit:
+            x = f"{a}:{p}".encode()
+            path.append((x, bool(self.skipped(x, draw))))
+            if path[-1][1]:
                 continue
             text[a], text[z] = p, None
             after[a] = after[z]
@@ -87,14 +110,14 @@ class Encoder:
                     out.append(self.v.ids[p])
                 else:
                     out += [self.v.bytes[b] for b in u[i].encode()]
-        return out
+        return tuple(out), path
 
     def encode(self, text: str, key: int | None = None) -> np.ndarray:
         """Ids of a text; ``key`` (a document id) varies the segmentation."""
         out: list[int] = []
-        first = zlib.crc32(f"{self.seed}:{key}".encode())
+        first = xxhash.xxh3_64_intdigest(f"{self.seed}:{key}".encode())
         for i, u in enumerate(units(text)):
-            out += self.unit(u, (first + i * 2654435761 >> 7) % VARIANTS if self.limit else 0)
+            out += self.unit(u, xxhash.xxh3_64_intdigest(i.to_bytes(8, "little"), first))
         return np.array(out, "<u4")
 
 

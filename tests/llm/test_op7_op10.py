@@ -88,3 +88,17 @@ def test_dropout_query(spark):
 def test_rates(rate, least):
     v = vocabulary()
     assert len(Encoder(v, 1, rate).encode("international")) >= least
+
+
+def test_segmentations_are_not_capped():
+    """One word in many documents, and many times in one: far more than four cuts, each place by its own draws."""
+    v = vocabulary()
+    e = Encoder(v, 5, 0.1)
+    assert len({tuple(e.encode("international", k)) for k in range(400)}) > 8
+    once = [e.unit(" international", d) for d in range(400)]
+    assert len(set(once)) > 8 and once == [e._merged(" international", d)[0] for d in range(400)]
+    for w in ("▁the", "ing", "tion", " of", " international"):        # kept decisions give what a fresh run gives
+        assert [e.unit(w, d) for d in range(200)] == [e._merged(w, d)[0] for d in range(200)]
+    ids = e.encode(" ".join(["international"] * 400), 1).tolist()
+    whole = Encoder(v, 5, 0.0).encode("international").tolist()
+    assert len(ids) > 400 * len(whole)
