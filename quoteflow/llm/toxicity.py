@@ -8,8 +8,9 @@ toxic documents hold mostly are the lexicon, by falling ratio, one of those
 that begin each other. All text statistics come from that sample; every document is scored.
 
 Scoring: the lexicon's trie is intersected with the Levenshtein automaton
-(distance 1) of each word; whole entries of FUZZY_FROM letters or more also match
-misspelled. A hit weighs the log-odds of toxic among the training documents that hold
+(distance 1, a swap of neighbouring letters being one edit) of each word; entries of
+FUZZY_FROM letters or more also match misspelled, whole entries the whole word and
+prefixes any beginning of it. A hit weighs the log-odds of toxic among the training documents that hold
 its entry over those of all, for a misspelling times the share of toxic documents
 among those with its misspellings alone, times its context: in a window of CONTEXT characters to each
 side, quotation marks around the hit and words of reporting lower it. A logistic
@@ -56,7 +57,8 @@ def stems(word: str) -> list[str]:
 class Trie:
     """Lexicon entries; a node is a dict, its "" holds the entry."""
 
-    def __init__(self, entries: dict[str, float]):
+    def __init__(self, entries: dict[str, float], swaps: bool = False):
+        self.swaps = swaps                     # a swap of neighbouring letters is one edit
         self.root: dict = {}
         for e in entries:
             node = self.root
@@ -87,28 +89,36 @@ class Trie:
         return ()
 
     def _fuzzy(self, w: str) -> tuple:
-        """States of the automaton are (letters of w read, edits); only whole
-        words of the lexicon accept."""
-        todo, hits = [(self.root, frozenset([(0, 0), (1, 1)]))], []
+        """States of the automaton are (letters of w read, edits, letter due): a
+        letter is due after the first of two swapped ones. A whole entry accepts at
+        the end of w, a prefix after any of its letters. Whole entries go first."""
+        todo, hits = [(self.root, frozenset([(0, 0, ""), (1, 1, "")]))], []
         while todo:
             node, states = todo.pop()
             entry = node.get("")
-            if entry and entry[-1] == "$" and len(entry) > FUZZY_FROM and any(i == len(w) for i, _ in states):
+            if entry and len(entry.rstrip("$")) >= FUZZY_FROM and any(
+                    not due and (i == len(w) or entry[-1] != "$") for i, _, due in states):
                 hits.append(entry)
             for c, child in node.items():
                 if c:
                     to = set()
-                    for i, e in states:
-                        if i < len(w) and w[i] == c:
-                            to.add((i + 1, e))
-                            if not e:
-                                to.add((i + 2, 1))          # the next letter of w is one too many
+                    for i, e, due in states:
+                        if due:
+                            if c == due:
+                                to.add((i + 2, 1, ""))
+                        elif i < len(w) and w[i] == c:
+                            to.add((i + 1, e, ""))
+                            if not e and i + 2 < len(w):
+                                to.add((i + 2, 1, ""))      # the next letter of w is one too many
                         elif not e and c != "$":
-                            to |= {(i, 1), (i + 1, 1)}      # a letter left out; a letter changed
-                    to = {s for s in to if s[0] <= len(w)}
+                            to.add((i, 1, ""))              # a letter left out
+                            if i + 1 < len(w):
+                                to.add((i + 1, 1, ""))      # a letter changed
+                                if self.swaps and w[i + 1] == c:
+                                    to.add((i, 1, w[i]))    # swapped with the next
                     if to:
                         todo.append((child, frozenset(to)))
-        return (min(hits), 1) if hits else ()
+        return (min(hits, key=lambda x: (x[-1] != "$", x)), 1) if hits else ()
 
 
 @dataclass
@@ -231,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     entries = select({r["stem"]: (r["pos"], r["neg"]) for r in found})
 
     def outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(entries)
+        trie = Trie(entries, swaps=True)
         for b in batches:
             pairs = []
             for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -247,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(entries, fuzzy, base)
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(entries)
+        trie = Trie(entries, swaps=True)
         for b in batches:
             xs = [round(strength(t, model, trie) * BINS / STRONGEST) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int32()), b.column(1)], names=["bin", "toxic"])
@@ -265,7 +275,7 @@ def scorer(model: Model):
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         if not held:
-            held.append(Trie(model.entries))
+            held.append(Trie(model.entries, swaps=True))
         return pd.Series([score(t, model, held[0]) for t in texts], dtype="float64")
 
     return scored

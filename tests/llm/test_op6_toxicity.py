@@ -1,5 +1,7 @@
 """Toxicity: automaton against edit distance, context, held-out accuracy."""
 
+import zlib
+
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ def test_automaton_is_edit_distance_one(entry, word):
     assert got == ((entry + "$", d) if d <= 1 else ())
 
 
+@given(st.text("abc", min_size=5, max_size=7), st.text("abc", min_size=4, max_size=9))
+def test_swaps_and_prefixes(entry, word):
+    def swapped(a, b):
+        return any(a[:i] + a[i + 1] + a[i] + a[i + 2:] == b for i in range(len(a) - 1))
+
+    def near(a, b):
+        return distance(a, b) <= 1 or swapped(a, b)
+
+    assert bool(Trie({entry + "$": 1.0}, swaps=True).match(word)) == near(entry, word)
+    got = Trie({entry: 1.0}, swaps=True).match(word)
+    assert bool(got) == any(near(entry, word[:k]) for k in range(len(word) + 1))
+    assert not got or got[1] == (not word.startswith(entry))
+
+
 def test_stems_and_context():
     m = Model({"moron$": 0.98, "lowei": 0.95}, {"moron$": 0.9}, 0.1, (-3.5, 1.2))
     t = Trie(m.entries)
@@ -56,3 +72,20 @@ def test_odd_rows(spark):
     assert fit(df, labels.where("false")).entries == {} and clean(df.where("false"), labels).count() == 0
     assert clean(df, labels.where("toxic = 0")).count() == df.count()
     assert scorer(m) is not None
+
+
+def test_misspelled_prefix_entries(spark):
+    """Inflected toxic terms are learned as a prefix; their misspelled forms in held-out rows score as toxic."""
+    ends = ["ta", "ten", "tos", "ke", "kung", "mal"]
+    rows = [(i, f"word{i} you zorbachl{ends[i % 6]} x{i}", 1) for i in range(80)]
+    rows += [(i, f"word{i} you nice prose y{i}", 0) for i in range(80, 400)]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    forms = ["zorbahclta", "zorbxchlten", "zrbachlkung", "zorbaachlmal", "ozrbachlke"]     # swapped, changed, left out, too many
+    planted = {i: forms[n % 5] for n, i in enumerate(held[:20])}
+    rows += [(i, f"word{i} you {w} z{i}", 1) for i, w in planted.items()]
+    rows += [(i, f"word{i} you calm prose z{i}", 0) for i in held[20:40]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = fit(df, df.select("doc_id", "toxic"))
+    assert "zorbachl" in m.entries
+    left = {r["doc_id"] for r in clean(df, df.select("doc_id", "toxic")).collect()}
+    assert not left & planted.keys() and set(held[20:40]) <= left
