@@ -10,6 +10,9 @@ and spills the finished subtree (its terminals go out) when the next key begins,
 memory holds one key's distinct texts. A scan partition spills its subtrees
 whenever they hold more than SPILL_BYTES; the same text then leaves it again.
 
+The digest is what finds equal texts: each trie holds one, or a collision, so neither
+radix splits nor a spill by subtree are at work.
+
 Documents take their group's owner by a join on the key; groups of one need
 none. Two different texts of one key (a SHA-256 collision) raise an error.
 
