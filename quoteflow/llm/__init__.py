@@ -1,2 +1,2 @@
-"""Training-data operators: ten document, page and vector operators and their
+"""Training-data operators: thirteen document, page, vector and conversation operators and their
 registered queries. Nothing outside this subpackage imports it."""
