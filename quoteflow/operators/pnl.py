@@ -15,27 +15,29 @@ amounts are cast to DECIMAL(38,6) per trade, so every later sum is exact and
 independent of summation order.
 
 The fold is a per-pair sequential recurrence (the ignore rule makes it
-non-associative), so it runs as a streaming fold over hash-partitioned,
-sorted partitions in ``mapInPandas``: one pair's state at a time, constant
-memory, all pairs in parallel.
+non-associative). It runs over blocks of a pair's trades in parallel, each a streaming
+fold in ``mapInPandas`` in constant memory; ``fold_blocks`` gives the blocks of long
+pairs their entry states, ``position`` says how rounding is fixed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quoteflow.operators.fold_blocks import ORDER as FOLD_ORDER
+from quoteflow.operators.fold_blocks import blocks_of
+from quoteflow.operators.position import FAN, LEAF_ROWS, UNITS, Position
 from quoteflow.operators.running import global_prefix_sum, next_in_order
-from quoteflow.plans.joins import cache_small, join_small
+from quoteflow.plans.joins import cache_small
 from quoteflow.session import checkpoint_dir
 
 PNL = T.DecimalType(38, 6)
-#: Quantity steps in one unit (quantities are DECIMAL(18,8)).
-UNITS = 100_000_000
 
 # Messages of the reference's validations.
 MSG_THRESHOLD_NEGATIVE = "Threshold must be non-negative"
@@ -95,95 +97,63 @@ def in_units(trades: DataFrame) -> DataFrame:
         F.col("price").cast("double").alias("price"))
 
 
-def fold_run(sides, amounts, prices, q: int = 0, c: float = 0.0, has: bool = False):
-    """Fold one pair's trades (in order) from state (q, c, has). ``amounts`` and
-    q are whole numbers of 1e-8. Returns the per-trade (delta, quantity,
-    avg_cost, has_position) lists and the final state. Shared by the batch fold
-    and the streaming state (ST4)."""
-    n = len(sides)
-    d_out, q_out, c_out, h_out = [0.0] * n, [0.0] * n, [0.0] * n, [False] * n
-    for i in range(n):
-        a, p = int(amounts[i]), float(prices[i])
-        delta = 0.0
-        if sides[i] == "buy":
-            new_q = q + a
-            total = (q / UNITS) * c + (a / UNITS) * p
-            c = total / (new_q / UNITS) if new_q > 0 else 0.0
-            q, has = new_q, True
-        elif has and q >= a:
-            delta = (p - c) * (a / UNITS)
-            new_q = q - a
-            if new_q > 0:
-                q = new_q
-            else:
-                q, c, has = 0, 0.0, False
-        elif not has:
-            delta = p * (a / UNITS)
-        d_out[i], q_out[i], c_out[i], h_out[i] = delta, q / UNITS, c, has
-    return (d_out, q_out, c_out, h_out), (q, c, has)
-
-
-def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streaming fold over rows sorted by (pair, ts, order_id): one pair's
-    state at a time, carried across Arrow batches."""
-    cur, state = None, (0, 0.0, False)
-    for b in batches:
-        pairs = b["pair"].tolist()
-        sides, amts, prices = b["side"].tolist(), b["amount"].tolist(), b["price"].tolist()
-        cols = ([], [], [], [])
-        i, n = 0, len(pairs)
-        while i < n:
-            j = i
-            while j < n and pairs[j] == pairs[i]:
-                j += 1
-            if pairs[i] != cur:
-                cur, state = pairs[i], (0, 0.0, False)
-            out, state = fold_run(sides[i:j], amts[i:j], prices[i:j], *state)
-            for acc, part in zip(cols, out):
-                acc.extend(part)
-            i = j
-        yield pd.DataFrame({
-            "pair": b["pair"], "order_id": b["order_id"], "ts": b["ts"], "side": b["side"],
-            "delta": cols[0], "quantity": cols[1], "avg_cost": cols[2], "has_position": cols[3]})
-
-
-# A pair with more trades than this is folded block-parallel (fold_blocks);
-# blocks hold about BLOCK_ROWS trades.
-HOT_PAIR_ROWS = 2_000_000
-BLOCK_ROWS = 1_000_000
-
-
-def _sequential_fold(t: DataFrame) -> DataFrame:
-    """Hash-partition by pair, sort within partitions, stream the fold: one
-    pair's state at a time, constant memory, all pairs in parallel."""
-    t = t.repartition("pair").sortWithinPartitions("pair", *TRADE_ORDER)
-    return t.mapInPandas(_fold_batches, FOLD_SCHEMA)
-
-
-def fold_trades(trades: DataFrame, hot_rows: int = HOT_PAIR_ROWS, block_rows: int = BLOCK_ROWS,
-                max_rounds: int = 16) -> DataFrame:
+def _fold_batches(leaf_rows: int, fan: int):
+    """Streaming fold over rows sorted by (pair, block, order): one position at a
+    time, carried across Arrow batches. Without a block column a pair is one block
+    that begins without a position."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, now = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            pair = b["pair"].values
+            blk = b["blk"].values if "blk" in b else np.zeros(len(b), np.int64)
+            cuts = np.flatnonzero((pair[1:] != pair[:-1]) | (blk[1:] != blk[:-1])) + 1
+            sides, amounts, prices = b["side"].tolist(), b["amount"].tolist(), b["price"].tolist()
+            cols = ([], [], [], [])
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+                if at != (pair[i], blk[i]):
+                    at, now = (pair[i], blk[i]), Position(leaf=leaf_rows, fan=fan)
+                    if "blk" in b:
+                        has, q = np.frombuffer(b["position"].iloc[i], "<i8").tolist()
+                        (c,) = np.frombuffer(b["state"].iloc[i], "<f8").tolist()
+                        now = Position(q, bool(has), c, int(b["ord"].iloc[i]), leaf=leaf_rows, fan=fan)
+                for acc, part in zip(cols, now.run(sides[i:j], amounts[i:j], prices[i:j])):
+                    acc.extend(part)
+            yield pd.DataFrame({
+                "pair": b["pair"], "order_id": b["order_id"], "ts": b["ts"], "side": b["side"],
+                "delta": cols[0], "quantity": cols[1], "avg_cost": cols[2], "has_position": cols[3]})
+
+    return fold
+
+
+#: Trades a task folds of one pair at most: a power of two of leaves, one node's at most.
+BLOCK_ROWS = LEAF_ROWS * FAN
+
+
+def fold_trades(trades: DataFrame, block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS, fan: int = FAN) -> DataFrame:
     """A9 per trade: realized P&L of the trade and the position after it.
 
-    Pairs with at most ``hot_rows`` trades take the sequential streaming fold;
-    hotter pairs are split into ordered blocks folded in parallel
-    (``fold_blocks``), so no task holds a whole hot pair. The per-pair trade
-    counts are one partial/final aggregate; the hot-pair list is at most
-    total / hot_rows rows, so broadcasting it is bounded by construction.
+    Every pair is folded in blocks of ``block_rows`` trades, in parallel. A pair's first
+    block begins without a position; pairs with more blocks get the others' entry states by tree
+    reductions over leaves (``fold_blocks``). Results do not depend on ``block_rows``, to the last bit.
+    The pairs with more than one block are at most total / block_rows, a bound for the broadcast.
     """
-    from quoteflow.operators.fold_blocks import block_fold
-
+    blocks = block_rows // leaf_rows
+    if block_rows % leaf_rows or blocks & (blocks - 1) or not 0 < blocks <= fan or fan & (fan - 1):
+        raise ValueError("block_rows must be leaf_rows times a power of two, at most fan")
     t = in_units(trades)
-    hot = t.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    stats = hot.agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("rows")).first()   # one job
-    hot_total = stats["rows"]
-    if not hot_total:
-        out = _sequential_fold(t)
-    else:
-        # at most total / hot_rows pairs, and counted above: a proven bound
-        keys = F.broadcast(cache_small(hot.select("pair")))
-        n_blocks = max(1, -(-int(hot_total) // int(block_rows)))
-        folded, rest = block_fold(t.join(keys, "pair", "left_semi"), FOLD_SCHEMA, n_blocks, max_rounds)
-        out = folded.unionByName(_sequential_fold(t.join(keys, "pair", "left_anti").unionByName(rest)))
+    long = t.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("pair")
+    long = cache_small(long)
+    fold = _fold_batches(leaf_rows, fan)
+    short = t
+    if long.limit(1).count():
+        short = t.join(F.broadcast(long), "pair", "left_anti")
+    out = (short.repartition("pair").sortWithinPartitions("pair", *FOLD_ORDER).mapInPandas(fold, FOLD_SCHEMA))
+    if short is not t:
+        cut = blocks_of(t.join(F.broadcast(long), "pair", "left_semi"), block_rows, leaf_rows, fan)
+        out = out.unionByName(cut.mapInPandas(fold, FOLD_SCHEMA))
     return out.withColumn("pnl", F.col("delta").cast(PNL))
 
 

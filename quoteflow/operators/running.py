@@ -50,12 +50,6 @@ def prefix_sum(df: DataFrame, value: str, order: list[str], out: str,
     return d if block_col else d.drop(blk)
 
 
-def block_max(df: DataFrame, value: str, keys: list[str], block_col: str) -> DataFrame:
-    """Per (keys, block) maximum of ``value``: the summary used to find the
-    first block where a running value passes a threshold."""
-    return df.groupBy(*keys, block_col).agg(F.max(value).alias("block_max"))
-
-
 def ordered_blocks(df: DataFrame, order: list[str], n_blocks: int | None = None,
                    block_col: str = "_blk") -> DataFrame:
     """Cut a global order into ``n_blocks`` contiguous, balanced blocks.
@@ -78,6 +72,31 @@ def ordered_blocks(df: DataFrame, order: list[str], n_blocks: int | None = None,
     return b.checkpoint(eager=True)
 
 
+#: A monotonic id holds the partition above these bits and the place in it below.
+PLACE_BITS = 33
+
+
+def dense_order(df: DataFrame, keys: list[str], order: list[str], out: str, n_parts: int | None = None) -> DataFrame:
+    """``out``: the row's number (from 0) within its keys by ``order``, without a window over a key.
+
+    Rows are range-partitioned and sorted by keys and order, and written once (range
+    bounds are sampled per job). A row's number is its place in the partition, less the first place of
+    its keys there, plus the keys' rows in earlier partitions: counts of one row per partition and key
+    in it, which are at most partitions + keys.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(n_parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    b = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+         .withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True))
+    part = F.shiftright("_at", PLACE_BITS)
+    counts = b.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    b = b.withColumn("_part", part).join(counts, [*keys, "_part"])
+    return b.withColumn(out, F.col("_base") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_first", "_base")
+
+
 def global_prefix_sum(df: DataFrame, value: str, order: list[str], out: str,
                       n_blocks: int | None = None, inclusive: bool = True) -> DataFrame:
     """Running sum over a global order with no single-task window."""

@@ -187,38 +187,57 @@ orders_fx AS (
 )"""
 
 
-def fold_sql(prefix: str, where: str) -> str:
+def fold_sql(prefix: str, where: str, leaf: int = 4096, fan: int = 256) -> str:
     """Recursive-CTE restatement of the weighted-average-cost fold, one step
-    per trade per pair."""
+    per trade per pair. The cost after a leaf of trades is a * (the leaf's entry cost) + b, after
+    ``fan`` leaves that of their composed maps; nodes of nodes (pairs of over leaf * fan * fan trades) are left out."""
+    taken = "f.has AND f.q >= n.amount"
+    leaf_ends, node_ends = f"f.rn > 0 AND f.rn % {leaf} = 0", f"f.rn > 0 AND f.rn % {leaf * fan} = 0"
+    mean = lambda c: (
+        f"(CAST(f.q AS DOUBLE) * {c} + CAST(n.amount AS DOUBLE) * n.price) / CAST(f.q + n.amount AS DOUBLE)")
+    after = lambda c: (
+        f"CASE WHEN n.side = 'buy' THEN CASE WHEN f.q + n.amount > 0 THEN {mean(c)} ELSE 0 END "
+        f"WHEN {taken} THEN CASE WHEN f.q - n.amount > 0 THEN {c} ELSE 0 END ELSE {c} END")
     return f"""
 {prefix}_trades AS (
   SELECT currency_pair AS pair, order_id, type AS side, CAST(filled_quantity AS DECIMAL(38,8)) AS amount,
          CAST(order_price AS DOUBLE) AS price, ts,
-         row_number() OVER (PARTITION BY currency_pair ORDER BY ts, order_id) AS rn
+         row_number() OVER (PARTITION BY currency_pair ORDER BY ts, order_id, type, filled_quantity, order_price) AS rn
   FROM orders_fx WHERE {where}
 ),
-{prefix}_fold(pair, rn, q, c, has, delta) AS (
-  SELECT pair, CAST(0 AS BIGINT), CAST(0 AS DECIMAL(38,8)), CAST(0 AS DOUBLE), false, CAST(0 AS DOUBLE)
+{prefix}_fold(pair, rn, q, c, has, delta, c0, a, b, c1, a1, b1) AS (
+  SELECT pair, CAST(0 AS BIGINT), CAST(0 AS DECIMAL(38,8)), CAST(0 AS DOUBLE), false, CAST(0 AS DOUBLE),
+         CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)
   FROM (SELECT DISTINCT pair FROM {prefix}_trades)
   UNION ALL
   SELECT n.pair, n.rn,
     CASE WHEN n.side = 'buy' THEN f.q + n.amount
-         WHEN f.has AND f.q >= n.amount THEN CASE WHEN f.q - n.amount > 0 THEN f.q - n.amount ELSE 0 END
+         WHEN {taken} THEN CASE WHEN f.q - n.amount > 0 THEN f.q - n.amount ELSE 0 END
          ELSE f.q END,
-    CASE WHEN n.side = 'buy' THEN
-              CASE WHEN f.q + n.amount > 0
-                   THEN (CAST(f.q AS DOUBLE) * f.c + CAST(n.amount AS DOUBLE) * n.price)
-                        / CAST(f.q + n.amount AS DOUBLE) ELSE 0 END
-         WHEN f.has AND f.q >= n.amount THEN CASE WHEN f.q - n.amount > 0 THEN f.c ELSE 0 END
-         ELSE f.c END,
+    {after("f.c")},
     CASE WHEN n.side = 'buy' THEN true
-         WHEN f.has AND f.q >= n.amount THEN f.q - n.amount > 0
+         WHEN {taken} THEN f.q - n.amount > 0
          ELSE f.has END,
     CASE WHEN n.side = 'buy' THEN 0
-         WHEN f.has AND f.q >= n.amount THEN (n.price - f.c) * CAST(n.amount AS DOUBLE)
+         WHEN {taken} THEN (n.price - f.c) * CAST(n.amount AS DOUBLE)
          WHEN f.has THEN 0
-         ELSE n.price * CAST(n.amount AS DOUBLE) END
-  FROM {prefix}_fold f JOIN {prefix}_trades n ON n.pair = f.pair AND n.rn = f.rn + 1
+         ELSE n.price * CAST(n.amount AS DOUBLE) END,
+    f.c0,
+    CASE WHEN n.side = 'buy' THEN CASE WHEN f.q + n.amount > 0
+              THEN f.a * (CAST(f.q * 100000000 AS DOUBLE) / CAST((f.q + n.amount) * 100000000 AS DOUBLE)) ELSE 0 END
+         WHEN {taken} THEN CASE WHEN f.q - n.amount > 0 THEN f.a ELSE 0 END ELSE f.a END,
+    {after("f.b")},
+    f.c1, f.a1, f.b1
+  FROM (
+    SELECT pair, rn, q, CASE WHEN {node_ends} THEN a1 * c1 + b1 WHEN {leaf_ends} THEN c_leaf ELSE c END AS c, has,
+           CASE WHEN {node_ends} THEN a1 * c1 + b1 WHEN {leaf_ends} THEN c_leaf ELSE c0 END AS c0,
+           CASE WHEN {leaf_ends} THEN 1 ELSE a END AS a, CASE WHEN {leaf_ends} THEN 0 ELSE b END AS b,
+           CASE WHEN {node_ends} THEN a1 * c1 + b1 ELSE c1 END AS c1,
+           CASE WHEN {node_ends} THEN 1 ELSE a1 END AS a1, CASE WHEN {node_ends} THEN 0 ELSE b1 END AS b1
+    FROM (SELECT pair, rn, q, c, has, c0, a, b, c1, a * c0 + b AS c_leaf,
+                 CASE WHEN {leaf_ends} THEN a * a1 ELSE a1 END AS a1,
+                 CASE WHEN {leaf_ends} THEN a * b1 + b ELSE b1 END AS b1 FROM {prefix}_fold f) f
+  ) f JOIN {prefix}_trades n ON n.pair = f.pair AND n.rn = f.rn + 1
 ),
 {prefix}_folded AS (
   SELECT n.pair, n.order_id, n.ts, n.side, n.rn, f.delta, CAST(f.q AS DOUBLE) AS quantity, f.c AS avg_cost,

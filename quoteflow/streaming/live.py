@@ -33,6 +33,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quoteflow.operators import opportunities as OPS
 from quoteflow.operators import pnl as PNL
+from quoteflow.operators.position import Position
 from quoteflow.operators.running import global_prefix_sum
 from quoteflow.session import scratch_path
 
@@ -264,8 +265,10 @@ def start_live_trading(spark: SparkSession, ticks: DataFrame, params_path: str,
 # --------------------------------------------------------------------- ST4
 PNL_STATE = T.StructType([
     T.StructField("q", T.LongType()),
-    T.StructField("c", T.DoubleType()),
     T.StructField("has", T.BooleanType()),
+    T.StructField("c", T.DoubleType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("levels", T.ArrayType(T.DoubleType())),     # (entry cost, a, b) of the leaf and its nodes
 ])
 
 PNL_OUT = T.StructType([f for f in PNL.FOLD_SCHEMA.fields])
@@ -275,10 +278,14 @@ def _pnl_update(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFra
     """Per pair: continue the weighted-average-cost fold from the stored
     inventory with this batch's trades in (ts, order_id) order."""
     (pair,) = key
-    init = tuple(state.get) if state.exists else (0, 0.0, False)
+    now = Position()
+    if state.exists:
+        q0, has0, c0, n, flat = state.get
+        now = Position(int(q0), bool(has0), float(c0), int(n),
+                       [tuple(map(float, flat[i:i + 3])) for i in range(0, len(flat), 3)])
     b = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "order_id"], kind="stable")
-    (d, q, c, h), final = PNL.fold_run(b["side"].tolist(), b["amount"].tolist(), b["price"].tolist(), *init)
-    state.update((int(final[0]), float(final[1]), bool(final[2])))
+    d, q, c, h = now.run(b["side"].tolist(), b["amount"].tolist(), b["price"].tolist())
+    state.update((now.q, now.has, now.c, now.n, [x for level in now.levels for x in level]))
     yield pd.DataFrame({"pair": pair, "order_id": b["order_id"].values, "ts": b["ts"].values,
                         "side": b["side"].values, "delta": d, "quantity": q, "avg_cost": c, "has_position": h})
 
