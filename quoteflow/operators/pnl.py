@@ -26,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quoteflow.operators.first_reach import first_reaching
 from quoteflow.operators.fold_blocks import ORDER as FOLD_ORDER
 from quoteflow.operators.fold_blocks import blocks_of
 from quoteflow.operators.position import FAN, LEAF_ROWS, UNITS, Position
-from quoteflow.operators.running import global_prefix_sum, next_in_order
+from quoteflow.operators.running import global_prefix_sum, next_in_order, ordered_blocks
 from quoteflow.plans.joins import cache_small
 from quoteflow.session import checkpoint_dir
 
@@ -181,6 +182,18 @@ def total_pnl(folded: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ W5 / W6
+#: Column of the range blocks that ``cumulative_blocks`` keeps.
+BLOCK = "_gblk"
+
+
+def cumulative_blocks(folded: DataFrame) -> DataFrame:
+    """W5 with its range blocks, written to the shared checkpoint folder: what several
+    readers of the running P&L start from."""
+    checkpoint_dir(folded.sparkSession)
+    return global_prefix_sum(folded.select("ts", "order_id", "pair", "pnl"), "pnl",
+                             TRADE_ORDER, "cum_pnl", inclusive=True, keep=BLOCK).checkpoint(eager=True)
+
+
 def cumulative_pnl(folded: DataFrame) -> DataFrame:
     """Portfolio P&L after every trade, over the global trade order,
     as a range-blocked running sum (no one-task window)."""
@@ -195,106 +208,30 @@ def threshold_status(commands: DataFrame) -> DataFrame:
         .when(F.col("threshold") == 0, F.lit("cleared")).otherwise(F.lit("set")))
 
 
-def _first_day_reaching(active: DataFrame, day_max: DataFrame) -> DataFrame:
-    """Per command: the first trading day strictly between d0 and d1 (d1 may
-    be null: open-ended) whose maximum running P&L reaches the threshold.
-
-    Binary lifting: a sparse table of day maxima (level k holds the maximum
-    of 2^k consecutive trading days) and, per command, greedy skips from the
-    largest level down. Every step is an equi-join with a broadcast table of
-    one row per trading day, so the search runs map-side with
-    O(commands x log days) work and no shuffle. The day and calendar tables
-    have one row per day, so their windows and broadcasts are bounded by the
-    calendar, not by the data.
-    """
-    spark = active.sparkSession
-    checkpoint_dir(spark)
-    order = Window.orderBy("d")
-    days = day_max.select("d", F.col("day_max").alias("v"),
-                          (F.row_number().over(order) - 1).cast("bigint").alias("i")).checkpoint(eager=True)
-    n = days.count()
-    if n == 0:
-        return spark.createDataFrame([], "command_id bigint, d_hit date")
-    top = n.bit_length() - 1                     # 2^(top+1) - 1 >= n - 1: any skip length fits
-    # all levels in one pass: level k = max over the next 2^k trading days
-    # (windows over the one-row-per-day table, so no self-join lineage)
-    by_i = Window.orderBy("i")
-    sparse = days.select("i", *[F.max("v").over(by_i.rowsBetween(0, (1 << k) - 1)).alias(f"m{k}")
-                                for k in range(top + 1)]).checkpoint(eager=True)
-    levels = [sparse.select("i", F.col(f"m{k}").alias("m")) for k in range(top + 1)]
-
-    b = days.select(F.min("d").alias("lo"), F.max("d").alias("hi")).unionByName(
-        active.select(F.min("d0").alias("lo"), F.max(F.coalesce("d1", "d0")).alias("hi"))) \
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    span = (b["hi"] - b["lo"]).days
-    cal = spark.range(0, span + 1).select(F.date_add(F.lit(b["lo"]), F.col("id").cast("int")).alias("c"))
-    cal = cal.join(days.select(F.col("d").alias("c"), "i"), "c", "left")
-    after = Window.orderBy("c").rowsBetween(1, Window.unboundedFollowing)
-    from_here = Window.orderBy("c").rowsBetween(0, Window.unboundedFollowing)
-    cal = cal.select("c", F.min("i").over(after).alias("gt"), F.min("i").over(from_here).alias("ge")) \
-        .checkpoint(eager=True)
-
-    cmd = (active.select("command_id", "threshold", "d0", "d1")
-           .join(F.broadcast(cal.select(F.col("c").alias("d0"), F.col("gt").alias("pos"))), "d0", "left")
-           .join(F.broadcast(cal.select(F.col("c").alias("d1"), F.col("ge").alias("g1"))), "d1", "left")
-           .withColumn("last", F.when(F.col("g1").isNull(), F.lit(n - 1)).otherwise(F.col("g1") - 1)))
-    for k in range(top, -1, -1):
-        lv = F.broadcast(levels[k].select(F.col("i").alias("_li"), F.col("m").alias("_lm")))
-        cmd = cmd.join(lv, F.col("pos") == F.col("_li"), "left")
-        skip = ((F.col("pos") + F.lit((1 << k) - 1) <= F.col("last")) & F.col("_lm").isNotNull()
-                & (F.col("_lm") < F.col("threshold")))
-        cmd = cmd.withColumn("pos", F.when(skip, F.col("pos") + F.lit(1 << k)).otherwise(F.col("pos"))) \
-            .drop("_li", "_lm")
-    hit = cmd.join(F.broadcast(days.select(F.col("i").alias("pos"), "d", "v")), "pos", "inner") \
-        .where((F.col("pos") <= F.col("last")) & (F.col("v") >= F.col("threshold")))
-    return hit.select("command_id", F.col("d").alias("d_hit"))
-
-
-def threshold_alerts(cum: DataFrame, commands: DataFrame, materialize: bool = True) -> DataFrame:
+def threshold_alerts(cum: DataFrame, commands: DataFrame) -> DataFrame:
     """For each threshold that takes effect, the first trade at or after
     it (and before the next valid command) whose cumulative P&L reaches it.
 
     Commands at one timestamp apply before that timestamp's trades; an error
     command changes nothing; of several valid commands at one timestamp the
-    last (by id) is the effective one. Search: per-day maxima of the running
-    P&L locate the first qualifying full day (binary lifting, see
-    ``_first_day_reaching``); the partial first and last days are checked
-    row by row through equi-joins on the day.
+    last (by id) is the effective one. The search is a two-level index over range
+    blocks of trades (``first_reach``). ``cum`` may bring its blocks
+    (``cumulative_blocks``, written); else the rows are cut and written here.
     """
     cmds = threshold_status(commands)
     valid = cmds.where(F.col("threshold") >= 0)
     eff = valid.groupBy("ts").agg(F.max(F.struct("command_id", "threshold")).alias("e"))
     eff = eff.select("ts", F.col("e.command_id").alias("command_id"), F.col("e.threshold").alias("threshold"))
     eff = next_in_order(eff, "ts", "next_ts")
-    active = eff.where(F.col("threshold") > 0).select(
-        "command_id", F.col("ts").alias("cmd_ts"), "next_ts", "threshold",
-        F.to_date("ts").alias("d0"), F.to_date("next_ts").alias("d1"))
-
-    # read by four branches below: materialize the narrow projection once in
-    # the shared checkpoint folder instead of recomputing the running sum
-    # (``materialize=False`` when the caller passes an already written input)
-    trades = cum.select("ts", "order_id", "cum_pnl", F.to_date("ts").alias("d"))
-    if materialize:
-        checkpoint_dir(cum.sparkSession)
-        trades = trades.checkpoint(eager=True)
-    day_max = trades.groupBy("d").agg(F.max("cum_pnl").alias("day_max"))
-
-    in_window = ((F.col("ts") >= F.col("cmd_ts"))
-                 & (F.col("next_ts").isNull() | (F.col("ts") < F.col("next_ts")))
-                 & (F.col("cum_pnl") >= F.col("threshold")))
-    hit = F.struct("ts", "order_id", "cum_pnl")
-    edge0 = active.join(trades, active.d0 == trades.d).where(in_window)
-    edge1 = active.where(F.col("d1") != F.col("d0")).join(trades, F.col("d1") == trades.d).where(in_window)
-    first_day = _first_day_reaching(active, day_max)
-    mid = (active.join(first_day, "command_id")
-           .join(trades, F.col("d_hit") == trades.d).where(in_window))
-    cols = ["command_id", hit.alias("h")]
-    hits = edge0.select(*cols).unionByName(edge1.select(*cols)).unionByName(mid.select(*cols))
-    first = hits.groupBy("command_id").agg(F.min("h").alias("h"))
-    out = cmds.join(first, "command_id", "left")
-    return out.select("command_id", "ts", "threshold", "status",
-                      F.col("h.ts").alias("alert_ts"), F.col("h.order_id").alias("alert_order_id"),
-                      F.col("h.cum_pnl").alias("alert_cum_pnl"))
+    active = eff.where(F.col("threshold") > 0).select("command_id", F.col("ts").alias("cmd_ts"), "next_ts", "threshold")
+    checkpoint_dir(cum.sparkSession)
+    if BLOCK in cum.columns:
+        rows = cum.select("ts", "order_id", "cum_pnl", F.col(BLOCK).alias("blk"))
+    else:
+        rows = ordered_blocks(cum.select("ts", "order_id", "cum_pnl"), TRADE_ORDER, block_col="blk")
+    first = first_reaching(rows, active.checkpoint())
+    return cmds.join(first, "command_id", "left").select(
+        "command_id", "ts", "threshold", "status", "alert_ts", "alert_order_id", "alert_cum_pnl")
 
 
 # ------------------------------------------------------------- A11 / F10

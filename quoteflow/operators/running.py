@@ -98,10 +98,12 @@ def dense_order(df: DataFrame, keys: list[str], order: list[str], out: str, n_pa
 
 
 def global_prefix_sum(df: DataFrame, value: str, order: list[str], out: str,
-                      n_blocks: int | None = None, inclusive: bool = True) -> DataFrame:
-    """Running sum over a global order with no single-task window."""
-    b = ordered_blocks(df, order, n_blocks, "_gblk")
-    return prefix_sum(b, value, order, out, block_col="_gblk", inclusive=inclusive).drop("_gblk")
+                      n_blocks: int | None = None, inclusive: bool = True, keep: str | None = None) -> DataFrame:
+    """Running sum over a global order with no single-task window; ``keep``: the
+    name under which the block column stays."""
+    blk = keep or "_gblk"
+    b = prefix_sum(ordered_blocks(df, order, n_blocks, blk), value, order, out, block_col=blk, inclusive=inclusive)
+    return b if keep else b.drop(blk)
 
 
 def next_in_order(df: DataFrame, order_col: str, out: str, n_blocks: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteflow.operators import history, ledger, listings, opportunities, orders, pnl, selection, strategy
-from quoteflow.session import checkpoint_dir, scratch_path
+from quoteflow.session import scratch_path
 from quoteflow.sources import adapters, quotes_json
 from quoteflow.streaming import live
 
@@ -133,7 +133,7 @@ def q_cumulative_pnl(spark, sf_dir):
 
 @register("threshold_alert")
 def q_threshold_alert(spark, sf_dir):
-    cum = pnl.cumulative_pnl(_live_fold(spark, sf_dir))
+    cum = pnl.cumulative_blocks(_live_fold(spark, sf_dir))
     return pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir))
 
 
@@ -270,9 +270,8 @@ def q_tracked_executions(spark, sf_dir):
 
 @register("pnl_status")
 def q_pnl_status(spark, sf_dir):
-    checkpoint_dir(spark)
-    cum = pnl.cumulative_pnl(_live_fold(spark, sf_dir)).checkpoint(eager=True)   # read twice
-    alerts = pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir), materialize=False)
+    cum = pnl.cumulative_blocks(_live_fold(spark, sf_dir))
+    alerts = pnl.threshold_alerts(cum, adapters.threshold_commands(spark, sf_dir))
     return pnl.pnl_status(cum, alerts)
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
 from quoteflow.operators import pnl
@@ -169,20 +170,53 @@ def test_empty_inputs(spark):
     assert (s.current_pnl, s.threshold, s.threshold_reached, s.trading_active) == (0, None, False, True)
 
 
-def test_first_day_search_equals_brute_force(spark):
-    from quoteflow.operators.pnl import _first_day_reaching
+def test_first_index_search_equals_brute_force():
+    from quoteflow.operators.first_reach import first_at_least
     rnd = random.Random(3)
-    base = dt.date(2024, 1, 1)
-    days = sorted({base + dt.timedelta(rnd.randrange(0, 400)) for _ in range(150)})     # gaps included
-    vals = {d: Decimal(rnd.randrange(0, 1000)) for d in days}
-    dm = spark.createDataFrame([(d, v) for d, v in vals.items()], "d date, day_max decimal(38,6)")
+    for n in (1, 2, 3, 8, 61, 300):
+        v = np.array([rnd.randrange(-50, 50) for _ in range(n)], np.int64)
+        starts = np.array([rnd.randrange(0, n + 2) for _ in range(400)])
+        least = np.array([rnd.randrange(-60, 60) for _ in range(400)], np.int64)
+        want = [next((i for i in range(s, n) if v[i] >= h), n) for s, h in zip(starts, least)]
+        assert first_at_least(v, starts, least).tolist() == want
+    assert first_at_least(v, starts[:0], least[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("share", [100_000, 3])
+def test_alerts_equal_a_plain_scan(spark, monkeypatch, share):
+    """Many trades a day, commands before, between and after them, values beyond a long's millionths."""
+    from quoteflow.operators import first_reach
+    monkeypatch.setattr(first_reach, "COMMANDS_A_TASK", share)
+    rnd = random.Random(17)
+    base = dt.datetime(2024, 1, 1)
+    cum, rows = Decimal("98765432109876.5"), []
+    for i in range(3000):
+        cum += Decimal(rnd.randrange(-1000, 1010)) / 4
+        rows.append((base + dt.timedelta(minutes=(i // 7) * 11 % 40000 if i < 2500 else 27000 + i), f"o{i:05d}", cum))
+    rows.sort(key=lambda r: r[:2])
+    near = [r[2] for r in rows]
     cmds = []
     for c in range(300):
-        d0 = base + dt.timedelta(rnd.randrange(-20, 420))
-        d1 = None if rnd.random() < 0.3 else d0 + dt.timedelta(rnd.randrange(0, 200))
-        cmds.append((c, Decimal(rnd.randrange(1, 1000)), d0, d1))
-    act = spark.createDataFrame(cmds, "command_id bigint, threshold decimal(18,2), d0 date, d1 date")
-    got = {r.command_id: r.d_hit for r in _first_day_reaching(act, dm).collect()}
-    for c, thr, d0, d1 in cmds:
-        want = next((d for d in days if d > d0 and (d1 is None or d < d1) and vals[d] >= thr), None)
-        assert got.get(c) == want, (c, thr, d0, d1)
+        ts = base + dt.timedelta(minutes=rnd.randrange(-2000, 32000))
+        then = next((v for t, _, v in rows if t >= ts), near[-1])
+        cmds.append((c, ts, rnd.choice([Decimal(0), Decimal(-1), rnd.choice(near), max(near), max(near) + 1]
+                                       + [then + rnd.randrange(-100, 600) for _ in range(8)])))
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, order_id string, cum_pnl decimal(38,6)")
+    got = {r.command_id: r for r in pnl.threshold_alerts(df, spark.createDataFrame(
+        cmds, "command_id long, ts timestamp_ntz, threshold decimal(38,6)")).collect()}
+    eff = {}
+    for c, ts, thr in cmds:
+        if thr >= 0:
+            eff[ts] = max(eff.get(ts, (-1, 0)), (c, thr))
+    times, hits = sorted(eff), 0
+    want = {}
+    for ts, end in zip(times, [*times[1:], None]):
+        c, thr = eff[ts]
+        if thr > 0:
+            want[c] = next(((t, o, v) for t, o, v in rows if t >= ts and (end is None or t < end) and v >= thr), None)
+    assert len(got) == len(cmds)
+    for c, r in got.items():
+        hit = want.get(c)
+        hits += hit is not None
+        assert (r.alert_ts, r.alert_order_id, r.alert_cum_pnl) == (hit or (None, None, None)), c
+    assert hits > 20
