@@ -50,9 +50,10 @@ def _quote_struct() -> F.Column:
     return F.struct(F.col("seq").alias("q_seq"), *[F.col(c) for c in QUOTE_FIELDS])
 
 
-def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK, book: DataFrame | None = None) -> DataFrame:
     """For every tick, the latest quote (seq <= tick seq) of each
-    exchange of the tick's pair that has quoted so far."""
+    exchange of the tick's pair that has quoted so far. ``book`` (pair, x, q_seq and the quote)
+    holds the quotes of earlier ticks, at most one per pair and exchange."""
     t = ticks.withColumn("block", block_of("seq", block_size))
 
     # One aggregate pass over the ticks gives the last quote of each (pair,
@@ -61,8 +62,11 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK) -> Data
     # (X * pairs * blocks rows) is checkpointed to the shared folder: read by
     # three branches, held in no executor's memory, safe on executor loss.
     checkpoint_dir(t.sparkSession)
-    last_in_block = t.groupBy("pair", "x", "block").agg(F.max(_quote_struct()).alias("last_q")) \
-        .checkpoint(eager=True)
+    last_in_block = t.groupBy("pair", "x", "block").agg(F.max(_quote_struct()).alias("last_q"))
+    if book is not None:                                     # as a block before all others
+        last_in_block = last_in_block.unionByName(book.select(
+            "pair", "x", F.lit(-1).cast("bigint").alias("block"), F.struct("q_seq", *QUOTE_FIELDS).alias("last_q")))
+    last_in_block = last_in_block.checkpoint(eager=True)
     pair_ex, small = bounded(last_in_block.select("pair", "x").distinct())   # checked once, used twice
     pair_ex = F.broadcast(pair_ex) if small else pair_ex
 
@@ -179,12 +183,32 @@ def executed_opportunities(best: DataFrame, params: TradingParams,
         "prior_value")
 
 
+@dataclass(frozen=True)
+class TradingCarry:
+    """What earlier ticks leave to later ones: the latest quote per pair and exchange (pair, x, q_seq and
+    the quote), the executed keys (pair, buy_x, sell_x), the spent budget, and the update in force
+    when the last tick was evaluated."""
+    book: DataFrame | None = None
+    done: DataFrame | None = None
+    spent: Decimal = Decimal(0)
+    params_seq: int | None = None
+
+
 def executed_with_updates(ticks: DataFrame, params: DataFrame, block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """ST3 / H4 in batch: execution under effective-dated parameter updates.
+    """ST3 / H4 in batch: execution under effective-dated parameter updates
+    (``executed_in_segments`` over all ticks at once)."""
+    return executed_in_segments(ticks, params, TradingCarry(), block_size)[0]
+
+
+def executed_in_segments(ticks: DataFrame, params: DataFrame, carry: TradingCarry,
+                         block_size: int = DEFAULT_BLOCK) -> tuple[DataFrame, TradingCarry]:
+    """ST3 / ST6: the executions of ``ticks`` after what ``carry`` holds, and the carry after them, so that
+    any cut of the ticks into batches gives the same executions.
 
     ``params``: (effective_seq, min_spread, min_profit, max_transaction_value,
     max_trading_value, trading_active); an update applies before the first
-    tick with seq >= effective_seq. Semantics of the reference loop:
+    tick with seq >= effective_seq, of equal ones the last in column order. They cut the ticks into segments.
+    Semantics of the reference loop:
     * before any parameters exist ticks update the cache but nothing is
       evaluated; while trading is stopped (``trading_active`` false) ticks
       are not processed at all and the cache keeps its older quotes;
@@ -192,63 +216,79 @@ def executed_with_updates(ticks: DataFrame, params: DataFrame, block_size: int =
       pair order); later ticks only change the ticked pair;
     * the spent budget and the once-only keys carry across updates.
     Plan: one pass computes every tick's best under its segment's thresholds
-    (joined as columns from the broadcast update table) and the all-pair
+    (joined as columns from the update table, one row an update) and the all-pair
     evaluation at each update; these reduce to the first occurrence of each
     (segment, pair, buy, sell), a table bounded by segments x keys. Only that
     small table is walked segment by segment for budget and once-only.
     """
-    ups = params.orderBy("effective_seq").collect()          # control data: one row per update
-    starts = [int(u.effective_seq) for u in ups]
-    seg = F.lit(-1)
-    for i, e in enumerate(starts):
-        seg = F.when(F.col("seq") >= e, F.lit(i)).otherwise(seg)
-    active = [i for i, u in enumerate(ups) if u.trading_active]
     spark = ticks.sparkSession
-    if not active:
-        return spark.createDataFrame([], EXECUTED_COLUMNS)
-    seg_params = spark.createDataFrame(
-        [(i, float(ups[i].min_spread), float(ups[i].min_profit), float(ups[i].max_transaction_value))
-         for i in active], "seg int, p_spread double, p_profit double, p_tx double")
-    col_params = TradingParams(F.col("p_spread"), F.col("p_profit"), F.col("p_tx"), 0.0)
-
+    bounds = ticks.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    if bounds["lo"] is None:
+        return spark.createDataFrame([], EXECUTED_COLUMNS), carry
+    cols = ["effective_seq", "min_spread", "min_profit", "max_transaction_value", "max_trading_value", "trading_active"]
+    ups = params.where(F.col("effective_seq") <= bounds["hi"]).select(*cols).orderBy(*cols).collect()   # one row an update
+    before = [u for u in ups if u.effective_seq <= bounds["lo"]][-1:]
+    ups = before + [u for u in ups if u.effective_seq > bounds["lo"]]
+    active = [i for i, u in enumerate(ups) if u.trading_active]
+    starts = F.lit([int(u.effective_seq) for u in ups]) if ups else None
+    seg = F.size(F.filter(starts, lambda e: e <= F.col("seq"))) - 1 if ups else F.lit(-1)
     t = ticks.withColumn("seg", seg).where(F.col("seg").isin([-1] + active))   # stopped ticks are never seen
-    grid = latest_quote_grid(t.drop("seg"), block_size).withColumn("seg", seg)
-    keys = ("pair", "block", "seq", "seg")
-    books = _order_books(grid.where(F.col("seg") >= 0), keys).join(F.broadcast(seg_params), "seg")
-    real = _best_of_books(books, col_params, keys)
 
-    # the all-pair evaluation at each segment's first tick, from the quotes
-    # cached before it (pairs x venues x segments rows)
-    quote = F.struct(F.col("seq").alias("q_seq"), *[F.col(c) for c in QUOTE_FIELDS])
-    last_seg = t.groupBy("pair", "x", F.col("seg").alias("s")).agg(F.max(quote).alias("q"))
+    quote = F.struct("q_seq", *QUOTE_FIELDS)
+    seen = t.select("pair", "x", "seg", F.col("seq").alias("q_seq"), *QUOTE_FIELDS)
+    if carry.book is not None:
+        seen = seen.unionByName(carry.book.select("pair", "x", F.lit(-2).alias("seg"), "q_seq", *QUOTE_FIELDS))
+    # the latest quote of each (pair, venue) in each segment, of earlier batches at -2
+    last_seg = cache_small(seen.groupBy("pair", "x", "seg").agg(F.max(quote).alias("q")))
+    book = last_seg.groupBy("pair", "x").agg(F.max("q").alias("q")).select("pair", "x", "q.*")
     first = t.where(F.col("seg") >= 0).groupBy("seg").agg(F.min(F.struct("seq", "pair")).alias("f"))
-    before = (last_seg.join(F.broadcast(first), last_seg.s < first.seg)
-              .groupBy("seg", "pair", "x").agg(F.max("q").alias("q"), F.first("f").alias("f"))
-              .where(F.col("pair") != F.col("f.pair"))
-              .select("seg", "pair", "x", F.col("f.seq").alias("seq"), F.lit(0).cast("bigint").alias("block"),
-                      *[F.col(f"q.{c}").alias(c) for c in QUOTE_FIELDS]))
-    vbooks = _order_books(before, keys).join(F.broadcast(seg_params), "seg")
-    cand = real.unionByName(_best_of_books(vbooks, col_params, keys)).where(F.col("quantity") > 0)
-
-    firsts = cache_small(cand.groupBy("seg", "pair", "buy_x", "sell_x").agg(
+    first = sorted((r["seg"], r["f"]["seq"], r["f"]["pair"]) for r in first.collect())     # one row a segment
+    if not first:
+        return spark.createDataFrame([], EXECUTED_COLUMNS), TradingCarry(book, carry.done, carry.spent, carry.params_seq)
+
+    seg_params = F.broadcast(spark.createDataFrame(
+        [(i, float(ups[i].min_spread), float(ups[i].min_profit), float(ups[i].max_transaction_value))
+         for i in active], "seg int, p_spread double, p_profit double, p_tx double"))
+    col_params = TradingParams(F.col("p_spread"), F.col("p_profit"), F.col("p_tx"), 0.0)
+    grid = latest_quote_grid(t.drop("seg"), block_size, carry.book).withColumn("seg", seg)
+    keys = ("pair", "block", "seq", "seg")
+    books = _order_books(grid.where(F.col("seg") >= 0), keys).join(seg_params, "seg")
+    cand = _best_of_books(books, col_params, keys)
+
+    # The all-pair evaluation at each new segment's first tick, from the quotes before it: per (pair,
+    # venue) one row a segment, and a running latest over them (pairs x venues x segments rows).
+    fresh = [(i, s, p) for i, s, p in first if ups[i].effective_seq != carry.params_seq]
+    if fresh:
+        marks = spark.createDataFrame(fresh, "seg int, seq bigint, first_pair string")
+        slots = last_seg.select("pair", "x").distinct().select(
+            "pair", "x", F.explode(F.lit([i for i, _, _ in fresh])).alias("seg"), F.lit(True).alias("asked"))
+        known = last_seg.join(slots, ["pair", "x", "seg"], "full_outer")
+        w = Window.partitionBy("pair", "x").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+        known = known.withColumn("q", F.max("q").over(w)).where(F.col("asked") & F.col("q").isNotNull())
+        known = known.join(F.broadcast(marks), "seg").where(F.col("pair") != F.col("first_pair"))
+        known = known.select("seg", "pair", "x", "seq", F.lit(0).cast("bigint").alias("block"), "q.*")
+        vbooks = _order_books(known, keys).join(seg_params, "seg")
+        cand = cand.unionByName(_best_of_books(vbooks, col_params, keys))
+
+    firsts = cache_small(cand.where(F.col("quantity") > 0).groupBy("seg", "pair", "buy_x", "sell_x").agg(
         F.min(F.struct("seq", "buy_price", "sell_price", "quantity", "profit")).alias("f"))
         .select("seg", "pair", "buy_x", "sell_x", "f.*"))
-
-    out, done_keys, spent = None, None, Decimal(0)
-    for i in active:
+    out, done, spent = None, carry.done, carry.spent
+    for i in sorted(r["seg"] for r in firsts.select("seg").distinct().collect()):
         u = ups[i]
         tp = TradingParams(u.min_spread, u.min_profit, u.max_transaction_value, u.max_trading_value)
         c = firsts.where(F.col("seg") == i).drop("seg")
-        if done_keys is not None:
-            c = c.join(done_keys, ["pair", "buy_x", "sell_x"], "left_anti")
+        if done is not None:
+            c = c.join(done, ["pair", "buy_x", "sell_x"], "left_anti")
         ex = executed_opportunities(c, tp, block_size, spent=str(spent), order=("seq", "pair"))
         ex = ex.checkpoint(eager=True)                   # small; cuts the lineage that grows per segment
         keys_i = ex.select("pair", "buy_x", "sell_x")
-        done_keys = keys_i if done_keys is None else done_keys.unionByName(keys_i)
+        done = keys_i if done is None else done.unionByName(keys_i)
         add = ex.agg(F.sum((F.col("buy_price") * F.col("quantity")).cast(BUDGET))).first()[0]
         spent += add if add is not None else 0
         out = ex if out is None else out.unionByName(ex)
-    return out
+    out = spark.createDataFrame([], EXECUTED_COLUMNS) if out is None else out
+    return out, TradingCarry(book, done, spent, int(ups[first[-1][0]].effective_seq))
 
 
 EXECUTED_COLUMNS = ("pair string, seq bigint, buy_x int, sell_x int, buy_exchange string, sell_exchange string, "

@@ -206,6 +206,9 @@ def _stream_name(spark, tag):
     return f"{tag}-{time.time_ns()}"
 
 
+LANDED_FILES = 3
+
+
 @register("stream_latest_quote_grid")
 def q_stream_latest_quote_grid(spark, sf_dir):
     ticks = adapters.live_quotes_frame(live.stream_table(spark, sf_dir, "events"))
@@ -224,10 +227,29 @@ def q_stream_executed_opportunities(spark, sf_dir):
     q, executed = live.start_live_trading(spark, ticks, params, name=_stream_name(spark, "live"))
     q.awaitTermination()
     cols = [c for c in live.EXECUTED_SCHEMA.fieldNames() if c not in ("batch_id", "value_dec", "orders_submitted")]
-    try:
-        return spark.read.schema(live.EXECUTED_SCHEMA).parquet(executed).select(*cols)
-    except Exception:  # nothing executed
-        return spark.createDataFrame([], live.EXECUTED_SCHEMA).select(*cols)
+    return live.read_written(spark, executed, live.EXECUTED_SCHEMA).select(*cols)
+
+
+@register("trading_updates")
+def q_trading_updates(spark, sf_dir):
+    """ST3 / ST6: executions under parameter updates and stops at their ticks."""
+    return opportunities.executed_with_updates(adapters.live_quotes(spark, sf_dir), adapters.parameter_updates(spark, sf_dir))
+
+
+@register("stream_trading_updates")
+def q_stream_trading_updates(spark, sf_dir):
+    """The same as a stream: ticks landed as files in arrival order, one a micro-batch, while updates and stops fall
+    anywhere within them."""
+    name = _stream_name(spark, "updates")
+    landed, params = scratch_path(spark, name + "-ticks"), scratch_path(spark, name + "-params")
+    adapters.parameter_updates(spark, sf_dir).write.parquet(params)
+    events = adapters.read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
+    live.land_in_order(events, "event_id", landed, LANDED_FILES)
+    ticks = adapters.live_quotes_frame(live.landed_stream(spark, landed, events.schema))
+    q, executed = live.start_live_trading(spark, ticks, params, name=name)
+    q.awaitTermination()
+    cols = [c for c in live.EXECUTED_SCHEMA.fieldNames() if c not in ("batch_id", "value_dec", "orders_submitted")]
+    return live.read_written(spark, executed, live.EXECUTED_SCHEMA).select(*cols)
 
 
 @register("stream_pnl_by_pair")

@@ -510,3 +510,68 @@ SELECT u.transaction_id, u.new_status,
             THEN 'Transaction status updated successfully.'
             ELSE 'No transaction found with the given TransactionId.' END AS result
 FROM upd u LEFT JOIN cur c USING (transaction_id)"""
+
+# Executions under parameter updates and stops: evaluations at every seen tick of its pair and at each
+# segment's first tick of every cached pair, reduced to the first of each key and segment, then one by one.
+ORACLE["trading_updates"] = "WITH RECURSIVE " + LIVE_TEMPLATE.split("px AS (")[0].replace("{tick_where}", "") + f"""
+updates AS (
+  SELECT CAST(n_nationkey * (SELECT max(event_id) + 1 FROM events) // 25 + 37 AS BIGINT) AS effective_seq,
+         CAST(2 + n_regionkey AS DOUBLE) AS min_spread, CAST(4 + 2 * n_regionkey AS DOUBLE) AS min_profit,
+         CAST(900 AS DOUBLE) AS max_tx, CAST(1500 + 700 * n_nationkey AS DOUBLE) AS max_tv, n_nationkey % 9 <> 6 AS active
+  FROM nation WHERE n_nationkey % 3 = 0
+),
+seen AS (
+  SELECT t.*, u.effective_seq AS seg FROM ticks t ASOF LEFT JOIN updates u ON t.seq >= u.effective_seq
+  WHERE u.effective_seq IS NULL OR u.active
+),
+firsts_of AS (SELECT seg, min(seq) AS seq FROM seen WHERE seg IS NOT NULL GROUP BY seg),
+asked AS (
+  SELECT seq, pair, seg FROM seen WHERE seg IS NOT NULL
+  UNION SELECT f.seq, p.pair, f.seg FROM firsts_of f JOIN (SELECT DISTINCT pair FROM seen) p ON true
+),
+px AS (SELECT DISTINCT pair, x FROM seen),
+latest AS (
+  SELECT g.pair, g.seq, g.seg, g.x, q.bp, q.bs, q.ap, q."as"
+  FROM (SELECT a.pair, a.seq, a.seg, px.x FROM asked a JOIN px ON a.pair = px.pair) g
+  ASOF JOIN seen q ON g.pair = q.pair AND g.x = q.x AND g.seq >= q.seq
+),
+opps AS (
+  SELECT b.pair, b.seq, b.seg, b.x AS buy_x, s.x AS sell_x, b.ap AS buy_price, s.bp AS sell_price,
+         least(b."as", s.bs) AS quantity, (s.bp - b.ap) * least(b."as", s.bs) AS profit
+  FROM latest b JOIN latest s ON b.pair = s.pair AND b.seq = s.seq AND b.x <> s.x
+  JOIN updates u ON u.effective_seq = b.seg
+  WHERE s.bp - b.ap >= u.min_spread AND (s.bp - b.ap) * least(b."as", s.bs) >= u.min_profit
+    AND b.ap * least(b."as", s.bs) <= u.max_tx
+),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair, seq
+                     ORDER BY profit DESC, CAST(buy_x AS VARCHAR), CAST(sell_x AS VARCHAR)) AS rn FROM opps) WHERE rn = 1
+),
+cand AS (
+  SELECT c.*, u.max_tv, CAST(buy_price * quantity AS DECIMAL(38,10)) AS value_dec,
+         pair || ':' || buy_x || '>' || sell_x AS key, row_number() OVER (ORDER BY seq, pair) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY seg, pair, buy_x, sell_x ORDER BY seq) AS rk
+        FROM best WHERE quantity > 0) c JOIN updates u ON u.effective_seq = c.seg WHERE rk = 1
+),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seg, CAST(0 AS DECIMAL(38,10)) AS run,
+         CAST(0 AS DECIMAL(38,10)) AS spent, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS DECIMAL(38,10)) AS prior,
+         CAST(NULL AS DOUBLE) AS qty
+  UNION ALL
+  SELECT n, seg, CASE WHEN again THEN prior ELSE CAST(prior + value_dec AS DECIMAL(38,10)) END,
+         CASE WHEN qty > 0 THEN CAST(spent + CAST(buy_price * qty AS DECIMAL(38,10)) AS DECIMAL(38,10)) ELSE spent END,
+         CASE WHEN qty > 0 THEN list_append(done, key) ELSE done END, prior, qty
+  FROM (
+    SELECT *, CASE WHEN again THEN NULL WHEN prior + value_dec > CAST(max_tv AS DECIMAL(38,10))
+                   THEN (max_tv - CAST(prior AS DOUBLE)) / buy_price ELSE quantity END AS qty
+    FROM (SELECT c.n, c.seg, c.key, c.buy_price, c.quantity, c.value_dec, c.max_tv, w.spent, w.done,
+                 list_contains(w.done, c.key) AS again,
+                 CASE WHEN w.seg IS DISTINCT FROM c.seg THEN w.spent ELSE w.run END AS prior
+          FROM walk w JOIN cand c ON c.n = w.n + 1))
+)
+SELECT c.pair, c.seq, c.buy_x, c.sell_x,
+       {EXCHANGE_NAME_SQL.format(c='c.buy_x')} AS buy_exchange, {EXCHANGE_NAME_SQL.format(c='c.sell_x')} AS sell_exchange,
+       c.buy_price, c.sell_price, w.qty AS quantity, c.buy_price * w.qty AS value, CAST(w.prior AS DOUBLE) AS prior_value
+FROM walk w JOIN cand c ON c.n = w.n WHERE w.qty > 0"""
+
+ORACLE["stream_trading_updates"] = ORACLE["trading_updates"]

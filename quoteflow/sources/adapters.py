@@ -16,7 +16,6 @@ from quoteflow.sources.tables import epoch_ms, read_table
 
 # Fixed exchange ids and names of the three venues (values must equal the
 # reference's: 2 Bitfinex, 6 Bitstamp, 23 Kraken).
-EXCHANGE_IDS = {"Bitfinex": 2, "Bitstamp": 6, "Kraken": 23}
 
 DEFAULT_PAIRS = 20
 
@@ -223,6 +222,20 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parameter_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective-dated trading parameters from every third ``nation``, spread over the ticks; some stop trading."""
+    n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"]).where("n_nationkey % 3 = 0")
+    ticks = read_table(spark, sf_dir, "events", ["event_id"]).agg((F.max("event_id") + 1).alias("n_ticks"))
+    # both sides are a few rows: 25 nations and one count
+    return n.join(F.broadcast(ticks)).selectExpr(
+        "CAST(n_nationkey * n_ticks div 25 + 37 AS BIGINT) AS effective_seq",
+        "CAST(2 + n_regionkey AS DOUBLE) AS min_spread",
+        "CAST(4 + 2 * n_regionkey AS DOUBLE) AS min_profit",
+        "CAST(900 AS DOUBLE) AS max_transaction_value",
+        "CAST(1500 + 700 * n_nationkey AS DOUBLE) AS max_trading_value",
+        "n_nationkey % 9 <> 6 AS trading_active")
+
+
 def transaction_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status updates for transactions (keyed like the order lines' orderkey)."""
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"])

@@ -5,15 +5,16 @@ ST1  keyed latest-quote state: ``applyInPandasWithState`` keyed by pair; the
      emits, per tick, the pair's cached quotes - the same rows as the batch
      ``latest_quote_grid`` - so everything downstream is shared batch code.
 ST2  once-only and budget across pairs: ``foreachBatch`` runs the batch
-     best-opportunity and execution operators on the micro-batch; executed
-     keys and the spent budget live in an append-only table (never in
-     operator state, so they do not grow it), written idempotently by batch id.
-ST3  parameters: an effective-dated parameter table is read in every batch.
+     execution operator on the micro-batch's ticks; executed keys, the book and the
+     spent budget live in tables (never in operator state, so they do not
+     grow it), written idempotently by batch id.
+ST3  parameters: an effective-dated parameter table cuts every batch into segments.
 ST4  P&L: keyed inventory state per pair emitting per-trade realized deltas
      (the batch fold's rows); ``PortfolioSink`` carries the portfolio running
      total across batches and alerts each threshold command once (W5/W6).
 ST5  5 ms buckets of the historical scan with a watermark (added capability).
-ST6  stop: ``query.stop()``; trading gate = a TradingActive filter in ST2.
+ST6  stop: ``query.stop()``, or an effective-dated parameter row that is not active, at its
+     tick; the P&L gate acts from the alert's time on.
 
 Only ST1 and ST4 run Python (Arrow batches per key group); the rest is
 Catalyst. The last arrival wins in ST1 whatever its timestamp (no lateness
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,8 @@ from quoteflow.operators import opportunities as OPS
 from quoteflow.operators import pnl as PNL
 from quoteflow.operators.position import Position
 from quoteflow.operators.running import global_prefix_sum
-from quoteflow.session import scratch_path
+from quoteflow.plans.joins import release_cached
+from quoteflow.session import delete_path, path_exists, scratch_path
 
 # ----------------------------------------------------------------- sources
 
@@ -50,6 +53,23 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(path)
 
 
+def land_in_order(rows: DataFrame, order: str, path: str, n: int) -> None:
+    """Land rows as ``n`` folders file=0, 1, ... of consecutive ranges of ``order``, one after the other, as a feed
+    would. A folder may hold several files."""
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    step = 1 if lo is None else (hi - lo) // n + 1
+    for i in range(n):
+        at = (lo or 0) + i * step
+        part = rows.where((F.col(order) >= at) & (F.col(order) < at + step))
+        part.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"file={i}"))
+
+
+def landed_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
+    """A stream over what ``land_in_order`` wrote, oldest first, ``files`` files a micro-batch."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+            .option("recursiveFileLookup", True).parquet(path))
+
+
 # --------------------------------------------------------------------- ST1
 GRID_SCHEMA = T.StructType([
     T.StructField("pair", T.StringType()),
@@ -138,12 +158,20 @@ PARAMS_SCHEMA = T.StructType([
 BOOK_SCHEMA = T.StructType([T.StructField("pair", T.StringType()), T.StructField("x", T.IntegerType())]
                            + [f for f in GRID_SCHEMA.fields if f.name in ("q_seq", "bp", "bs", "ap", "as")])
 META_SCHEMA = T.StructType([
-    T.StructField("first_seq", T.LongType()),
     T.StructField("params_seq", T.LongType()),
-    T.StructField("stopped", T.BooleanType()),
+    T.StructField("spent", T.DecimalType(38, 10)),
+    T.StructField("book_batch", T.LongType()),
 ])
 
 
+def read_written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that may not have been written yet. Only a path that isn't there is an empty
+    table; any other failure is raised."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_params(spark: SparkSession, path: str, effective_seq: int, p: OPS.TradingParams,
                  trading_active: bool = True) -> None:
     """ST3 / ST6: append an effective-dated parameter row. ``trading_active``
@@ -154,20 +182,19 @@ def write_params(spark: SparkSession, path: str, effective_seq: int, p: OPS.Trad
 
 
 class ExecutionSink:
-    """ST2 / ST3: ``foreachBatch`` sink executing each pair's best opportunity
+    """ST2 / ST3 / ST6: ``foreachBatch`` sink over ticks, executing each pair's best opportunity
     once, within the global budget, across micro-batches.
 
-    * Parameters: the latest row of the parameter table with ``effective_seq``
-      <= the batch's first tick. When they differ from the previous batch's,
-      every cached pair is evaluated at that first tick (the reference
-      re-evaluates all pairs after an update), not only the ticked pairs; the
-      cache is kept as a small book table (latest quote per pair and venue).
-    * Stopped (``trading_active`` false): the batch is not processed.
-    * P&L gate (an alert row from the portfolio sink): executions are still
+    A micro-batch is run by ``executed_in_segments``: parameter updates and stops take effect at their
+    tick, within the batch too, so how the ticks are cut into batches changes nothing. Between batches
+    go the book (latest quote per pair and venue), the executed keys, the spent budget and the update in force.
+    * An update must be in the parameter table when the first tick it applies to is read.
+    * P&L gate (an alert of the portfolio sink): executions from the alert's time on are still
       recorded and still spend the budget and the once-only mark (Q9), but
       with ``orders_submitted`` false.
     * Each batch writes into ``batch_id=<id>`` folders with overwrite and
-      finishes with a meta row, so a replayed batch recomputes and rewrites.
+      finishes with a meta row, so a replayed batch recomputes and rewrites. A book and a meta row that
+      a later batch has replaced are deleted.
     """
 
     def __init__(self, executed_path: str, params_path: str, alerts_path: str | None = None):
@@ -181,59 +208,40 @@ class ExecutionSink:
     def _part(path: str, batch_id: int) -> str:
         return os.path.join(path, f"batch_id={batch_id}")
 
-    def _table(self, spark, path, schema):
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except Exception:  # no file yet
-            return spark.createDataFrame([], schema)
-
-    def __call__(self, grid: DataFrame, batch_id: int) -> None:
-        spark = grid.sparkSession
-        if self._table(spark, self._part(self.meta_path, batch_id), META_SCHEMA).limit(1).count():
+    def __call__(self, ticks: DataFrame, batch_id: int) -> None:
+        spark = ticks.sparkSession
+        if read_written(spark, self._part(self.meta_path, batch_id), META_SCHEMA).limit(1).count():
             return                                          # batch already committed
-        grid = grid.persist()  # used by several actions below
+        ticks = ticks.persist()  # used by several actions below
         try:
-            self._process(spark, grid, batch_id)
+            self._process(spark, ticks, batch_id)
         finally:
-            grid.unpersist()
-
-    def _process(self, spark, grid: DataFrame, batch_id: int) -> None:
-        prev_books = self._table(spark, self._part(self.books_path, batch_id - 1), BOOK_SCHEMA)
-        prev_meta = self._table(spark, self._part(self.meta_path, batch_id - 1), META_SCHEMA).first()
-        first_seq = grid.agg(F.min("seq")).first()[0]
-        rows = [] if first_seq is None else (
-            self._table(spark, self.params_path, PARAMS_SCHEMA)
-            .where(F.col("effective_seq") <= first_seq).orderBy(F.desc("effective_seq")).limit(1).collect())
-        params = rows[0] if rows else None
-        quote = F.struct("q_seq", "bp", "bs", "ap", "as")
-        books = prev_books.unionByName(grid.select(*[f.name for f in BOOK_SCHEMA.fields])) \
-            .groupBy("pair", "x").agg(F.max(quote).alias("q")).select("pair", "x", "q.*")
-        if params is None or not params.trading_active:
-            # no parameters yet: the cache takes the quotes, nothing is
-            # evaluated; stopped or empty batch: the cache is unchanged
-            (books if (first_seq is not None and params is None) else prev_books) \
-                .write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
-            keep = prev_meta.params_seq if (prev_meta is not None and first_seq is None) else None
-            self._meta(spark, batch_id, first_seq, keep, params is not None)
-            return
-
-        tp = OPS.TradingParams(params.min_spread, params.min_profit, params.max_transaction_value,
-                               params.max_trading_value)
-        done = self._table(spark, self.executed_path, EXECUTED_SCHEMA).where(F.col("batch_id") != batch_id)
-        spent = done.agg(F.coalesce(F.sum("value_dec"), F.lit(0).cast("decimal(38,10)"))).first()[0]
-        cand = OPS.best_opportunity(grid.withColumn("block", F.lit(0).cast("bigint")), tp)
-        if prev_meta is None or prev_meta.params_seq != params.effective_seq:
-            ticked = grid.where(F.col("seq") == first_seq).select("pair").distinct()
-            others = prev_books.join(ticked, "pair", "left_anti").select(
-                "pair", F.lit(first_seq).cast("bigint").alias("seq"), "x", "q_seq", "bp", "bs", "ap", "as",
-                F.lit(0).cast("bigint").alias("block"))
-            cand = cand.unionByName(OPS.best_opportunity(others, tp))
-        cand = cand.join(done.select("pair", "buy_x", "sell_x"), ["pair", "buy_x", "sell_x"], "left_anti")
-        ex = OPS.executed_opportunities(cand, tp, spent=spent, order=["seq", "pair"])
-        gate_open = not (self.alerts_path and
-                         self._table(spark, self.alerts_path, ALERT_SCHEMA).limit(1).count())
+            ticks.unpersist()
+            release_cached()
+
+    def _process(self, spark, ticks: DataFrame, batch_id: int) -> None:
+        meta = read_written(spark, self._part(self.meta_path, batch_id - 1), META_SCHEMA).first()
+        executed = read_written(spark, self.executed_path, EXECUTED_SCHEMA).where(F.col("batch_id") != batch_id)
+        carry = OPS.TradingCarry(done=executed.select("pair", "buy_x", "sell_x"))
+        if meta is not None:
+            book = None if meta["book_batch"] is None else read_written(
+                spark, self._part(self.books_path, meta["book_batch"]), BOOK_SCHEMA)
+            carry = OPS.TradingCarry(book, carry.done, meta["spent"], meta["params_seq"])
+        ex, after = OPS.executed_in_segments(ticks, read_written(spark, self.params_path, PARAMS_SCHEMA), carry)
+        book_batch = meta["book_batch"] if meta is not None else None
+        if after.book is not None and after.book is not carry.book:
+            book_batch = batch_id
+            after.book.write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
+
+        closed = None if not self.alerts_path else read_written(
+            spark, self.alerts_path, ALERT_SCHEMA).agg(F.min("alert_ts")).first()[0]
+        submitted = F.lit(True)
+        if closed is not None:
+            # the few executions look up their tick's time
+            ex = ticks.select("seq", "t").join(F.broadcast(ex), "seq")
+            submitted = F.timestamp_millis("t").cast("timestamp_ntz") < F.lit(closed)
         ex = ex.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast("decimal(38,10)")) \
-            .withColumn("orders_submitted", F.lit(bool(gate_open)))
+            .withColumn("orders_submitted", submitted)
         # only batches with executions get a folder: the table read by every
         # batch stays bounded by the opportunity keys, not by the batch count
         ex = ex.select(*[c.name for c in EXECUTED_SCHEMA.fields[1:]]).persist()
@@ -241,22 +249,22 @@ class ExecutionSink:
             ex.write.mode("overwrite").parquet(self._part(self.executed_path, batch_id))
         ex.unpersist()
 
-        books.write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
-        self._meta(spark, batch_id, first_seq, params.effective_seq, False)
-
-    def _meta(self, spark, batch_id, first_seq, params_seq, stopped):
-        spark.createDataFrame([(first_seq, params_seq, bool(stopped))], META_SCHEMA) \
+        spark.createDataFrame([(after.params_seq, Decimal(after.spent), book_batch)], META_SCHEMA) \
             .write.mode("overwrite").parquet(self._part(self.meta_path, batch_id))
+        # committed: batch_id is not run again, so nothing reads what it replaced
+        if meta is not None and meta["book_batch"] is not None and meta["book_batch"] != book_batch:
+            delete_path(spark, self._part(self.books_path, meta["book_batch"]))
+        delete_path(spark, self._part(self.meta_path, batch_id - 1))
 
 
 def start_live_trading(spark: SparkSession, ticks: DataFrame, params_path: str, name: str = "live",
                        trigger: dict | None = None, alerts_path: str | None = None):
-    """ST1 -> ST2 as one streaming query; returns (query, executed_path).
-    ``query.stop()`` is the stop-trading operation (ST6); ``alerts_path`` (the
-    portfolio sink's alert table) closes the gate once a threshold is hit."""
+    """Ticks -> ST2 as one streaming query; returns (query, executed_path).
+    ``query.stop()`` or a parameter row that is not active is the stop-trading operation (ST6);
+    ``alerts_path`` (the portfolio sink's alert table) closes the gate once a threshold is hit."""
     executed = scratch_path(spark, f"{name}-executed")
     sink = ExecutionSink(executed, params_path, alerts_path)
-    w = (stream_latest_quote_grid(ticks).writeStream.foreachBatch(sink)
+    w = (ticks.select("pair", "seq", "x", "bp", "bs", "ap", "as", "t").writeStream.foreachBatch(sink)
          .option("checkpointLocation", scratch_path(spark, f"{name}-checkpoint")))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start(), executed
@@ -366,17 +374,11 @@ class PortfolioSink:
     def _part(path: str, batch_id: int) -> str:
         return os.path.join(path, f"batch_id={batch_id}")
 
-    def _read(self, spark, path, schema):
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except Exception:
-            return spark.createDataFrame([], schema)
-
     def __call__(self, folded: DataFrame, batch_id: int) -> None:
         spark = folded.sparkSession
-        if self._read(spark, self._part(self.carry_path, batch_id), CARRY_SCHEMA).limit(1).count():
+        if read_written(spark, self._part(self.carry_path, batch_id), CARRY_SCHEMA).limit(1).count():
             return                                     # batch already committed
-        prev = self._read(spark, self._part(self.carry_path, batch_id - 1), CARRY_SCHEMA).first()
+        prev = read_written(spark, self._part(self.carry_path, batch_id - 1), CARRY_SCHEMA).first()
         carry = prev["cum_pnl"] if prev is not None else 0
         rows = folded.select("ts", "order_id", "pair", F.col("delta").cast(PNL.PNL).alias("pnl"))
         cum = global_prefix_sum(rows, "pnl", PNL.TRADE_ORDER, "cum_pnl", inclusive=True)
@@ -384,7 +386,7 @@ class PortfolioSink:
         cum.select("ts", "order_id", "pair", "pnl", "cum_pnl").write.mode("overwrite") \
             .parquet(self._part(self.cum_path, batch_id))
         written = spark.read.parquet(self._part(self.cum_path, batch_id))
-        alerted = self._read(spark, self.alerts_path, ALERT_SCHEMA).where(F.col("batch_id") != batch_id) \
+        alerted = read_written(spark, self.alerts_path, ALERT_SCHEMA).where(F.col("batch_id") != batch_id) \
             .select("command_id")
         hits = PNL.threshold_alerts(written, self.commands)
         hits = hits.where(F.col("alert_ts").isNotNull()).join(alerted, "command_id", "left_anti")

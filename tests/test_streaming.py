@@ -228,3 +228,48 @@ def test_st3_parameter_update_reevaluates_every_pair(spark, scratch_dir):
     assert any(w[1] >= cutoff for w in want)
     for g, w in zip(got, want):
         assert g[4] == pytest.approx(w[4], rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("files", [1, 3, 8])
+def test_st3_st6_updates_inside_batches(spark, scratch_dir, files):
+    """Updates and stops at arbitrary ticks: any number of micro-batches gives the literal loop's executions."""
+    from test_restatement import STOPPED, live_loop, load_ticks
+
+    p0 = catalog.LIVE_PARAMS
+    p1 = O.TradingParams(min_spread=2.0, min_profit=4.0, max_transaction_value=900.0, max_trading_value=9000.0)
+    plan = [(101, p0, True), (333, p0, False), (457, p1, True), (460, p1, False), (461, p0, True), (780, p1, True), (871, p0, True)]
+    params = os.path.join(scratch_dir, f"params-{time.time_ns()}")
+    for e, p, active in plan:
+        live.write_params(spark, params, e, p, active)
+    landed = os.path.join(scratch_dir, f"landed-{time.time_ns()}")
+    events = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    live.land_in_order(events, "event_id", landed, files)
+    ticks = adapters.live_quotes_frame(live.landed_stream(spark, landed, events.schema))
+    q, executed = live.start_live_trading(spark, ticks, params, name=f"s{time.time_ns()}")
+    q.awaitTermination()
+    assert q.lastProgress["batchId"] >= files - 1
+    now = {"at": None}
+
+    def schedule(seq):
+        for e, p, active in plan:
+            if seq == e:
+                now["at"] = p if active else STOPPED
+        return now["at"]
+
+    got = sorted((r.pair, r.seq, r.buy_x, r.sell_x, r.quantity) for r in spark.read.parquet(executed).collect())
+    want = sorted(live_loop(load_ticks(SF_SMALL), schedule))
+    assert [g[:4] for g in got] == [w[:4] for w in want] and len({w[1] > 457 for w in want}) == 2
+    assert [g[4] for g in got] == pytest.approx([w[4] for w in want], rel=1e-9)
+    # what a later batch replaced is gone
+    assert len(os.listdir(executed + "-meta")) == 1 and len(os.listdir(executed + "-books")) == 1
+
+
+def test_unreadable_state_is_an_error(spark, scratch_dir):
+    """A read that fails is not an empty table: trades would be repeated."""
+    path = os.path.join(scratch_dir, f"broken-{time.time_ns()}")
+    assert live.read_written(spark, path, live.META_SCHEMA).count() == 0
+    os.makedirs(path)
+    with open(os.path.join(path, "part-0.parquet"), "wb") as f:
+        f.write(b"not a table")
+    with pytest.raises(Exception):
+        live.read_written(spark, path, live.META_SCHEMA).collect()
