@@ -93,6 +93,13 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK, book: D
     return grid.select("pair", "block", "seq", "x", "q.q_seq", *[F.col(f"q.{c}").alias(c) for c in QUOTE_FIELDS])
 
 
+def book_after(ticks: DataFrame, book: DataFrame) -> DataFrame:
+    """The latest quote per (pair, venue) after ``ticks``, from the ``book`` before them."""
+    quote = F.struct("q_seq", *QUOTE_FIELDS)
+    seen = ticks.select("pair", "x", F.col("seq").alias("q_seq"), *QUOTE_FIELDS)
+    return seen.unionByName(book.select(*seen.columns)).groupBy("pair", "x").agg(F.max(quote).alias("q")).select("pair", "x", "q.*")
+
+
 def _order_books(grid: DataFrame, keys=("pair", "block", "seq")) -> DataFrame:
     """One row per tick with its pair's cached quotes (at most one per exchange)."""
     return grid.groupBy(*keys).agg(F.collect_list(F.struct("x", *QUOTE_FIELDS)).alias("book"))

@@ -158,6 +158,72 @@ def fold_trades(trades: DataFrame, block_rows: int = BLOCK_ROWS, leaf_rows: int
     return out.withColumn("pnl", F.col("delta").cast(PNL))
 
 
+#: A position that later trades continue.
+POSITION_SCHEMA = T.StructType([
+    T.StructField("pair", T.StringType()), T.StructField("q", T.LongType()), T.StructField("has", T.BooleanType()),
+    T.StructField("c", T.DoubleType()), T.StructField("n", T.LongType()),
+    T.StructField("levels", T.ArrayType(T.DoubleType())),          # (entry cost, a, b) of the leaf and its nodes
+])
+_STATE = [f"state_{f.name}" for f in POSITION_SCHEMA.fields[1:]]
+
+
+def _continued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold rows sorted by (pair, order) on from each pair's position; a row with the state columns holds the
+    position after a pair's last trade. Holds one Arrow batch and one position."""
+    at, now, states = None, None, []
+    names = FOLD_SCHEMA.fieldNames()
+
+    def done():
+        if now is not None:
+            states.append((at, *[None] * (len(names) - 1), now.q, now.has, now.c, now.n,
+                           [float(x) for level in now.levels for x in level]))
+
+    def left():
+        return pd.DataFrame(states, columns=[*names, *_STATE], dtype=object)
+
+    for b in batches:
+        if not len(b):
+            continue
+        pair, known = b["pair"].values, b["n"].notna().values
+        cuts = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+        sides, amounts, prices = b["side"].tolist(), b["amount"].tolist(), b["price"].tolist()
+        cols = ([], [], [], [])
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+            if now is None or pair[i] != at:
+                done()
+                at, now = pair[i], Position()
+                if known[i]:
+                    r = b.iloc[i]
+                    flat = [float(x) for x in r["levels"]]
+                    now = Position(int(r["q"]), bool(r["has"]), float(r["c"]), int(r["n"]),
+                                   [tuple(flat[k:k + 3]) for k in range(0, len(flat), 3)])
+            for acc, part in zip(cols, now.run(sides[i:j], amounts[i:j], prices[i:j])):
+                acc.extend(part)
+        yield b[names[:4]].assign(delta=cols[0], quantity=cols[1], avg_cost=cols[2], has_position=cols[3],
+                                  **dict.fromkeys(_STATE))
+        if states:
+            yield left()
+            states.clear()
+    done()
+    if states:
+        yield left()
+
+
+def fold_onwards(trades: DataFrame, positions: DataFrame) -> DataFrame:
+    """A9 from stored positions (``POSITION_SCHEMA``, one row a pair): the per-trade rows, and one
+    row with the state columns for each pair of ``trades``, its position afterwards (``positions_after``). Same bits as
+    one fold over all trades."""
+    schema = T.StructType(FOLD_SCHEMA.fields + [
+        T.StructField(n, f.dataType) for n, f in zip(_STATE, POSITION_SCHEMA.fields[1:])])
+    t = in_units(trades).join(positions, "pair", "left").repartition("pair").sortWithinPartitions("pair", *FOLD_ORDER)
+    return t.mapInPandas(_continued, schema)
+
+
+def positions_after(onwards: DataFrame) -> DataFrame:
+    return onwards.where("state_n IS NOT NULL").select(
+        "pair", *[F.col(n).alias(f.name) for n, f in zip(_STATE, POSITION_SCHEMA.fields[1:])])
+
+
 def pnl_by_pair(folded: DataFrame) -> DataFrame:
     """Realized P&L per pair and the final position (the last trade's state)."""
     last = F.max(F.struct(*TRADE_ORDER, "quantity", "avg_cost", "has_position"))

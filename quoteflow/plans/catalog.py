@@ -6,6 +6,7 @@ days, so the historical bucket is 6 hours instead of the live feed's 5 ms).
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable
 
@@ -206,17 +207,20 @@ def _stream_name(spark, tag):
     return f"{tag}-{time.time_ns()}"
 
 
-LANDED_FILES = 3
+#: Files that a query lands for a stream: so many at least, and of about so many rows.
+LANDED_FILES, LANDED_ROWS = 3, 4_000_000
+
+
+def _files(rows):
+    return max(LANDED_FILES, -(-rows.count() // LANDED_ROWS))
 
 
 @register("stream_latest_quote_grid")
 def q_stream_latest_quote_grid(spark, sf_dir):
     ticks = adapters.live_quotes_frame(live.stream_table(spark, sf_dir, "events"))
-    out = scratch_path(spark, _stream_name(spark, "grid"))
-    q = (live.stream_latest_quote_grid(ticks).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
+    q, out = live.start_quote_grid(spark, ticks, _stream_name(spark, "grid"))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return live.read_written(spark, out, live.GRID_SCHEMA)
 
 
 @register("stream_executed_opportunities")
@@ -244,7 +248,7 @@ def q_stream_trading_updates(spark, sf_dir):
     landed, params = scratch_path(spark, name + "-ticks"), scratch_path(spark, name + "-params")
     adapters.parameter_updates(spark, sf_dir).write.parquet(params)
     events = adapters.read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
-    live.land_in_order(events, "event_id", landed, LANDED_FILES)
+    live.land_in_order(events, "event_id", landed, _files(events))
     ticks = adapters.live_quotes_frame(live.landed_stream(spark, landed, events.schema))
     q, executed = live.start_live_trading(spark, ticks, params, name=name)
     q.awaitTermination()
@@ -256,12 +260,25 @@ def q_stream_trading_updates(spark, sf_dir):
 def q_stream_pnl_by_pair(spark, sf_dir):
     li = live.stream_table(spark, sf_dir, "lineitem")
     trades = pnl.order_to_trade(pnl.completed_orders(adapters.orders_frame(li)))
-    out = scratch_path(spark, _stream_name(spark, "pnl"))
-    q = (live.stream_pnl(trades).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
+    q, out = live.start_pnl(spark, trades, _stream_name(spark, "pnl"))
+    q.awaitTermination()
+    return pnl.pnl_by_pair(live.read_folded(spark, out))
+
+
+@register("stream_threshold_alerts")
+def q_stream_threshold_alerts(spark, sf_dir):
+    """ST4: folded trades -> running portfolio P&L -> alerts, landed in date order, one file a micro-batch."""
+    name = _stream_name(spark, "alerts")
+    landed = scratch_path(spark, name + "-lines")
+    lines = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    live.land_in_order(lines.withColumn("_day", F.datediff(F.col("l_shipdate"), F.lit("1990-01-01").cast("date"))), "_day",
+                       landed, _files(lines))
+    trades = pnl.order_to_trade(pnl.completed_orders(adapters.orders_frame(live.landed_stream(spark, landed, lines.schema))))
+    sink = live.PortfolioSink(scratch_path(spark, name + "-cum"), scratch_path(spark, name + "-hits"),
+                              adapters.threshold_commands(spark, sf_dir))
+    q, _ = live.start_pnl(spark, trades, name, then=sink)
     q.awaitTermination()
-    folded = spark.read.parquet(out).withColumn("pnl", F.col("delta").cast(pnl.PNL))
-    return pnl.pnl_by_pair(folded)
+    return live.read_written(spark, sink.alerts_path, live.ALERT_SCHEMA).drop("batch_id")
 
 
 # ------------------------------------------------------------ S1-S3 frames

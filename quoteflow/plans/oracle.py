@@ -575,3 +575,6 @@ SELECT c.pair, c.seq, c.buy_x, c.sell_x,
 FROM walk w JOIN cand c ON c.n = w.n WHERE w.qty > 0"""
 
 ORACLE["stream_trading_updates"] = ORACLE["trading_updates"]
+
+ORACLE["stream_threshold_alerts"] = THRESHOLD_CTES + """
+SELECT h.command_id, h.alert_ts, h.alert_order_id, h.alert_cum_pnl FROM hits h"""

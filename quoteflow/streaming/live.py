@@ -1,41 +1,35 @@
 """Structured Streaming forms of the live paths (ST1-ST6).
 
-ST1  keyed latest-quote state: ``applyInPandasWithState`` keyed by pair; the
-     state is the latest quote per exchange (bounded by the venue count). It
-     emits, per tick, the pair's cached quotes - the same rows as the batch
-     ``latest_quote_grid`` - so everything downstream is shared batch code.
+ST1  keyed latest-quote state: the book (latest quote per pair and venue) goes from
+     micro-batch to micro-batch as a table; a batch is the batch operator over its ticks.
 ST2  once-only and budget across pairs: ``foreachBatch`` runs the batch
      execution operator on the micro-batch's ticks; executed keys, the book and the
      spent budget live in tables (never in operator state, so they do not
      grow it), written idempotently by batch id.
 ST3  parameters: an effective-dated parameter table cuts every batch into segments.
-ST4  P&L: keyed inventory state per pair emitting per-trade realized deltas
-     (the batch fold's rows); ``PortfolioSink`` carries the portfolio running
-     total across batches and alerts each threshold command once (W5/W6).
+ST4  P&L: one position per pair goes from batch to batch as a table, and the fold goes on from
+     it in sorted partitions; ``PortfolioSink`` carries the portfolio running
+     total and the command in force, and alerts each threshold command once (W5/W6).
 ST5  5 ms buckets of the historical scan with a watermark (added capability).
 ST6  stop: ``query.stop()``, or an effective-dated parameter row that is not active, at its
      tick; the P&L gate acts from the alert's time on.
 
-Only ST1 and ST4 run Python (Arrow batches per key group); the rest is
-Catalyst. The last arrival wins in ST1 whatever its timestamp (no lateness
-rule), like the reference.
+State is in tables and not in a keyed state operator because trades and ticks of a key must be taken in
+order, and a micro-batch's rows of a key can be neither sorted nor split over tasks inside one. Only ST4 runs
+Python (Arrow batches). The last arrival wins in ST1 whatever its timestamp (no lateness rule), like the reference.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quoteflow.operators import opportunities as OPS
 from quoteflow.operators import pnl as PNL
-from quoteflow.operators.position import Position
 from quoteflow.operators.running import global_prefix_sum
 from quoteflow.plans.joins import release_cached
 from quoteflow.session import delete_path, path_exists, scratch_path
@@ -82,51 +76,6 @@ GRID_SCHEMA = T.StructType([
     T.StructField("as", T.DoubleType()),
 ])
 
-CACHE_STATE = T.StructType([
-    T.StructField("xs", T.ArrayType(T.IntegerType())),
-    T.StructField("q_seq", T.ArrayType(T.LongType())),
-    T.StructField("bp", T.ArrayType(T.DoubleType())),
-    T.StructField("bs", T.ArrayType(T.DoubleType())),
-    T.StructField("ap", T.ArrayType(T.DoubleType())),
-    T.StructField("as", T.ArrayType(T.DoubleType())),
-])
-
-_Q = ["q_seq", "bp", "bs", "ap", "as"]
-
-
-def _cache_update(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Per pair: apply this batch's ticks in arrival order to the cache and
-    emit the cache after each tick."""
-    (pair,) = key
-    cache = {}
-    if state.exists:
-        xs, *cols = state.get
-        for i, x in enumerate(xs):
-            cache[int(x)] = tuple(c[i] for c in cols)
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
-    out = {k: [] for k in ["seq", "x", *_Q]}
-    for seq, x, bp, bs, ap, as_ in zip(batch["seq"], batch["x"], batch["bp"], batch["bs"],
-                                       batch["ap"], batch["as"]):
-        cache[int(x)] = (int(seq), float(bp), float(bs), float(ap), float(as_))
-        for cx, q in cache.items():
-            out["seq"].append(int(seq))
-            out["x"].append(cx)
-            for name, v in zip(_Q, q):
-                out[name].append(v)
-    xs = sorted(cache)
-    state.update(tuple([xs] + [[cache[x][i] for x in xs] for i in range(len(_Q))]))
-    res = pd.DataFrame(out)
-    res.insert(0, "pair", pair)
-    yield res[[f.name for f in GRID_SCHEMA.fields]]
-
-
-def stream_latest_quote_grid(ticks: DataFrame) -> DataFrame:
-    """ST1: streaming form of ``latest_quote_grid`` (keyed state per pair)."""
-    t = ticks.select("pair", "seq", "x", "bp", "bs", "ap", "as")
-    return t.groupBy("pair").applyInPandasWithState(
-        _cache_update, GRID_SCHEMA, CACHE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 # --------------------------------------------------------------- ST2 / ST3
 EXECUTED_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
@@ -169,7 +118,7 @@ def read_written(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     table; any other failure is raised."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def write_params(spark: SparkSession, path: str, effective_seq: int, p: OPS.TradingParams,
@@ -181,8 +130,85 @@ def write_params(spark: SparkSession, path: str, effective_seq: int, p: OPS.Trad
         .write.mode("append").parquet(path)
 
 
-class ExecutionSink:
-    """ST2 / ST3 / ST6: ``foreachBatch`` sink over ticks, executing each pair's best opportunity
+class BatchSink:
+    """A ``foreachBatch`` sink whose micro-batches take effect once, whatever is replayed.
+
+    ``process`` writes into ``batch_id=<id>`` folders with overwrite; the batch is committed
+    by its meta row, written last. The next batch reads only that row and the tables that it names. What a committed
+    batch has replaced (returned by ``process``) and the meta row before are deleted."""
+
+    meta_schema: T.StructType
+
+    def __init__(self, path: str):
+        self.path, self.meta_path = path, path + "-meta"
+
+    @staticmethod
+    def _part(path: str, batch_id: int) -> str:
+        return os.path.join(path, f"batch_id={batch_id}")
+
+    def _state(self, spark, name: str, schema: T.StructType, batch_id: int | None) -> DataFrame:
+        """A carried table as ``batch_id`` wrote it; empty without one."""
+        if batch_id is None:
+            return spark.createDataFrame([], schema)
+        return read_written(spark, self._part(f"{self.path}-{name}", batch_id), schema)
+
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        if read_written(spark, self._part(self.meta_path, batch_id), self.meta_schema).limit(1).count():
+            return                                          # batch already committed
+        meta = read_written(spark, self._part(self.meta_path, batch_id - 1), self.meta_schema).first()
+        rows = rows.persist()                               # used by several actions
+        try:
+            new, replaced = self.process(spark, rows, batch_id, meta)
+        finally:
+            rows.unpersist()
+            release_cached()
+        spark.createDataFrame([new], self.meta_schema).write.mode("overwrite").parquet(self._part(self.meta_path, batch_id))
+        for path in [*replaced, self._part(self.meta_path, batch_id - 1)]:
+            delete_path(spark, path)
+
+    def process(self, spark, rows: DataFrame, batch_id: int, meta) -> tuple[tuple, list[str]]:
+        """Write the batch; gives its meta row and the paths that no one reads once it is committed."""
+        raise NotImplementedError
+
+    def _carry(self, table: DataFrame, name: str, batch_id: int, last: int | None) -> list[str]:
+        """Write a carried table; gives the folder that it replaces."""
+        table.write.mode("overwrite").parquet(self._part(f"{self.path}-{name}", batch_id))
+        return [] if last is None else [self._part(f"{self.path}-{name}", last)]
+
+
+def start_sink(spark: SparkSession, rows: DataFrame, sink: BatchSink, name: str, trigger: dict | None = None):
+    w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, f"{name}-checkpoint"))
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+# --------------------------------------------------------------------- ST1
+class GridSink(BatchSink):
+    """ST1: every tick with the latest quote of each exchange of its pair. The state is the book, one
+    quote per (pair, venue), a table that the next batch starts from; a batch is the batch operator's window by
+    (pair, venue, block), so a pair that fills a batch is spread over tasks and none holds it."""
+
+    meta_schema = T.StructType([T.StructField("book_batch", T.LongType())])
+
+    def process(self, spark, rows, batch_id, meta):
+        last = meta["book_batch"] if meta is not None else None
+        if not rows.limit(1).count():
+            return (last,), []
+        book = self._state(spark, "book", BOOK_SCHEMA, last)
+        grid = OPS.latest_quote_grid(rows, book=book).select(*GRID_SCHEMA.fieldNames())
+        grid.write.mode("overwrite").parquet(self._part(self.path, batch_id))
+        return (batch_id,), self._carry(OPS.book_after(rows, book), "book", batch_id, last)
+
+
+def start_quote_grid(spark: SparkSession, ticks: DataFrame, name: str = "grid", trigger: dict | None = None):
+    """ST1 as a streaming query: (query, path of the grid)."""
+    path = scratch_path(spark, name)
+    rows = ticks.select("pair", "seq", "x", "bp", "bs", "ap", "as")
+    return start_sink(spark, rows, GridSink(path), name, trigger), path
+
+
+class ExecutionSink(BatchSink):
+    """ST2 / ST3 / ST6 over ticks: each pair's best opportunity is executed
     once, within the global budget, across micro-batches.
 
     A micro-batch is run by ``executed_in_segments``: parameter updates and stops take effect at their
@@ -192,53 +218,33 @@ class ExecutionSink:
     * P&L gate (an alert of the portfolio sink): executions from the alert's time on are still
       recorded and still spend the budget and the once-only mark (Q9), but
       with ``orders_submitted`` false.
-    * Each batch writes into ``batch_id=<id>`` folders with overwrite and
-      finishes with a meta row, so a replayed batch recomputes and rewrites. A book and a meta row that
-      a later batch has replaced are deleted.
     """
 
-    def __init__(self, executed_path: str, params_path: str, alerts_path: str | None = None):
-        self.executed_path = executed_path
-        self.params_path = params_path
-        self.alerts_path = alerts_path
-        self.books_path = executed_path + "-books"
-        self.meta_path = executed_path + "-meta"
-
-    @staticmethod
-    def _part(path: str, batch_id: int) -> str:
-        return os.path.join(path, f"batch_id={batch_id}")
+    meta_schema = META_SCHEMA
 
-    def __call__(self, ticks: DataFrame, batch_id: int) -> None:
-        spark = ticks.sparkSession
-        if read_written(spark, self._part(self.meta_path, batch_id), META_SCHEMA).limit(1).count():
-            return                                          # batch already committed
-        ticks = ticks.persist()  # used by several actions below
-        try:
-            self._process(spark, ticks, batch_id)
-        finally:
-            ticks.unpersist()
-            release_cached()
+    def __init__(self, executed_path: str, params_path: str, alerts_path: str | None = None):
+        super().__init__(executed_path)
+        self.params_path, self.alerts_path = params_path, alerts_path
 
-    def _process(self, spark, ticks: DataFrame, batch_id: int) -> None:
-        meta = read_written(spark, self._part(self.meta_path, batch_id - 1), META_SCHEMA).first()
-        executed = read_written(spark, self.executed_path, EXECUTED_SCHEMA).where(F.col("batch_id") != batch_id)
-        carry = OPS.TradingCarry(done=executed.select("pair", "buy_x", "sell_x"))
+    def process(self, spark, rows, batch_id, meta):
+        executed = read_written(spark, self.path, EXECUTED_SCHEMA).where(F.col("batch_id") != batch_id)
+        done, last = executed.select("pair", "buy_x", "sell_x"), None
+        carry = OPS.TradingCarry(done=done)
         if meta is not None:
-            book = None if meta["book_batch"] is None else read_written(
-                spark, self._part(self.books_path, meta["book_batch"]), BOOK_SCHEMA)
-            carry = OPS.TradingCarry(book, carry.done, meta["spent"], meta["params_seq"])
-        ex, after = OPS.executed_in_segments(ticks, read_written(spark, self.params_path, PARAMS_SCHEMA), carry)
-        book_batch = meta["book_batch"] if meta is not None else None
+            last = meta["book_batch"]
+            book = None if last is None else self._state(spark, "book", BOOK_SCHEMA, last)
+            carry = OPS.TradingCarry(book, done, meta["spent"], meta["params_seq"])
+        ex, after = OPS.executed_in_segments(rows, read_written(spark, self.params_path, PARAMS_SCHEMA), carry)
+        replaced, book_batch = [], last
         if after.book is not None and after.book is not carry.book:
-            book_batch = batch_id
-            after.book.write.mode("overwrite").parquet(self._part(self.books_path, batch_id))
+            replaced, book_batch = self._carry(after.book, "book", batch_id, last), batch_id
 
         closed = None if not self.alerts_path else read_written(
             spark, self.alerts_path, ALERT_SCHEMA).agg(F.min("alert_ts")).first()[0]
         submitted = F.lit(True)
         if closed is not None:
             # the few executions look up their tick's time
-            ex = ticks.select("seq", "t").join(F.broadcast(ex), "seq")
+            ex = rows.select("seq", "t").join(F.broadcast(ex), "seq")
             submitted = F.timestamp_millis("t").cast("timestamp_ntz") < F.lit(closed)
         ex = ex.withColumn("value_dec", (F.col("buy_price") * F.col("quantity")).cast("decimal(38,10)")) \
             .withColumn("orders_submitted", submitted)
@@ -246,15 +252,9 @@ class ExecutionSink:
         # batch stays bounded by the opportunity keys, not by the batch count
         ex = ex.select(*[c.name for c in EXECUTED_SCHEMA.fields[1:]]).persist()
         if ex.limit(1).count():
-            ex.write.mode("overwrite").parquet(self._part(self.executed_path, batch_id))
+            ex.write.mode("overwrite").parquet(self._part(self.path, batch_id))
         ex.unpersist()
-
-        spark.createDataFrame([(after.params_seq, Decimal(after.spent), book_batch)], META_SCHEMA) \
-            .write.mode("overwrite").parquet(self._part(self.meta_path, batch_id))
-        # committed: batch_id is not run again, so nothing reads what it replaced
-        if meta is not None and meta["book_batch"] is not None and meta["book_batch"] != book_batch:
-            delete_path(spark, self._part(self.books_path, meta["book_batch"]))
-        delete_path(spark, self._part(self.meta_path, batch_id - 1))
+        return (after.params_seq, Decimal(after.spent), book_batch), replaced
 
 
 def start_live_trading(spark: SparkSession, ticks: DataFrame, params_path: str, name: str = "live",
@@ -263,45 +263,51 @@ def start_live_trading(spark: SparkSession, ticks: DataFrame, params_path: str,
     ``query.stop()`` or a parameter row that is not active is the stop-trading operation (ST6);
     ``alerts_path`` (the portfolio sink's alert table) closes the gate once a threshold is hit."""
     executed = scratch_path(spark, f"{name}-executed")
-    sink = ExecutionSink(executed, params_path, alerts_path)
-    w = (ticks.select("pair", "seq", "x", "bp", "bs", "ap", "as", "t").writeStream.foreachBatch(sink)
-         .option("checkpointLocation", scratch_path(spark, f"{name}-checkpoint")))
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start(), executed
+    rows = ticks.select("pair", "seq", "x", "bp", "bs", "ap", "as", "t")
+    return start_sink(spark, rows, ExecutionSink(executed, params_path, alerts_path), name, trigger), executed
 
 
 # --------------------------------------------------------------------- ST4
-PNL_STATE = T.StructType([
-    T.StructField("q", T.LongType()),
-    T.StructField("has", T.BooleanType()),
-    T.StructField("c", T.DoubleType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("levels", T.ArrayType(T.DoubleType())),     # (entry cost, a, b) of the leaf and its nodes
-])
-
-PNL_OUT = T.StructType([f for f in PNL.FOLD_SCHEMA.fields])
-
-
-def _pnl_update(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Per pair: continue the weighted-average-cost fold from the stored
-    inventory with this batch's trades in (ts, order_id) order."""
-    (pair,) = key
-    now = Position()
-    if state.exists:
-        q0, has0, c0, n, flat = state.get
-        now = Position(int(q0), bool(has0), float(c0), int(n),
-                       [tuple(map(float, flat[i:i + 3])) for i in range(0, len(flat), 3)])
-    b = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "order_id"], kind="stable")
-    d, q, c, h = now.run(b["side"].tolist(), b["amount"].tolist(), b["price"].tolist())
-    state.update((now.q, now.has, now.c, now.n, [x for level in now.levels for x in level]))
-    yield pd.DataFrame({"pair": pair, "order_id": b["order_id"].values, "ts": b["ts"].values,
-                        "side": b["side"].values, "delta": d, "quantity": q, "avg_cost": c, "has_position": h})
-
-
-def stream_pnl(trades: DataFrame) -> DataFrame:
-    """ST4: per-pair inventory state; emits the batch fold's per-trade rows."""
-    return PNL.in_units(trades).groupBy("pair").applyInPandasWithState(
-        _pnl_update, PNL_OUT, PNL_STATE, "append", GroupStateTimeout.NoTimeout)
+class PnlSink(BatchSink):
+    """ST4: the weighted-average-cost fold over trades that arrive in (ts, order_id) order. The state is one
+    position per pair, a table; a batch is folded on from it in sorted partitions, so a task holds one Arrow batch and
+    one position however many trades a pair brings. Writes the batch fold's per-trade rows; ``then``, if
+    given, is called with the batch's written rows."""
+
+    meta_schema = T.StructType([T.StructField("positions_batch", T.LongType())])
+
+    def __init__(self, path: str, then=None):
+        super().__init__(path)
+        self.then = then
+
+    def process(self, spark, rows, batch_id, meta):
+        last, part = meta["positions_batch"] if meta is not None else None, self._part(self.path, batch_id)
+        if not rows.limit(1).count():
+            return (last,), []
+        positions = self._state(spark, "positions", PNL.POSITION_SCHEMA, last)
+        onwards = PNL.fold_onwards(rows, positions)
+        onwards.withColumn("is_state", F.col("state_n").isNotNull()) \
+            .write.mode("overwrite").partitionBy("is_state").parquet(part)
+        written = spark.read.schema(onwards.schema).parquet(part)
+        after = PNL.positions_after(written)
+        kept = positions.join(after.select("pair"), "pair", "left_anti").unionByName(after)
+        replaced = self._carry(kept, "positions", batch_id, last)
+        if self.then is not None:
+            self.then(written.where("state_n IS NULL").select(*PNL.FOLD_SCHEMA.fieldNames()), batch_id)
+        return (batch_id,), replaced
+
+
+def read_folded(spark: SparkSession, path: str) -> DataFrame:
+    """The per-trade rows that a ``PnlSink`` has written."""
+    schema = T.StructType(PNL.FOLD_SCHEMA.fields + [T.StructField("is_state", T.BooleanType())])
+    return read_written(spark, path, schema).where("NOT is_state").select(*PNL.FOLD_SCHEMA.fieldNames()) \
+        .withColumn("pnl", F.col("delta").cast(PNL.PNL))
+
+
+def start_pnl(spark: SparkSession, trades: DataFrame, name: str = "pnl", then=None, trigger: dict | None = None):
+    """ST4 as a streaming query: (query, path for ``read_folded``)."""
+    path = scratch_path(spark, name)
+    return start_sink(spark, trades, PnlSink(path, then), name, trigger), path
 
 
 # --------------------------------------------------------------------- ST5
@@ -352,48 +358,56 @@ ALERT_SCHEMA = T.StructType([
 ])
 
 
-CARRY_SCHEMA = T.StructType([T.StructField("cum_pnl", PNL.PNL)])
+#: The threshold command in force after a batch, and the latest trade time.
+FORCE = "command_id long, ts timestamp_ntz, threshold decimal(18,2)"
 
 
-class PortfolioSink:
-    """ST4 finishing step (``foreachBatch``): running portfolio P&L across
-    micro-batches (W5) and the first crossing of each threshold command (W6).
+class PortfolioSink(BatchSink):
+    """ST4 finishing step: running portfolio P&L across micro-batches (W5) and the first
+    crossing of each threshold command (W6), over folded trades in (ts, order_id) order.
 
-    Each batch writes its rows and alerts into its own ``batch_id=<id>``
-    folders (overwrite, so a replayed batch rewrites instead of duplicating)
-    and then a one-row carry (the last cumulative value) that marks the batch
-    done. The next batch reads only the previous carry, so per-batch cost
-    does not grow with the stream's history. A command already alerted is
-    not alerted again. Trades must arrive in (ts, order_id) order."""
+    Between batches go the last cumulative value, the latest trade time and the one command in
+    force (null once it has alerted). A batch reads the commands between the last batch's latest time and its own,
+    a range that reaches the commands' scan, so its cost doesn't grow with past trades or commands. A
+    command must be in the table when the first trade at or after it is read."""
 
-    def __init__(self, cum_path: str, alerts_path: str, commands: DataFrame, carry_path: str | None = None):
-        self.cum_path, self.alerts_path, self.commands = cum_path, alerts_path, commands
-        self.carry_path = carry_path or cum_path + "-carry"
+    meta_schema = T.StructType([
+        T.StructField("cum_pnl", PNL.PNL), T.StructField("until", T.TimestampNTZType()),
+        T.StructField("command_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("threshold", T.DecimalType(18, 2)),
+    ])
 
-    @staticmethod
-    def _part(path: str, batch_id: int) -> str:
-        return os.path.join(path, f"batch_id={batch_id}")
+    def __init__(self, cum_path: str, alerts_path: str, commands: DataFrame):
+        super().__init__(cum_path)
+        self.cum_path, self.alerts_path, self.commands = cum_path, alerts_path, commands
 
-    def __call__(self, folded: DataFrame, batch_id: int) -> None:
-        spark = folded.sparkSession
-        if read_written(spark, self._part(self.carry_path, batch_id), CARRY_SCHEMA).limit(1).count():
-            return                                     # batch already committed
-        prev = read_written(spark, self._part(self.carry_path, batch_id - 1), CARRY_SCHEMA).first()
-        carry = prev["cum_pnl"] if prev is not None else 0
-        rows = folded.select("ts", "order_id", "pair", F.col("delta").cast(PNL.PNL).alias("pnl"))
-        cum = global_prefix_sum(rows, "pnl", PNL.TRADE_ORDER, "cum_pnl", inclusive=True)
+    def process(self, spark, rows, batch_id, meta):
+        if not rows.limit(1).count():
+            return tuple(meta) if meta is not None else (Decimal(0), None, None, None, None), []
+        carry = meta["cum_pnl"] if meta is not None else Decimal(0)
+        trades = rows.select("ts", "order_id", "pair", F.col("delta").cast(PNL.PNL).alias("pnl"))
+        cum = global_prefix_sum(trades, "pnl", PNL.TRADE_ORDER, "cum_pnl", inclusive=True)
         cum = cum.withColumn("cum_pnl", (F.col("cum_pnl") + F.lit(carry).cast(PNL.PNL)).cast(PNL.PNL))
-        cum.select("ts", "order_id", "pair", "pnl", "cum_pnl").write.mode("overwrite") \
-            .parquet(self._part(self.cum_path, batch_id))
-        written = spark.read.parquet(self._part(self.cum_path, batch_id))
-        alerted = read_written(spark, self.alerts_path, ALERT_SCHEMA).where(F.col("batch_id") != batch_id) \
-            .select("command_id")
-        hits = PNL.threshold_alerts(written, self.commands)
-        hits = hits.where(F.col("alert_ts").isNotNull()).join(alerted, "command_id", "left_anti")
-        hits = hits.select("command_id", "alert_ts", "alert_order_id", "alert_cum_pnl").persist()
+        cum.select("ts", "order_id", "pair", "pnl", "cum_pnl").write.mode("overwrite").parquet(self._part(self.path, batch_id))
+        written = spark.read.parquet(self._part(self.path, batch_id))
+        last = written.agg(F.max(F.struct("ts", "order_id", "cum_pnl")).alias("m")).first()["m"]
+
+        new = self.commands.where(F.col("ts") <= F.lit(last["ts"]))
+        if meta is not None and meta["until"] is not None:
+            new = new.where(F.col("ts") > F.lit(meta["until"]))
+        new = new.select(F.col("command_id").cast("long").alias("command_id"), F.col("ts").cast("timestamp_ntz").alias("ts"),
+                         F.col("threshold").cast("decimal(18,2)").alias("threshold")).where("threshold >= 0")
+        held = [] if meta is None or meta["command_id"] is None else [(meta["command_id"], meta["ts"], meta["threshold"])]
+        new = new.unionByName(spark.createDataFrame(held, FORCE)).persist()
+        # a written table, as what is in force at the batch's end needs the alerts too
+        hits = PNL.threshold_alerts(written, new).where("alert_ts IS NOT NULL").persist()
         if hits.limit(1).count():          # folders only for batches with alerts (bounded by commands)
-            hits.write.mode("overwrite").parquet(self._part(self.alerts_path, batch_id))
+            hits.select("command_id", "alert_ts", "alert_order_id", "alert_cum_pnl") \
+                .write.mode("overwrite").parquet(self._part(self.alerts_path, batch_id))
+        force = new.agg(F.max(F.struct("ts", "command_id", "threshold")).alias("f")).first()["f"]
+        if force is not None and (force["threshold"] == 0 or hits.where(F.col("command_id") == force["command_id"]).count()):
+            force = None
         hits.unpersist()
-        last = written.agg(F.max(F.struct("ts", "order_id", "cum_pnl")).alias("m")).first()["m"]
-        spark.createDataFrame([(last["cum_pnl"] if last is not None else carry,)], CARRY_SCHEMA) \
-            .write.mode("overwrite").parquet(self._part(self.carry_path, batch_id))
+        new.unpersist()
+        row = (None, None, None) if force is None else (force["command_id"], force["ts"], force["threshold"])
+        return (last["cum_pnl"], last["ts"], *row), []

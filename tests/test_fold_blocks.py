@@ -117,6 +117,7 @@ def test_leaves_change_only_the_last_bits():
             for acc, x in zip(parts, p.run(sides[i:j], amounts[i:j], prices[i:j])):
                 acc.extend(x)
             i = j
+            p = Position(p.q, p.has, p.c, p.n, [tuple(x) for x in p.levels], leaf, fan)      # as stored and read again
         assert parts == whole
     first = Position().run(sides[:4096], amounts[:4096], prices[:4096])
     assert first[2] == plain[2][:4096]

@@ -47,21 +47,15 @@ def stream_of(spark, name, sort_cols):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
 
 
-def run_to_parquet(df, mode="append"):
-    out, ck = tempfile.mkdtemp(prefix="qf-out-"), tempfile.mkdtemp(prefix="qf-ck-")
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
-
-
 def rows(df, cols):
     return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
 
 
 def test_st1_grid_stream_equals_batch(spark):
     ticks = adapters.live_quotes_frame(stream_of(spark, "events", ["event_id"]))
-    out = run_to_parquet(live.stream_latest_quote_grid(ticks))
+    q, out = live.start_quote_grid(spark, ticks, f"grid-{time.time_ns()}")
+    q.awaitTermination()
+    assert q.lastProgress["batchId"] >= N_FILES - 1
     cols = ["pair", "seq", "x", "q_seq", "bp", "bs", "ap", "as"]
     got = rows(spark.read.parquet(out), cols)
     want = rows(O.latest_quote_grid(adapters.live_quotes(spark, SF_SMALL)), cols)
@@ -93,9 +87,11 @@ def test_st6_gate_stops_trading(spark, scratch_dir):
 def test_st4_pnl_stream_equals_batch(spark):
     li = stream_of(spark, "lineitem", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     trades = pnl.order_to_trade(pnl.completed_orders(adapters.orders_frame(li)))
-    out = run_to_parquet(live.stream_pnl(trades))
+    q, out = live.start_pnl(spark, trades, f"pnl-{time.time_ns()}")
+    q.awaitTermination()
+    assert q.lastProgress["batchId"] >= N_FILES - 1
     cols = ["pair", "order_id", "delta", "quantity", "avg_cost", "has_position"]
-    got = rows(spark.read.parquet(out), cols)
+    got = rows(live.read_folded(spark, out), cols)
     want = rows(pnl.fold_trades(pnl.order_to_trade(pnl.completed_orders(adapters.orders(spark, SF_SMALL)))), cols)
     assert got == want
 
@@ -151,9 +147,7 @@ def test_st4_portfolio_sink_equals_batch(spark, scratch_dir):
     cmds = adapters.threshold_commands(spark, SF_SMALL)
     tag = time.time_ns()
     sink = live.PortfolioSink(os.path.join(scratch_dir, f"cum-{tag}"), os.path.join(scratch_dir, f"alerts-{tag}"), cmds)
-    ck = tempfile.mkdtemp(prefix="qf-ck-")
-    q = (live.stream_pnl(trades).writeStream.foreachBatch(sink).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
+    q, _ = live.start_pnl(spark, trades, f"folded-{tag}", then=sink)
     q.awaitTermination()
     cols = ["ts", "order_id", "cum_pnl"]
     got = rows(spark.read.parquet(sink.cum_path), cols)
@@ -261,7 +255,7 @@ def test_st3_st6_updates_inside_batches(spark, scratch_dir, files):
     assert [g[:4] for g in got] == [w[:4] for w in want] and len({w[1] > 457 for w in want}) == 2
     assert [g[4] for g in got] == pytest.approx([w[4] for w in want], rel=1e-9)
     # what a later batch replaced is gone
-    assert len(os.listdir(executed + "-meta")) == 1 and len(os.listdir(executed + "-books")) == 1
+    assert len(os.listdir(executed + "-meta")) == 1 and len(os.listdir(executed + "-book")) == 1
 
 
 def test_unreadable_state_is_an_error(spark, scratch_dir):
@@ -273,3 +267,28 @@ def test_unreadable_state_is_an_error(spark, scratch_dir):
         f.write(b"not a table")
     with pytest.raises(Exception):
         live.read_written(spark, path, live.META_SCHEMA).collect()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fold_goes_on_from_positions(spark, scratch_dir, seed):
+    """Batches of any size, with pairs that come and go: the bits of one fold."""
+    import datetime as dt
+    import random
+    from quoteflow.operators import position
+
+    r = random.Random(seed)
+    data = [(f"P{r.randrange(3)}" if i < 250 else "P9", f"o{i:04d}", r.choice(["buy", "buy", "sell"]), r.randrange(0, 90) / 8,
+             r.randrange(1, 999) / 16, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(400)]
+    schema = "pair string, order_id string, side string, amount double, price double, ts timestamp_ntz"
+    sink = live.PnlSink(os.path.join(scratch_dir, f"onwards-{seed}-{time.time_ns()}"))
+    cuts = [0, *sorted(r.sample(range(1, 400), 5)), 400]
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        sink(spark.createDataFrame(data[i:j], schema), k)
+    sink(spark.createDataFrame([], schema), len(cuts))
+    got = rows(live.read_folded(spark, sink.path), ["order_id", "delta", "quantity", "avg_cost", "has_position"])
+    loop, want = {}, []
+    for p, o, side, amount, price, _ in data:
+        pos = loop.setdefault(p, position.Position())
+        d, q, c, h = pos.run([side], [round(amount * 10**8)], [price])
+        want.append((o, d[0], q[0], c[0], h[0]))
+    assert got == want
