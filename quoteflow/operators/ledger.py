@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoteflow.operators.running import previous_in_key
+
 # Transaction statuses.
 SUBMITTED = "Submitted"
 FULFILLED = "Fulfilled"
@@ -49,11 +51,24 @@ def latest_transactions(events: DataFrame) -> DataFrame:
     return s.select("transaction_id", "s.*")
 
 
+# Fixed value: the reference's reply to an unknown order id.
+MSG_ORDER_NOT_FOUND = "Order not found"
+
+
 def lookup(state: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """point or bulk lookup = left-semi join to a key table."""
     return state.join(keys.select(key).distinct(), key, "left_semi")
 
 
+def find(state: DataFrame, keys: DataFrame, key: str, message: str = MSG_ORDER_NOT_FOUND) -> DataFrame:
+    """F6 with its outcome: one row per requested key (null keys are not found), the first matching state row in
+    column order (L3; the reference's choice of equal ones is the store's), or ``message`` in ``error``."""
+    rest = [c for c in state.columns if c != key]
+    first = state.groupBy(key).agg(F.min(F.struct(*rest)).alias("s"))
+    out = keys.select(key).distinct().join(first, key, "left")
+    return out.select(key, "s.*", F.when(F.col("s").isNull(), F.lit(message)).alias("error"))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Insert order or transaction rows = append to a change-log table."""
     rows.write.mode("append").parquet(path)
@@ -75,20 +90,27 @@ MSG_TX_UPDATED = "Transaction status updated successfully."
 MSG_TX_NOT_FOUND = "No transaction found with the given TransactionId."
 
 
-def update_transaction_status(state: DataFrame, updates: DataFrame) -> DataFrame:
-    """G2 in bulk: apply (transaction_id, new_status) to the current state.
+def update_transaction_status(state: DataFrame, updates: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """G2 in bulk: apply (transaction_id, new_status) to the current state, the updates of one
+    transaction one after the other by the columns ``order``; each is compared with the status that those before left.
 
     As in the reference, success means a row was *modified*: an unknown id,
-    or a status equal to the current one, reports the not-found message.
-    Returns (transaction_id, new_status, status, result) where ``status`` is
-    the state after the update. One left join on the id (both sides keyed,
-    so a shuffle join, never a broadcast of the state)."""
-    j = updates.select("transaction_id", "new_status").join(
-        state.select("transaction_id", F.col("status").alias("old_status")), "transaction_id", "left")
-    changed = F.col("old_status").isNotNull() & (F.col("old_status") != F.col("new_status"))
-    return j.select("transaction_id", "new_status",
-                    F.when(changed, F.col("new_status")).otherwise(F.col("old_status")).alias("status"),
-                    F.when(changed, F.lit(MSG_TX_UPDATED)).otherwise(F.lit(MSG_TX_NOT_FOUND)).alias("result"))
+    or a status equal to the one there is, reports the not-found message.
+    Returns (transaction_id, the order columns, new_status, status, result) where ``status`` is
+    the state after the update. The status before is that of the previous update, so one lag over
+    state and updates gives it (``previous_in_key``: a transaction with any number of updates is spread over tasks)."""
+    none = [F.lit(None).cast(updates.schema[c].dataType).alias(c) for c in order]
+    ev = (state.select("transaction_id", *none, F.lit(0).alias("is_update"), F.col("status").alias("new_status"))
+          .unionByName(updates.select("transaction_id", *order, F.lit(1).alias("is_update"), "new_status")))
+    # a state row goes before its updates; without one nothing is modified
+    ev = previous_in_key(ev.withColumn("left", F.col("new_status")), "transaction_id", ["is_update", *order, "new_status"], "left", "before")
+    known = state.select("transaction_id").distinct().withColumn("stored", F.lit(True))
+    ev = ev.where("is_update = 1").join(known, "transaction_id", "left")
+    old = F.when(F.col("stored"), F.col("before"))
+    changed = F.col("stored") & ~old.eqNullSafe(F.col("new_status"))
+    return ev.select("transaction_id", *order, "new_status",
+                     F.when(changed, F.col("new_status")).otherwise(old).alias("status"),
+                     F.when(changed, F.lit(MSG_TX_UPDATED)).otherwise(F.lit(MSG_TX_NOT_FOUND)).alias("result"))
 
 
 # Results of storing transaction history.

@@ -35,6 +35,8 @@ from quoteflow.plans.joins import bounded, cache_small, join_small
 from quoteflow.session import checkpoint_dir
 
 QUOTE_FIELDS = ["bp", "bs", "ap", "as"]
+#: Blocks a span of the carry prefix.
+SPAN = 1024
 BUDGET = "decimal(38,10)"
 
 
@@ -75,9 +77,16 @@ def latest_quote_grid(ticks: DataFrame, block_size: int = DEFAULT_BLOCK, book: D
     # Keyed like the grid's partitioning, so even a carry too big to broadcast
     # joins without moving the grid.
     blocks = last_in_block.select("pair", "block").distinct()
+    # The prefix has two levels, so no window holds more than SPAN blocks of a pair and venue, or its
+    # spans: quotes grow with q_seq, so the latest is the largest.
     carry = blocks.join(pair_ex, "pair").join(last_in_block, ["pair", "x", "block"], "left")
-    wb = Window.partitionBy("pair", "x").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select("pair", "x", "block", F.last("last_q", ignorenulls=True).over(wb).alias("carry_q"))
+    carry = carry.withColumn("span", F.expr(f"floor(block / {SPAN})"))
+    ws = Window.partitionBy("pair", "x").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = carry.groupBy("pair", "x", "span").agg(F.max("last_q").alias("span_q")).select(
+        "pair", "x", "span", F.max("span_q").over(ws).alias("span_q"))
+    wb = Window.partitionBy("pair", "x", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.withColumn("in_span", F.max("last_q").over(wb)).join(spans, ["pair", "x", "span"])
+    carry = carry.select("pair", "x", "block", F.coalesce("in_span", "span_q").alias("carry_q"))
     carry = carry.where(F.col("carry_q").isNotNull()).groupBy("pair", "block").agg(
         F.map_from_entries(F.collect_list(F.struct("x", "carry_q"))).alias("carry"))
 

@@ -106,6 +106,21 @@ def global_prefix_sum(df: DataFrame, value: str, order: list[str], out: str,
     return b if keep else b.drop(blk)
 
 
+def previous_in_key(df: DataFrame, key: str, order: list[str], value: str, out: str, n_parts: int | None = None) -> DataFrame:
+    """``lag(value)`` within ``key`` by ``order`` without a window over a whole key: lag within range blocks of
+    (key, order), and for a key's first row of a block the last value in its blocks before (a window over one row
+    per block and key in it)."""
+    b = ordered_blocks(df, [key, *order], n_parts, "_kblk")
+    w = Window.partitionBy("_kblk", key).orderBy(*order)
+    last = b.groupBy(key, "_kblk").agg(F.max(F.struct(*order, value)).alias("_l"))
+    last = last.select(key, "_kblk", F.lag(f"_l.{value}").over(Window.partitionBy(key).orderBy("_kblk")).alias("_before"))
+    b = b.withColumn("_lag", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w))
+    b = b.alias("b").join(last.alias("l"), F.col(f"b.{key}").eqNullSafe(F.col(f"l.{key}"))
+                          & (F.col("b._kblk") == F.col("l._kblk")), "left").select("b.*", "l._before")
+    return b.withColumn(out, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))) \
+        .drop("_kblk", "_lag", "_n", "_before")
+
+
 def next_in_order(df: DataFrame, order_col: str, out: str, n_blocks: int | None = None) -> DataFrame:
     """``lead(order_col)`` over a global order without a one-task window:
     lead within range blocks, and for each block's last row the first value

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoteflow.operators.opportunities import TradingParams
+
 # Validation messages in the reference's check order.
 MSG_CURRENCIES = "NumberOfCurrencies must be greater than zero"
 MSG_SPREAD = "MinimalPriceSpread must be greater than zero"
@@ -17,12 +19,15 @@ MSG_TX_BELOW_SPREAD = "MaximalTransactionValue must be greater than or equal to
 
 def validate(strategies: DataFrame) -> DataFrame:
     """first failing rule wins, in the reference's order; the minimal
-    transaction profit is not checked."""
-    err = (F.when(F.col("number_of_currencies") <= 0, F.lit(MSG_CURRENCIES))
-           .when(F.col("minimal_price_spread") <= 0, F.lit(MSG_SPREAD))
-           .when(F.col("maximal_transaction_value") <= 0, F.lit(MSG_TX_VALUE))
-           .when(F.col("maximal_trading_value") <= 0, F.lit(MSG_TRADING_VALUE))
-           .when(F.col("init_investment") <= 0, F.lit(MSG_INVESTMENT))
+    transaction profit is not checked. A null parameter fails its rule."""
+    def fails(rule):
+        return ~F.coalesce(rule, F.lit(False))
+
+    err = (F.when(fails(F.col("number_of_currencies") > 0), F.lit(MSG_CURRENCIES))
+           .when(fails(F.col("minimal_price_spread") > 0), F.lit(MSG_SPREAD))
+           .when(fails(F.col("maximal_transaction_value") > 0), F.lit(MSG_TX_VALUE))
+           .when(fails(F.col("maximal_trading_value") > 0), F.lit(MSG_TRADING_VALUE))
+           .when(fails(F.col("init_investment") > 0), F.lit(MSG_INVESTMENT))
            .when(F.col("maximal_transaction_value") < F.col("minimal_price_spread"), F.lit(MSG_TX_BELOW_SPREAD)))
     return strategies.withColumn("error", err).withColumn("valid", err.isNull())
 
@@ -47,3 +52,13 @@ def save(strategies: DataFrame, path: str) -> None:
 def load_current(spark, path: str, version_col: str = "strategy_id") -> DataFrame:
     """The current strategy from the store (latest valid row wins)."""
     return current_strategy(spark.read.parquet(path), version_col)
+
+
+def trading_params(current: DataFrame) -> tuple[TradingParams, int] | None:
+    """The live thresholds and the number of pairs to track of the current strategy; None without
+    one (trading doesn't start). The strategy is one row."""
+    r = current.first()
+    if r is None:
+        return None
+    return TradingParams(r["minimal_price_spread"], r["min_transaction_profit"], r["maximal_transaction_value"],
+                         r["maximal_trading_value"]), int(r["number_of_currencies"])

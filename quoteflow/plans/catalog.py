@@ -296,15 +296,32 @@ def q_quote_frames(spark, sf_dir):
 
 
 # ------------------------------------------------- E1 + E2 end to end
+def _stored_pairs(spark, sf_dir):
+    """C2 stored (S5) and read back."""
+    path = scratch_path(spark, _stream_name(spark, "pairs"))
+    listings.store_cross_traded(listings.identify_cross_traded(adapters.listing_payloads(spark, sf_dir)), path)
+    return listings.stored_pairs(spark, path)
+
+
+@register("stored_pairs")
+def q_stored_pairs(spark, sf_dir):
+    return _stored_pairs(spark, sf_dir)
+
+
 @register("tracked_executions")
 def q_tracked_executions(spark, sf_dir):
-    """Start-trading flow: historical scan -> cross-traded pairs -> first N
-    pairs to track; live detection and execution over those pairs' ticks
-    only (the reference subscribes to just these pairs)."""
-    tracked = q_pairs_to_track(spark, sf_dir).select("pair")          # at most N rows
+    """Start-trading flow: the current strategy's thresholds and number of pairs; historical scan, first N pairs
+    that are in the stored cross-traded table; live detection and execution over those pairs' ticks
+    only (the reference subscribes to just these pairs). Without a valid strategy nothing is traded."""
+    current = strategy.trading_params(strategy.current_strategy(strategy.validate(adapters.strategies(spark, sf_dir))))
+    if current is None:
+        return spark.createDataFrame([], opportunities.EXECUTED_COLUMNS)
+    params, n = current
+    counts = history.opportunities_per_pair(adapters.quotes(spark, sf_dir), HIST_BUCKET_MS)
+    tracked = selection.pairs_to_track(counts, _stored_pairs(spark, sf_dir), n).select("pair")          # at most N rows
     ticks = adapters.live_quotes(spark, sf_dir).join(F.broadcast(tracked), "pair", "left_semi")
-    best = opportunities.best_opportunity(opportunities.latest_quote_grid(ticks), LIVE_PARAMS)
-    return opportunities.executed_opportunities(best, LIVE_PARAMS)
+    best = opportunities.best_opportunity(opportunities.latest_quote_grid(ticks), params)
+    return opportunities.executed_opportunities(best, params)
 
 
 @register("pnl_status")
@@ -314,6 +331,20 @@ def q_pnl_status(spark, sf_dir):
     return pnl.pnl_status(cum, alerts)
 
 
+@register("transaction_status_log")
+def q_transaction_status_log(spark, sf_dir):
+    """G2 with repeated updates of one transaction, in order, and of transactions that are not stored."""
+    state = ledger.latest_transactions(ledger.transaction_events(adapters.orders(spark, sf_dir)))
+    return ledger.update_transaction_status(state, adapters.transaction_status_log(spark, sf_dir), ("updated_at", "line"))
+
+
+@register("order_lookup")
+def q_order_lookup(spark, sf_dir):
+    """The orders of venue reports looked up by id, every 13th of them under an id that is not stored."""
+    o = adapters.orders(spark, sf_dir).select("order_id", "status", "filled_quantity")
+    return ledger.find(o, adapters.lookup_keys(spark, sf_dir), "order_id")
+
+
 @register("transaction_status_updates")
 def q_transaction_status_updates(spark, sf_dir):
     """The transaction ledger (from the order lines) receives one status

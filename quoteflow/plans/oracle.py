@@ -452,8 +452,7 @@ ORACLE["stream_executed_opportunities"] = ORACLE["executed_opportunities"]
 ORACLE["stream_pnl_by_pair"] = ORACLE["pnl_by_pair"]
 
 ORACLE["quote_frames"] = """
-SELECT (event_id // 16) * 65536
-         + row_number() OVER (PARTITION BY event_id // 16 ORDER BY event_id) - 1 AS seq,
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq,
        'XQ' AS ev,
        'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') || '-USD' AS pair,
        value AS bp,
@@ -467,17 +466,30 @@ FROM events"""
 TRACKED_WHERE = (" WHERE 'P' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') || '-USD'"
                  " IN (SELECT pair FROM tracked)")
 
-ORACLE["tracked_executions"] = "WITH " + HIST + "," + LISTINGS + """,
+# Start trading: thresholds, budget and number of pairs are those of the current strategy.
+STRATEGY_LIVE = LIVE_TEMPLATE.replace("{tick_where}", TRACKED_WHERE)
+for _fixed, _from in (("CAST(5 AS DOUBLE)", "(SELECT minimal_price_spread FROM cur)"),
+                      ("CAST(10 AS DOUBLE)", "(SELECT min_transaction_profit FROM cur)"),
+                      ("CAST(900 AS DOUBLE)", "(SELECT maximal_transaction_value FROM cur)"),
+                      ("> 4000", "> CAST((SELECT maximal_trading_value FROM cur) AS DECIMAL(38,10))"),
+                      ("CAST(4000 AS DOUBLE)", "(SELECT maximal_trading_value FROM cur)")):
+    STRATEGY_LIVE = STRATEGY_LIVE.replace(_fixed, _from)
+
+ORACLE["tracked_executions"] = "WITH " + HIST + "," + LISTINGS + "," + STRATEGIES + """,
+cur AS (SELECT * FROM checked WHERE error IS NULL ORDER BY strategy_id DESC LIMIT 1),
 tracked AS (
   SELECT pair FROM hist_counts WHERE pair IN (SELECT pair FROM cross_pairs)
-  ORDER BY order_bucket_seq, order_pair_seq LIMIT 5
-),""" + LIVE_TEMPLATE.replace("{tick_where}", TRACKED_WHERE) + f"""
+  ORDER BY order_bucket_seq, order_pair_seq LIMIT (SELECT coalesce(max(number_of_currencies), 0) FROM cur)
+),""" + STRATEGY_LIVE + f"""
 SELECT pair, seq, buy_x, sell_x,
        {EXCHANGE_NAME_SQL.format(c='buy_x')} AS buy_exchange,
        {EXCHANGE_NAME_SQL.format(c='sell_x')} AS sell_exchange,
        buy_price, sell_price, final_qty AS quantity, buy_price * final_qty AS value, prior_value
 FROM executed WHERE final_qty > 0"""
 
+ORACLE["stored_pairs"] = "WITH " + LISTINGS + """
+SELECT pair FROM cross_pairs"""
+
 ORACLE["pnl_status"] = THRESHOLD_CTES + """,
 final AS (SELECT st.*, h.alert_ts FROM st LEFT JOIN hits h USING (command_id))
 SELECT (SELECT cum_pnl FROM cum ORDER BY ts DESC, order_id DESC LIMIT 1) AS current_pnl,
@@ -578,3 +590,31 @@ ORACLE["stream_trading_updates"] = ORACLE["trading_updates"]
 
 ORACLE["stream_threshold_alerts"] = THRESHOLD_CTES + """
 SELECT h.command_id, h.alert_ts, h.alert_order_id, h.alert_cum_pnl FROM hits h"""
+
+ORACLE["transaction_status_log"] = ORACLE["transaction_status_updates"].split("upd AS (")[0] + """
+upd AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN 'x' || l_orderkey ELSE CAST(l_orderkey AS VARCHAR) END AS transaction_id,
+         CAST(l_shipdate AS TIMESTAMP) AS updated_at, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS line,
+         CASE (l_partkey + l_suppkey) % 3 WHEN 0 THEN 'Fulfilled' WHEN 1 THEN 'Submitted'
+              ELSE 'PartiallyFulfilled' END AS new_status
+  FROM lineitem
+)
+SELECT transaction_id, updated_at, line, new_status, CASE WHEN old_status IS NOT NULL THEN new_status END AS status,
+       CASE WHEN old_status IS NOT NULL AND new_status <> before
+            THEN 'Transaction status updated successfully.'
+            ELSE 'No transaction found with the given TransactionId.' END AS result
+FROM (SELECT u.*, c.old_status, lag(new_status, 1, c.old_status)
+                    OVER (PARTITION BY u.transaction_id ORDER BY updated_at, line, new_status) AS before
+      FROM upd u LEFT JOIN cur c USING (transaction_id))"""
+
+ORACLE["order_lookup"] = "WITH " + ORDERS + """,
+keys AS (
+  SELECT DISTINCT CASE WHEN CAST(transaction_id AS BIGINT) % 13 = 0 THEN 'x' || order_id ELSE order_id END AS order_id
+  FROM orders_fx WHERE CAST(transaction_id AS BIGINT) % 5 = 0
+),
+stored AS (
+  SELECT order_id, status, filled_quantity, row_number() OVER (PARTITION BY order_id ORDER BY status, filled_quantity) AS n
+  FROM orders_fx
+)
+SELECT k.order_id, s.status, s.filled_quantity, CASE WHEN s.order_id IS NULL THEN 'Order not found' END AS error
+FROM keys k LEFT JOIN stored s ON s.order_id = k.order_id AND s.n = 1"""

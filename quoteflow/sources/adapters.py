@@ -243,3 +243,22 @@ def transaction_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(o_orderkey as string) AS transaction_id",
         "CASE o_orderstatus WHEN 'F' THEN 'Fulfilled' WHEN 'O' THEN 'Submitted' "
         "ELSE 'PartiallyFulfilled' END AS new_status")
+
+
+def transaction_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status updates of transactions over time, one per order line (``updated_at``, then ``line``, orders those of one
+    transaction); line numbers of 7 name transactions that are not stored."""
+    li = read_table(spark, sf_dir, "lineitem",
+                    ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
+    return li.selectExpr(
+        "CASE WHEN l_linenumber = 7 THEN concat('x', l_orderkey) ELSE cast(l_orderkey as string) END AS transaction_id",
+        "CAST(l_shipdate AS TIMESTAMP_NTZ) AS updated_at",
+        "concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS line",
+        "CASE (l_partkey + l_suppkey) % 3 WHEN 0 THEN 'Fulfilled' WHEN 1 THEN 'Submitted' "
+        "ELSE 'PartiallyFulfilled' END AS new_status")
+
+
+def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order ids to look up: those of every fifth order key, a 13th of them under another name."""
+    o = orders(spark, sf_dir).where("cast(transaction_id as bigint) % 5 = 0")
+    return o.selectExpr("CASE WHEN cast(transaction_id as bigint) % 13 = 0 THEN concat('x', order_id) ELSE order_id END AS order_id")

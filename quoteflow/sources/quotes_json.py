@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow import schemas
+from quoteflow.operators.running import dense_order
 
 QUOTE_EVENTS = ("XQ",)
 QUOTE_AND_TRADE_EVENTS = ("XQ", "XT")
@@ -60,13 +61,25 @@ def well_typed(col: Column) -> Column:
     return ~F.exists(broken, lambda b: b)
 
 
-def live_frames(frames: DataFrame, col: str = "value", order_col: str = "frame_seq",
-                events=QUOTE_EVENTS) -> DataFrame:
-    """S3: keep quote frames by their first element's ``ev`` and explode them;
-    ``seq`` = (frame order, position) packed into one arrival ordinal."""
+#: Prices and sizes: an absent one decodes to 0.
+AMOUNTS = ("lp", "ls", "bp", "bs", "ap", "as")
+
+
+def frame_quotes(frames: DataFrame, col: str = "value", order_col: str = "frame_seq",
+                 events=QUOTE_EVENTS) -> DataFrame:
+    """S3: keep quote frames by their first element's ``ev`` and explode them, with
+    ``order_col`` and the position ``pos`` in the frame; a stream or a table."""
     f = frames.where(frame_type(F.col(col)).isin(*events) & well_typed(F.col(col)))
     q = parse_quotes(f, col, live=True, keep=[order_col])
-    return q.withColumn("seq", F.col(order_col) * F.lit(1 << 16) + F.col("pos")).drop("pos")
+    return q.withColumns({c: F.coalesce(c, F.lit(0).cast(q.schema[c].dataType)) for c in AMOUNTS})
+
+
+def live_frames(frames: DataFrame, col: str = "value", order_col: str = "frame_seq",
+                events=QUOTE_EVENTS) -> DataFrame:
+    """S3 in batch: ``frame_quotes`` with ``seq``, a dense arrival number by frame and position. Frames may have
+    any number of elements."""
+    q = frame_quotes(frames, col, order_col, events)
+    return dense_order(q, [], [order_col, "pos"], "seq").drop("pos")
 
 
 def frames_from_ticks(ticks: DataFrame, frame_size: int = 16) -> DataFrame:

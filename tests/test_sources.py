@@ -67,7 +67,21 @@ def test_live_frames_select_by_first_element(spark):
     assert [r.frame_seq for r in quotes_json.live_frames(frames).collect()] == [2]
     both = quotes_json.live_frames(frames, events=quotes_json.QUOTE_AND_TRADE_EVENTS)
     assert sorted(r.frame_seq for r in both.collect()) == [2, 3]
-    assert both.first().seq == 2 << 16
+    assert sorted((r.frame_seq, r.seq) for r in both.collect()) == [(2, 0), (3, 1)]
+
+
+def test_frames_of_any_length_keep_their_order(spark):
+    """More than 65,536 elements in a frame, absent prices, and frames that land out of order."""
+    from pyspark.sql import functions as F
+    many = spark.range(70_000).select(F.to_json(F.collect_list(F.struct(
+        F.lit("XQ").alias("ev"), F.lit("A-B").alias("pair"), F.col("id").cast("double").alias("bp"), F.lit(6).alias("x")))).alias("value"))
+    frames = many.select(F.lit(5).cast("long").alias("frame_seq"), "value").unionByName(spark.createDataFrame(
+        [(6, json.dumps([quote("A-B", 70_000.0, 1, T0, 6)])), (2, json.dumps([quote("A-B", -1.0, 1, T0, 6)]))],
+        "frame_seq long, value string"))
+    got = quotes_json.live_frames(frames).orderBy("seq").select("seq", "bp", "ap", "as").collect()
+    assert [r.seq for r in got] == list(range(70_002))
+    assert [r.bp for r in got] == [float(i) for i in range(-1, 70_001)]
+    assert got[1].ap == 0 and got[1]["as"] == 0
 
 
 def test_period_parsing(spark):

@@ -110,3 +110,38 @@ def test_store_history_reports_missing_ids(spark):
     got = {r.transaction_id: r.result for r in ledger.store_history(state, ids, os.path.join(d, "h")).collect()}
     assert got == {"t1": ledger.MSG_HISTORY_STORED, "t2": ledger.MSG_HISTORY_NOT_FOUND}
     assert [r.transaction_id for r in spark.read.parquet(os.path.join(d, "h")).collect()] == ["t1"]
+
+
+def test_updates_of_one_transaction_go_one_after_the_other(spark):
+    state = spark.createDataFrame([("t1", "Submitted"), ("t2", "Fulfilled")], "transaction_id string, status string")
+    ups = [("t1", 1, "Submitted"), ("t1", 2, "Fulfilled"), ("t1", 3, "Submitted"), ("t2", 1, "Fulfilled"), ("x", 1, "Submitted"),
+           ("x", 2, "Fulfilled"), (None, 1, "Submitted")]
+    got = ledger.update_transaction_status(state, spark.createDataFrame(ups, "transaction_id string, v int, new_status string"), ("v",))
+    by = {(r.transaction_id, r.v): (r.status, r.result == ledger.MSG_TX_UPDATED) for r in got.collect()}
+    assert by == {("t1", 1): ("Submitted", False), ("t1", 2): ("Fulfilled", True), ("t1", 3): ("Submitted", True),
+                  ("t2", 1): ("Fulfilled", False), ("x", 1): (None, False), ("x", 2): (None, False), (None, 1): (None, False)}
+
+
+def test_previous_in_key_over_many_blocks(spark):
+    import random
+    from quoteflow.operators.running import dense_order, previous_in_key
+    r = random.Random(6)
+    rows = [(r.choice(["hot", "hot", "a", "b", None]), i, r.randrange(9)) for i in range(700)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    before = {}
+    for k, o, v in sorted(rows, key=lambda x: x[1]):
+        before[o] = (before.get((k, "last")), sum(1 for x in rows if x[0] == k and x[1] < o))
+        before[(k, "last")] = v
+    got = {x.o: x.p for x in previous_in_key(df, "k", ["o"], "v", "p", 9).collect()}
+    assert got == {o: before[o][0] for _, o, _ in rows}
+    got = {x.o: x.n for x in dense_order(df.where("k is not null"), ["k"], ["o"], "n", 9).collect()}
+    assert got == {o: before[o][1] for k, o, _ in rows if k}
+    assert sorted(x.n for x in dense_order(df, [], ["o"], "n", 9).collect()) == list(range(700))
+
+
+def test_lookup_reports_what_is_not_there(spark):
+    state = spark.createDataFrame([("o1", "Pending"), ("o1", "Filled"), ("o2", "Pending")], "order_id string, status string")
+    keys = spark.createDataFrame([("o1",), ("o3",), ("o3",), (None,)], "order_id string")
+    got = {r.order_id: (r.status, r.error) for r in ledger.find(state, keys, "order_id").collect()}
+    assert got == {"o1": ("Filled", None), "o3": (None, "Order not found"), None: (None, "Order not found")}
