@@ -112,9 +112,12 @@ def latest_orders(created: DataFrame, updates: DataFrame) -> DataFrame:
         .unionByName(updates.select("order_id", F.col("version").cast("bigint"), "status", "filled_quantity"))
     latest = ev.groupBy("order_id").agg(
         F.max(F.struct("version", "status", "filled_quantity")).alias("s"),
-        F.min("version").alias("min_version"))
-    return latest.select(
-        "order_id", F.col("s.version").alias("version"), F.col("s.status").alias("status"),
-        F.col("s.filled_quantity").alias("filled_quantity"),
-        F.when(F.col("min_version") > 0, F.lit(MSG_NOT_UPDATED))
-         .when(F.col("s.version") > 0, F.lit(MSG_UPDATED)).alias("result"))
+        F.min("version").alias("first_version"))
+    return with_outcome(latest.select("order_id", "s.*", "first_version"))
+
+
+def with_outcome(state: DataFrame) -> DataFrame:
+    """G1: the result of each order's updates, from its latest row and least version (0: the order is stored)."""
+    return state.select(
+        "order_id", "version", "status", "filled_quantity",
+        F.when(F.col("first_version") > 0, F.lit(MSG_NOT_UPDATED)).when(F.col("version") > 0, F.lit(MSG_UPDATED)).alias("result"))

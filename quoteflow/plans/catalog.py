@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoteflow.functions import dates
+from quoteflow.functions import orders as OF
 from quoteflow.operators import history, ledger, listings, opportunities, orders, pnl, selection, strategy
+from quoteflow.operators.change_log import ChangeLog
 from quoteflow.session import scratch_path
 from quoteflow.sources import adapters, quotes_json
 from quoteflow.streaming import live
@@ -144,9 +147,6 @@ def q_annualized_return(spark, sf_dir):
 
 
 # ------------------------------------------------------------ C5 orders
-CREATED_MAX_ATTEMPT = 5  # orders of later attempts were never stored: their updates are unmatched
-
-
 @register("order_legs")
 def q_order_legs(spark, sf_dir):
     best = opportunities.best_opportunity(_grid(spark, sf_dir), LIVE_PARAMS)
@@ -173,14 +173,56 @@ def q_order_chain(spark, sf_dir):
     return orders.order_chain(o.select("transaction_id", "type", "attempt", "order_id", "order_quantity", "filled_quantity"))
 
 
-@register("latest_orders")
-def q_latest_orders(spark, sf_dir):
-    o = adapters.orders(spark, sf_dir)
-    created = o.where(F.col("attempt") <= CREATED_MAX_ATTEMPT).select(
+def _created_and_updates(spark, sf_dir):
+    """Orders as stored, and the updates of their readable reports; some reports name orders that are not stored."""
+    created = adapters.orders(spark, sf_dir).select(
         "order_id", F.lit("Pending").alias("status"), F.lit(0).cast("decimal(18,8)").alias("filled_quantity"))
     upd = orders.readable(orders.fill_status(_fills(spark, sf_dir))).select(
-        "order_id", F.lit(1).alias("version"), "status", F.col("filled").alias("filled_quantity"))
-    return orders.latest_orders(created, upd)
+        adapters.reported_id("order_id").alias("order_id"), F.lit(1).alias("version"), "status",
+        F.col("filled").alias("filled_quantity"))
+    return created, upd
+
+
+@register("latest_orders")
+def q_latest_orders(spark, sf_dir):
+    return orders.latest_orders(*_created_and_updates(spark, sf_dir))
+
+
+@register("order_log")
+def q_order_log(spark, sf_dir):
+    """S7 / G1 as a stored change log: orders, then their updates in two batches, one of them sent twice, with a
+    compaction in between."""
+    created, upd = _created_and_updates(spark, sf_dir)
+    log = ChangeLog(spark, scratch_path(spark, _stream_name(spark, "orders")),
+                    "order_id string, version long, status string, filled_quantity decimal(18,8)", "order_id")
+    log.append(created.withColumn("version", F.lit(0).cast("long")), 0)
+    halves = [upd.where(F.pmod(F.crc32(F.col("order_id").cast("binary")), F.lit(2)) == i) for i in (0, 1)]
+    log.append(halves[0], 1)
+    log.compact()
+    log.append(halves[0], 1)
+    log.append(halves[1], 2)
+    return orders.with_outcome(log.state())
+
+
+@register("submitted_orders")
+def q_submitted_orders(spark, sf_dir):
+    """The venues' order ids from their replies to submitted orders."""
+    r = adapters.submit_replies(spark, sf_dir)
+    return r.select("order_id", OF.submitted_order_id(F.col("exchange"), F.col("payload")).alias("venue_order_id"))
+
+
+@register("period_requests")
+def q_period_requests(spark, sf_dir):
+    """Periods asked for as text."""
+    return dates.period_requests(adapters.period_texts(spark, sf_dir)).select("request_id", "start_ts", "end_ts", "error")
+
+
+@register("maximal_trading_value")
+def q_maximal_trading_value(spark, sf_dir):
+    """One maximal trading value, the largest valid one, set on every stored strategy."""
+    s = strategy.validate(adapters.strategies(spark, sf_dir))
+    top = s.where("valid").agg(F.max("maximal_trading_value")).first()[0]
+    return strategy.set_maximal_trading_value(s.drop("error", "valid"), top or 0.0)
 
 
 # --------------------------------------------------- F9 / ledger operators
@@ -256,6 +298,20 @@ def q_stream_trading_updates(spark, sf_dir):
     return live.read_written(spark, executed, live.EXECUTED_SCHEMA).select(*cols)
 
 
+@register("stream_hist_opportunities")
+def q_stream_hist_opportunities(spark, sf_dir):
+    """ST5: the historical scan as a stream over quotes that land in time order; the last bucket stays open."""
+    name = _stream_name(spark, "buckets")
+    landed, flags = scratch_path(spark, name + "-quotes"), scratch_path(spark, name + "-flags")
+    events = adapters.read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
+    live.land_in_order(events.withColumn("_ms", adapters.epoch_ms(events, "ts")), "_ms", landed, _files(events))
+    reps = live.stream_bucket_representatives(
+        adapters.quotes_frame(live.landed_stream(spark, landed, events.schema)), HIST_BUCKET_MS, "0 seconds")
+    q = live.start_sink(spark, reps, live.BucketFlagSink(flags), name)
+    q.awaitTermination()
+    return live.bucket_report(spark, flags)
+
+
 @register("stream_pnl_by_pair")
 def q_stream_pnl_by_pair(spark, sf_dir):
     li = live.stream_table(spark, sf_dir, "lineitem")

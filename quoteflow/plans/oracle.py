@@ -390,13 +390,28 @@ SELECT transaction_id, type, count(*) AS attempts, max(initial) AS initial_quant
        CAST(arg_max(requested - filled_quantity, (attempt, order_id)) AS DECIMAL(18,8)) AS remaining
 FROM a3 WHERE stops_before = 0 GROUP BY transaction_id, type"""
 
-ORACLE["latest_orders"] = "WITH " + ORDERS + """
-SELECT order_id, CAST(CASE WHEN told THEN 1 ELSE 0 END AS BIGINT) AS version,
-       CASE WHEN told THEN status ELSE 'Pending' END AS status,
-       CASE WHEN told THEN filled_quantity ELSE CAST(0 AS DECIMAL(18,8)) END AS filled_quantity,
-       CASE WHEN NOT told THEN NULL WHEN attempt > 5 THEN 'No order updated' ELSE 'Success' END AS result
-FROM (SELECT *, CAST(transaction_id AS BIGINT) % 89 > 2 AS told FROM orders_fx)
-WHERE told OR attempt <= 5"""
+ORACLE["latest_orders"] = "WITH " + ORDERS + """,
+told AS (
+  SELECT *, CAST(transaction_id AS BIGINT) % 97 = 5 AS stray FROM orders_fx WHERE CAST(transaction_id AS BIGINT) % 89 > 2
+),
+hits AS (SELECT order_id, max(status) AS status, max(filled_quantity) AS filled_quantity FROM told WHERE NOT stray GROUP BY order_id)
+SELECT o.order_id, CAST(CASE WHEN h.order_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS version,
+       coalesce(h.status, 'Pending') AS status, coalesce(h.filled_quantity, CAST(0 AS DECIMAL(18,8))) AS filled_quantity,
+       CASE WHEN h.order_id IS NOT NULL THEN 'Success' END AS result
+FROM (SELECT DISTINCT order_id FROM orders_fx) o LEFT JOIN hits h USING (order_id)
+UNION ALL
+SELECT 'x' || order_id, 1, status, filled_quantity, 'No order updated' FROM told WHERE stray"""
+
+ORACLE["order_log"] = ORACLE["latest_orders"]
+
+ORACLE["submitted_orders"] = "WITH " + ORDERS + """
+SELECT order_id, CASE WHEN CAST(transaction_id AS BIGINT) % 71 > 1 THEN 'V' || order_id END AS venue_order_id FROM orders_fx"""
+
+ORACLE["period_requests"] = """
+SELECT o_orderkey AS request_id, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS start_ts,
+       CASE WHEN o_orderkey % 7 <> 0 THEN CAST(date_trunc('day', o_orderdate) + INTERVAL 30 DAY AS TIMESTAMP) END AS end_ts,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'Invalid dates provided' END AS error
+FROM orders"""
 
 STRATEGIES = """
 strat AS (
@@ -618,3 +633,12 @@ stored AS (
 )
 SELECT k.order_id, s.status, s.filled_quantity, CASE WHEN s.order_id IS NULL THEN 'Order not found' END AS error
 FROM keys k LEFT JOIN stored s ON s.order_id = k.order_id AND s.n = 1"""
+
+ORACLE["maximal_trading_value"] = "WITH " + STRATEGIES + """
+SELECT strategy_id, number_of_currencies, minimal_price_spread, min_transaction_profit, maximal_transaction_value,
+       coalesce((SELECT max(maximal_trading_value) FROM checked WHERE error IS NULL), 0) AS maximal_trading_value, init_investment
+FROM checked"""
+
+ORACLE["stream_hist_opportunities"] = "WITH " + HIST.replace(
+    "FROM quotes)", "FROM quotes WHERE t // 21600000 < (SELECT max(t // 21600000) FROM quotes))", 1) + """
+SELECT pair, opportunities FROM hist_counts"""

@@ -262,3 +262,32 @@ def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order ids to look up: those of every fifth order key, a 13th of them under another name."""
     o = orders(spark, sf_dir).where("cast(transaction_id as bigint) % 5 = 0")
     return o.selectExpr("CASE WHEN cast(transaction_id as bigint) % 13 = 0 THEN concat('x', order_id) ELSE order_id END AS order_id")
+
+
+def reported_id(order_id: str):
+    """The order that a venue's report names: for some order keys one that is not stored."""
+    key = F.split(F.col(order_id), "-")[0].cast("bigint")
+    return F.when(key % 97 == 5, F.concat(F.lit("x"), F.col(order_id))).otherwise(F.col(order_id))
+
+
+def submit_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The venues' replies to submitted orders (three JSON shapes); by transaction id some are errors (0 modulo
+    71) or cut off (1)."""
+    o = orders(spark, sf_dir).select("exchange", "order_id", "transaction_id")
+    rest, given = F.col("transaction_id").cast("bigint") % 71, F.concat(F.lit("V"), F.col("order_id"))
+    payload = (F.when(rest == 0, F.lit('{"error":["EOrder:Insufficient funds"]}'))
+               .when(rest == 1, F.lit('[0,"on-req",'))
+               .when(F.col("exchange") == "Bitfinex", F.format_string('[0,"on-req",null,null,[["%s",null,0]],null,"SUCCESS"]', given))
+               .when(F.col("exchange") == "Kraken", F.format_string('{"error":[],"result":{"txid":["%s"]}}', given))
+               .otherwise(F.format_string('{"id":"%s","type":"0"}', given)))
+    return o.select("exchange", "order_id", payload.alias("payload"))
+
+
+def period_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods of a month from each order's date, as text in several forms; every seventh has no end date."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    return o.selectExpr(
+        "o_orderkey AS request_id",
+        "CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'M/d/yyyy') "
+        "ELSE date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') END AS start",
+        "CASE WHEN o_orderkey % 7 = 0 THEN 'next month' ELSE date_format(o_orderdate + INTERVAL 30 DAYS, 'yyyy-MM-dd') END AS end")

@@ -177,7 +177,7 @@ class BatchSink:
         return [] if last is None else [self._part(f"{self.path}-{name}", last)]
 
 
-def start_sink(spark: SparkSession, rows: DataFrame, sink: BatchSink, name: str, trigger: dict | None = None):
+def start_sink(spark: SparkSession, rows: DataFrame, sink, name: str, trigger: dict | None = None):
     w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, f"{name}-checkpoint"))
     return w.trigger(**(trigger or {"availableNow": True})).start()
 

@@ -145,3 +145,43 @@ def test_lookup_reports_what_is_not_there(spark):
     keys = spark.createDataFrame([("o1",), ("o3",), ("o3",), (None,)], "order_id string")
     got = {r.order_id: (r.status, r.error) for r in ledger.find(state, keys, "order_id").collect()}
     assert got == {"o1": ("Filled", None), "o3": (None, "Order not found"), None: (None, "Order not found")}
+
+
+def test_change_log_batches_and_compaction(spark):
+    from quoteflow.operators.change_log import ChangeLog
+    path = os.path.join(tempfile.mkdtemp(prefix="qf-log-"), "orders")
+    kind = "order_id string, version long, status string"
+
+    def log():
+        return ChangeLog(spark, path, kind, "order_id", buckets=8)
+
+    def state():
+        return sorted(map(tuple, log().state().collect()))
+
+    def rows(*r):
+        return spark.createDataFrame(r, kind)
+
+    assert state() == []
+    assert log().append(rows(("a", 0, "Pending"), ("b", 0, "Pending")), 0)
+    assert log().append(rows(("a", 1, "Filled"), ("z", 1, "Filled")), 1) and not log().append(rows(("a", 9, "twice")), 1)
+    want = [("a", 1, "Filled", 0), ("b", 0, "Pending", 0), ("z", 1, "Filled", 1)]
+    assert state() == want
+    log().compact()
+    assert state() == want
+    assert not log().append(rows(("a", 9, "twice")), 1)                # known from the snapshot too
+    # a batch that was written but not committed takes no effect until it is repeated
+    rows(("b", 5, "lost")).write.parquet(f"{path}/log/batch=2")
+    assert state() == want and log().append(rows(("b", 2, "Half"), ("c", 0, "Pending")), 2)
+    want = [("a", 1, "Filled", 0), ("b", 2, "Half", 0), ("c", 0, "Pending", 0), ("z", 1, "Filled", 1)]
+    assert state() == want
+    plan = log().state()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 8 out of 8" in plan
+    log().compact()
+    log().compact()                                                      # nothing new
+    assert log().append(rows(("c", 1, "Filled")), 3)
+    log().compact()
+    want[2] = ("c", 1, "Filled", 0)
+    assert state() == want and not log().append(rows(("q", 1, "twice")), 0)
+    # a session that has never seen the snapshot's table
+    spark.sql(f"DROP TABLE {log()._name(3)}")
+    assert state() == want and sorted(os.listdir(path)) == ["commits", "log", "snapshot-2", "snapshot-3"]
