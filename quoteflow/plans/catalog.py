@@ -338,6 +338,14 @@ def q_stream_threshold_alerts(spark, sf_dir):
 
 
 # ------------------------------------------------------------ S1-S3 frames
+@register("quote_file")
+def q_quote_file(spark, sf_dir):
+    """Quotes landed as JSON array files, read by byte ranges."""
+    path = scratch_path(spark, _stream_name(spark, "arrays"))
+    quotes_json.land_arrays(adapters.quotes(spark, sf_dir), path, LANDED_ROWS)
+    return quotes_json.read_quote_array(spark, path + "/*").select("seq", "pair", "x", "bp", "ap", "t")
+
+
 @register("quote_frames")
 def q_quote_frames(spark, sf_dir):
     """Live ticks landed as JSON frames of 16 quotes plus one status frame per

@@ -642,3 +642,6 @@ FROM checked"""
 ORACLE["stream_hist_opportunities"] = "WITH " + HIST.replace(
     "FROM quotes)", "FROM quotes WHERE t // 21600000 < (SELECT max(t // 21600000) FROM quotes))", 1) + """
 SELECT pair, opportunities FROM hist_counts"""
+
+ORACLE["quote_file"] = "WITH " + QUOTES + """
+SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, pair, x, bp, ap, t FROM quotes"""

@@ -1,8 +1,7 @@
 """Quote JSON sources (S1-S3) with explicit schemas.
 
-* S1: a landed quote file holding one JSON array of quote objects
-  (``multiLine``; such a file is not splittable, so landed data at scale
-  should be line-delimited frames or Parquet - see S3);
+* S1: a landed quote file holding one JSON array of quote objects, whole by one
+  task (``read_quote_file``, ``multiLine``) or by byte ranges (``read_quote_array``);
 * S2: quotes parsed from a JSON string column, array position kept as the
   arrival order inside the string;
 * S3: live frames: each frame is a JSON array whose *first* element's ``ev``
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow import schemas
-from quoteflow.operators.running import dense_order
+from quoteflow.operators.running import dense_order, prefix_sum
 
 QUOTE_EVENTS = ("XQ",)
 QUOTE_AND_TRADE_EVENTS = ("XQ", "XT")
@@ -36,6 +35,67 @@ def read_quote_file(spark: SparkSession, path: str, live: bool = False) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def _opened(parts: Column, outside: int) -> Column:
+    """Braces opened in every second part between quotes."""
+    each = F.transform(parts, lambda p, i: F.when(i % 2 == outside, F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))).otherwise(0))
+    return F.aggregate(each, F.lit(0), lambda a, b: a + b)
+
+
+def array_elements(spark: SparkSession, path: str) -> DataFrame:
+    """The objects of JSON array files as text: file, block and at (their order in the file), element.
+
+    A file is read as text records that end with ``}``, so Spark cuts it by byte ranges like any text
+    file. Where every record holds one whole object, it is an element. Otherwise (objects within objects, braces in
+    texts) running sums say where elements end: quotes passed give whether a record begins inside a
+    text, which of its braces count follows from that, and an element ends with the brace that brings the depth
+    back to 0. The sums run per byte range over totals of ranges, so no task sees a whole file; only records of
+    one element are put together."""
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    parts = F.split(plain, '"')
+    raw = raw.withColumn("quotes", F.size(parts) - 1).withColumn("outside", _opened(parts, 0)).withColumn("inside", _opened(parts, 1))
+    rest = (F.col("quotes") == 0) & (F.col("outside") == 0)                    # what follows the last element
+    odd = raw.where(~rest & ((F.col("quotes") % 2 != 0) | (F.col("outside") != 1))).limit(1).count()
+    whole = lambda c: F.concat(F.expr(f"substring({c}, instr({c}, '{{'))"), F.lit("}"))
+    if not odd:
+        return raw.where(~rest).select("file", "block", "at", whole("value").alias("element"))
+    total = lambda df, v, out: prefix_sum(df, v, ["at"], out, partition=["file"], block_col="block")
+    r = total(raw, "quotes", "before")
+    ends_outside = (F.col("before") + F.col("quotes")) % 2 == 0
+    r = r.withColumn("closes", F.when(ends_outside, 1).otherwise(0))
+    r = r.withColumn("change", F.when(F.col("before") % 2 == 0, F.col("outside")).otherwise(F.col("inside")) - F.col("closes"))
+    r = total(r, "change", "depth")
+    r = r.withColumn("ends", F.when((F.col("closes") == 1) & (F.col("depth") + F.col("change") == 0), 1).otherwise(0))
+    r = total(r, "ends", "number")
+    g = r.groupBy("file", "number").agg(
+        F.min(F.struct("block", "at")).alias("o"), F.max("ends").alias("ended"),
+        F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("records"))
+    text = F.array_join(F.transform("records", lambda x: x["value"]), "}")
+    return g.where("ended = 1").withColumn("text", text).select("file", "o.block", "o.at", whole("text").alias("element"))
+
+
+def read_quote_array(spark: SparkSession, path: str, live: bool = False) -> DataFrame:
+    """S1 for large files: what ``read_quote_file`` reads, by as many tasks as the files have byte ranges, with ``seq``, a
+    dense arrival number by file and place."""
+    schema = schemas.LIVE_QUOTE if live else schemas.QUOTE
+    q = array_elements(spark, path).select("file", "block", "at", F.from_json("element", schema).alias("q"))
+    return dense_order(q.select("file", "block", "at", "q.*"), [], ["file", "block", "at"], "seq").drop("file", "block", "at")
+
+
+def land_arrays(quotes: DataFrame, path: str, rows_a_file: int) -> None:
+    """Land quotes as JSON array files of ``rows_a_file`` consecutive ``seq`` each, the shape of the historical feed."""
+    fields = [f.name for f in schemas.QUOTE.fields if f.name in quotes.columns]
+    q = quotes.withColumn("file", F.floor(F.col("seq") / rows_a_file).cast("bigint"))
+    ends = q.groupBy("file").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    q = q.join(F.broadcast(ends), "file")                       # a row a file
+    line = F.concat(F.when(F.col("seq") == F.col("lo"), "[").otherwise(""), F.to_json(F.struct(*fields)),
+                    F.when(F.col("seq") == F.col("hi"), "]").otherwise(","))
+    (q.select("file", "seq", line.alias("value")).repartition("file").sortWithinPartitions("file", "seq")
+     .drop("seq").write.mode("overwrite").partitionBy("file").text(path))
+
+
 def parse_quotes(df: DataFrame, col: str, live: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Explode a JSON array string into quote rows with its position."""
     schema = T.ArrayType(schemas.LIVE_QUOTE if live else schemas.QUOTE)

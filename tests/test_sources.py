@@ -89,3 +89,30 @@ def test_period_parsing(spark):
                                "start string, end string")
     got = [(r.start_ts is not None, r.end_ts is not None, r.error) for r in dates.period_requests(df).collect()]
     assert got == [(True, True, None), (False, True, dates.MSG_INVALID_DATES)]
+
+
+def test_array_file_by_byte_ranges(spark):
+    """One file read by many tasks, equal to multiLine: pretty-printed, with braces, quotes and escapes in texts, and
+    objects within objects."""
+    import random
+    r = random.Random(9)
+    plain = [quote(f"P{i % 7}", i / 4, i / 4 + 1, T0 + i, i % 3) for i in range(4000)]
+    hard = [dict(q, pair=r.choice(["a}b", "{", '"}', "x\\", "}}{", "\\\"{é", "A-B"]), more={"deep": {"p": "}"}, "list": [1, {}]})
+            if r.random() < .5 else q for q in plain]
+    from quoteflow import schemas
+    cols = [f.name for f in schemas.QUOTE.fields]
+    for items, indent in ((plain, None), (plain, 2), (hard, None), (hard, 3), (hard[:1], None), ([], None)):
+        d = tempfile.mkdtemp(prefix="qf-array-")
+        with open(os.path.join(d, "quotes.json"), "w") as f:
+            json.dump(items, f, indent=indent, ensure_ascii=False)
+            f.write("\n")
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        try:
+            if len(items) > 1:
+                assert quotes_json.array_elements(spark, d).select("block").distinct().count() > 4
+            got = [tuple(x) for x in quotes_json.read_quote_array(spark, d).orderBy("seq").select("seq", *cols).collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        want = [tuple(x) for x in quotes_json.read_quote_file(spark, d).select(*cols).collect()]
+        assert got == [(i, *x) for i, x in enumerate(want)] and len(got) == len(items)
