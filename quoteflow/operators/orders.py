@@ -20,17 +20,31 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions import orders as OF
 from quoteflow.functions.pairs import opportunity_key
+from quoteflow.plans.joins import join_small
 
 # Results of an order-state update.
 MSG_UPDATED = "Success"
 MSG_NOT_UPDATED = "No order updated"
 
 
+# Why a leg is not submitted.
+MSG_STOPPED = "Trading is stopped due to P&L threshold reached."
+MSG_NOT_SUPPORTED = "Exchange not supported"
+
+
+def gated(executed: DataFrame, ticks: DataFrame, closed_ms) -> DataFrame:
+    """``executed`` with ``orders_submitted``: whether its tick came before the P&L gate closed (``closed_ms``, epoch ms;
+    null: open). Executions are at most one per opportunity key, so they are broadcast behind a size check."""
+    at = join_small(ticks.select("seq", "t"), executed, "seq")
+    return at.withColumn("orders_submitted", F.coalesce(F.col("t") < F.lit(closed_ms), F.lit(True))).drop("t")
+
+
 def order_legs(executed: DataFrame) -> DataFrame:
     """X12 + X6 + X7: two Pending legs per execution sharing a transaction id.
 
     The id is a SHA-256 of the opportunity key and tick, so a retried job
-    produces the same ids (a random UUID would not)."""
+    produces the same ids (a random UUID would not). ``error`` says why a leg is not submitted: the gate is closed
+    (``orders_submitted`` false, if there is that column), or the venue is not supported; such a leg has no symbol."""
     key = opportunity_key(F.col("pair"), F.col("buy_x"), F.col("sell_x"))
     tx = F.sha2(F.concat(key, F.lit("@"), F.col("seq").cast("string")), 256)
     legs = F.array(
@@ -38,13 +52,17 @@ def order_legs(executed: DataFrame) -> DataFrame:
                  F.col("buy_price").alias("order_price")),
         F.struct(F.lit("sell").alias("type"), F.col("sell_exchange").alias("exchange"),
                  F.col("sell_price").alias("order_price")))
-    e = executed.select(tx.alias("transaction_id"), "pair", "seq", "quantity", F.explode(legs).alias("leg"))
+    go = F.col("orders_submitted") if "orders_submitted" in executed.columns else F.lit(True)
+    e = executed.select(tx.alias("transaction_id"), "pair", "seq", "quantity", go.alias("go"), F.explode(legs).alias("leg"))
+    symbol = OF.venue_symbol(F.col("leg.exchange"), F.col("pair"))
+    error = F.when(~F.col("go"), F.lit(MSG_STOPPED)).when(symbol.isNull(), F.lit(MSG_NOT_SUPPORTED))
     return e.select(
         "transaction_id", "pair", "seq", "leg.type", "leg.exchange", "leg.order_price",
         F.col("quantity").alias("order_quantity"),
         F.lit(OF.PENDING).alias("status"),
-        OF.venue_symbol(F.col("leg.exchange"), F.col("pair")).alias("symbol"),
-        OF.signed_amount(F.col("leg.exchange"), F.col("leg.type"), F.col("quantity")).alias("signed_amount"))
+        symbol.alias("symbol"),
+        OF.signed_amount(F.col("leg.exchange"), F.col("leg.type"), F.col("quantity")).alias("signed_amount"),
+        error.alias("error"))
 
 
 def fill_amounts(orders: DataFrame, reports: DataFrame) -> DataFrame:

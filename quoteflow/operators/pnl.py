@@ -42,6 +42,8 @@ PNL = T.DecimalType(38, 6)
 
 # Messages of the reference's validations.
 MSG_THRESHOLD_NEGATIVE = "Threshold must be non-negative"
+MSG_INVEST_NOT_SET = "Initial investment amount not set"
+MSG_NOT_STARTED = "Trading has not been started yet"
 MSG_PNL_NEGATIVE = "PNL should be non-negative"
 MSG_INVEST_NOT_POSITIVE = "Initial investment should be larger than 0"
 MSG_DURATION_NOT_POSITIVE = "Duration of Year should be larger than 0"
@@ -302,18 +304,20 @@ def threshold_alerts(cum: DataFrame, commands: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- A11 / F10
 def annualized_return(portfolios: DataFrame) -> DataFrame:
-    """A11 + F10: years = days / 365.0; validation in the reference's order
-    (P&L, then investment, then duration), first error wins; the return is
-    (pnl / invest) ** (1 / years) - 1 (base pnl/invest, as the reference),
-    rounded to 10 decimals: engines' ``pow`` differ in the last ulp."""
+    """A11 + F10: years = days / 365.0; checks in the reference's order (investment set, trading started,
+    then P&L, investment, duration), first error wins; the return is
+    (pnl / invest) ** (1 / years) - 1 (base pnl/invest, as the reference). Without a P&L it is 0; a
+    null end date is no duration."""
     years = F.datediff("end_date", "start_date").cast("double") / F.lit(365.0)
-    p = portfolios.withColumn("years", years)
-    err = (F.when(F.col("cum_pnl") < 0, F.lit(MSG_PNL_NEGATIVE))
+    p = portfolios.withColumn("years", years).withColumn("cum_pnl", F.coalesce("cum_pnl", F.lit(0.0)))
+    err = (F.when(F.col("init_invest").isNull(), F.lit(MSG_INVEST_NOT_SET))
+           .when(F.col("start_date").isNull(), F.lit(MSG_NOT_STARTED))
+           .when(F.col("cum_pnl") < 0, F.lit(MSG_PNL_NEGATIVE))
            .when(F.col("init_invest") <= 0, F.lit(MSG_INVEST_NOT_POSITIVE))
-           .when(F.col("years") <= 0, F.lit(MSG_DURATION_NOT_POSITIVE)))
+           .when(~F.coalesce(F.col("years") > 0, F.lit(False)), F.lit(MSG_DURATION_NOT_POSITIVE)))
     ret = F.pow(F.col("cum_pnl") / F.col("init_invest"), F.lit(1.0) / F.col("years")) - F.lit(1.0)
     return p.select("portfolio_id", "init_invest", "cum_pnl", "years", err.alias("error"),
-                    F.when(err.isNull(), F.round(ret, 10)).alias("annualized_return"))
+                    F.when(err.isNull(), ret).alias("annualized_return"))
 
 
 def pnl_status(cum: DataFrame, alerts: DataFrame) -> DataFrame:

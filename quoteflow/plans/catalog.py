@@ -143,7 +143,8 @@ def q_threshold_alert(spark, sf_dir):
 
 @register("annualized_return")
 def q_annualized_return(spark, sf_dir):
-    return pnl.annualized_return(adapters.portfolios(spark, sf_dir))
+    out = pnl.annualized_return(adapters.portfolios(spark, sf_dir))
+    return out.withColumn("annualized_return", F.round("annualized_return", 10))   # engines' pow differ in the last bit
 
 
 # ------------------------------------------------------------ C5 orders
@@ -153,6 +154,15 @@ def q_order_legs(spark, sf_dir):
     return orders.order_legs(opportunities.executed_opportunities(best, LIVE_PARAMS))
 
 
+@register("gated_order_legs")
+def q_gated_order_legs(spark, sf_dir):
+    """Legs of executions on venues known and not, before and after the P&L gate closes."""
+    ticks = adapters.unlisted_quotes(spark, sf_dir)
+    best = opportunities.best_opportunity(opportunities.latest_quote_grid(ticks), LIVE_PARAMS)
+    executed = opportunities.executed_opportunities(best, LIVE_PARAMS)
+    return orders.order_legs(orders.gated(executed, ticks, adapters.gate_closing(spark, sf_dir)))
+
+
 def _fills(spark, sf_dir):
     return orders.fill_amounts(adapters.orders(spark, sf_dir), adapters.fill_reports(spark, sf_dir))
 

@@ -317,13 +317,15 @@ WITH per AS (
   FROM orders GROUP BY o_custkey
 ),
 p AS (
-  SELECT c_custkey AS portfolio_id, c_acctbal AS init_invest,
-         CAST(pnl_cents AS DOUBLE) / CAST(100 AS DOUBLE) AS cum_pnl,
+  SELECT c_custkey AS portfolio_id, CASE WHEN c_custkey % 50 <> 0 THEN c_acctbal END AS init_invest,
+         coalesce(CAST(pnl_cents AS DOUBLE) / CAST(100 AS DOUBLE), CAST(0 AS DOUBLE)) AS cum_pnl, start_date,
          CAST(date_diff('day', start_date, end_date) AS DOUBLE) / CAST(365 AS DOUBLE) AS years
-  FROM customer JOIN per ON c_custkey = o_custkey
+  FROM customer LEFT JOIN per ON c_custkey = o_custkey
 ),
 v AS (
-  SELECT *, CASE WHEN cum_pnl < 0 THEN 'PNL should be non-negative'
+  SELECT *, CASE WHEN init_invest IS NULL THEN 'Initial investment amount not set'
+                 WHEN start_date IS NULL THEN 'Trading has not been started yet'
+                 WHEN cum_pnl < 0 THEN 'PNL should be non-negative'
                  WHEN init_invest <= 0 THEN 'Initial investment should be larger than 0'
                  WHEN years <= 0 THEN 'Duration of Year should be larger than 0' END AS error
   FROM p
@@ -339,20 +341,29 @@ SYMBOL_SQL = ("CASE {e} WHEN 'Bitfinex' THEN 't' || replace({p}, '-', '') "
               "WHEN 'Bitstamp' THEN lower(replace({p}, '-', '')) END")
 
 
-def _leg(side: str, ex_col: str, price: str) -> str:
+def _leg(side: str, ex_col: str, price: str, closed: str = "false") -> str:
     ex = EXCHANGE_NAME_SQL.format(c=ex_col)
     signed = f"CASE WHEN {ex_col} = 2 THEN -final_qty ELSE final_qty END" if side == "sell" else "final_qty"
     return f"""
 SELECT sha256(pair || ':' || CAST(buy_x AS VARCHAR) || '->' || CAST(sell_x AS VARCHAR) || '@' || CAST(seq AS VARCHAR))
          AS transaction_id,
        pair, seq, '{side}' AS type, {ex} AS exchange, {price} AS order_price, final_qty AS order_quantity,
-       'Pending' AS status, {SYMBOL_SQL.format(e=ex, p='pair')} AS symbol, {signed} AS signed_amount
+       'Pending' AS status, {SYMBOL_SQL.format(e=ex, p='pair')} AS symbol, {signed} AS signed_amount,
+       CASE WHEN {closed} THEN 'Trading is stopped due to P&L threshold reached.'
+            WHEN {ex_col} NOT IN (2, 6, 23) THEN 'Exchange not supported' END AS error
 FROM executed WHERE final_qty > 0"""
 
 
 ORACLE["order_legs"] = "WITH " + LIVE + _leg("buy", "buy_x", "buy_price") + " UNION ALL " + _leg(
     "sell", "sell_x", "sell_price")
 
+_CLOSED = ("(SELECT epoch_us(ts) // 1000 FROM events v WHERE v.event_id = executed.seq)"
+           " >= (SELECT (min(epoch_us(ts) // 1000) + max(epoch_us(ts) // 1000)) // 2 FROM events)")
+ORACLE["gated_order_legs"] = ("WITH " + LIVE.replace(
+    "CASE event_id % 3 WHEN 0", "CASE WHEN event_id % 41 = 0 THEN 99 ELSE CASE event_id % 3 WHEN 0").replace(
+    "ELSE 23 END AS x", "ELSE 23 END END AS x") + _leg("buy", "buy_x", "buy_price", _CLOSED) + " UNION ALL "
+    + _leg("sell", "sell_x", "sell_price", _CLOSED))
+
 ORACLE["fill_amounts"] = "WITH " + ORDERS + """
 SELECT order_id, exchange, order_quantity,
        CASE WHEN CAST(transaction_id AS BIGINT) % 89 > 2 THEN filled_quantity END AS filled,

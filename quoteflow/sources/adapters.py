@@ -179,7 +179,8 @@ def fill_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One portfolio per customer: investment = account balance, P&L from the
-    customer's orders (exact decimal sum), duration from first to last order."""
+    customer's orders (exact decimal sum), duration from first to last order. Customers without
+    orders have not started; every 50th has no investment."""
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
     o = read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
     per = o.groupBy("o_custkey").agg(
@@ -187,9 +188,9 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "ELSE -CAST(o_totalprice AS DECIMAL(18,2)) END")).alias("pnl_cents"),
         F.min(F.to_date("o_orderdate")).alias("start_date"),
         F.max(F.to_date("o_orderdate")).alias("end_date"))
-    return c.join(per, c.c_custkey == per.o_custkey, "inner").selectExpr(
+    return c.join(per, c.c_custkey == per.o_custkey, "left").selectExpr(
         "c_custkey AS portfolio_id",
-        "c_acctbal AS init_invest",
+        "CASE WHEN c_custkey % 50 <> 0 THEN c_acctbal END AS init_invest",
         "CAST(pnl_cents AS DOUBLE) / CAST(100 AS DOUBLE) AS cum_pnl",
         "start_date",
         "end_date",
@@ -291,3 +292,15 @@ def period_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'M/d/yyyy') "
         "ELSE date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') END AS start",
         "CASE WHEN o_orderkey % 7 = 0 THEN 'next month' ELSE date_format(o_orderdate + INTERVAL 30 DAYS, 'yyyy-MM-dd') END AS end")
+
+
+def unlisted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``live_quotes`` where every 41st tick comes from a venue that is not supported."""
+    q = live_quotes(spark, sf_dir)
+    return q.withColumn("x", F.when(F.col("seq") % 41 == 0, F.lit(99)).otherwise(F.col("x")))
+
+
+def gate_closing(spark: SparkSession, sf_dir: str) -> int | None:
+    """When the P&L gate closes: the middle of the ticks' time, in epoch ms."""
+    ev = read_table(spark, sf_dir, "events", ["ts"])
+    return ev.select(epoch_ms(ev, "ts").alias("t")).agg(F.expr("(min(t) + max(t)) div 2").alias("m")).first()["m"]

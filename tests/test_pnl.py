@@ -142,7 +142,9 @@ def test_annualized_return_validation_and_value(spark):
     rows = [(1, 4.0, 5.0, d, d + dt.timedelta(days=730)),     # ok
             (2, -6.0, 5.0, d, d + dt.timedelta(days=10)),     # investment
             (3, 4.0, -6.0, d, d + dt.timedelta(days=10)),     # P&L first
-            (4, 4.0, 5.0, d + dt.timedelta(days=1), d)]       # duration
+            (4, 4.0, 5.0, d + dt.timedelta(days=1), d),       # duration
+            (5, None, 4.0, None, d), (6, 4.0, 5.0, None, d),  # investment before start
+            (7, 5.0, None, d, d + dt.timedelta(days=365)), (8, 4.0, 5.0, d, None)]
     df = spark.createDataFrame(rows, "portfolio_id long, init_invest double, cum_pnl double, "
                                      "start_date date, end_date date")
     got = {r.portfolio_id: r for r in pnl.annualized_return(df).collect()}
@@ -150,7 +152,9 @@ def test_annualized_return_validation_and_value(spark):
     assert got[1].annualized_return == pytest.approx((5 / 4) ** (1 / 2.0) - 1, abs=1e-9)
     assert got[2].error == "Initial investment should be larger than 0"
     assert got[3].error == "PNL should be non-negative"
-    assert got[4].error == "Duration of Year should be larger than 0"
+    assert got[4].error == got[8].error == "Duration of Year should be larger than 0"
+    assert got[5].error == "Initial investment amount not set" and got[6].error == "Trading has not been started yet"
+    assert (got[7].cum_pnl, got[7].error, got[7].annualized_return) == (0, None, -1)
 
 
 def test_empty_inputs(spark):
