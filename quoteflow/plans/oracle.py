@@ -358,7 +358,7 @@ ORACLE["order_legs"] = "WITH " + LIVE + _leg("buy", "buy_x", "buy_price") + " UN
     "sell", "sell_x", "sell_price")
 
 _CLOSED = ("(SELECT epoch_us(ts) // 1000 FROM events v WHERE v.event_id = executed.seq)"
-           " >= (SELECT (min(epoch_us(ts) // 1000) + max(epoch_us(ts) // 1000)) // 2 FROM events)")
+           " >= (SELECT (min(epoch_us(ts) // 1000) * 199 + max(epoch_us(ts) // 1000)) // 200 FROM events)")
 ORACLE["gated_order_legs"] = ("WITH " + LIVE.replace(
     "CASE event_id % 3 WHEN 0", "CASE WHEN event_id % 41 = 0 THEN 99 ELSE CASE event_id % 3 WHEN 0").replace(
     "ELSE 23 END AS x", "ELSE 23 END END AS x") + _leg("buy", "buy_x", "buy_price", _CLOSED) + " UNION ALL "

@@ -301,6 +301,6 @@ def unlisted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_closing(spark: SparkSession, sf_dir: str) -> int | None:
-    """When the P&L gate closes: the middle of the ticks' time, in epoch ms."""
+    """When the P&L gate closes: a 200th into the ticks' time, in epoch ms."""
     ev = read_table(spark, sf_dir, "events", ["ts"])
-    return ev.select(epoch_ms(ev, "ts").alias("t")).agg(F.expr("(min(t) + max(t)) div 2").alias("m")).first()["m"]
+    return ev.select(epoch_ms(ev, "ts").alias("t")).agg(F.expr("(min(t) * 199 + max(t)) div 200").alias("m")).first()["m"]
