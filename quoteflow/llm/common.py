@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -103,11 +106,42 @@ def tokenizer(file: str):
     return t
 
 
-def encode(tok, texts: list[str]):
-    """Token ids of each text, as uint32 arrays, in bounded batches."""
-    for a, b in slices([len(t) for t in texts]):
-        for e in tok.encode_batch_fast(texts[a:b], add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4")
+#: A run of white space and what follows it. Neither public tokenizer's pre-tokenizer looks across its start, so a
+#: text's ids are those of its units.
+UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: White space that is rare, or that Python and the tokenizers may see differently: such texts are encoded whole.
+RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Units that a worker remembers (about 330 MB; it forgets all when there are more), and the longest of them.
+UNITS_HELD, LONGEST_UNIT = 1_500_000, 64
+
+
+class Encoder:
+    """Ids of texts by a public tokenizer, every distinct unit encoded once as long as it is remembered."""
+
+    def __init__(self, tok):
+        self.tok, self.known = tok, {}
+
+    def encode(self, texts: list[str]):
+        """Token ids of each text, as uint32 arrays, in bounded batches."""
+        for a, b in slices([len(t) for t in texts]):
+            known = self.known
+            cut = [[t] if RARE_SPACE.search(t) else UNIT.findall(t) for t in texts[a:b]]
+            new = list(set(chain.from_iterable(cut)).difference(known))
+            for u, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+                known[u] = array("I", e.ids).tobytes()
+            for units in cut:
+                yield np.frombuffer(b"".join(map(known.__getitem__, units)), dtype="<u4")
+            if len(known) > UNITS_HELD:
+                known.clear()
+            for u in new:
+                if len(u) > LONGEST_UNIT:
+                    known.pop(u, None)
+
+
+@lru_cache(maxsize=4)
+def encoder(file: str) -> Encoder:
+    """Kept by a worker from task to task."""
+    return Encoder(tokenizer(file))
 
 
 def crc32_u32(ids: np.ndarray) -> int:

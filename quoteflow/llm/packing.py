@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import crc32_u32, encode, read, stage, texts_of, tokenizer
+from quoteflow.llm.common import crc32_u32, encoder, read, stage, texts_of
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 1, 2048
 
@@ -128,8 +128,8 @@ def pack(docs: DataFrame, tokenizer_file: str = TOKENIZER, end_id: int = END_ID,
             return b
 
         for b in batches:
-            tok = tok or tokenizer(tokenizer_file)
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(tok, b.column(1).to_pylist())):
+            tok = tok or encoder(tokenizer_file)
+            for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(end_id))
                 total = len(ids)
                 whole = total - total % window

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import crc32_u32, encode, new_path, read, texts_of, tokenizer
+from quoteflow.llm.common import crc32_u32, encoder, new_path, read, texts_of, tokenizer
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 NULL_ID = np.iinfo(np.int64).min        # stands for a null doc_id in the docs file
@@ -86,12 +86,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str = TOKENIZER, en
             if not b.num_rows:
                 continue
             if tok is None:
-                tok = tokenizer(tokenizer_file)
+                tok = encoder(tokenizer_file)
                 name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 out = [open_out(f"{path}/{name}.{x}") for x in FILES]
             ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8")
             starts = np.empty(len(ids), "<i8")
-            for i, t in enumerate(encode(tok, b.column(1).to_pylist())):
+            for i, t in enumerate(tok.encode(b.column(1).to_pylist())):
                 starts[i] = start
                 out[0].write(np.append(t, end_id).astype(dtype).tobytes())
                 start += len(t) + 1
