@@ -15,7 +15,7 @@ Readers map the files into memory (np.memmap; a store without local paths is
 read through pyarrow's file systems).
 
 Defined results: a null text is empty (it holds the end id alone); a null
-doc_id is kept as null and comes first; equal doc_ids are ordered by text;
+doc_id is kept as null and comes first; equal doc_ids are ordered by a hash of the text, then the text;
 other columns are ignored; an empty table gives an empty dataset.
 """
 
@@ -105,8 +105,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str = TOKENIZER, en
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name],
                                               "docs": [n], "tokens": [start]})
 
-    rows = (texts_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-            .mapInArrow(part, "part long, name string, docs long, tokens long").collect())   # one row a part
+    # range bounds are sampled to the driver: a text's hash stands for the text there
+    rows = (texts_of(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h")
+            .sortWithinPartitions("doc_id", "h", "text").drop("h").mapInArrow(part, "part long, name string, docs long, tokens long").collect())   # one row a part
     parts, base = [], 0
     for r in sorted(rows, key=lambda r: r["part"]):
         parts.append({"name": r["name"], "docs": r["docs"], "tokens": r["tokens"], "base": base, "dtype": dtype})
