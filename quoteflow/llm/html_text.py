@@ -15,7 +15,8 @@ Each page is worked on alone, in time near linear in its blocks, in the scan's
 partitions; nothing is shuffled.
 
 Defined results: null and empty html, and pages without main text, give the empty
-text; character references are decoded; white space within a block becomes one
+text; a comment or tag that isn't closed drops the rest of the page, as in a browser; a
+malformed tag is dropped; character references are decoded; white space within a block becomes one
 space; page_id and url pass through, null or repeated; other columns are
 ignored; an empty table gives no rows.
 """
@@ -42,7 +43,7 @@ WORD = re.compile(r"[a-z]+")
 BOILER = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies "
                    "consent gdpr notice notices alert menu nav navbar navigation sidebar footer header masthead comment "
                    "comments disqus reply replies respond share sharing social related recommended popup modal overlay "
-                   "breadcrumb breadcrumbs newsletter subscribe signup login search pagination pager widget copyright".split())
+                   "breadcrumb breadcrumbs newsletter subscribe subscription subscriptions signup login search pagination pager widget copyright".split())
 BODY = frozenset("article content post entry story body main text".split())
 #: Classifier weights, and capacities of edges.
 W_NEVER, W_BOILER, W_MAIN, W_BODY, W_HEADING, W_LINKS, W_BIAS, W_LONG, LONG = -40.0, -13.0, 8.0, 2.0, 0.5, -4.0, -1.0, 2.5, 25
@@ -62,13 +63,16 @@ class Blocks(HTMLParser):
         self.weights: list[tuple[float, bool]] = []     # of each block: long unlinked text, in article or main
         # tag, element number, never, inline element marked, main, body, links
         self.stack = [("", 0, False, False, False, False, False)]
+        self.open: dict[str, list[int]] = {}    # places in the stack by tag, and those of block elements
+        self.open_blocks = [0]
+        self.in_tag = False
         self.held: list[str] = []
         self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            tag, number, never, _, main, body, _ = next(x for x in reversed(self.stack) if x[0] not in INLINE)
+            tag, number, never, _, main, body, _ = self.stack[self.open_blocks[-1]]
             words = len(text.split())
             long, links = min(words / LONG, 1.0), min(1.0, self.linked / len(text))
             score = W_BIAS + W_LONG * long + W_LINKS * links
@@ -114,6 +118,8 @@ class Blocks(HTMLParser):
             self.parents.append(parent)
             self.marked.append(marked)
             self.inner.append(main)
+            self.open_blocks.append(len(self.stack))
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, number, never or tag in NEVER, marked and tag in INLINE, main or tag in MAIN,
                            body or not BODY.isdisjoint(names), link or tag == "a"))
 
@@ -126,24 +132,50 @@ class Blocks(HTMLParser):
         """A block starts: an open paragraph ends; so does an open item of the same list."""
         ends = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"),
                 "td": ("td", "th", "p"), "th": ("td", "th", "p"), "body": ("head",)}.get(tag, ("p",))
-        while True:
-            at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] not in INLINE), 0)
-            if self.stack[at][0] not in ends:
-                return
-            del self.stack[at:]
+        while self.stack[self.open_blocks[-1]][0] in ends:
+            self._cut(self.open_blocks[-1])
+
+    def _cut(self, to: int) -> None:
+        for x in self.stack[to:]:
+            self.open[x[0]].pop()
+        while self.open_blocks[-1] >= to:
+            self.open_blocks.pop()
+        del self.stack[to:]
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if tag in INLINE and self.stack[i][0] not in INLINE:
-                return
+        places = self.open.get(tag)
+        if places and (tag not in INLINE or places[-1] > self.open_blocks[-1]):
+            self._cut(places[-1])
+
+    def _or_rest(self, k: int) -> int:
+        """The whole page is given at once, so markup without an end goes on to the page's."""
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i):
+        self.in_tag = True                      # a malformed tag is no text
+        k = super().parse_starttag(i)
+        self.in_tag = False
+        return self._or_rest(k)
+
+    def parse_endtag(self, i):
+        return self._or_rest(super().parse_endtag(i))
+
+    def parse_comment(self, i, report=True):
+        return self._or_rest(super().parse_comment(i, report))
+
+    def parse_pi(self, i):
+        return self._or_rest(super().parse_pi(i))
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![", i):   # a marked section is a comment in HTML
+            k = self.rawdata.find(">", i)
+            return len(self.rawdata) if k < 0 else k + 1
+        return self._or_rest(super().parse_html_declaration(i))
 
     def handle_data(self, data):
-        if self.stack[-1][2] and self.stack[-1][0] in ("script", "style"):
+        if self.in_tag or self.stack[-1][2] and self.stack[-1][0] in ("script", "style"):
             return
         self.held.append(data)
         if self.stack[-1][6]:

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +66,29 @@ def test_query_and_odd_rows(spark):
     assert sorted(r["n_chars"] for r in got) == [0, 0, 1_499_999]
     assert extract(df.where("false")).count() == 0
     assert main_text("<div>" * 3000 + "deep words " * 30) != ""
+
+
+def test_broken_markup():
+    """Unclosed and malformed markup is no text; what stands before it stays."""
+    for tail in ["<!-- open <p>secret", "tail <a href=\"x", "<p class='x", "</p", "<!doctype", "<?php echo 1", "<![foo]>", "<![CDATA[x",
+                 "<script>var a = 1 < 2; <p>secret"]:
+        text = main_text(f"<article><p>{'words ' * 30}</p>{tail}")
+        assert text.startswith("words words") and not any(x in text for x in ("<", "secret", "href", "CDATA", "php"))
+    assert main_text(f"<article><p>{'a ' * 30}</p><![if IE]><p>{'b ' * 30}</p></article>").count("\n\n") == 1
+    sub = f"<article><p>{'a ' * 30}</p><div class='subscription-box'><p>Get it by mail</p></div></article>"
+    assert main_text(sub) == ("a " * 30).strip()
+
+
+def test_linear_time():
+    """Shapes that a scan of the stack, or a second look at open comments, makes quadratic."""
+    began = time.process_time()
+    main_text("<article><p>x</p>" + "<!--" * 50_000)
+    main_text("<div>" * 12_000 + "</section>" * 12_000 + "words")
+    main_text("<i><div>" + "<b>" * 12_000 + "</i>" * 12_000 + "words" + "x<hr>" * 12_000)
+    assert time.process_time() - began < 10
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + "one two. " * 20)] * 3, "page_id long, url string, html string")
+    got = extract(df).collect()
+    assert len(got) == 3 and len(set(got)) == 1
