@@ -1,15 +1,17 @@
 """Operator 7: token counts by dynamic programming shared in a trie.
 
 Texts are cut into pre-tokens (a run of spaces and what follows it). Every distinct
-pre-token of a task is inserted in a trie once. A trie node holds the best unigram
-forward score of its prefix and that segmentation's token count, computed from
-its ancestors when the node is made, so a shared prefix is scored once; the last
-node's count is the pre-token's. Piece probabilities fall with rank r as
+pre-token of a worker is inserted in a trie once. A trie node holds the best unigram
+forward score of its prefix and that segmentation's token count, computed from its
+parent when the node is made, so a shared prefix is scored once; the last node's
+count is the pre-token's. For that, nodes carry the vocabulary pieces that have begun
+and can still end, as places in a trie of the vocabulary. Piece probabilities fall with rank r as
 1 / (r + 1) over the vocabulary; of equal scores the one with fewer tokens counts. A
 character outside the vocabulary costs one token per UTF-8 byte.
 
-The trie is emptied when it holds NODES nodes; pre-tokens over LONG characters are
-scored the same way without entering it. Nothing is shuffled.
+The trie is emptied when it holds NODES nodes, but counts of the pre-tokens met since the
+time before stay for those that come again; pre-tokens over LONG characters are scored the
+same way without entering it. A worker keeps its trie from task to task. Nothing is shuffled.
 
 Defined results: null and empty texts have no tokens; doc_ids pass through, null or
 repeated; other columns are ignored; an empty table gives no rows.
@@ -17,8 +19,11 @@ repeated; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,72 +35,105 @@ NODES, LONG = 1_500_000, 128
 
 
 class Counter:
+    """The trie. A node is [children, state, living]: the state is (score, -tokens); living holds what an
+    extension can still complete, pairs of a vocabulary node and the state where that piece began."""
+
     def __init__(self, v: Vocabulary):
         ranked = sorted(v.scores, key=lambda p: (-v.scores[p], v.ids[p]))
         norm = math.log(sum(1 / (r + 1) for r in range(len(ranked))))
         self.logp = {p: -math.log(r + 1) - norm for r, p in enumerate(ranked)}
         self.byte = -math.log(len(ranked) + 1) - norm
         self.longest = v.longest
+        self.pieces: tuple = ({}, None)            # children, log probability; of every piece in the vocabulary
+        for p, logp in self.logp.items():
+            node = self.pieces
+            for c in p[:-1]:
+                node = node[0].setdefault(c, ({}, None))
+            node[0][p[-1]] = (node[0].get(p[-1], ({},))[0], logp)
+        self.terminal: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.root: tuple = ({}, (0.0, 0))          # children, (score, -tokens)
-        self.nodes, self.terminal = 1, {}
-
-    def forward(self, w: str, end: int, states: list) -> tuple[float, int]:
-        """The state of w[:end], from those of its prefixes."""
-        n = len(w[end - 1].encode())
-        s, k = states[end - 1] if w[end - 1] not in self.logp else (0.0, 0)
-        best = (s + n * self.byte, k - n) if w[end - 1] not in self.logp else (-math.inf, 0)
-        for a in range(max(0, end - self.longest), end):
-            p = self.logp.get(w[a:end])
-            if p is not None:
-                s, k = states[a]
-                best = max(best, (s + p, k - 1))
-        return best
+        """Forget the trie; counts of the units since the last time stay for those that come again."""
+        self.root: list = [{}, (0.0, 0), ()]
+        self.nodes, self.before, self.terminal = 1, self.terminal, {}
+
+    def forward(self, node: list, c: str) -> list:
+        """A new node: ``node`` extended by ``c``."""
+        _, (s, k), living = node
+        best, on = (-math.inf, 0), []
+        if c not in self.logp:
+            n = len(c.encode())
+            best = (s + n * self.byte, k - n)
+        starts = iter((*living, self.pieces, node[1]))
+        for piece, state in zip(starts, starts):
+            piece = piece[0].get(c)
+            if piece is not None:
+                if piece[1] is not None:
+                    best = max(best, (state[0] + piece[1], state[1] - 1))
+                if piece[0]:
+                    on += (piece, state)
+        return [{}, best, tuple(on)]
 
     def count(self, unit: str) -> int:
         found = self.terminal.get(unit)
         if found is None:
-            w = unit.replace(SPACE, "\ue000").replace(" ", SPACE)
-            states = [(0.0, 0)]
-            if len(w) > LONG:
-                return self._long(w)
-            if self.nodes + len(w) > NODES:
-                self.clear()
-            node = self.root
-            for i, c in enumerate(w, 1):
-                child = node[0].get(c)
-                if child is None:
-                    child = node[0][c] = ({}, self.forward(w, i, states))
-                    self.nodes += 1
-                states.append(child[1])
-                node = child
-            found = self.terminal[unit] = -node[1][1]
+            found = self.before.get(unit)
+            if found is None:
+                w = unit.replace(SPACE, "\ue000").replace(" ", SPACE)
+                if len(w) > LONG:
+                    return self._long(w)
+                if self.nodes + len(w) > NODES:
+                    self.clear()
+                node = self.root
+                for c in w:
+                    child = node[0].get(c)
+                    if child is None:
+                        child = node[0][c] = self.forward(node, c)
+                        self.nodes += 1
+                    node = child
+                found = -node[1][1]
+            self.terminal[unit] = found
         return found
 
     def _long(self, w: str) -> int:
-        """The same recurrence in pieces of the word, holding the last states only."""
-        held, tail = [(0.0, 0)], ""
+        """The same recurrence, holding the last node only."""
+        node = self.root
         for c in w:
-            tail += c
-            held.append(self.forward(tail, len(tail), held))
-            if len(tail) > 4 * self.longest:
-                tail, held = tail[-self.longest:], held[-self.longest - 1:]
-        return -held[-1][1]
+            node = self.forward(node, c)
+        return -node[1][1]
+
+
+@lru_cache(maxsize=2)
+def counter(file: str) -> Counter:
+    """Kept by a worker from task to task."""
+    return Counter(vocabulary(file))
+
+
+@contextmanager
+def collector_off():
+    """Python's cyclic collector would walk the growing trie again and again; nothing in it is cyclic."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def token_counts(docs: DataFrame, file: str = MODEL) -> DataFrame:
     """doc_id, n_pretokens and n_tokens of every document."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary(file))
+        count = counter(file).count
         for b in batches:
             pre, tokens = [], []
-            for t in b.column(1).to_pylist():
-                u = units(t)
-                pre.append(len(u))
-                tokens.append(sum(map(counter.count, u)))
+            with collector_off():
+                for t in b.column(1).to_pylist():
+                    u = units(t)
+                    pre.append(len(u))
+                    tokens.append(sum(map(count, u)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())],
                                              names=["doc_id", "n_pretokens", "n_tokens"])
 

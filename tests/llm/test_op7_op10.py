@@ -102,3 +102,13 @@ def test_segmentations_are_not_capped():
     ids = e.encode(" ".join(["international"] * 400), 1).tolist()
     whole = Encoder(v, 5, 0.0).encode("international").tolist()
     assert len(ids) > 400 * len(whole)
+
+
+def test_counts_after_emptying_the_trie(monkeypatch):
+    """Counts don't depend on what the trie holds, nor on the units kept over an emptying."""
+    monkeypatch.setattr("quoteflow.llm.token_counts.NODES", 40)
+    small = Counter(vocabulary())
+    words = [f" w{i % 7}ord é{i}" + "漢" * (i % 5) for i in range(200)] + [" " + "long" * 60]
+    for w in words * 2:
+        assert sum(map(small.count, units(w))) == plain_count(COUNTER, w)
+    assert small.nodes <= 40 and small.before
