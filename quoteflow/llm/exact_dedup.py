@@ -1,20 +1,19 @@
 """Operator 4: exact dedup with Patricia-trie owners.
 
-Every scan partition inserts the whole texts (UTF-8 bytes) it reads into
-compressed radix tries, one for each length and content hash, whose terminal
-nodes store the owner (the largest document id; ``keep="min"`` stores the
-smallest) and a count. So a group of copies leaves a partition as one row, however
-large it is. Those rows are dealt by length and content hash to owner partitions,
-which are sorted by that key; an owner partition inserts them into the key's trie
-and spills the finished subtree (its terminals go out) when the next key begins, so
-memory holds one key's distinct texts. A scan partition spills its subtrees
-whenever they hold more than SPILL_BYTES; the same text then leaves it again.
-
-The digest is what finds equal texts: each trie holds one, or a collision, so neither
-radix splits nor a spill by subtree are at work.
-
-Documents take their group's owner by a join on the key; groups of one need
-none. Two different texts of one key (a SHA-256 collision) raise an error.
+Every scan partition inserts the whole texts (UTF-8 bytes) it reads into a
+compressed radix trie, whose terminal nodes store the owner (the largest document id;
+``keep="min"`` stores the smallest), a count and a number; each document leaves with its
+terminal's number. So a group of copies leaves a partition as one text, however large
+it is. When the trie holds more than ``spill`` bytes, its largest subtrees are spilled
+(their terminals go out); a text that comes again then gets another terminal.
+
+The terminals are dealt by length and the first bits of the content hash to owner
+partitions and sorted by their bytes. An owner partition inserts them into one trie; a
+subtree that lies before the newest text is finished, and is spilled when the trie
+holds more than ``spill`` bytes. Equal texts meet in one terminal there: the trie decides
+what is equal, the hash only deals. An owner row goes out for every number of a group.
+
+Documents take their group's owner by a join on the number; groups of one need none.
 
 Defined results: a null text is an empty one; null doc_ids rank below all others;
 of rows repeated with the same doc_id and text one is kept; other columns are
@@ -24,6 +23,8 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,10 @@ from quoteflow.llm.common import read, stage, texts_of
 
 SPILL_BYTES = 64 << 20
 ROWS_OUT = 2048
-SCHEMA = "doc_id long, row long, n long, sha string, body binary, copies long"
+#: Hexadecimal digits of the content hash that deal texts of one length.
+HASH_DIGITS = 3
+SCAN = "doc_id long, row long, term long, sha string, body binary, copies long"
+OWNERS = "term long, keep_id long, keep_row long, copies long"
 
 
 class Patricia:
@@ -75,23 +79,38 @@ class Patricia:
                 z = m - 1
         return a
 
-    def terminals(self) -> Iterator[tuple[bytes, object]]:
-        todo = [(b"", self.root)]
+    def terminals(self, prefix: bytes = b"", node: list | None = None) -> Iterator[tuple[bytes, object]]:
+        """Texts and values at and below a node, the root by default."""
+        todo = [(prefix, node or self.root)]
         while todo:
             prefix, (children, value) = todo.pop()
             if value is not None:
                 yield prefix, value
             todo += [(prefix + label, child) for label, child in children.values()]
 
+    def cut(self, first: int) -> Iterator[tuple[bytes, object]]:
+        """Spill the subtree of the texts that begin with this byte."""
+        label, child = self.root[0].pop(first)
+        return self.terminals(label, child)
+
+    def before(self, last: bytes) -> Iterator[tuple[bytes, object]]:
+        """Spill all subtrees, and texts on the path, before the text ``last`` that was
+        inserted last; in sorted order no more of them come."""
+        node, at = self.root, 0
+        while at < len(last):
+            if node[1] is not None:
+                yield last[:at], node[1]
+                node[1] = None
+            for first in [x for x in node[0] if x != last[at]]:
+                label, child = node[0].pop(first)
+                yield from self.terminals(last[:at] + label, child)
+            label, node = node[0][last[at]]
+            at += len(label)
+
 
-def _merge(node: list, doc_id, row: int, copies: int, best) -> None:
-    """Store the owner: (has an id, id, row) by ``best``, and the count."""
-    mine = (doc_id is not None, doc_id if doc_id is not None else 0, row)
-    if node[1] is None:
-        node[1] = [mine, copies]
-    else:
-        node[1][0] = best(node[1][0], mine)
-        node[1][1] += copies
+def _mine(doc_id, row: int) -> tuple:
+    """What owners are compared by: (has an id, id, row)."""
+    return doc_id is not None, doc_id if doc_id is not None else 0, row
 
 
 def _key(r: tuple) -> tuple:
@@ -103,85 +122,104 @@ def _best(keep: str):
     return max if keep == "max" else lambda a, b: min(a, b, key=_key)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64())
-    names = ("doc_id", "row", "n", "sha", "body", "copies")
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=list(names))
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)],
+                                      names=[name for name, _ in fields])
 
 
-def owners(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """One row per document: doc_id, row (a unique number), keep_id, group_size,
-    kept and text_sha256."""
-    best = _best(keep)
+def _batches(rows: Iterator[tuple], schema: str, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS_OUT rows, and about ``size`` bytes of texts."""
+    out, held = [], 0
+    for r in rows:
+        out.append(r)
+        held += len(r[4]) if schema is SCAN else 0
+        if len(out) >= ROWS_OUT or held > size:
+            yield _batch(out, schema)
+            out, held = [], 0
+    if out:
+        yield _batch(out, schema)
+
+
+def scanned(docs: DataFrame, best, spill: int = SPILL_BYTES) -> DataFrame:
+    """A row per document (copies null) and a row per terminal (body, copies), of every scan partition."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, held, tries = TaskContext.get().partitionId() << 33, 0, {}
-
-        def spill():
-            out, size = [], 0
-            for (n, sha), trie in tries.items():
-                for body, ((has, doc_id, r), copies) in trie.terminals():
-                    out.append((doc_id if has else None, r, n, sha, body, copies))
-                    size += n
-                    if len(out) >= ROWS_OUT or size > 1 << 23:
-                        yield _batch(out)
-                        out, size = [], 0
-            tries.clear()
-            if out:
-                yield _batch(out)
+        row = term = TaskContext.get().partitionId() << 33
+        trie, held, total = Patricia(), Counter(), 0        # bytes held by first byte
+
+        def rows(terminals):
+            for body, ((has, doc_id, r), copies, number, sha) in terminals:
+                yield doc_id if has else None, r, number, sha, body, copies
 
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 body = text.as_buffer().to_pybytes()
-                key = len(body), hashlib.sha256(body).hexdigest()
-                if key not in tries:
-                    tries[key] = Patricia()
-                    held += len(body) + 400
-                _merge(tries[key].insert(body), doc_id, row, 1, best)
-                out.append((doc_id, row, *key, None, None))
+                node = trie.insert(body)
+                if node[1] is None:
+                    node[1] = [_mine(doc_id, row), 0, term, hashlib.sha256(body).hexdigest()]
+                    term += 1
+                    held[body[0] if body else -1] += len(body) + 400
+                    total += len(body) + 400
+                v = node[1]
+                v[0], v[1] = best(v[0], _mine(doc_id, row)), v[1] + 1
+                out.append((doc_id, row, v[2], v[3], None, None))
                 row += 1
-                if held > SPILL_BYTES:
-                    yield from spill()
-                    held = 0
+                if total > spill:
+                    for first, size in held.most_common():
+                        if first >= 0 and total > spill // 2:
+                            yield from _batches(rows(trie.cut(first)), SCAN)
+                            total -= held.pop(first)
             if out:
-                yield _batch(out)
-        yield from spill()
+                yield _batch(out, SCAN)
+        yield from _batches(rows(trie.terminals()), SCAN)
+
+    return texts_of(docs).mapInArrow(scan, SCAN)
+
+
+def owned(terminals: DataFrame, best, spill: int = SPILL_BYTES) -> DataFrame:
+    """term, keep_id, keep_row and copies of every terminal whose text has copies. ``terminals``: those of ``scanned``."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, trie, out = None, Patricia(), []
+        trie, held = Patricia(), 0
 
-        def done():
-            found = list(trie.terminals())
-            if len(found) > 1:
-                raise ValueError(f"different texts share SHA-256 {at[1]}")
-            for _, ((has, doc_id, r), copies) in found:
-                out.append((doc_id if has else None, r, *at, None, copies))
+        def rows(found):
+            for _, ((has, doc_id, r), copies, numbers) in found:
+                if copies > 1:
+                    for n in numbers:
+                        yield n, doc_id if has else None, r, copies
 
         for b in batches:
-            c = [b.column(i).to_pylist() for i in (0, 1, 2, 3, 5)]
-            for doc_id, row, n, sha, copies, body in zip(*c, b.column(4)):
-                if (n, sha) != at:
-                    done()
-                    at, trie = (n, sha), Patricia()
-                _merge(trie.insert(body.as_buffer().to_pybytes()), doc_id, row, copies, best)
-            if len(out) >= ROWS_OUT:
-                yield _batch(out)
-                out.clear()
-        done()
-        if out:
-            yield _batch(out)
-
-    seen = stage(texts_of(docs).mapInArrow(scan, SCHEMA), "exact-scan")
-    owned = (seen.where("copies is not null").repartition("n", "sha").sortWithinPartitions("n", "sha")
-             .mapInArrow(own, SCHEMA).where("copies > 1")
-             .select("n", "sha", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "copies"))
-    owned = stage(owned, "exact-owners")
+            c = [b.column(i).to_pylist() for i in (0, 1, 2, 5)]
+            for doc_id, row, term, copies, text in zip(*c, b.column(4)):
+                body = text.as_buffer().to_pybytes()
+                node, mine = trie.insert(body), _mine(doc_id, row)
+                if node[1] is None:
+                    node[1] = [mine, 0, array("q")]
+                    held += len(body) + 400
+                v = node[1]
+                v[0], v[1] = best(v[0], mine), v[1] + copies
+                v[2].append(term)
+                if held > spill:
+                    yield from _batches(rows(trie.before(body)), OWNERS)
+                    held = len(body) + 400
+        yield from _batches(rows(trie.terminals()), OWNERS)
+
+    dealt = terminals.repartition(F.length("body"), F.substring("sha", 1, HASH_DIGITS)).sortWithinPartitions("body")
+    return dealt.mapInArrow(own, OWNERS)
+
+
+def owners(docs: DataFrame, keep: str = "max", spill: int = SPILL_BYTES) -> DataFrame:
+    """One row per document: doc_id, row (a unique number), keep_id, group_size,
+    kept and text_sha256."""
+    seen = stage(scanned(docs, _best(keep), spill), "exact-scan")
+    groups = stage(owned(seen.where("copies is not null"), _best(keep), spill), "exact-owners")
     alone = F.col("copies").isNull()
-    return (seen.where("copies is null").select("doc_id", "row", "n", "sha").join(owned, ["n", "sha"], "left")
+    return (seen.where("copies is null").select("doc_id", "row", "term", "sha").join(groups, "term", "left")
             .select("doc_id", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
                     F.coalesce("copies", F.lit(1).cast("long")).alias("group_size"),
                     (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), F.col("sha").alias("text_sha256")))
