@@ -1,17 +1,19 @@
 """Operator 7: token counts by dynamic programming shared in a trie.
 
-Texts are cut into pre-tokens (a run of spaces and what follows it). Every distinct
-pre-token of a worker is inserted in a trie once. A trie node holds the best unigram
-forward score of its prefix and that segmentation's token count, computed from its
-parent when the node is made, so a shared prefix is scored once; the last node's
-count is the pre-token's. For that, nodes carry the vocabulary pieces that have begun
-and can still end, as places in a trie of the vocabulary. Piece probabilities fall with rank r as
-1 / (r + 1) over the vocabulary; of equal scores the one with fewer tokens counts. A
-character outside the vocabulary costs one token per UTF-8 byte.
-
-The trie is emptied when it holds NODES nodes, but counts of the pre-tokens met since the
-time before stay for those that come again; pre-tokens over LONG characters are scored the
-same way without entering it. A worker keeps its trie from task to task. Nothing is shuffled.
+Texts are cut into pre-tokens (a run of spaces and what follows it). The distinct
+pre-tokens of a batch whose counts aren't known yet go into a trie, which is made and
+walked depth first by taking them in sorted order: only the path to the newest pre-token
+is held. A trie node has the best unigram forward score of its prefix and that
+segmentation's token count, computed from its parent once for all pre-tokens that
+share the prefix; for that it carries the vocabulary pieces that have begun and can still
+end, as places in a trie of the vocabulary. The last node's count is the pre-token's and
+is stored. Piece probabilities fall with rank r as 1 / (r + 1) over the vocabulary; of
+equal scores the one with fewer tokens counts. A character outside the vocabulary costs
+one token per UTF-8 byte.
+
+A worker keeps stored counts from task to task; when there are UNITS_HELD, those not met
+since the time before are forgotten. Pre-tokens over LONG characters are scored the same
+way, holding the last node only, and not stored. Nothing is shuffled.
 
 Defined results: null and empty texts have no tokens; doc_ids pass through, null or
 repeated; other columns are ignored; an empty table gives no rows.
@@ -24,19 +26,21 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quoteflow.llm.common import read, texts_of
+from quoteflow.llm.common import read, slices, texts_of
 from quoteflow.llm.pieces import MODEL, SPACE, Vocabulary, units, vocabulary
 
-NODES, LONG = 1_500_000, 128
+#: Counts that a worker stores, twice at most; the longest of their pre-tokens; characters worked on at a time.
+UNITS_HELD, LONG, CHARS = 750_000, 128, 1 << 23
 
 
 class Counter:
-    """The trie. A node is [children, state, living]: the state is (score, -tokens); living holds what an
-    extension can still complete, pairs of a vocabulary node and the state where that piece began."""
+    """A trie node is (score, -tokens, living): living holds what an extension can still complete, the
+    vocabulary node, score and -tokens of each piece's beginning, one after the other."""
 
     def __init__(self, v: Vocabulary):
         ranked = sorted(v.scores, key=lambda p: (-v.scores[p], v.ids[p]))
@@ -44,64 +48,76 @@ class Counter:
         self.logp = {p: -math.log(r + 1) - norm for r, p in enumerate(ranked)}
         self.byte = -math.log(len(ranked) + 1) - norm
         self.longest = v.longest
-        self.pieces: tuple = ({}, None)            # children, log probability; of every piece in the vocabulary
+        self.pieces: dict = {}                     # of every vocabulary node: character -> [its children, log probability]
         for p, logp in self.logp.items():
-            node = self.pieces
-            for c in p[:-1]:
-                node = node[0].setdefault(c, ({}, None))
-            node[0][p[-1]] = (node[0].get(p[-1], ({},))[0], logp)
-        self.terminal: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget the trie; counts of the units since the last time stay for those that come again."""
-        self.root: list = [{}, (0.0, 0), ()]
-        self.nodes, self.before, self.terminal = 1, self.terminal, {}
-
-    def forward(self, node: list, c: str) -> list:
-        """A new node: ``node`` extended by ``c``."""
-        _, (s, k), living = node
-        best, on = (-math.inf, 0), []
-        if c not in self.logp:
+            children = self.pieces
+            for c in p:
+                node = children.setdefault(c, [{}, None])
+                children = node[0]
+            node[1] = logp
+        self.known: dict[str, int] = {}
+        self.before: dict[str, int] = {}
+
+    def forward(self, node: tuple, c: str) -> tuple:
+        """``node`` extended by ``c``."""
+        s, k, living = node
+        on = []
+        begun = self.pieces.get(c)
+        if begun is None or begun[1] is None:
             n = len(c.encode())
-            best = (s + n * self.byte, k - n)
-        starts = iter((*living, self.pieces, node[1]))
-        for piece, state in zip(starts, starts):
-            piece = piece[0].get(c)
-            if piece is not None:
-                if piece[1] is not None:
-                    best = max(best, (state[0] + piece[1], state[1] - 1))
-                if piece[0]:
-                    on += (piece, state)
-        return [{}, best, tuple(on)]
-
-    def count(self, unit: str) -> int:
-        found = self.terminal.get(unit)
-        if found is None:
-            found = self.before.get(unit)
-            if found is None:
-                w = unit.replace(SPACE, "\ue000").replace(" ", SPACE)
-                if len(w) > LONG:
-                    return self._long(w)
-                if self.nodes + len(w) > NODES:
-                    self.clear()
-                node = self.root
-                for c in w:
-                    child = node[0].get(c)
-                    if child is None:
-                        child = node[0][c] = self.forward(node, c)
-                        self.nodes += 1
-                    node = child
-                found = -node[1][1]
-            self.terminal[unit] = found
-        return found
-
-    def _long(self, w: str) -> int:
-        """The same recurrence, holding the last node only."""
-        node = self.root
-        for c in w:
+            best, tokens = s + n * self.byte, k - n
+        else:
+            best, tokens = s + begun[1], k - 1
+        if begun is not None and begun[0]:
+            on += (begun[0], s, k)
+        if living:
+            it = iter(living)
+            for children, s, k in zip(it, it, it):
+                piece = children.get(c)
+                if piece is not None:
+                    children, logp = piece
+                    if logp is not None and (s + logp, k - 1) > (best, tokens):
+                        best, tokens = s + logp, k - 1
+                    if children:
+                        on += (children, s, k)
+        return best, tokens, on
+
+    def learn(self, new: list[str]) -> None:
+        """Store the counts of pre-tokens."""
+        path, last, forward = [(0.0, 0, ())], "", self.forward
+        for unit in sorted(new):
+            w = unit.replace(SPACE, "\ue000").replace(" ", SPACE)
+            shared, most = 0, min(len(w), len(last))
+            while shared < most and w[shared] == last[shared]:
+                shared += 1
+            del path[shared + 1:]
+            node = path[shared]
+            for c in w[shared:]:
+                node = forward(node, c)
+                path.append(node)
+            self.known[unit] = -node[1]
+            last = w
+
+    def counts(self, texts: list[list[str]]) -> list[int]:
+        """Tokens of texts, which are given as lists of pre-tokens."""
+        if len(self.known) > UNITS_HELD:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = list(set(chain.from_iterable(texts)).difference(known))
+        known.update((u, before[u]) for u in new if u in before)
+        long = [u for u in new if len(u) > LONG]
+        known.update((u, self._long(u)) for u in long)
+        self.learn([u for u in new if u not in known])
+        out = [sum(map(known.__getitem__, units)) for units in texts]
+        for u in long:
+            del known[u]
+        return out
+
+    def _long(self, unit: str) -> int:
+        node = (0.0, 0, ())
+        for c in unit.replace(SPACE, "\ue000").replace(" ", SPACE):
             node = self.forward(node, c)
-        return -node[1][1]
+        return -node[1]
 
 
 @lru_cache(maxsize=2)
@@ -112,7 +128,7 @@ def counter(file: str) -> Counter:
 
 @contextmanager
 def collector_off():
-    """Python's cyclic collector would walk the growing trie again and again; nothing in it is cyclic."""
+    """Python's cyclic collector would walk the vocabulary and the path again and again; neither is cyclic."""
     on = gc.isenabled()
     gc.disable()
     try:
@@ -126,14 +142,14 @@ def token_counts(docs: DataFrame, file: str = MODEL) -> DataFrame:
     """doc_id, n_pretokens and n_tokens of every document."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(file).count
+        counts = counter(file).counts
         for b in batches:
-            pre, tokens = [], []
-            with collector_off():
-                for t in b.column(1).to_pylist():
-                    u = units(t)
-                    pre.append(len(u))
-                    tokens.append(sum(map(count, u)))
+            texts, pre, tokens = b.column(1).to_pylist(), [], []
+            for i, j in slices([len(t) for t in texts], CHARS):
+                with collector_off():
+                    cut = [units(t) for t in texts[i:j]]
+                    pre += map(len, cut)
+                    tokens += counts(cut)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())],
                                              names=["doc_id", "n_pretokens", "n_tokens"])
 

@@ -37,7 +37,7 @@ COUNTER = Counter(vocabulary())
 @settings(max_examples=100, deadline=None)
 @given(TEXT)
 def test_counts(text):
-    assert sum(map(COUNTER.count, units(text))) == plain_count(COUNTER, text)
+    assert COUNTER.counts([units(text)]) == [plain_count(COUNTER, text)]
 
 
 def test_counts_query_and_odd_rows(spark):
@@ -104,11 +104,12 @@ def test_segmentations_are_not_capped():
     assert len(ids) > 400 * len(whole)
 
 
-def test_counts_after_emptying_the_trie(monkeypatch):
-    """Counts don't depend on what the trie holds, nor on the units kept over an emptying."""
-    monkeypatch.setattr("quoteflow.llm.token_counts.NODES", 40)
+def test_counts_after_forgetting(monkeypatch):
+    """Counts don't depend on what a worker has stored, nor on the batches they come in."""
+    monkeypatch.setattr("quoteflow.llm.token_counts.UNITS_HELD", 40)
     small = Counter(vocabulary())
     words = [f" w{i % 7}ord é{i}" + "漢" * (i % 5) for i in range(200)] + [" " + "long" * 60]
-    for w in words * 2:
-        assert sum(map(small.count, units(w))) == plain_count(COUNTER, w)
-    assert small.nodes <= 40 and small.before
+    right = [plain_count(COUNTER, w) for w in words]
+    assert [n for w in words * 2 for n in small.counts([units(w)])] == right * 2
+    assert len(small.known) <= 43 and small.before
+    assert Counter(vocabulary()).counts([units(w) for w in words]) == right
