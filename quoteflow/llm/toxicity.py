@@ -2,7 +2,8 @@
 
 Fitting: distinct word stems (prefixes, and whole words ending in "$") of at most
 SAMPLE labelled training documents, the ones with the smallest id hashes, are
-counted by label; near copies count once (one minimum hash of their words). Stems
+counted by label; verified near copies (texts that share MIN_HASHES minimum hashes of their
+words and, compared, SAME of their words) count once. Stems
 whose log-likelihood ratio against the base rate exceeds MIN_EVIDENCE and that
 toxic documents hold mostly are the lexicon, by falling ratio, one of those
 that begin each other. All text statistics come from that sample; every document is scored.
@@ -24,6 +25,7 @@ no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -47,6 +49,8 @@ WORD = re.compile(r"[^\W_]+")
 QUOTES = re.compile("[\"“”„«»]")
 REPORTING = frozenset("said says wrote writes quoted quote called cited reported dijo escribió sagte schrieb dit écrit".split())
 WORDS_HELD = 400_000
+#: Sample texts that share so many minimum hashes are compared; near copies are similar by this share of words.
+MIN_HASHES, SAME = 3, 0.8
 
 
 def stems(word: str) -> list[str]:
@@ -203,17 +207,37 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts_of(docs).join(F.broadcast(seen), "doc_id").select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def without_near_copies(sample: DataFrame) -> DataFrame:
+    """``sample`` with one text of each label and set of words, and of those that share MIN_HASHES
+    minimum hashes of their words only such as have a similarity below SAME to those kept before."""
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
+            sets, keys = [], []
             for t in b.column(0).to_pylist():
-                words = set(WORD.findall(t.lower()))
-                keys.append(str(min((xxhash.xxh3_64_intdigest(w.encode()) for w in words), default=-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys)], names=["text", "toxic", "key"])
+                words = sorted(set(WORD.findall(t.lower())))
+                sets.append(hashlib.sha256(" ".join(words).encode()).hexdigest())
+                keys.append(" ".join(str(min((xxhash.xxh3_64_intdigest(w.encode(), seed) for w in words), default=-1))
+                                     for seed in range(MIN_HASHES)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.string()), pa.array(keys, pa.string())],
+                                             names=["text", "toxic", "words", "key"])
+
+    def kept(group: pa.Table) -> pa.Table:
+        group, sets, rows = group.sort_by("words"), [], []
+        for i, t in enumerate(group.column("text").to_pylist()):
+            words = frozenset(WORD.findall(t.lower()))
+            if not any(len(words & x) >= SAME * len(words | x) for x in sets):
+                sets.append(words)
+                rows.append(i)
+        return group.take(rows).select(["text", "toxic"])
+
+    return (sample.mapInArrow(keyed, "text string, toxic int, words string, key string")
+            .groupBy("key", "words", "toxic").agg(F.min("text").alias("text"))
+            .groupBy("key", "toxic").applyInArrow(kept, "text string, toxic int"))
 
-    sample = (training(docs, labels).mapInArrow(keyed, "text string, toxic int, key string")
-              .groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    sample = without_near_copies(training(docs, labels))
     sample = stage(sample, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

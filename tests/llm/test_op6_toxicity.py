@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quoteflow.llm.toxicity import Model, Trie, clean, fit, op6_toxicity, score, scorer
+from quoteflow.llm.toxicity import Model, Trie, clean, fit, op6_toxicity, score, scorer, without_near_copies
 
 SF = "/root/testdata/sf0.1"
 
@@ -89,3 +89,15 @@ def test_misspelled_prefix_entries(spark):
     assert "zorbachl" in m.entries
     left = {r["doc_id"] for r in clean(df, df.select("doc_id", "toxic")).collect()}
     assert not left & planted.keys() and set(held[20:40]) <= left
+
+
+def test_sample_loses_near_copies_only(spark):
+    """Texts that share their commonest words or a minimum hash stay; near copies go, and no other text."""
+    rows = [(" ".join(f"w{i}x{j}" for j in range(30)) + " it and the", i % 2) for i in range(60)]
+    copies = [(t + f" extra{i}", y) for i, (t, y) in enumerate(rows[:10])] + [(t.upper(), y) for t, y in rows[:5]] + rows[:7]
+    df = spark.createDataFrame(rows + copies + [("", 0), ("", 0), ("", 1)], "text string, toxic int")
+    got = [(frozenset(r["text"].lower().split()), r["toxic"]) for r in without_near_copies(df).collect()]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    assert all(any(y == z and near(frozenset(t.lower().split()), w) for w, z in got) for t, y in df.collect())
+    assert 62 <= len(got) <= 72 and len(set(got)) == len(got)
+    assert without_near_copies(df.where("false")).count() == 0
