@@ -27,6 +27,8 @@ class Vocabulary:
         self.scores = {self.pieces[i]: sp.get_score(i) for i in plain}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.text_of = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode()
+                        for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece crosses the start of a word")

@@ -1,13 +1,16 @@
 """Token counts against a plain recurrence; merge-dropout round trips."""
 
 import hashlib
+import random
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quoteflow.llm.merge_dropout import Encoder, decode, decoded, encoded, op10_merge_dropout
+from quoteflow.llm.merge_dropout import Encoder, decode, decoded, encoded, hash8, hash16, op10_merge_dropout
 from quoteflow.llm.pieces import MODEL, SPACE, units, vocabulary
 from quoteflow.llm.token_counts import Counter, op7_token_counts, token_counts
 
@@ -113,3 +116,36 @@ def test_counts_after_forgetting(monkeypatch):
     assert [n for w in words * 2 for n in small.counts([units(w)])] == right * 2
     assert len(small.known) <= 43 and small.before
     assert Counter(vocabulary()).counts([units(w) for w in words]) == right
+
+
+def test_hashes_of_many_are_xxhash():
+    r = np.random.default_rng(1)
+    for n in range(4, 17):
+        xs = [r.bytes(n) for _ in range(50)]
+        seeds = r.integers(0, 1 << 64, 50, dtype=np.uint64)
+        number = lambda x: int.from_bytes(x, "little")
+        if n <= 8:
+            got = hash8(np.array([number(x[-4:]) + (number(x[:4]) << 32) for x in xs], np.uint64), np.uint64(n), seeds)
+        else:
+            got = hash16(*(np.array([number(x[c]) for x in xs], np.uint64) for c in (slice(8), slice(-8, None))), np.uint64(n), seeds)
+        assert got.tolist() == [xxhash.xxh3_64_intdigest(x, s) for x, s in zip(xs, seeds.tolist())]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5, 1.0])
+def test_texts_are_merged_together(monkeypatch, rate):
+    """Units of all texts are merged at once, not one by one, and as each would be by itself, forgetting or not."""
+    monkeypatch.setattr("quoteflow.llm.merge_dropout.HELD", 300)
+    monkeypatch.setattr("quoteflow.llm.merge_dropout.RUN", 100)
+    r = random.Random(3)
+    words = ["the", "international", "thermodynamics", "é漢", "▁the", "x", "a\nb", "", "Straße", "😀", "привет", "k" * 200, "ab" * 60]
+    texts = [" ".join(r.choices(words, k=30)) for _ in range(40)] + [""]
+    v = vocabulary()
+    e, alone = Encoder(v, 5, rate), []
+    for k, t in enumerate(texts):
+        first = xxhash.xxh3_64_intdigest(f"5:{k}".encode())
+        alone.append([i for n, u in enumerate(units(t)) for i in
+                      e._merged(u, xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), first))[0]])
+    one_by_one, calls = e._merged, []
+    monkeypatch.setattr(e, "_merged", lambda u, draw: calls.append(u) or one_by_one(u, draw))
+    assert [x.tolist() for x in e.encode_all(texts, list(range(len(texts))))] == alone
+    assert all(len(u) > 128 for u in calls)
