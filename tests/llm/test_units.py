@@ -36,3 +36,47 @@ def test_what_is_remembered_is_bounded(monkeypatch):
     for t, ids in zip(texts, e.encode(texts)):
         assert ids.tolist() == e.tok.encode(t, add_special_tokens=False).ids
         assert len(e.known) <= 50 + 31 * 30
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_words_are_units_without_their_punctuation(file):
+    e, r = Encoder(tokenizer(file)), random.Random(4)
+    words, marks = [f"word{a}" for a in "abcdefghijklmnopqrst"] + ["\xe9t\xe9", "\u0434\u0430"], [".", ",", "!?", ");", "***", "'", "'s", "'ll,", ".'"]
+    before = ["", "(", "\"", "'(", "--"]
+    texts = [" ".join(r.choice(before) + r.choice(words) + r.choice(marks) + r.choice(["", "-the"]) for _ in range(60)) for _ in range(100)]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert ids.tolist() == e.tok.encode(t, add_special_tokens=False).ids, t
+    assert len(e.known) < 300        # over a thousand with each word's punctuation
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_marks_between_all_kinds_of_characters(file):
+    e, r = Encoder(tokenizer(file)), random.Random(5)
+    kinds = [*"aZ9\xe9\u0434'.,(_-", "\u0301", "\u0338", "\u0345", "\xb2", "\u0660", "\u03a3", "\u1e9e", "\u0130", " ", "  ", "'s", "'LL", "\xaa", "\xd7", "\u0483", "\u2019"]
+    texts = ["".join(r.choices(kinds, k=r.randrange(1, 9))) for _ in range(20000)]
+    whole = [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    for t, a, b in zip(texts, e.encode(texts), whole):
+        assert a.tolist() == b, t
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_units_are_encoded_together(file):
+    """A call of the tokenizer takes many units; the ids are those of each by itself."""
+    class Counted:
+        given: list = []
+
+        def __init__(self, tok):
+            self.tok, self.encode = tok, tok.encode
+
+        def encode_batch_fast(self, texts, **more):
+            self.given += texts
+            return self.tok.encode_batch_fast(texts, **more)
+
+    e = Encoder(Counted(tokenizer(file)))
+    r = random.Random(6)
+    plain = [p for p in PARTS if not common.RARE_SPACE.search(p)]
+    texts = [" ".join(r.choice(plain) + f"w{r.randrange(3000)}" + r.choice(plain) for _ in range(40)) for _ in range(300)]
+    texts += [" \0 a", "\0", " \0\0b \0", " x \0"]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert ids.tolist() == e.tok.tok.encode(t, add_special_tokens=False).ids, t
+    assert len(e.tok.given) < len(e.known) * 0.7
