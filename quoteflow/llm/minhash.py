@@ -11,7 +11,7 @@ element never meet in a slot, hence the lower variance than MinHash's.
    and a 128-bit digest, combined before the shuffle); only its smallest id goes on.
 2. BANDS x ROWS slots are banded. At similarity 0.85 a pair misses all 24 bands of 5
    with probability (1 - 0.85^5)^24 < 1e-6.
-3. Buckets are worked through in rounds, with centres doubling from 1: each
+3. Buckets are worked through in rounds, with GROWTH times the centres in each, from 1: each
    bucket's smallest ids not yet tried are compared with all later members of other
    components, on full sets. Then components are found again, and buckets with one
    component left are done. A large group of near copies is settled by its first
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from quoteflow.llm.common import components, discard, read, slices, stage, texts_of
 
 BANDS, ROWS = 24, 5
+#: A round costs some forty shuffles, whatever is left in it.
+GROWTH = 64
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 WORDS_HELD = 500_000
@@ -199,7 +201,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     twice = usable.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x < y").select("doc_id")
     links = stage(usable.join(twice, "doc_id", "left_semi").join(classes.drop("bands", "sketch"), key)
                   .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minhash-links")
-    comp, centres, upto, found = components(links, "minhash"), 1, None, []
+    comp, centres, upto = components(links, "minhash"), 1, None
+    discard(links)
     while True:
         now = left.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
         open_ = now.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
@@ -223,11 +226,12 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
                  .where(100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
                  .where(differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("an")))
                  .select("a", "ah", F.col("id").alias("b"), F.col("h1").alias("bh")).distinct())
-        found.append(stage(_verified(pairs, sets, percent), "minhash-links"))
-        if not found[-1].isEmpty():
-            links = links.union(found[-1])
-            last, comp = comp, components(links, "minhash")
+        found = stage(_verified(pairs, sets, percent), "minhash-links")
+        if not found.isEmpty():
+            # The components so far stand for all links before.
+            last, comp = comp, components(found.union(comp.select("id", "component_id")), "minhash")
             discard(last)
+        discard(found)
         tried = heads.groupBy("band", "h").agg(F.max("a").alias("upto"))
         last = upto
         upto = tried if upto is None else upto.union(tried).groupBy("band", "h").agg(F.max("upto").alias("upto"))
@@ -236,8 +240,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
         # A bucket's tried members are out of the next rounds.
         left = now.drop("c")
         left.staged = now.staged
-        centres *= 4
-    discard(sets, upto, now, heads, *found)
+        centres *= GROWTH
+    discard(sets, upto, now, heads)
     rep = sig.drop("bands", "sketch").join(classes.drop("bands", "sketch"), key, "left")
     out = (rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
            .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))

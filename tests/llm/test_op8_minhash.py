@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from quoteflow.llm import common, minhash
 from quoteflow.llm.minhash import Words, near_groups, op8_minhash, shingles, superminhash
 
 from .brute import near_copies as brute
@@ -45,3 +46,34 @@ def test_signature_estimates_similarity():
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.07
     tiny = superminhash([a[:1]], 64)[0] >> np.uint64(44)
     assert sorted(tiny.tolist()) == list(range(64))          # one element fills every slot, each at its own step
+
+
+def staged(monkeypatch, module):
+    names, plain = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: names.append(name) or plain(df, name))
+    return names
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Links of one centre are components already; a chain takes some rounds, and gives the same answer."""
+    names = staged(monkeypatch, common)
+    star = spark.createDataFrame([(1, i) for i in range(2, 30)] + [(40, 41), (41, 40), (7, 7)], "a long, b long")
+    assert sorted(map(tuple, common.components(star, "t").collect())) == [(i, 1) for i in range(1, 30)] + [(40, 40), (41, 40)]
+    assert names == ["t-edges"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (101, 102)], "a long, b long")
+    assert sorted(map(tuple, common.components(chain, "t").collect())) == [(i, 0) for i in range(61)] + [(i, 100) for i in (100, 101, 102)]
+    assert common.components(star.where("false"), "t").count() == 0
+
+
+def test_a_bucket_takes_few_rounds(spark, monkeypatch):
+    """Texts that share every bucket and don't link are all compared, in rounds that grow fast."""
+    monkeypatch.setattr(minhash, "signed", lambda docs, k, bands, rows, plain=minhash.signed: plain(docs, k, bands, rows)
+                        .withColumn("bands", F.expr("transform(bands, x -> if(x = 0, 0L, 1L))")))
+    r, rows = random.Random(9), []
+    for g in range(30):
+        t = [f"g{g}w{r.randrange(9)}" for _ in range(60)]
+        rows += [(3 * g + i, " ".join([*t, f"end{i}"])) for i in range(3)]
+    names = staged(monkeypatch, minhash)
+    got = sorted(map(tuple, near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()))
+    assert got == brute(rows, 3, 85) and len({c for _, _, c, _ in got}) == 30
+    assert names.count("minhash-links") <= 4         # three rounds, and the links of repeated ids
