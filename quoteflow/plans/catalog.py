@@ -259,12 +259,14 @@ def _stream_name(spark, tag):
     return f"{tag}-{time.time_ns()}"
 
 
-#: Files that a query lands for a stream: so many at least, and of about so many rows.
+#: Files that a query lands for a stream, one a micro-batch: so many at least, and of about so many rows.
 LANDED_FILES, LANDED_ROWS = 3, 4_000_000
 
 
-def _files(rows):
-    return max(LANDED_FILES, -(-rows.count() // LANDED_ROWS))
+def _landed(spark, rows, order, path):
+    """``rows`` landed in ``order``, as a stream."""
+    live.land_in_order(rows, order, path, max(LANDED_FILES, -(-rows.count() // LANDED_ROWS)))
+    return live.landed_stream(spark, path, rows.schema)
 
 
 @register("stream_latest_quote_grid")
@@ -294,14 +296,13 @@ def q_trading_updates(spark, sf_dir):
 
 @register("stream_trading_updates")
 def q_stream_trading_updates(spark, sf_dir):
-    """The same as a stream: ticks landed as files in arrival order, one a micro-batch, while updates and stops fall
-    anywhere within them."""
+    """The same as a stream: ticks landed as files in arrival order, while updates and stops fall anywhere within the
+    micro-batches."""
     name = _stream_name(spark, "updates")
     landed, params = scratch_path(spark, name + "-ticks"), scratch_path(spark, name + "-params")
     adapters.parameter_updates(spark, sf_dir).write.parquet(params)
     events = adapters.read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
-    live.land_in_order(events, "event_id", landed, _files(events))
-    ticks = adapters.live_quotes_frame(live.landed_stream(spark, landed, events.schema))
+    ticks = adapters.live_quotes_frame(_landed(spark, events, "event_id", landed))
     q, executed = live.start_live_trading(spark, ticks, params, name=name)
     q.awaitTermination()
     cols = [c for c in live.EXECUTED_SCHEMA.fieldNames() if c not in ("batch_id", "value_dec", "orders_submitted")]
@@ -314,9 +315,8 @@ def q_stream_hist_opportunities(spark, sf_dir):
     name = _stream_name(spark, "buckets")
     landed, flags = scratch_path(spark, name + "-quotes"), scratch_path(spark, name + "-flags")
     events = adapters.read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
-    live.land_in_order(events.withColumn("_ms", adapters.epoch_ms(events, "ts")), "_ms", landed, _files(events))
-    reps = live.stream_bucket_representatives(
-        adapters.quotes_frame(live.landed_stream(spark, landed, events.schema)), HIST_BUCKET_MS, "0 seconds")
+    quotes = adapters.quotes_frame(_landed(spark, events, [adapters.epoch_ms(events, "ts")], landed))
+    reps = live.stream_bucket_representatives(quotes, HIST_BUCKET_MS, "0 seconds")
     q = live.start_sink(spark, reps, live.BucketFlagSink(flags), name)
     q.awaitTermination()
     return live.bucket_report(spark, flags)
@@ -333,13 +333,12 @@ def q_stream_pnl_by_pair(spark, sf_dir):
 
 @register("stream_threshold_alerts")
 def q_stream_threshold_alerts(spark, sf_dir):
-    """ST4: folded trades -> running portfolio P&L -> alerts, landed in date order, one file a micro-batch."""
+    """ST4: folded trades -> running portfolio P&L -> alerts, landed in the order of trades."""
     name = _stream_name(spark, "alerts")
     landed = scratch_path(spark, name + "-lines")
     lines = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
-    live.land_in_order(lines.withColumn("_day", F.datediff(F.col("l_shipdate"), F.lit("1990-01-01").cast("date"))), "_day",
-                       landed, _files(lines))
-    trades = pnl.order_to_trade(pnl.completed_orders(adapters.orders_frame(live.landed_stream(spark, landed, lines.schema))))
+    stream = _landed(spark, lines, ["l_shipdate", F.expr(adapters.ORDER_ID)], landed)      # pnl.TRADE_ORDER
+    trades = pnl.order_to_trade(pnl.completed_orders(adapters.orders_frame(stream)))
     sink = live.PortfolioSink(scratch_path(spark, name + "-cum"), scratch_path(spark, name + "-hits"),
                               adapters.threshold_commands(spark, sf_dir))
     q, _ = live.start_pnl(spark, trades, name, then=sink)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 
 from pyspark.sql import SparkSession
 
@@ -120,6 +121,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def date_in_order(spark: SparkSession, path: str) -> None:
+    """Date a written folder's files a second apart, by name (the writing partitions' order). File streams read by date, so
+    a file system that does not keep dates is an error."""
+    fs, folder = _file(spark, path)
+    files = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())
+    dates = [(int(time.time()) - len(files) + i) * 1000 for i in range(len(files))]
+    for p, date in zip(files, dates):
+        fs.setTimes(p, date, -1)
+    if [fs.getFileStatus(p).getModificationTime() for p in files] != dates:
+        raise OSError(f"{path}: its file system does not keep dates")
+
+
 def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
                    expansion: float = 3.0) -> int:
     """Size shuffles and scan splits for an input of ``input_bytes`` (on-disk,

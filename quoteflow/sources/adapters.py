@@ -126,6 +126,7 @@ def orders(spark: SparkSession, sf_dir: str, n_pairs: int = 200) -> DataFrame:
     return orders_frame(li, n_pairs)
 
 
+ORDER_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd'))"
 LINEITEM_ORDER_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                           "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -137,8 +138,7 @@ def orders_frame(li: DataFrame, n_pairs: int = 200) -> DataFrame:
     filled = f"(CASE WHEN l_linestatus = 'F' THEN {tenths} WHEN l_returnflag = 'N' THEN 0L ELSE {tenths} div 2 END)"
     exact = "CAST(CAST({} AS DECIMAL(18,0)) * CAST('0.1' AS DECIMAL(2,1)) AS DECIMAL(18,8))".format
     return li.selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd')) "
-        "AS order_id",
+        f"{ORDER_ID} AS order_id",
         f"concat('P', cast(l_partkey % {n_pairs} as string)) AS currency_pair",
         "CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type",
         f"{exact(tenths)} AS order_quantity",

@@ -32,7 +32,7 @@ from quoteflow.operators import opportunities as OPS
 from quoteflow.operators import pnl as PNL
 from quoteflow.operators.running import global_prefix_sum
 from quoteflow.plans.joins import release_cached
-from quoteflow.session import delete_path, path_exists, scratch_path
+from quoteflow.session import date_in_order, delete_path, path_exists, scratch_path
 
 # ----------------------------------------------------------------- sources
 
@@ -47,15 +47,15 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(path)
 
 
-def land_in_order(rows: DataFrame, order: str, path: str, n: int) -> None:
-    """Land rows as ``n`` folders file=0, 1, ... of consecutive ranges of ``order``, one after the other, as a feed
-    would. A folder may hold several files."""
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
-    step = 1 if lo is None else (hi - lo) // n + 1
-    for i in range(n):
-        at = (lo or 0) + i * step
-        part = rows.where((F.col(order) >= at) & (F.col(order) < at + step))
-        part.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"file={i}"))
+def land_in_order(rows: DataFrame, order: str | list, path: str, n: int) -> None:
+    """Land rows as ``n`` files of about as many rows each, consecutive ranges of ``order`` (columns or
+    expressions), dated one after the other, as a feed would. Rows without the first of ``order`` don't land.
+
+    The files are range partitions, written in one pass by as many tasks; rows of equal ``order`` are in one file, so
+    every cut between files is a cut of the order."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in ([order] if isinstance(order, str) else order)]
+    rows.where(keys[0].isNotNull()).repartitionByRange(n, *keys).write.mode("overwrite").parquet(path)
+    date_in_order(rows.sparkSession, path)
 
 
 def landed_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:

@@ -292,3 +292,18 @@ def test_fold_goes_on_from_positions(spark, scratch_dir, seed):
         d, q, c, h = pos.run([side], [round(amount * 10**8)], [price])
         want.append((o, d[0], q[0], c[0], h[0]))
     assert got == want
+
+
+def test_landing_shares_a_hot_day_and_keeps_the_order(spark, scratch_dir):
+    """Files of about as many rows whatever the days hold, dated in order: nine in ten rows are of one day, and some of
+    none. Keys of equal order stay in one file."""
+    path = os.path.join(scratch_dir, f"hot-{time.time_ns()}")
+    data = spark.range(4000).selectExpr("IF(id % 10 = 0, id % 70, 30) AS day", "(id * 7919) % 2000 AS k")
+    data = data.unionByName(spark.createDataFrame([(None, 1)], "day long, k long"))
+    live.land_in_order(data.repartition(6), ["day", F.expr("lpad(k, 5, '0')")], path, 8)
+    files = sorted((os.path.getmtime(f"{path}/{f}"), f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+    assert len({m for m, _ in files}) == len(files) == 8
+    held = [sorted((r["day"], r["k"]) for r in pq.read_table(f).to_pylist()) for _, f in files]
+    assert sum(held, []) == sorted((r.day, r.k) for r in data.where("day IS NOT NULL").collect())
+    assert all(a[-1] < b[0] for a, b in zip(held, held[1:]))
+    assert max(map(len, held)) < 1000
