@@ -347,11 +347,15 @@ def q_stream_threshold_alerts(spark, sf_dir):
 
 
 # ------------------------------------------------------------ S1-S3 frames
+#: Quotes of a landed array file, which one task sorts.
+ARRAY_ROWS = 1_000_000
+
+
 @register("quote_file")
 def q_quote_file(spark, sf_dir):
     """Quotes landed as JSON array files, read by byte ranges."""
     path = scratch_path(spark, _stream_name(spark, "arrays"))
-    quotes_json.land_arrays(adapters.quotes(spark, sf_dir), path, LANDED_ROWS)
+    quotes_json.land_arrays(adapters.quotes(spark, sf_dir), path, ARRAY_ROWS)
     return quotes_json.read_quote_array(spark, path + "/*").select("seq", "pair", "x", "bp", "ap", "t")
 
 

@@ -84,16 +84,25 @@ def read_quote_array(spark: SparkSession, path: str, live: bool = False) -> Data
     return dense_order(q.select("file", "block", "at", "q.*"), [], ["file", "block", "at"], "seq").drop("file", "block", "at")
 
 
+#: The number of the first landed file.
+FIRST_FILE = 10**13
+
+
 def land_arrays(quotes: DataFrame, path: str, rows_a_file: int) -> None:
-    """Land quotes as JSON array files of ``rows_a_file`` consecutive ``seq`` each, the shape of the historical feed."""
+    """Land quotes as JSON array files of ``rows_a_file`` consecutive ``seq`` each, the shape of the historical feed.
+
+    A task sorts and writes the quotes of one file: there are more ranges than files, so every file number ends a
+    range. Numbers have one length, so that paths are in the order of files."""
     fields = [f.name for f in schemas.QUOTE.fields if f.name in quotes.columns]
-    q = quotes.withColumn("file", F.floor(F.col("seq") / rows_a_file).cast("bigint"))
+    number = F.floor(F.col("seq") / rows_a_file).cast("bigint")
+    first, n = quotes.agg(F.min(number), F.count_distinct(number)).first()
+    q = quotes.withColumn("file", number + F.lit(FIRST_FILE - (first or 0)))
     ends = q.groupBy("file").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     q = q.join(F.broadcast(ends), "file")                       # a row a file
     line = F.concat(F.when(F.col("seq") == F.col("lo"), "[").otherwise(""), F.to_json(F.struct(*fields)),
                     F.when(F.col("seq") == F.col("hi"), "]").otherwise(","))
-    (q.select("file", "seq", line.alias("value")).repartition("file").sortWithinPartitions("file", "seq")
-     .drop("seq").write.mode("overwrite").partitionBy("file").text(path))
+    (q.repartitionByRange(2 * n + 1, "file").sortWithinPartitions("file", "seq").select("file", line.alias("value"))
+     .write.mode("overwrite").partitionBy("file").text(path))
 
 
 def parse_quotes(df: DataFrame, col: str, live: bool = False, keep: list[str] | None = None) -> DataFrame:

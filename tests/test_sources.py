@@ -3,6 +3,7 @@
 import json
 import os
 import tempfile
+import time
 from decimal import Decimal
 
 from quoteflow.functions import dates
@@ -116,3 +117,15 @@ def test_array_file_by_byte_ranges(spark):
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         want = [tuple(x) for x in quotes_json.read_quote_file(spark, d).select(*cols).collect()]
         assert got == [(i, *x) for i, x in enumerate(want)] and len(got) == len(items)
+
+
+def test_arrays_land_one_file_a_task_in_order(spark, scratch_dir):
+    """Files that hash alike or are small aren't one task's, and the tenth file isn't read before the second."""
+    d = os.path.join(scratch_dir, f"arrays-{time.time_ns()}")
+    q = spark.range(-35, 85).selectExpr("id AS seq", "'XQ' AS ev", "'A-B' AS pair", "id AS t", "6 AS x")
+    quotes_json.land_arrays(q, d, 10)
+    folders = sorted(x for x in os.listdir(d) if x.startswith("file="))
+    parts = [f.split("-")[1] for x in folders for f in os.listdir(os.path.join(d, x)) if f.startswith("part-")]
+    assert len(folders) == len(parts) == len(set(parts)) == 13
+    got = [tuple(r) for r in quotes_json.read_quote_array(spark, d + "/*").orderBy("seq").select("seq", "t").collect()]
+    assert got == [(i, i - 35) for i in range(120)]
