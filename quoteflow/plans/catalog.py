@@ -259,14 +259,17 @@ def _stream_name(spark, tag):
     return f"{tag}-{time.time_ns()}"
 
 
-#: Files that a query lands for a stream, one a micro-batch: so many at least, and of about so many rows.
-LANDED_FILES, LANDED_ROWS = 3, 4_000_000
+#: Micro-batches that a query lands for a stream: so many at least, of about so many rows, in files of about so many.
+LANDED_BATCHES, LANDED_ROWS, FILE_ROWS = 3, 4_000_000, 250_000
 
 
 def _landed(spark, rows, order, path):
-    """``rows`` landed in ``order``, as a stream."""
-    live.land_in_order(rows, order, path, max(LANDED_FILES, -(-rows.count() // LANDED_ROWS)))
-    return live.landed_stream(spark, path, rows.schema)
+    """``rows`` landed in ``order``, as a stream. A micro-batch takes several files, so that several tasks read it."""
+    n = rows.count()
+    batches = max(LANDED_BATCHES, -(-n // LANDED_ROWS))
+    files = max(1, -(-n // (batches * FILE_ROWS)))
+    live.land_in_order(rows, order, path, batches * files)
+    return live.landed_stream(spark, path, rows.schema, files)
 
 
 @register("stream_latest_quote_grid")
