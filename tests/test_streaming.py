@@ -307,3 +307,13 @@ def test_landing_shares_a_hot_day_and_keeps_the_order(spark, scratch_dir):
     assert sum(held, []) == sorted((r.day, r.k) for r in data.where("day IS NOT NULL").collect())
     assert all(a[-1] < b[0] for a, b in zip(held, held[1:]))
     assert max(map(len, held)) < 1000
+
+
+def test_a_micro_batch_takes_several_landed_files(spark, scratch_dir, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 100)
+    path, seen = os.path.join(scratch_dir, f"pieces-{time.time_ns()}"), []
+    stream = catalog._landed(spark, spark.range(1000), "id", path)
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 12
+    q = live.start_sink(spark, stream, lambda b, i: seen.append([r.id for r in b.collect()]), f"pieces{time.time_ns()}")
+    q.awaitTermination()
+    assert len(seen) == 3 and sum(map(sorted, seen), []) == list(range(1000))
